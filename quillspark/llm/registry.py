@@ -6,11 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+import corpus_pipeline
+
+from . import decontaminate, mixing, neardup, quality, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_forest": quality.op1_quality_forest}
+    return {
+        "op1_quality_forest": quality.op1_quality_forest,
+        "op2_near_duplicates": neardup.op2_near_duplicates,
+        "op6_benchmark_hits": decontaminate.op6_benchmark_hits,
+        "op8_token_files": tokens.op8_token_files,
+        "op9_source_mix": mixing.op9_source_mix,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
