@@ -8,19 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, mixing, neardup, quality, tokens
+from . import decontaminate, htmltext, licenses, lm, mixing, neardup, pii, quality, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_forest": quality.op1_quality_forest,
         "op2_near_duplicates": neardup.op2_near_duplicates,
+        "op3_warc_captures": warc.op3_warc_captures,
+        "op4_personal_data": pii.op4_personal_data,
+        "op5_license_scan": licenses.op5_license_scan,
         "op6_benchmark_hits": decontaminate.op6_benchmark_hits,
+        "op7_main_text": htmltext.op7_main_text,
         "op8_token_files": tokens.op8_token_files,
         "op9_source_mix": mixing.op9_source_mix,
+        "op10_lm_scores": lm.op10_lm_scores,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_license_scan": licenses.oracle()}
