@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import search, store
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return search.QUERIES | store.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return search.ORACLES | store.ORACLES
