@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -26,6 +27,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/quill-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """Fewer rows in an Arrow batch while tables are kept, as texts are long: bounds what a worker and its executor hold."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def keep_table(df: DataFrame, folder: str | None = None) -> DataFrame:
     """The rows of ``df`` written once to the shared folder and read from there: cuts lineage, survives lost executors."""
     spark = df.sparkSession

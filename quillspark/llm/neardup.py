@@ -2,15 +2,17 @@
 
 Documents are sets of distinct 2-word shingles.  Equal sets collapse to one
 class first.  Class representatives are cut into bands of MinHash values;
-members of a band bucket are paired with one centre of the bucket, never with
-each other, so a bucket of n makes n pairs.  Each pair is screened by the XOR
+members of a band bucket are paired with one centre of the bucket (the member
+whose buckets are fullest), never with each other, so a bucket of n makes n pairs.  Each pair is screened by the XOR
 population count of two odd sketches, then confirmed on the full sets.
 Components are found by alternating star contractions.  Buckets that still
-hold documents of different components are gone through again, across
-components only, so that no link between two texts of a bucket is lost.
+hold documents of different components get other centres, a random one per
+band; what is still apart after that is compared across components, screened
+by size and odd sketch inside the join, so that no link between two texts of a
+bucket is lost.
 
 A pair at the threshold is missed by all bands with probability
-(1 - 0.8**ROWS)**BANDS = 1.3e-7, and screened out with less than 1e-7.
+(1 - 0.8**ROWS)**BANDS = 2.5e-7, and screened out with about 1e-8.
 
 Defined results: null and empty texts, and texts without words, have no
 shingles and are components of their own; rows that share a doc_id count as
@@ -26,15 +28,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_table, table
+from .common import keep_table, small_batches, table
+from .idfilter import bitmap, maybe_among, without
 from .textblock import SPACED, Block, blocks, mix, windows
 
 SHINGLE = 2
 SIMILARITY_PERCENT = 80
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 50, 6
 SKETCH_BITS = 512
-#: XOR population count of two sketches that 200 samples at a similarity of 0.58 are expected to have.
-MOST_ODD_BITS = 124
+#: XOR population count of two sketches that 300 samples at a similarity of 0.60 are expected to have.
+MOST_ODD_BITS = 156
+#: Rounds of random bucket centres before components are compared across.
+CENTRE_ROUNDS = 1
 _NUMBERS = np.random.default_rng(20240501)
 _FLIP = _NUMBERS.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 _TURN = (_NUMBERS.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -140,13 +145,27 @@ def odd_bits(a: Column, b: Column) -> Column:
     return total
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    left, right = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b"))
-    near = keep_table(pairs.join(left, "a").join(right, "b").where(odd_bits(F.col("sketch_a"), F.col("sketch_b")) <= MOST_ODD_BITS).select("a", "b"))
+def _alike(left: str, right: str) -> Column:
+    """Whether sizes and odd sketches allow the similarity."""
+    a, b = F.col(f"n_{left}"), F.col(f"n_{right}")
+    sizes = F.lit(100) * F.least(a, b) >= F.lit(SIMILARITY_PERCENT) * F.greatest(a, b)
+    return sizes & (odd_bits(F.col(f"sketch_{left}"), F.col(f"sketch_{right}")) <= MOST_ODD_BITS)
+
+
+def _named(sketches: DataFrame, name: str) -> DataFrame:
+    return sketches.select(F.col("id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
+
+
+def _screened(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    return pairs.join(_named(sketches, "a"), "a").join(_named(sketches, "b"), "b").where(_alike("a", "b")).select("a", "b")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough; the sets of the documents concerned are built again."""
+    near = keep_table(pairs.distinct())
     needed = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    found = _texts(docs).join(needed, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets, "id long, shingles array<long>")
-    found = keep_table(found)
+    words = docs.sparkSession.sparkContext.broadcast(bitmap(needed))
+    found = keep_table(maybe_among(_texts(docs), "doc_id", words).mapInArrow(_sets, "id long, shingles array<long>"))
     joined = near.join(found.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a").join(found.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
     common = joined.withColumn("common", F.size(F.array_intersect("set_a", "set_b"))).withColumn("union", F.size("set_a") + F.size("set_b") - F.col("common"))
     return keep_table(common.where(F.lit(100) * F.col("common") >= F.lit(SIMILARITY_PERCENT) * F.col("union")).select("a", "b").distinct())
@@ -171,36 +190,61 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if mark == seen or not mark["n"]:
             break
         seen = mark
-    return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    return keep_table(now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()))
+
+
+def _still_open(placed: DataFrame, roots: DataFrame) -> DataFrame:
+    """band, id, root of the bucket members of which some belong to different components."""
+    now = keep_table(placed.select("band", "id").join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root")))
+    mixed = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    return keep_table(now.join(mixed, "band", "left_semi"))
+
+
+def _joined_up(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components after more edges."""
+    if not edges.take(1):
+        return roots
+    return components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(edges))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with an equal set); one row per row of ``docs``."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     signed = keep_table(document_signatures(docs))
     prints = ["print_a", "print_b", "n_shingles"]
     classes = signed.where("n_shingles > 0").groupBy(*prints).agg(F.min("doc_id").alias("class_id"))
     members = keep_table(signed.select("doc_id", *prints).join(classes, prints, "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")))
     leaders = members.where("n_shingles > 0 and doc_id = class_id").select(F.col("doc_id").alias("id")).distinct()
-    leading = keep_table(signed.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "bands", "sketch").join(leaders, "id", "left_semi"))
-    sketches = leading.select("id", "sketch")
+    leading = keep_table(signed.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "n_shingles", "bands", "sketch").join(leaders, "id", "left_semi"))
+    sketches = leading.select("id", "n_shingles", "sketch")
 
     bands = leading.select("id", F.explode("bands").alias("band"))
-    full = bands.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    # the smallest id leads half of the buckets, the largest the others
-    centres = full.select("band", F.when(F.col("band").bitwiseAND(F.lit(1)) == 0, F.col("low")).otherwise(F.col("high")).alias("centre"))
-    crowded = keep_table(bands.join(centres, "band"))
-    pairs = keep_table(crowded.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
-    edges = _confirmed(pairs, sketches, docs)
-    roots = keep_table(components(edges))
-
-    placed = keep_table(crowded.select("band", "id").join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root")))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    open_rows = placed.join(mixed, "band", "left_semi")
-    across = open_rows.select("band", F.col("id").alias("a"), F.col("root").alias("root_a")).join(open_rows.select("band", F.col("id").alias("b"), F.col("root").alias("root_b")), "band")
-    across = across.where("root_a <> root_b and a < b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = _confirmed(across, sketches, docs)
-    if more.take(1):
-        roots = keep_table(components(edges.unionByName(more)))
+    full = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    # the centre of a bucket is its member whose buckets are fullest: the text that the others are copies of
+    crowded = keep_table(bands.join(full, "band"))
+    weight = crowded.groupBy("id").agg(F.sum("n").alias("weight"))
+    centres = crowded.join(weight, "id").groupBy("band").agg(F.max(F.struct("weight", (-F.col("id")).alias("least"))).alias("c")).select("band", (-F.col("c.least")).alias("centre"))
+    pairs = crowded.join(centres, "band").where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    roots = components(_confirmed(_screened(pairs, sketches), docs))
+
+    placed = crowded.select("band", "id")
+    for turn in range(CENTRE_ROUNDS):
+        placed = _still_open(placed, roots)
+        chosen = placed.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", "band", F.lit(turn)).alias("h"), "id", "root")).alias("c")).select("band", F.col("c.id").alias("centre"), F.col("c.root").alias("centre_root"))
+        pairs = placed.join(chosen, "band").where("root <> centre_root").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+        roots = _joined_up(roots, _confirmed(_screened(pairs, sketches), docs))
+    rest = _still_open(placed, roots)
+    shared = rest.groupBy("id").agg(F.collect_set("band").alias("shared"))  # BANDS entries at most
+    wide = rest.join(sketches, "id").join(shared, "id")
+    left, right = (wide.select("band", F.col("id").alias(x), F.col("root").alias(f"root_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("shared").alias(f"shared_{x}")) for x in ("a", "b"))
+    # a pair that shares several buckets is taken in one of them
+    once = left["band"] == F.array_min(F.array_intersect("shared_a", "shared_b"))
+    across = left.join(right, (left["band"] == right["band"]) & (F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b")) & _alike("a", "b") & once)
+    roots = _joined_up(roots, _confirmed(across.select("a", "b"), docs))
 
     found = members.join(roots, F.col("class_id") == F.col("id"), "left").withColumn("component_id", F.coalesce("root", "class_id"))
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "class_id")
@@ -208,8 +252,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without those that have a smaller-numbered near duplicate."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    gone = keep_table(near_duplicates(docs).where("not kept").select("doc_id").distinct())
+    return without(docs, "doc_id", gone)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
