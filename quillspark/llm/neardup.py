@@ -8,8 +8,10 @@ population count of two odd sketches, then confirmed on the full sets.
 Components are found by alternating star contractions.  Buckets that still
 hold documents of different components get other centres, a random one per
 band; what is still apart after that is compared across components, screened
-by size and odd sketch inside the join, so that no link between two texts of a
-bucket is lost.
+inside the join by size, odd sketch and the odd sketch of the whole set, so
+that no link between two texts of a bucket is lost.  The last of these never
+rejects a link: two sets' parity bitmaps differ in at most as many bits as the
+sets differ in shingles.
 
 A pair at the threshold is missed by all bands with probability
 (1 - 0.8**ROWS)**BANDS = 2.5e-7, and screened out with about 1e-8.
@@ -36,6 +38,8 @@ SHINGLE = 2
 SIMILARITY_PERCENT = 80
 BANDS, ROWS = 50, 6
 SKETCH_BITS = 512
+#: Bits of the odd sketch of a whole shingle set.
+PARITY_BITS = 2048
 #: XOR population count of two sketches that 300 samples at a similarity of 0.60 are expected to have.
 MOST_ODD_BITS = 156
 #: Rounds of random bucket centres before components are compared across.
@@ -97,17 +101,31 @@ def signatures(keys: np.ndarray, whose: np.ndarray, n: int) -> tuple[np.ndarray,
     return have, bands.view(np.int64), sketches
 
 
+def parities(keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Odd sketches of whole sets (texts x PARITY_BITS/64); ``keys[edges[i]:edges[i + 1]]`` is the set of text i."""
+    n = len(edges) - 1
+    out = np.zeros((n, PARITY_BITS // 64), dtype=np.int64)
+    for low in range(0, n, 1024):
+        high = min(n, low + 1024)
+        part = keys[edges[low] : edges[high]]
+        whose = np.repeat(np.arange(high - low), np.diff(edges[low : high + 1]))
+        place = (part % np.uint64(PARITY_BITS)).astype(np.int64) + whose * PARITY_BITS
+        odd = (np.bincount(place, minlength=(high - low) * PARITY_BITS) & 1).astype(np.uint8)
+        out[low:high] = np.packbits(odd.reshape(high - low, PARITY_BITS), axis=1).view(np.int64)
+    return out
+
+
 def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_shingles", "print_a", "print_b", "bands", "sketch"]
+    names = ["doc_id", "n_shingles", "print_a", "print_b", "bands", "sketch", "parity"]
     for batch in batches:
         for row, stop, block in blocks(batch.column(1), lower=True, most=1 << 19):
             keys, whose = shingle_sets(block)
             sizes = np.bincount(whose, minlength=block.n).astype(np.int64)
-            edges = np.concatenate([[0], np.cumsum(sizes)])
+            edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
             prints = []
             for value in (keys, mix(keys + np.uint64(0x51ED270B))):
                 sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(value, dtype=np.uint64)])
@@ -116,7 +134,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             every_band = np.zeros((block.n, BANDS), dtype=np.int64)
             every_sketch = np.zeros((block.n, SKETCH_BITS // 64), dtype=np.int64)
             every_band[have], every_sketch[have] = bands, sketches
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), pa.array(sizes), *prints, _lists(every_band), _lists(every_sketch)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), pa.array(sizes), *prints, _lists(every_band), _lists(every_sketch), _lists(parities(keys, edges))], names)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +151,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def document_signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two sums that identify the set, band keys and the odd sketch."""
-    return _texts(docs).mapInArrow(_signed, "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>, sketch array<long>")
+    """doc_id, n_shingles, two sums that identify the set, band keys, the odd sketches of the samples and of the set."""
+    return _texts(docs).mapInArrow(_signed, "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def odd_bits(a: Column, b: Column) -> Column:
@@ -152,6 +170,13 @@ def _alike(left: str, right: str) -> Column:
     return sizes & (odd_bits(F.col(f"sketch_{left}"), F.col(f"sketch_{right}")) <= MOST_ODD_BITS)
 
 
+def _may_link(left: str, right: str) -> Column:
+    """False only where the sets differ in more shingles than linked sets can: sizes m and n allow (m + n) * (100 - s) / (100 + s)."""
+    flips = F.zip_with(F.col(f"parity_{left}"), F.col(f"parity_{right}"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    bits = F.aggregate(flips, F.lit(0), lambda total, x: total + x)
+    return F.lit(100 + SIMILARITY_PERCENT) * bits <= F.lit(100 - SIMILARITY_PERCENT) * (F.col(f"n_{left}") + F.col(f"n_{right}"))
+
+
 def _named(sketches: DataFrame, name: str) -> DataFrame:
     return sketches.select(F.col("id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
 
@@ -219,7 +244,7 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     classes = signed.where("n_shingles > 0").groupBy(*prints).agg(F.min("doc_id").alias("class_id"))
     members = keep_table(signed.select("doc_id", *prints).join(classes, prints, "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")))
     leaders = members.where("n_shingles > 0 and doc_id = class_id").select(F.col("doc_id").alias("id")).distinct()
-    leading = keep_table(signed.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "n_shingles", "bands", "sketch").join(leaders, "id", "left_semi"))
+    leading = keep_table(signed.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "n_shingles", "bands", "sketch", "parity").join(leaders, "id", "left_semi"))
     sketches = leading.select("id", "n_shingles", "sketch")
 
     bands = leading.select("id", F.explode("bands").alias("band"))
@@ -239,11 +264,12 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
         roots = _joined_up(roots, _confirmed(_screened(pairs, sketches), docs))
     rest = _still_open(placed, roots)
     shared = rest.groupBy("id").agg(F.collect_set("band").alias("shared"))  # BANDS entries at most
-    wide = rest.join(sketches, "id").join(shared, "id")
-    left, right = (wide.select("band", F.col("id").alias(x), F.col("root").alias(f"root_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("shared").alias(f"shared_{x}")) for x in ("a", "b"))
+    wide = rest.join(shared.join(leading.select("id", "n_shingles", "sketch", "parity"), "id"), "id")
+    columns = {"id": "", "root": "root_", "n_shingles": "n_", "sketch": "sketch_", "parity": "parity_", "shared": "shared_"}
+    left, right = (wide.select("band", *(F.col(c).alias(f"{head}{x}") for c, head in columns.items())) for x in ("a", "b"))
     # a pair that shares several buckets is taken in one of them
     once = left["band"] == F.array_min(F.array_intersect("shared_a", "shared_b"))
-    across = left.join(right, (left["band"] == right["band"]) & (F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b")) & _alike("a", "b") & once)
+    across = left.join(right, (left["band"] == right["band"]) & (F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b")) & _alike("a", "b") & _may_link("a", "b") & once)
     roots = _joined_up(roots, _confirmed(across.select("a", "b"), docs))
 
     found = members.join(roots, F.col("class_id") == F.col("id"), "left").withColumn("component_id", F.coalesce("root", "class_id"))

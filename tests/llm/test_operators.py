@@ -100,6 +100,34 @@ def test_odd_sketch_counts(spark):
     assert bands.shape == (1, neardup.BANDS) and sketches.shape == (1, neardup.SKETCH_BITS // 64)
 
 
+def test_parities_never_reject_a_link():
+    random = np.random.default_rng(5)
+    pool = random.integers(0, 1 << 63, 6000, dtype=np.uint64)
+    sets = [set(random.choice(pool, n, replace=False).tolist()) for n in (0, 1, 40, 900, 5000)]
+    sets += [set(list(s)[len(s) // 9 :]) for s in sets]
+    keys = np.concatenate([np.sort(np.array(list(s), dtype=np.uint64)) for s in sets])
+    bits = neardup.parities(keys, np.cumsum([0, *map(len, sets)])).view(np.uint64)
+    for a, x in zip(sets, bits, strict=True):
+        for b, y in zip(sets, bits, strict=True):
+            assert np.bitwise_count(x ^ y).sum() <= len(a ^ b)
+
+
+def test_op2_link_among_texts_that_fall_short_of_their_source(spark):
+    """Many texts just below the threshold with one source and with each other, two of them linked."""
+    random = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(500, " ".join(base))]
+    for i in range(80):
+        copy = list(base)
+        for at in random.choice(150, 18, replace=False):
+            copy[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(copy)))
+    rows.append((300, rows[20][1] + " and more"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _components(dict(rows))
+    assert got[300][1] == got[rows[20][0]][1]
+
+
 def test_op3_history(spark, small):
     pages = _texts(spark, small, "pages", "page_id", "html")
     rows = sorted(warc.op3_warc_captures(spark, small).collect(), key=lambda r: (r["part"], r["place"]))
