@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,6 +42,25 @@ def small_batches(spark: SparkSession, rows: int = 2000):
         spark.conf.set(name, before)
 
 
+def _give_back() -> None:
+    """Hands memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without this call keeps it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frees_memory(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches whose worker, which Spark keeps for later tasks, gives memory back when a task ends."""
+
+    def ends_lean(batches: Iterator) -> Iterator:
+        try:
+            yield from function(batches)
+        finally:
+            _give_back()
+
+    return ends_lean
+
+
 def keep_table(df: DataFrame, folder: str | None = None) -> DataFrame:
     """The rows of ``df`` written once to the shared folder and read from there: cuts lineage, survives lost executors."""
     spark = df.sparkSession

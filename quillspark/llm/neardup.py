@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_table, small_batches, table
-from .idfilter import bitmap, maybe_among, without
+from .common import frees_memory, keep_table, small_batches, table
+from .idfilter import among, bitmap, without
 from .textblock import SPACED, Block, blocks, mix, windows
 
 SHINGLE = 2
@@ -119,6 +119,7 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
 
 
+@frees_memory
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_shingles", "print_a", "print_b", "bands", "sketch", "parity"]
     for batch in batches:
@@ -190,7 +191,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     near = keep_table(pairs.distinct())
     needed = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     words = docs.sparkSession.sparkContext.broadcast(bitmap(needed))
-    found = keep_table(maybe_among(_texts(docs), "doc_id", words).mapInArrow(_sets, "id long, shingles array<long>"))
+
+    @frees_memory
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # chosen and cut by one worker: two functions in a row would hold two workers a task
+        return _sets(batch.filter(pa.array(among(batch.column(0), words.value))) for batch in batches)
+
+    found = keep_table(_texts(docs).mapInArrow(sets, "id long, shingles array<long>"))
     joined = near.join(found.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a").join(found.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
     common = joined.withColumn("common", F.size(F.array_intersect("set_a", "set_b"))).withColumn("union", F.size("set_a") + F.size("set_b") - F.col("common"))
     return keep_table(common.where(F.lit(100) * F.col("common") >= F.lit(SIMILARITY_PERCENT) * F.col("union")).select("a", "b").distinct())

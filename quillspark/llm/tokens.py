@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep_table, open_input, open_output, shared_folder, table
+from .common import frees_memory, keep_table, open_input, open_output, shared_folder, table
 from .textblock import Block, blocks, byte_class
 
 END_ID = 2
@@ -236,6 +236,7 @@ _MANIFEST = "part int, shard int, path string, n_docs long, n_tokens long"
 def write_tokens(docs: DataFrame, folder: str, path: str) -> DataFrame:
     """Shards in ascending doc_id order in ``folder``; returns their manifest (part, shard, path, n_docs, n_tokens), itself a kept table."""
 
+    @frees_memory
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         ids, counts, doc_ids, size, shard = [], [], [], 0, 0
@@ -274,6 +275,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     # one row per SHARD_TOKENS tokens or partition, not per document
     placed = manifest.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
+    @frees_memory
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
