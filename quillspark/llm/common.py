@@ -13,6 +13,8 @@ from urllib.parse import urlparse
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .textblock import forget_powers
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,6 +46,7 @@ def small_batches(spark: SparkSession, rows: int = 2000):
 
 def _give_back() -> None:
     """Hands memory that this process has freed back to the system."""
+    forget_powers()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # a C library without this call keeps it
         ctypes.CDLL(None).malloc_trim(0)

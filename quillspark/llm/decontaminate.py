@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_table, table
+from .common import frees_memory, keep_table, table
 from .textblock import ALNUM, Block, blocks, windows
 
 WINDOW = 10
@@ -250,6 +250,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 
 def _cut(docs: DataFrame, shared, place: int, most_coverage: float) -> DataFrame:
+    @frees_memory
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, stays = [], []

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import frees_memory, table
 from .textblock import SPACED, Block, blocks, byte_class, mix, windows
 
 WINDOW = 8
@@ -173,6 +173,7 @@ class QualityModel:
         return found, failed, scores, ~failed & (scores <= self.threshold)
 
 
+@frees_memory
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found, rows = _found(batch.column(0))
@@ -198,6 +199,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the five statistics, base_failed, anomaly (the forest's score), kept; one row per row of ``docs``."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # 100 trees: some 1.2 MB at any size of input
 
+    @frees_memory
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, failed, scores, kept = model.value.verdicts(batch.column(1))
@@ -212,6 +214,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     place = docs.columns.index("text")
 
+    @frees_memory
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(model.value.verdicts(batch.column(place))[3]))

@@ -53,6 +53,11 @@ class _Tables:
         return cls.up, cls.down
 
 
+def forget_powers() -> None:
+    """Drops what long blocks have grown."""
+    _Tables.up, _Tables.down = _Tables.up[: 1 << 10].copy(), _Tables.down[: 1 << 10].copy()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose output bits all depend on all input bits."""
     x = x ^ (x >> _U(32))
