@@ -12,9 +12,13 @@ from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from .textblock import forget_powers
 
+#: Bytes of an Arrow batch between an executor and its worker: texts are long, and both sides hold whole batches.
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,18 +36,6 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/quill-{uuid.uuid4().hex}"
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 2000):
-    """Fewer rows in an Arrow batch while tables are kept, as texts are long: bounds what a worker and its executor hold."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _give_back() -> None:
     """Hands memory that this process has freed back to the system."""
     forget_powers()
@@ -64,6 +56,15 @@ def frees_memory(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator
     return ends_lean
 
 
+def map_batches(df: DataFrame, function: Callable[[Iterator], Iterator], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` in batches of at most BATCH_BYTES, or one longer row; workers give memory back when a task ends.
+
+    Spark takes the bound from the session when the plan runs, so the session keeps it.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(frees_memory(function), schema)
+
+
 def keep_table(df: DataFrame, folder: str | None = None) -> DataFrame:
     """The rows of ``df`` written once to the shared folder and read from there: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frees_memory, keep_table, table
+from .common import keep_table, map_batches, table
 from .textblock import ALNUM, Block, blocks, windows
 
 WINDOW = 10
@@ -218,7 +218,7 @@ def _find(docs: DataFrame, detector: Detector) -> DataFrame:
                     ["doc_id", "n_words", "spans", "items"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(found, _FOUND)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), found, _FOUND)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_OF_ITEMS) -> DataFrame:
@@ -250,7 +250,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 
 def _cut(docs: DataFrame, shared, place: int, most_coverage: float) -> DataFrame:
-    @frees_memory
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, stays = [], []
@@ -273,7 +272,7 @@ def _cut(docs: DataFrame, shared, place: int, most_coverage: float) -> DataFrame
             columns[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(stays, pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return map_batches(docs, clean, docs.schema)
 
 
 def op6_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:

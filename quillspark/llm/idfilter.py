@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
 from .textblock import mix
 
 #: Bits of the bitmap: 8 MB to each worker, and at most 2**20 rows to the driver.
@@ -34,7 +35,7 @@ def _places(ids: pa.Array) -> np.ndarray:
 
 def bitmap(ids: DataFrame) -> np.ndarray:
     """The bitmap of a one-column table of long ids: BITS / 64 words, or-ed together by Spark."""
-    rows = ids.mapInArrow(_slots, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    rows = map_batches(ids, _slots, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(BITS // 64, dtype=np.uint64)
     words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return words
@@ -53,7 +54,7 @@ def maybe_among(docs: DataFrame, column: str, words, wanted: bool = True) -> Dat
         for batch in batches:
             yield batch.filter(pa.array(among(batch.column(place).cast(pa.int64()), words.value) == wanted))
 
-    return docs.mapInArrow(chosen, docs.schema)
+    return map_batches(docs, chosen, docs.schema)
 
 
 def without(docs: DataFrame, column: str, ids: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep_table, table
+from .common import keep_table, map_batches, table
 from .textblock import SPACED, blocks
 
 WEIGHTS = (5, 2, 1)
@@ -45,7 +45,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def document_sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size (words)."""
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return wanted.mapInArrow(_sizes, "doc_id long, source string, size long")
+    return map_batches(wanted, _sizes, "doc_id long, source string, size long")
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frees_memory, keep_table, small_batches, table
+from .common import keep_table, map_batches, table
 from .idfilter import among, bitmap, without
 from .textblock import SPACED, Block, blocks, mix, windows
 
@@ -119,7 +119,6 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
 
 
-@frees_memory
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_shingles", "print_a", "print_b", "bands", "sketch", "parity"]
     for batch in batches:
@@ -153,7 +152,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def document_signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, two sums that identify the set, band keys, the odd sketches of the samples and of the set."""
-    return _texts(docs).mapInArrow(_signed, "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>, sketch array<long>, parity array<long>")
+    return map_batches(_texts(docs), _signed, "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def odd_bits(a: Column, b: Column) -> Column:
@@ -192,12 +191,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     needed = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     words = docs.sparkSession.sparkContext.broadcast(bitmap(needed))
 
-    @frees_memory
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # chosen and cut by one worker: two functions in a row would hold two workers a task
         return _sets(batch.filter(pa.array(among(batch.column(0), words.value))) for batch in batches)
 
-    found = keep_table(_texts(docs).mapInArrow(sets, "id long, shingles array<long>"))
+    found = keep_table(map_batches(_texts(docs), sets, "id long, shingles array<long>"))
     joined = near.join(found.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a").join(found.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
     common = joined.withColumn("common", F.size(F.array_intersect("set_a", "set_b"))).withColumn("union", F.size("set_a") + F.size("set_b") - F.col("common"))
     return keep_table(common.where(F.lit(100) * F.col("common") >= F.lit(SIMILARITY_PERCENT) * F.col("union")).select("a", "b").distinct())
@@ -241,11 +239,6 @@ def _joined_up(roots: DataFrame, edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with an equal set); one row per row of ``docs``."""
-    with small_batches(docs.sparkSession):
-        return _near_duplicates(docs)
-
-
-def _near_duplicates(docs: DataFrame) -> DataFrame:
     signed = keep_table(document_signatures(docs))
     prints = ["print_a", "print_b", "n_shingles"]
     classes = signed.where("n_shingles > 0").groupBy(*prints).agg(F.min("doc_id").alias("class_id"))

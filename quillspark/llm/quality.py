@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frees_memory, table
+from .common import map_batches, table
 from .textblock import SPACED, Block, blocks, byte_class, mix, windows
 
 WINDOW = 8
@@ -173,7 +173,6 @@ class QualityModel:
         return found, failed, scores, ~failed & (scores <= self.threshold)
 
 
-@frees_memory
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found, rows = _found(batch.column(0))
@@ -187,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS) -> Quali
     # at most ``bound`` rows of two numbers: a proven size
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("labelled_id"))
     schema = "failed boolean, quality int, " + ", ".join(f"{x} double" for x in FEATURES)
-    rows = sample.select("text", "quality").mapInArrow(_sampled, schema).where("not failed").toPandas().sort_values(["quality", *FEATURES], kind="stable").head(2 * bound)
+    rows = map_batches(sample.select("text", "quality"), _sampled, schema).where("not failed").toPandas().sort_values(["quality", *FEATURES], kind="stable").head(2 * bound)
     if not len(rows):
         return QualityModel(None, float("inf"))
     values, good = rows[FEATURES].to_numpy(), rows["quality"].to_numpy() == 1
@@ -199,14 +198,13 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the five statistics, base_failed, anomaly (the forest's score), kept; one row per row of ``docs``."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # 100 trees: some 1.2 MB at any size of input
 
-    @frees_memory
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, failed, scores, kept = model.value.verdicts(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[x]) for x in STATISTICS], pa.array(failed), pa.array(scores), pa.array(kept)], ["doc_id", *STATISTICS, "base_failed", "anomaly", "kept"])
 
     schema = "doc_id long, " + ", ".join(f"{x} long" for x in STATISTICS) + ", base_failed boolean, anomaly double, kept boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(judged, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), judged, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -214,12 +212,11 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     place = docs.columns.index("text")
 
-    @frees_memory
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(model.value.verdicts(batch.column(place))[3]))
 
-    return docs.mapInArrow(filtered, docs.schema)
+    return map_batches(docs, filtered, docs.schema)
 
 
 def op1_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import frees_memory, keep_table, open_input, open_output, shared_folder, table
+from .common import keep_table, map_batches, open_input, open_output, shared_folder, table
 from .textblock import Block, blocks, byte_class
 
 END_ID = 2
@@ -236,7 +236,6 @@ _MANIFEST = "part int, shard int, path string, n_docs long, n_tokens long"
 def write_tokens(docs: DataFrame, folder: str, path: str) -> DataFrame:
     """Shards in ascending doc_id order in ``folder``; returns their manifest (part, shard, path, n_docs, n_tokens), itself a kept table."""
 
-    @frees_memory
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         ids, counts, doc_ids, size, shard = [], [], [], 0, 0
@@ -266,7 +265,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str) -> DataFrame:
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return keep_table(ordered.mapInArrow(written, _MANIFEST))
+    return keep_table(map_batches(ordered, written, _MANIFEST))
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
@@ -275,7 +274,6 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     # one row per SHARD_TOKENS tokens or partition, not per document
     placed = manifest.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
-    @frees_memory
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -285,7 +283,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids), pa.array(start + shard.starts[:-1]), pa.array(np.diff(shard.starts)), pa.array(checks, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = placed.select("path", "before").repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism), "path")
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(spread, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, path: str | None = None) -> DataFrame:
