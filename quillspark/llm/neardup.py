@@ -1,6 +1,7 @@
 """Near-duplicate documents: banded MinHash candidates, odd-sketch screening, exact confirmation.
 
-Documents are sets of distinct 2-word shingles.  Equal sets collapse to one
+Documents are sets of distinct shingles of ``SHINGLE`` words, or of as many as
+the caller says.  Equal sets collapse to one
 class first.  Class representatives are cut into bands of MinHash values;
 members of a band bucket are paired with one centre of the bucket (the member
 whose buckets are fullest), never with each other, so a bucket of n makes n pairs.  Each pair is screened by the XOR
@@ -24,6 +25,7 @@ one document; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,9 @@ from .common import keep_table, map_batches, table
 from .idfilter import among, bitmap, without
 from .textblock import SPACED, Block, blocks, mix, windows
 
-SHINGLE = 2
+SHINGLE = 5
+#: The words of a shingle in op2's results.
+QUERY_SHINGLE = 2
 SIMILARITY_PERCENT = 80
 BANDS, ROWS = 50, 6
 SKETCH_BITS = 512
@@ -49,7 +53,7 @@ _FLIP = _NUMBERS.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.u
 _TURN = (_NUMBERS.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 
 
-def shingle_sets(block: Block, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, text index) of each text's distinct shingles, by text, then hash."""
     starts, ends, owner = block.spans(SPACED)
     hashes = block.hashes(starts, ends)
@@ -119,11 +123,11 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_shingles", "print_a", "print_b", "bands", "sketch", "parity"]
     for batch in batches:
         for row, stop, block in blocks(batch.column(1), lower=True, most=1 << 19):
-            keys, whose = shingle_sets(block)
+            keys, whose = shingle_sets(block, k)
             sizes = np.bincount(whose, minlength=block.n).astype(np.int64)
             edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
             prints = []
@@ -137,10 +141,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), pa.array(sizes), *prints, _lists(every_band), _lists(every_sketch), _lists(parities(keys, edges))], names)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, stop, block in blocks(batch.column(1), lower=True, most=1 << 19):
-            keys, whose = shingle_sets(block)
+            keys, whose = shingle_sets(block, k)
             edges = np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=block.n))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(keys.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), lists], ["id", "shingles"])
@@ -150,9 +154,9 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def document_signatures(docs: DataFrame) -> DataFrame:
+def document_signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, two sums that identify the set, band keys, the odd sketches of the samples and of the set."""
-    return map_batches(_texts(docs), _signed, "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>, sketch array<long>, parity array<long>")
+    return map_batches(_texts(docs), partial(_signed, k=shingle), "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def odd_bits(a: Column, b: Column) -> Column:
@@ -185,7 +189,7 @@ def _screened(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(_named(sketches, "a"), "a").join(_named(sketches, "b"), "b").where(_alike("a", "b")).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough; the sets of the documents concerned are built again."""
     near = keep_table(pairs.distinct())
     needed = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -193,7 +197,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # chosen and cut by one worker: two functions in a row would hold two workers a task
-        return _sets(batch.filter(pa.array(among(batch.column(0), words.value))) for batch in batches)
+        return _sets((batch.filter(pa.array(among(batch.column(0), words.value))) for batch in batches), shingle)
 
     found = keep_table(map_batches(_texts(docs), sets, "id long, shingles array<long>"))
     joined = near.join(found.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a").join(found.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
@@ -237,9 +241,9 @@ def _joined_up(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(edges))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with an equal set); one row per row of ``docs``."""
-    signed = keep_table(document_signatures(docs))
+    signed = keep_table(document_signatures(docs, shingle))
     prints = ["print_a", "print_b", "n_shingles"]
     classes = signed.where("n_shingles > 0").groupBy(*prints).agg(F.min("doc_id").alias("class_id"))
     members = keep_table(signed.select("doc_id", *prints).join(classes, prints, "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")))
@@ -254,14 +258,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     weight = crowded.groupBy("id").agg(F.sum("n").alias("weight"))
     centres = crowded.join(weight, "id").groupBy("band").agg(F.max(F.struct("weight", (-F.col("id")).alias("least"))).alias("c")).select("band", (-F.col("c.least")).alias("centre"))
     pairs = crowded.join(centres, "band").where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    roots = components(_confirmed(_screened(pairs, sketches), docs))
+    roots = components(_confirmed(_screened(pairs, sketches), docs, shingle))
 
     placed = crowded.select("band", "id")
     for turn in range(CENTRE_ROUNDS):
         placed = _still_open(placed, roots)
         chosen = placed.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", "band", F.lit(turn)).alias("h"), "id", "root")).alias("c")).select("band", F.col("c.id").alias("centre"), F.col("c.root").alias("centre_root"))
         pairs = placed.join(chosen, "band").where("root <> centre_root").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        roots = _joined_up(roots, _confirmed(_screened(pairs, sketches), docs))
+        roots = _joined_up(roots, _confirmed(_screened(pairs, sketches), docs, shingle))
     rest = _still_open(placed, roots)
     shared = rest.groupBy("id").agg(F.collect_set("band").alias("shared"))  # BANDS entries at most
     wide = rest.join(shared.join(leading.select("id", "n_shingles", "sketch", "parity"), "id"), "id")
@@ -270,7 +274,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a pair that shares several buckets is taken in one of them
     once = left["band"] == F.array_min(F.array_intersect("shared_a", "shared_b"))
     across = left.join(right, (left["band"] == right["band"]) & (F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b")) & _alike("a", "b") & _may_link("a", "b") & once)
-    roots = _joined_up(roots, _confirmed(across.select("a", "b"), docs))
+    roots = _joined_up(roots, _confirmed(across.select("a", "b"), docs, shingle))
 
     found = members.join(roots, F.col("class_id") == F.col("id"), "left").withColumn("component_id", F.coalesce("root", "class_id"))
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "class_id")
@@ -283,4 +287,4 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), QUERY_SHINGLE)

@@ -55,8 +55,8 @@ def test_op1_verdicts_follow_labels(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.05
 
 
-def _components(texts):
-    sets = {i: frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset(map(tuple, [w] if w else [])) for i, w in ((i, _words(_lower(t))) for i, t in texts.items())}
+def _components(texts, k=2):
+    sets = {i: frozenset(zip(*(w[j:] for j in range(k)))) if len(w) >= k else frozenset(map(tuple, [w] if w else [])) for i, w in ((i, _words(_lower(t))) for i, t in texts.items())}
     root = {i: i for i in sets}
 
     def find(x):
@@ -80,6 +80,13 @@ def test_op2_components(spark, small):
     assert got == wanted
 
 
+def test_five_word_components(spark, small):
+    wanted = _components(_texts(spark, small), 5)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()} == wanted
+    assert wanted != _components(_texts(spark, small))
+
+
 def test_op2_copies_linked_by_one_text_only(spark):
     random = np.random.default_rng(3)
     base = [f"w{i}" for i in range(150)]
@@ -90,7 +97,7 @@ def test_op2_copies_linked_by_one_text_only(spark):
             copy[at] = f"x{i}_{at}"
         rows.append((i, " ".join(copy)))
     texts = dict(rows)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
     assert got == _components(texts)
 
 
@@ -123,7 +130,7 @@ def test_op2_link_among_texts_that_fall_short_of_their_source(spark):
             copy[at] = f"x{i}_{at}"
         rows.append((i, " ".join(copy)))
     rows.append((300, rows[20][1] + " and more"))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
     assert got == _components(dict(rows))
     assert got[300][1] == got[rows[20][0]][1]
 
@@ -345,8 +352,9 @@ def test_odd_rows(spark, odd_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
     assert quality.quality_verdicts(odd_docs, labels).count() == 10
-    near = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(odd_docs).collect()}
-    assert near == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 7, 9: 9}
+    for shingle in (2, 5):
+        near = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(odd_docs, shingle).collect()}
+        assert near == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 7, 9: 9}
     assert decontaminate.contamination(odd_docs, bench).where("size(items) > 0").count() == 0
     assert decontaminate.decontaminated(odd_docs, bench).columns == odd_docs.columns
     assert pii.personal_data(odd_docs).count() == 10
@@ -372,7 +380,7 @@ def test_pipeline_stages(spark, small):
     assert {r[0] for r in good.select("doc_id").collect()} == {r[0] for r in quality.op1_quality_forest(spark, small).where("kept").select("doc_id").collect()}
     kept = corpus_pipeline.near_duplicates(spark, docs, small)
     assert kept.columns == docs.columns
-    assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(i for i, (_, root) in _components(_texts(spark, small)).items() if i == root)
+    assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(i for i, (_, root) in _components(_texts(spark, small), 5).items() if i == root)
     assert corpus_pipeline.run(spark, small).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
 
 
