@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import rules, text
+from quillspark.functions import rules, sheets, text
 from quillspark.operators import curation, retrieval
 from quillspark.streaming import limits
 
@@ -71,3 +71,27 @@ def test_without_llm(monkeypatch):
 
     monkeypatch.setattr(builtins, "__import__", missing)
     assert "bm25_topk" in entry.queries() and "op1_quality_forest" not in entry.queries()
+
+
+@pytest.mark.parametrize(("kind", "level", "slots"), [("multiclass", 3, [4, 2]), ("multiclass", 20, [4, 3, 3, 3, 3, 2, 2, 1, 1]), ("half", 1, []), ("half", 5, [4, 2]), ("half", 19, [4, 3, 3, 3, 2]), ("third", 2, []), ("third", 4, [3]), ("third", 20, [4, 3, 3, 1]), ("none", 9, []), ("half", None, [])])
+def test_spell_slots(spark, kind, level, slots):
+    got = spark.range(1).select(sheets.spell_slots(F.lit(kind), F.lit(level).cast("int"))).first()[0]
+    assert got == slots + [0] * (9 - len(slots))
+
+
+@pytest.mark.parametrize(("level", "slots", "slot_level"), [(0, None, None), (1, 1, 1), (2, 2, 1), (3, 2, 2), (9, 2, 5), (11, 3, 5), (17, 4, 5)])
+def test_pact(spark, level, slots, slot_level):
+    assert tuple(spark.range(1).select(sheets.pact_slots(F.lit(level)), sheets.pact_slot_level(F.lit(level))).first()) == (slots, slot_level)
+
+
+@pytest.mark.parametrize(("worn", "held", "shield", "total"), [(None, ["Wizard"], False, 13), ("none", ["barbarian"], True, 17), ("", ["Monk"], True, 15), (" ", ["Monk", "Barbarian"], False, 15), ("half plate", ["Monk"], False, 17), ("Plate", [], True, 20), ("Studded Leather", [], False, 15), ("Bark", [], False, None)])
+def test_armor_class(spark, worn, held, shield, total):
+    classes = F.array(*[F.lit(c) for c in held]).cast("array<string>")
+    got = sheets.armor_class(F.lit(worn).cast("string"), classes, F.lit(16), F.lit(14), F.lit(12), F.lit(shield), F.lit(None).cast("int"))
+    assert spark.range(1).select(got).first()[0] == total
+
+
+def test_may_multiclass(spark):
+    scores = dict.fromkeys(("Strength", "Intelligence", "Wisdom", "Charisma", "Constitution"), F.lit(8)) | {"Dexterity": F.lit(13)}
+    got = spark.range(1).select(*[sheets.may_multiclass(F.lit(c), scores).alias(c) for c in ("Fighter", "Monk", "rogue", "Bard", "Jester")]).first()
+    assert tuple(got) == (True, False, True, False, False)
