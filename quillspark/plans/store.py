@@ -77,6 +77,13 @@ def encounter(s, d):
     return sums.withColumn("adjusted", F.round(F.col("xp") * rules.encounter_multiplier(F.col("monsters"), F.lit(4)), 2))
 
 
+def encounter_difficulty(s, d):
+    """Each order as an encounter of a party of one to seven members, judged by both editions."""
+    key, xp, monsters = F.col("l_orderkey"), F.col("xp"), F.col("monsters")
+    rows = encounter(s, d).withColumn("levels", F.transform(F.sequence(F.lit(1), (F.pmod(key, F.lit(7)) + 1).cast("int")), lambda i: F.pmod(key + i, F.lit(20)) + 1))
+    return rows.select("l_orderkey", rules.party_budget(F.col("levels"), 2).alias("hard_from"), rules.difficulty(xp, monsters, F.col("levels")).alias("earlier"), rules.difficulty(xp, monsters, F.col("levels"), later=True).alias("later"))
+
+
 def caster_levels(s, d):
     p = _part(s, d)
     lv = [(F.col("p_partkey") % k).cast("int") for k in (11, 7, 5, 9)]
@@ -131,6 +138,7 @@ QUERIES = {
     "chat_last_n": lambda s, d: table(s, d, "conversations").withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where("back <= 2").select("conv_id", "turn", "role"),
     "initiative_order": initiative_order,
     "encounter_multiplier_class": encounter,
+    "encounter_difficulty": encounter_difficulty,
     "caster_level": caster_levels,
     "crafting": lambda s, d: _part(s, d).select("p_partkey", F.ceil(F.col("p_retailprice") / 250).cast("long").alias("days"), F.floor(F.col("p_retailprice") / 2).cast("long").alias("cost")),
     "dice_parse": dice_parse,
@@ -162,6 +170,8 @@ def _sections(s, d):
 
 QUERIES["gaps_islands_sections"] = _sections
 
+_EASY, _MEDIUM, _HARD, _DEADLY = (str([row[i] for row in rules.BUDGETS_2014]) for i in range(4))
+_LATER_EASY, _LATER_MEDIUM, _LATER_HARD = (str([row[i] for row in rules.BUDGETS_2024]) for i in range(3))
 _XP = "[" + ",".join(str(rules.CR_XP[float(i)]) for i in range(1, 31)) + "]"
 ORACLES = {
     "latest_per_group": "select c_custkey, o_orderkey, o_totalprice from customer left join (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as k from orders) on c_custkey = o_custkey and k = 1",
@@ -181,6 +191,12 @@ ORACLES = {
     "chat_last_n": "select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) as k from conversations) where k <= 2",
     "initiative_order": "with r as (select event_id, user_id, case when event_id % 5 <> 0 then floor(value)::int % 20 end as roll, user_id % 4 as m, event_id % 2 = 0 as pl from events) select event_id, user_id, row_number() over (partition by user_id order by roll desc nulls last, m desc, pl desc, event_id)::int as place from r",
     "encounter_multiplier_class": f"with s as (select l_orderkey, count(*) as monsters, sum(({_XP})[least(floor(l_quantity), 30)::int])::bigint as xp from lineitem group by 1) select l_orderkey, monsters, xp, round(xp * case when monsters >= 15 then 4.0 when monsters >= 11 then 3.0 when monsters >= 7 then 2.5 when monsters >= 3 then 2.0 when monsters >= 2 then 1.5 else 1.0 end::double, 2) as adjusted from s",
+    "encounter_difficulty": f"""with s as (select l_orderkey, count(*) as monsters, sum(({_XP})[least(floor(l_quantity), 30)::int])::bigint as xp, l_orderkey % 7 + 1 as party from lineitem group by 1),
+        b as (select l_orderkey, sum(({_EASY})[v]) as e, sum(({_MEDIUM})[v]) as m, sum(({_HARD})[v])::bigint as h, sum(({_DEADLY})[v]) as d, sum(({_LATER_EASY})[v]) as le, sum(({_LATER_MEDIUM})[v]) as lm, sum(({_LATER_HARD})[v]) as lh from (select l_orderkey, ((l_orderkey + unnest(range(1, party + 1))) % 20 + 1)::int as v from s) group by 1),
+        k as (select *, case when monsters >= 15 then 6 when monsters >= 11 then 5 when monsters >= 7 then 4 when monsters >= 3 then 3 when monsters >= 2 then 2 else 1 end + case when party < 3 then 1 when party > 5 then -1 else 0 end as i from s),
+        a as (select *, round(xp * [1.0, 1.5, 2.0, 2.5, 3.0, 4.0][greatest(1, least(6, i))]::double) as adjusted from k join b using (l_orderkey))
+        select l_orderkey, h as hard_from, case when adjusted >= d then 'Deadly' when adjusted >= h then 'Hard' when adjusted >= m then 'Medium' when adjusted >= e then 'Easy' else 'Trivial' end as earlier,
+            case when xp >= lh then 'Hard' when xp >= lm then 'Medium' when xp >= le then 'Easy' else 'Trivial' end as later from a""",
     "caster_level": "select p_partkey, (p_partkey % 11 + p_partkey % 7 // 2 + (p_partkey % 5 + 1) // 2 + p_partkey % 9 // 3)::int as caster_level, (2 + (greatest(1, p_size) - 1) // 4)::int as proficiency, floor((p_size - 10) / 2.0)::int as modifier from part",
     "crafting": "select p_partkey, ceil(p_retailprice / 250)::bigint as days, floor(p_retailprice / 2)::bigint as cost from part",
     "dice_parse": "with d as (select l_orderkey, l_linenumber, l_linenumber as n, (l_quantity % 20 + 1)::int as sides, case when l_linenumber > 3 then l_partkey % 2000 else 0 end as extra from lineitem) select l_orderkey, l_linenumber, case when n between 1 and 100 and extra <= 1000 then n * (sides + 1) / 2 + extra end::double as average from d",

@@ -20,7 +20,7 @@ def test_challenge_xp(spark, cr, xp):
     assert spark.range(1).select(rules.challenge_xp(F.lit(cr))).first()[0] == xp
 
 
-@pytest.mark.parametrize(("monsters", "party", "wanted"), [(1, 4, 1.0), (2, 4, 1.5), (4, 4, 2.0), (8, 4, 2.5), (12, 4, 3.0), (15, 4, 4.0), (1, 2, 1.5), (1, 6, 0.5), (15, 2, 5.0)])
+@pytest.mark.parametrize(("monsters", "party", "wanted"), [(1, 4, 1.0), (2, 4, 1.5), (4, 4, 2.0), (8, 4, 2.5), (12, 4, 3.0), (15, 4, 4.0), (1, 2, 1.5), (2, 2, 2.0), (2, 6, 1.0), (1, 6, 1.0), (15, 2, 4.0), (0, 4, 1.0)])
 def test_multiplier(spark, monsters, party, wanted):
     assert spark.range(1).select(rules.encounter_multiplier(F.lit(monsters), F.lit(party))).first()[0] == wanted
 
@@ -95,3 +95,9 @@ def test_may_multiclass(spark):
     scores = dict.fromkeys(("Strength", "Intelligence", "Wisdom", "Charisma", "Constitution"), F.lit(8)) | {"Dexterity": F.lit(13)}
     got = spark.range(1).select(*[sheets.may_multiclass(F.lit(c), scores).alias(c) for c in ("Fighter", "Monk", "rogue", "Bard", "Jester")]).first()
     assert tuple(got) == (True, False, True, False, False)
+
+
+@pytest.mark.parametrize(("xp", "monsters", "levels", "later", "wanted"), [(2100, 3, [5] * 4, False, "Hard"), (1400, 2, [5] * 4, True, "Trivial"), (3000, 2, [5] * 4, True, "Medium"), (2999, 2, [5] * 4, True, "Easy"), (99999, 1, [5] * 4, True, "Hard"), (4400, 1, [5] * 4, False, "Deadly"), (0, 0, [1], False, "Trivial"), (100, 1, [1, 21], False, None), (100, 1, None, False, None)])
+def test_difficulty(spark, xp, monsters, levels, later, wanted):
+    party = F.lit(None).cast("array<int>") if levels is None else F.array(*[F.lit(n) for n in levels])
+    assert spark.range(1).select(rules.difficulty(F.lit(xp), F.lit(monsters), party, later)).first()[0] == wanted
