@@ -1,10 +1,12 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree.  Each paragraph passes points for its length and commas
-to the elements it stands in, discounted by the share of its text that is
-links; the container with the most points is kept, and with it those siblings
-that read like more of the article.  Elements that are never article text, by
-their kind or by what their class, id or role says, are left out first.
+to all elements it stands in, discounted by the share of its text that is
+links.  The lowest article or main with more than half of the page's points is
+kept whole; without one, the lowest container with more than half of them.  With
+it go those siblings, of it and of the wrappers around it, that read like more of
+the article.  Elements that are never article text, by their kind or by what
+their class, id or role says, are left out first.
 
 Defined results: null or empty html, and pages without any block of text, give
 the empty string; markup that ends early is read to its end; other columns are
@@ -35,8 +37,15 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"
 _ASIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent notice notices notification alert newsletter subscribe signup share sharing social related recommended recommendations comment comments disqus reply replies respond popup modal overlay widget widgets toolbar pagination pager skip hidden login search tags meta byline".split())
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _SPLIT_NAME = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
-#: Share of the best container's points that a sibling needs.
+#: Elements that are parts of a text and never its container.
+_PARTS = frozenset("p pre li ul ol dl dt dd blockquote table tbody thead tfoot tr th caption figure figcaption details summary".split()) | _HEADING
+_TOPS = frozenset("body html #root".split())
+#: Share of the container's points that a sibling needs which does not look like text.
 _SIBLING_SHARE = 0.2
+#: Share of links from which on a sibling is a list of links.
+_LINKED = 0.25
+#: Characters from which on a run of text outside paragraphs reads like one.
+_LONG = 80
 
 
 class Element:
@@ -182,12 +191,21 @@ def _blocks(root: Element, by_name: bool) -> list[_Block]:
     return out
 
 
-def _within(element: Element | None, container: Element) -> bool:
-    while element is not None:
-        if element is container:
-            return True
-        element = element.parent
-    return False
+def _container(root: Element) -> Element:
+    """The lowest article or main with more than half of the root's points, or the lowest other container with them."""
+    half, here, marked = root.points / 2, root, None
+    while True:
+        if here.tag in ("article", "main"):
+            marked = here
+        down = next((c for c in here.children if not isinstance(c, str) and c.points > half), None)
+        if down is None:
+            break
+        here = down
+    if marked is not None:
+        return marked
+    while here.parent is not None and here.tag in _PARTS:
+        here = here.parent
+    return here
 
 
 def main_blocks(page: str) -> list[str]:
@@ -195,40 +213,63 @@ def main_blocks(page: str) -> list[str]:
     found = _blocks(root, True) or _blocks(root, False)
     if not found:
         return []
-    scored: dict[int, Element] = {}
     size: dict[int, list[int]] = {}
-    for block in found:
-        worth = (1 + block.text.count(",") + len(block.text) / 100) * (1 - block.links / len(block.text))
-        up = block.owner if block.owner.tag not in ("p", "pre", "li", "blockquote", *_HEADING) else block.owner.parent or block.owner
-        part = 1.0
-        for _ in range(2):
-            up.points += worth * part
-            scored[id(up)] = up
-            if up.parent is None:
-                break
-            up, part = up.parent, part / 2
+    prose: set[int] = set()  # elements that hold a part of a text
+    worth = [(1 + b.text.count(",") + len(b.text) / 100) * (1 - b.links / len(b.text)) for b in found]
+    linked = not any(worth)  # nothing but links: they count by their length
+    for block, points in zip(found, worth, strict=True):
+        reads = block.owner.tag in _PARTS or len(block.text) >= _LONG
         above: Element | None = block.owner
         while above is not None:
+            above.points += len(block.text) if linked else points
             mine = size.setdefault(id(above), [0, 0])
             mine[0] += len(block.text)
             mine[1] += block.links
+            if reads:
+                prose.add(id(above))
             above = above.parent
 
     def density(element: Element) -> float:
-        mine = size.get(id(element), [1, 0])
-        return mine[1] / max(1, mine[0])
-
-    best = max(scored.values(), key=lambda e: e.points * (1 - density(e)))
-    kept = [best]
-    if best.parent is not None:
-        least = max(5.0, best.points * _SIBLING_SHARE)
-        for other in best.parent.children:
-            if isinstance(other, str) or other is best or id(other) not in size:
-                continue
-            reads_on = other.tag in ("p", *_HEADING) and density(other) < 0.25
-            if reads_on or other.points * (1 - density(other)) >= least:
-                kept.append(other)
-    return [b.text for b in found if any(_within(b.owner, k) for k in kept)]
+        return size[id(element)][1] / size[id(element)][0]
+
+    best = _container(root)
+    marked = best.tag in ("article", "main")
+
+    def reads_on(other: Element, least: float) -> bool:
+        if density(other) < _LINKED and (other.tag in ("p", *_HEADING) or not marked and id(other) in prose):
+            return True
+        return other.points * (1 - density(other)) >= least
+
+    kept: set[int] = set()
+    bare: set[int] = set()  # elements whose own text is kept, but not all of their children
+    if best.tag in _TOPS:
+        inner = [c for c in best.children if not isinstance(c, str) and id(c) in size]
+        top = max((c.points for c in inner), default=0.0)
+        bare.add(id(best))
+        kept.update(id(c) for c in inner if c.tag in _TOPS or reads_on(c, top * _SIBLING_SHARE))
+    else:
+        kept.add(id(best))
+        here = best
+        while here.parent is not None:
+            below, here = here, here.parent
+            kept.update(id(c) for c in here.children if not isinstance(c, str) and id(c) in size and c is not below and reads_on(c, best.points * _SIBLING_SHARE))
+            if not marked:
+                bare.add(id(here))
+            if here.tag in _TOPS or here.tag in ("article", "main"):
+                break
+
+    def stays(block: _Block) -> bool:
+        if id(block.owner) in bare:
+            near = block.owner is best or block.owner.tag not in _TOPS or len(block.text) >= _LONG
+            return near and block.links < _LINKED * len(block.text) or linked
+        up: Element | None = block.owner
+        while up is not None:
+            if id(up) in kept:
+                return True
+            up = up.parent
+        return False
+
+    return [b.text for b in found if stays(b)]
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -243,6 +243,19 @@ def test_op7_main_text():
     assert htmltext.main_blocks("<div>" * 5000 + "deep text, here") == ["deep text, here"]
 
 
+def test_op7_nested_sections_stay_whole():
+    long = ["A sentence, and one more, of words that make up a section of the article. " * 9] * 2
+    short = "A section of one paragraph that is as short as paragraphs come, and still part of it."
+    within = "".join(f"<section><div><h2>Part {i}</h2>{''.join(f'<p>{p}</p>' for p in ps)}</div></section>" for i, ps in enumerate([long * 4, [short], long]))
+    wanted = ["Title", "Part 0", *[p.strip() for p in long * 4], "Part 1", short, "Part 2", *[p.strip() for p in long]]
+    rest = "<div><a href=/>More stories</a> <a href=/>of ours</a></div><div>All rights are ours.</div>"
+    for tag in ("article", "main", "div"):
+        assert htmltext.main_blocks(f"<body><{tag}><h1>Title</h1>{within}</{tag}>{rest}</body>") == wanted
+    assert htmltext.main_blocks(f"<body><main><article><h1>Title</h1>{within}</article><section>Next to it.</section></main>{rest}</body>") == wanted
+    assert htmltext.main_blocks(f"<body><h1>Title</h1>{within}{rest}</body>") == wanted
+    assert htmltext.main_blocks("<p><a href=/>only a link</a></p>") == ["only a link"]
+
+
 def test_op8_round_trip(spark, small):
     from tokenizers import Tokenizer
 
