@@ -26,6 +26,8 @@ from .textblock import SPACED, Block, blocks, byte_class, mix, windows
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
+#: Words of the windows in which distinct words are counted.
+DISTINCT_WINDOW = 200
 SYMBOLS = byte_class(b"#*$%&|<>")
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["word_length", "symbol_rate", "distinct_rate"]
@@ -53,6 +55,21 @@ def _owned(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return mix(hashes + owner.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
+def _distinct_in_windows(keys: np.ndarray, owner: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: mean number of distinct words over all windows of its consecutive words, and the words of a window."""
+    order = np.argsort(keys, kind="stable")
+    before = np.full(len(keys), -1, dtype=np.int64)  # the same word's last place in its text
+    again = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    before[order[again + 1]] = order[again]
+    head = np.cumsum(words) - words
+    wide = np.minimum(words, DISTINCT_WINDOW)
+    place = np.arange(len(keys)) - head[owner]
+    # starts of the windows in which a word is the first of its kind
+    least = np.maximum(np.maximum(before - head[owner] + 1, place - wide[owner] + 1), 0)
+    most = np.minimum(place, (words - wide)[owner])
+    return np.bincount(owner, np.maximum(most - least + 1, 0), minlength=len(words)) / np.maximum(1, words - wide + 1), wide
+
+
 def block_statistics(block: Block) -> dict[str, np.ndarray]:
     """The five rule statistics and the forest's features of each text of a block."""
     starts, ends, owner = block.spans(SPACED)
@@ -79,12 +96,12 @@ def block_statistics(block: Block) -> dict[str, np.ndarray]:
     line_owner = np.searchsorted(block.offsets, line_start, side="right") - 1
     doubled = ~_repeats(_owned(block.hashes(line_start, line_end), line_owner))[1]
     dup_lines = np.bincount(line_owner[doubled], minlength=block.n).astype(np.int64)
-    distinct = np.bincount(owner[_repeats(_owned(hashes, owner))[1]], minlength=block.n)
+    distinct, wide = _distinct_in_windows(_owned(hashes, owner), owner, words)
 
     symbols = _per_text(block, SYMBOLS[block.data])
     per_word = np.maximum(1, words)
-    # distinct words fall with length in natural text; the power takes that trend out
-    shape = [in_words / per_word, symbols / per_word, distinct / per_word**0.9]
+    # distinct words fall with length in natural text; windows end that trend, the power takes it out of shorter texts
+    shape = [in_words / per_word, symbols / per_word, distinct / np.maximum(1, wide) ** 0.9]
     return dict(zip(STATISTICS, [words, in_words, symbols, dup_lines, repeated], strict=True)) | dict(zip(FEATURES, shape, strict=True))
 
 

@@ -55,6 +55,30 @@ def test_op1_verdicts_follow_labels(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.05
 
 
+def test_op1_keeps_clean_texts_of_any_length(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    good = docs.join(labels, "doc_id").where("quality = 1").select("lang", "text").orderBy("doc_id").collect()
+    random = np.random.default_rng(2)
+    for lang in ("en", "de", "fr", "es"):
+        pool = _words(" ".join(r["text"] for r in good if r["lang"] == lang))
+        for size, texts, least in ((20, 50, 0.8), (60, 50, 0.9), (1000, 10, 1), (20_000, 2, 1), (100_000, 1, 1), (400_000, 1, 1)):
+            made = [" ".join(random.choice(pool, size)) for _ in range(texts)]
+            _, failed, _, kept = model.verdicts(pa.array(made))
+            assert not failed.any() and kept.mean() >= least, (lang, size)
+
+
+def test_op1_distinct_words_in_windows():
+    random = np.random.default_rng(3)
+    texts = [[f"w{x}" for x in random.integers(0, kinds, n)] for n in (0, 1, 20, 199, 200, 201, 730) for kinds in (3, 400)]
+    _, rows = quality._found(pa.array([" ".join(t) for t in texts]))
+    for words, rate in zip(texts, rows[:, quality.FEATURES.index("distinct_rate")], strict=True):
+        wide = min(len(words), 200)
+        mean = np.mean([len(set(words[a : a + wide])) for a in range(len(words) - wide + 1)])
+        assert rate == pytest.approx(mean / max(1, wide) ** 0.9)
+
+
 def _components(texts, k=2):
     sets = {i: frozenset(zip(*(w[j:] for j in range(k)))) if len(w) >= k else frozenset(map(tuple, [w] if w else [])) for i, w in ((i, _words(_lower(t))) for i, t in texts.items())}
     root = {i: i for i in sets}
