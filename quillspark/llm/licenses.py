@@ -1,8 +1,10 @@
 """License notices: phrase places, and an exact set-similarity join with notice templates.
 
-Everything is DataFrame expressions.  Blocks are the lines of a text.  A block
-meets a template if it holds at least ``CONTAINMENT`` of the template's distinct
-words.  Words are ordered by their frequency over all blocks of the corpus;
+Everything is DataFrame expressions.  Blocks are the lines of a text and, for
+notices wrapped over lines, all windows of its consecutive words that are as long
+as a template and a quarter more (``WINDOW_SLACK``).  A block meets a template if
+it holds at least ``CONTAINMENT`` of the template's distinct words.  Words are
+ordered by the number of texts of the corpus that hold them;
 a block must hold one of the rarest words of a template (prefix filter), have
 enough words (length filter) and have enough template words left from the first
 common one on (positional filter) before its containment is counted.
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import keep_table, table
 
 CONTAINMENT = 0.9
+#: Words of a window beyond the template's, as a share of them.
+WINDOW_SLACK = 0.25
 #: What stands between words; letters keep their case here.
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Base phrases and their labels.
@@ -78,35 +82,48 @@ def phrase_places(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), labels.alias("base_labels"))
 
 
-def text_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, line, tokens (distinct words) of each line with words."""
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line", "text"))
-    return texts.select("doc_id", "line", F.array_distinct(_words(F.col("text"))).alias("tokens")).where(F.size("tokens") > 0)
+def _blocks(low: Column, words: Column, rare: list[str], wide: int) -> Column:
+    """Structs of probes (rare words), before, words: the lines with a rare word, before -1; around each rare word the ``wide`` - 1 words before it and after it."""
+    known = F.array(*[F.lit(w) for w in rare])
+    lines = F.filter(F.transform(F.split(low, "\n"), lambda line: F.array_distinct(_words(line))), lambda bag: F.arrays_overlap(bag, known))
+    every = F.transform(lines, lambda bag: F.struct(F.array_intersect(bag, known).alias("probes"), F.lit(-1).alias("before"), bag.alias("words")))
+    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(rare))
+    before = lambda i: F.least(i, F.lit(wide - 1))
+    around = F.transform(places, lambda i: F.struct(F.array(F.get(words, i)).alias("probes"), before(i).alias("before"), F.slice(words, i - before(i) + 1, before(i) + wide).alias("words")))
+    return F.concat(every, around)
 
 
 def template_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """doc_id, line, label, containment of every text block that meets a template."""
+    """doc_id, label, containment (the highest) of every template that a line or a window of words meets."""
     spark = docs.sparkSession
-    bags = [(i, sorted(set(text.split(" "))), label) for i, (text, label) in enumerate(templates)]
+    bags = [(i, text.split(" "), label) for i, (text, label) in enumerate(templates)]
     known = sorted({w for _, words, _ in bags for w in words})
-    blocks = text_blocks(docs)
+    low = F.translate(F.col("text").cast("string"), _UPPER, _LOWER)
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), low.alias("low")).withColumn("all_words", _words(F.col("low")))
     literal = F.array(*[F.lit(w) for w in known])
-    # blocks that each template word stands in, over the whole corpus; as many rows as template words
-    counts = blocks.select(F.explode(F.array_intersect("tokens", literal)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
+    # texts that each template word stands in, over the whole corpus; as many rows as template words
+    counts = texts.select(F.explode(F.array_intersect("all_words", literal)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
     frequency = {r["word"]: r["n"] for r in counts}
     order = {w: i for i, w in enumerate(sorted(known, key=lambda w: (frequency.get(w, 0), w)))}
     rows = []
     for i, words, label in bags:
-        ranked = sorted(words, key=order.__getitem__)
+        ranked = sorted(set(words), key=order.__getitem__)
         need = math.ceil(containment * len(ranked) - 1e-9)
-        rows += [(i, label, len(ranked), need, word, place, ranked) for place, word in enumerate(ranked[: len(ranked) - need + 1])]
-    prefixes = spark.createDataFrame(rows, "template int, label string, size int, need int, word string, place int, template_words array<string>")
-    rare = F.array(*[F.lit(w) for w in sorted({r[4] for r in rows})])
-    probing = blocks.where(F.arrays_overlap("tokens", rare)).select("doc_id", "line", "tokens", F.explode(F.array_intersect("tokens", rare)).alias("word"))
+        wide = math.ceil(len(words) * (1 + WINDOW_SLACK))
+        rows += [(i, label, len(ranked), need, wide, word, place, ranked) for place, word in enumerate(ranked[: len(ranked) - need + 1])]
+    prefixes = spark.createDataFrame(rows, "template int, label string, size int, need int, wide int, word string, place int, template_words array<string>")
+    rare = sorted({r[5] for r in rows})
+    probing = texts.where(F.arrays_overlap("all_words", F.array(*[F.lit(w) for w in rare]))).select("doc_id", F.explode(_blocks(F.col("low"), F.col("all_words"), rare, max(r[4] for r in rows))).alias("block"))
+    probing = probing.select("doc_id", "block.before", "block.words", F.explode("block.probes").alias("word"))
     # the templates' prefixes: some words for each template, fixed by this module
-    pairs = probing.join(F.broadcast(prefixes), "word").where((F.size("tokens") >= F.col("need")) & (F.col("size") - F.col("place") >= F.col("need")))
-    common = pairs.withColumn("common", F.size(F.array_intersect("tokens", "template_words"))).where("common >= need")
-    return common.groupBy("doc_id", "line", "template", "label").agg(F.max(F.col("common") / F.col("size")).alias("containment")).drop("template")
+    pairs = probing.join(F.broadcast(prefixes), "word").where((F.size("words") >= F.col("need")) & (F.col("size") - F.col("place") >= F.col("need")))
+    common = lambda words: F.size(F.array_intersect(words, "template_words"))
+    near = pairs.where(common(F.col("words")) >= F.col("need"))
+    # windows that hold the rare word: their first places in the block, from 1
+    first, last = F.greatest(F.lit(1), F.col("before") - F.col("wide") + 2), F.col("before") + 1
+    in_windows = F.array_max(F.transform(F.sequence(first, last), lambda at: common(F.slice("words", at, F.col("wide")))))
+    met = near.withColumn("common", F.when(F.col("before") < 0, common(F.col("words"))).otherwise(in_windows)).where("common >= need")
+    return met.groupBy("doc_id", "template", "label").agg(F.max(F.col("common") / F.col("size")).alias("containment")).drop("template")
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -123,7 +140,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL for op5: all blocks against all templates."""
+    """DuckDB SQL for op5: all lines against all templates; equal where no notice is wrapped over lines."""
     phrase_rows = ", ".join(f"('{p}', '{label}', {len(p.split(' '))})" for p, label in PHRASES)
     template_rows = ", ".join(f"({i}, '{text}', '{label}')" for i, (text, label) in enumerate(TEMPLATES))
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -231,6 +231,46 @@ def test_op5_equals_sql(spark, small):
     assert as_rows(got) == as_rows(sql_rows(licenses.oracle(), small))
 
 
+def test_op5_notices_wrapped_over_lines(spark):
+    notices = {
+        1: ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated files", "mit"),
+        2: ("# Redistribution and use in source and binary forms, with or without\r\n# modification, are permitted provided that", "bsd"),
+        3: ("/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU\n *\n * General Public License as published", "gpl"),
+        4: ("x\nReleased under\nthe MIT\nlicense", "mit"),
+        5: ("Released under" + " word" * 9 + "\nthe MIT license", ""),
+        6: ("gnu", ""),
+    }
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in notices.items()] + [(i + 100, "filler words here.\n" * 300 + text + "\nmore of them" * 300) for i, (text, _) in notices.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"] >= 0.9) for r in licenses.license_scan(docs).collect()}
+    assert got == {i + more: (label, label != "") for i, (_, label) in notices.items() for more in (0, 100)}
+
+
+def test_op5_brute_force(spark):
+    random = np.random.default_rng(6)
+    rows = []
+    for i in range(400):
+        words = licenses.TEMPLATES[i % len(licenses.TEMPLATES)][0].split(" ")
+        words = [w for w in words if random.random() > 0.05]
+        for at in random.integers(0, len(words) + 1, random.integers(0, 7)):
+            words.insert(at, "other")
+        rows.append((i, "".join(w + ("\n" if random.random() < 0.15 else " ") for w in ["some", "words", *words, *["after"] * int(random.integers(0, 40))])))
+
+    def best(text):
+        every, score, labels = text.split(), 0.0, set()
+        for template, label in licenses.TEMPLATES:
+            bag, wide = set(template.split(" ")), math.ceil(len(template.split(" ")) * 1.25)
+            blocks = [line.split() for line in text.split("\n")] + [every[a : a + wide] for a in range(len(every))]
+            share = max(len(bag & set(b)) for b in blocks) / len(bag)
+            if share >= 0.9:
+                score = max(score, share)
+                labels.add(label)
+        return sorted(labels), score
+
+    got = {r["doc_id"]: (sorted(r["labels"]), r["score"]) for r in licenses.template_matches(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").agg(licenses.F.collect_set("label").alias("labels"), licenses.F.max("containment").alias("score")).collect()}
+    assert 50 < len(got) < 400
+    assert {i: got.get(i, ([], 0.0)) for i, _ in rows} == {i: (labels, pytest.approx(score)) for i, (labels, score) in ((i, best(text)) for i, text in rows)}
+
+
 def test_op6_brute_force(spark, small):
     items = {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", _lower(t)) for i, t in _texts(spark, small, "benchmark", "item_id").items()}
     grams = {}
