@@ -11,14 +11,16 @@ The automaton is bounded: items are dealt into blocks of at most
 ``BLOCK_OF_ITEMS`` bytes of text, one broadcast automaton and one pass each.
 
 Defined results: null and empty texts have no words and no hits; items without
-words match nothing; items without an item_id are left out; with several blocks
-of items, rows are told apart by doc_id; other columns are ignored.
+words match nothing; items without an item_id are left out; each row of documents
+has a result of its own, whatever its doc_id and the number of blocks; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -221,14 +223,19 @@ def _find(docs: DataFrame, detector: Detector) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), found, _FOUND)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_OF_ITEMS) -> DataFrame:
-    """doc_id, n_words, spans (merged word spans that items hold), items (ids, sorted as strings)."""
-    parts = [_find(docs, d) for d in detectors(benchmark, window, block_bytes)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for more in parts[1:]:
-        every = every.unionByName(more.where("size(items) > 0"))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of ``docs`` kept with a key of their own, which all passes then read, and the key's name."""
+    key = "row_key"
+    while any(c.lower().startswith(key) for c in docs.columns):
+        key += "_"
+    return keep_table(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
+def _found_over_blocks(rows: DataFrame, each: Iterator[Detector]) -> DataFrame:
+    """What ``_find`` gives, over all blocks of items; rows with a unique doc_id."""
+    every = _find(rows, next(each))
+    for detector in each:
+        every = every.unionByName(_find(rows, detector).where("size(items) > 0"))
     joined = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     union = """aggregate(array_sort(spans), cast(array() as array<struct<first:bigint,past:bigint>>),
         (done, s) -> case when size(done) > 0 and element_at(done, -1).past >= s.first
@@ -237,6 +244,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return joined.withColumn("spans", F.expr(union))
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_OF_ITEMS) -> DataFrame:
+    """doc_id, n_words, spans (merged word spans that items hold), items (ids, sorted as strings); one row per row of ``docs``."""
+    each = detectors(benchmark, window, block_bytes)
+    first, second = next(each), next(each, None)
+    if second is None:
+        return _find(docs, first)
+    kept, key = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    found = _found_over_blocks(kept.select(F.col(key).alias("doc_id"), "text"), chain([first, second], each))
+    return kept.select(key, "doc_id").join(found.withColumnRenamed("doc_id", key), key).drop(key)
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_coverage: float = 0.0, block_bytes: int = BLOCK_OF_ITEMS) -> DataFrame:
     """The rows of ``docs``, all columns, without benchmark passages.
 
@@ -244,9 +262,43 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     from the others the hit words and what stands between them are cut.
     """
     place = docs.columns.index("text")
-    for detector in detectors(benchmark, window, block_bytes):
-        docs = _cut(docs, docs.sparkSession.sparkContext.broadcast(detector), place, most_coverage)
-    return docs
+    each = detectors(benchmark, window, block_bytes)
+    first, second = next(each), next(each, None)
+    if second is None:
+        return _cut(docs, docs.sparkSession.sparkContext.broadcast(first), place, most_coverage)
+    kept, key = _keyed(docs)
+    found = _found_over_blocks(kept.select(F.col(key).alias("doc_id"), "text"), chain([first, second], each)).where("size(spans) > 0")
+    hits = found.select(F.col("doc_id").alias(key), F.expr("aggregate(spans, 0L, (n, s) -> n + s.past - s.first)").alias("n_hit"), "n_words", "spans")
+    hits = hits.select(key, (F.col("n_hit") <= F.lit(most_coverage) * F.col("n_words")).alias(f"{key}_stays"), F.col("spans").alias(f"{key}_spans"))
+    judged = kept.join(hits, key, "left").where(F.coalesce(F.col(f"{key}_stays"), F.lit(True))).drop(key, f"{key}_stays")
+    return _cut_found(judged, docs, place)
+
+
+def _without(text: str, spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray) -> str:
+    """A text without its words of the spans and what stands between them; ``starts`` and ``ends`` are the bytes of its words."""
+    raw, at, kept = text.encode(), 0, []
+    for a, b in spans:
+        kept.append(raw[at : int(starts[a])])
+        at = int(ends[b - 1])
+    return b"".join([*kept, raw[at:]]).decode()
+
+
+def _cut_found(judged: DataFrame, docs: DataFrame, place: int) -> DataFrame:
+    """The columns of ``docs``, the spans of the last column cut from the texts."""
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            for i, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if spans:
+                    for _, _, block in blocks(pa.array([texts[i]], pa.string()), lower=True):
+                        starts, ends, _ = block.spans(ALNUM)
+                        texts[i] = _without(texts[i], [(s["first"], s["past"]) for s in spans], starts, ends)
+            columns = list(batch.columns)[:-1]
+            columns[place] = pa.array(texts, batch.schema.field(place).type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return map_batches(judged, clean, docs.schema)
 
 
 def _cut(docs: DataFrame, shared, place: int, most_coverage: float) -> DataFrame:
@@ -261,12 +313,8 @@ def _cut(docs: DataFrame, shared, place: int, most_coverage: float) -> DataFrame
                     hit = spans.get(i, [])
                     stays.append(not hit or sum(b - a for a, b in hit) <= most_coverage * counts[i])
                     if hit and stays[-1]:
-                        raw, at, kept = text.encode(), 0, []
-                        for a, b in hit:
-                            first, past = int(starts[firsts[i] + a] - block.offsets[i]), int(ends[firsts[i] + b - 1] - block.offsets[i])
-                            kept.append(raw[at:first])
-                            at = past
-                        text = b"".join([*kept, raw[at:]]).decode()
+                        mine = slice(firsts[i], firsts[i] + counts[i])
+                        text = _without(text, hit, starts[mine] - block.offsets[i], ends[mine] - block.offsets[i])
                     texts.append(text)
             columns = list(batch.columns)
             columns[place] = pa.array(texts, batch.schema.field(place).type)

@@ -300,6 +300,19 @@ def test_op6_blocks_short_items_and_cutting(spark):
     assert {r["doc_id"] for r in decontaminate.decontaminated(docs, bench).collect()} == {2, 3}
 
 
+def test_op6_rows_and_coverage_do_not_depend_on_blocks(spark):
+    runs = [" ".join(f"{c}{i}" for i in range(10)) for c in "pqr"]
+    rows = [(1, runs[0] + " one two"), (1, runs[0] + " one two"), (None, "x " + runs[1]), (None, "none of them"), (2, "a b " + runs[0]), (2, runs[1] + " c " + runs[2]), (3, "é " + " ".join(runs) + " " + "w " * 25), (None, None)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row_key int")
+    bench = spark.createDataFrame([(i, run) for i, run in enumerate(runs)], "item_id long, text string")
+    assert len(list(decontaminate.detectors(bench, block_bytes=40))) > 1
+    plain = lambda found: sorted(map(repr, found.select("doc_id", "n_words", "spans", "items").collect()))
+    assert plain(decontaminate.contamination(docs, bench, block_bytes=40)) == plain(decontaminate.contamination(docs, bench))
+    for most in (0.0, 0.4, 0.6, 0.95, 1.0):
+        one, several = (decontaminate.decontaminated(docs, bench, most_coverage=most, block_bytes=size) for size in (1 << 20, 40))
+        assert several.schema == one.schema and sorted(map(repr, several.collect())) == sorted(map(repr, one.collect()))
+
+
 def test_op7_main_text():
     page = "<html><head><title>T</title></head><body><nav><a href=/>Menu</a></nav><div class=ad>Buy, buy, buy.</div><article><h1>Head &amp; tail</h1><p><b>First, &nbsp;one\n two<br>three<p>Second, with words enough to count.</article><div class='comments'><p>Reader says, hello.</p></div><footer>&copy; x</footer></body></html>"
     assert htmltext.main_blocks(page) == ["Head & tail", "First, one two three", "Second, with words enough to count."]
