@@ -8,16 +8,18 @@ directory counts the set bits before each group of 512.
 
 Encoding: what stands between white space is cut further where an ASCII letter
 or digit meets ASCII punctuation, which the tokenizer's own splitting does
-anyway; each distinct piece is encoded once per worker by the library and its
-ids are gathered from there.  Texts with ``<|``, which may hold a special
-token, are encoded whole.
+anyway; distinct pieces are encoded by the library, remembered in a table of
+fixed size and gathered from there.  Texts with ``<|``, which may hold a special
+token, are encoded whole, and so are all texts if the vocabulary splits otherwise.
 
 Defined results: null and empty texts hold the end id alone; rows with equal
-doc_id stand together; an empty table gives no rows; other columns are ignored.
+doc_id stand together, by the hash of their texts; rows without a doc_id come
+last; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -34,14 +36,28 @@ from .common import keep_table, map_batches, open_input, open_output, shared_fol
 from .textblock import Block, blocks, byte_class
 
 END_ID = 2
-MAGIC = b"QDAC0001"
+MAGIC = b"QDAC0002"
 CHUNK = 8
 #: Bits that an entry of the rank directory covers.
 RANK_BITS = 512
 #: Tokens after which a shard is closed; bounds what a writer or reader holds.
-SHARD_TOKENS = 1 << 22
-#: Distinct pieces whose ids a worker remembers before it starts anew.
-REMEMBERED = 1_500_000
+SHARD_TOKENS = 1 << 21
+#: Tokens that a reader decodes at once, or one longer document.
+READ_TOKENS = 1 << 16
+#: Slots of a worker's table of pieces, and ids in its arena after which it starts anew: some 36 MB.
+SLOTS, ARENA_IDS = 1 << 20, 1 << 22
+#: Bytes of text encoded at once.
+BLOCK = 1 << 19
+# The normalizer and splitting that the cuts below agree with; texts of other vocabularies are encoded whole.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTING = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_U = np.uint64
 _SPACE, _LETTER, _DIGIT, _QUOTE, _MARK, _WIDE = range(6)
 _KIND = np.full(256, _MARK, dtype=np.uint8)
 _KIND[[0x20, *range(0x09, 0x0E)]] = _SPACE
@@ -62,62 +78,72 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _cuts_apply(path: str) -> bool:
+    """Whether the cuts above agree with the tokenizer's own normalizer and splitting."""
+    with open(path, encoding="utf-8") as stream:
+        spec = json.load(stream)
+    return spec.get("normalizer") == _NORMALIZER and spec.get("pre_tokenizer") == _SPLITTING and not (spec["model"].get("dropout") or spec.get("truncation") or spec.get("padding"))
+
+
 class PieceEncoder:
-    """Encodes blocks of texts; remembers the ids of pieces it has met."""
+    """Encodes blocks of texts; remembers the ids of pieces in a table of fixed size, each at the slot of its hash."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cuts = _cuts_apply(path)
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.starts = np.zeros(1 << 12, dtype=np.int64)
-        self.sizes = np.zeros(1 << 12, dtype=np.int64)
-        self.arena = np.zeros(1 << 14, dtype=np.uint32)
+        self.keys = np.zeros(SLOTS, dtype=np.uint64)
+        self.starts = np.zeros(SLOTS, dtype=np.int32)
+        self.sizes = np.zeros(SLOTS, dtype=np.int32)
+        self.arena = np.zeros(1 << 16, dtype=np.uint32)
         self.filled = 0
 
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the arena the ids of each new piece start, and how many they are."""
         many = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, many), dtype=np.int64, count=len(many))
+        sizes = np.fromiter(map(len, many), dtype=np.int32, count=len(many))
         ids = np.fromiter((i for one in many for i in one), dtype=np.uint32, count=int(sizes.sum()))
         while self.filled + len(ids) > len(self.arena):
             self.arena = np.concatenate([self.arena, np.zeros_like(self.arena)])
-        at = len(self.known)
-        while at + len(keys) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
         self.arena[self.filled : self.filled + len(ids)] = ids
-        self.starts[at : at + len(keys)] = self.filled + np.cumsum(sizes) - sizes
-        self.sizes[at : at + len(keys)] = sizes
+        starts = (self.filled + np.cumsum(sizes) - sizes).astype(np.int32)
+        slots = keys & _U(SLOTS - 1)
+        self.keys[slots], self.starts[slots], self.sizes[slots] = keys, starts, sizes
         self.filled += len(ids)
-        self.known.update(zip(keys, range(at, at + len(keys)), strict=True))
+        return starts, sizes
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, tokens of each text); the block is lower-cased."""
-        if len(self.known) > REMEMBERED:
+        if self.filled > ARENA_IDS:
             self._forget()
         data = block.data
-        starts, ends, owner = block.spans(_NOT_SPACE)
+        starts, ends, _ = block.spans(_NOT_SPACE)
         if len(starts):
             kind = _KIND[data]
-            cut = np.flatnonzero(_CUT[kind[:-1], kind[1:]]) + 1
-            cut = cut[~np.isin(cut, block.offsets)]
-            starts = np.sort(np.concatenate([starts, cut]))
-            ends = np.sort(np.concatenate([ends, cut]))
-            owner = np.searchsorted(block.offsets, starts, side="right") - 1
+            cut = np.zeros(len(data) + 1, dtype=bool)
+            cut[1:-1] = _CUT[kind[:-1], kind[1:]]
+            cut[block.offsets] = False
+            head, tail = cut, cut.copy()
+            head[starts], tail[ends] = True, True
+            starts, ends = np.flatnonzero(head), np.flatnonzero(tail)
+        owner = np.searchsorted(block.offsets, starts, side="right") - 1
         hashes = block.hashes(starts, ends)
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
+        slots = hashes & _U(SLOTS - 1)
+        at, sizes = self.starts[slots], self.sizes[slots]
+        new = np.flatnonzero((self.keys[slots] != hashes) | (sizes == 0))
+        if len(new):
+            distinct, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
             raw = data.tobytes()
-            at = first[new]
-            self._learn([keys[i] for i in new], [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        index = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))[back]
-        sizes = self.sizes[index]
-        ids = self.arena[np.repeat(self.starts[index] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+            one = new[first]
+            found, lengths = self._learn(distinct, [raw[a:b].decode() for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
+            at[new], sizes[new] = found[back], lengths[back]
+        sizes = sizes.astype(np.int64)
+        ids = self.arena[np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
         return ids, np.bincount(owner, sizes, minlength=block.n).astype(np.int64)
 
 
@@ -133,14 +159,17 @@ def encoder(path: str) -> PieceEncoder:
 def encoded(column: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, ids, tokens of each text), each text closed by the end id."""
     worker = encoder(path)
-    for row, stop, block in blocks(column, lower=True):
-        ids, counts = worker.encode(block)
-        special = (block.data[:-1] == 60) & (block.data[1:] == 124) if len(block.data) > 1 else np.zeros(0, dtype=bool)
-        parts = None
-        if special.any():
+    for row, stop, block in blocks(column, lower=worker.cuts, most=BLOCK):
+        if worker.cuts:
+            ids, counts = worker.encode(block)
+            special = (block.data[:-1] == 60) & (block.data[1:] == 124) if len(block.data) > 1 else np.zeros(0, dtype=bool)
+            whole = np.unique(np.searchsorted(block.offsets, np.flatnonzero(special), side="right") - 1).tolist()
+        else:
+            ids, counts, whole = np.zeros(0, dtype=np.uint32), np.zeros(block.n, dtype=np.int64), range(block.n)
+        if len(whole):
             bounds = np.concatenate([[0], np.cumsum(counts)])
             parts = [ids[bounds[i] : bounds[i + 1]] for i in range(block.n)]
-            for i in np.unique(np.searchsorted(block.offsets, np.flatnonzero(special), side="right") - 1).tolist():
+            for i in whole:
                 parts[i] = np.array(worker.tokenizer.encode(column[row + i].as_py() or "", add_special_tokens=False).ids, dtype=np.uint32)
             counts = np.array([len(p) for p in parts], dtype=np.int64)
             ids = np.concatenate([*parts, np.zeros(0, dtype=np.uint32)]).astype(np.uint32)
@@ -152,8 +181,8 @@ def encoded(column: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray,
 # -- the file format -------------------------------------------------------------------------------------------------
 
 
-def write_shard(stream, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-    """Header: magic, documents, tokens, levels. Then doc_ids, starts (one more), and each level: size, chunks, bitmap, ranks."""
+def write_shard(stream, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, nameless: int = 0) -> None:
+    """Header: magic, documents, tokens, levels, how many of the last documents have no id. Then doc_ids, starts (one more), and each level: size, chunks, bitmap, ranks."""
     levels = []
     rest = ids.astype(np.uint32)
     while True:
@@ -167,7 +196,7 @@ def write_shard(stream, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray
         rest = more[goes_on]
         if not len(rest):
             break
-    stream.write(MAGIC + struct.pack("<QQQ", len(doc_ids), len(ids), len(levels)))
+    stream.write(MAGIC + struct.pack("<QQQQ", len(doc_ids), len(ids), len(levels), nameless))
     stream.write(doc_ids.astype("<i8").tobytes())
     stream.write(np.concatenate([[0], np.cumsum(counts)]).astype("<i8").tobytes())
     for chunks, words, ranks in levels:
@@ -182,8 +211,8 @@ class Shard:
     def __init__(self, raw: bytes | memoryview):
         if bytes(raw[:8]) != MAGIC:
             raise ValueError("not a token shard")
-        docs, self.n, levels = struct.unpack_from("<QQQ", raw, 8)
-        at = 32
+        docs, self.n, levels, self.nameless = struct.unpack_from("<QQQQ", raw, 8)
+        at = 40
         self.doc_ids = np.frombuffer(raw, "<i8", docs, at)
         self.starts = np.frombuffer(raw, "<i8", docs + 1, at + 8 * docs)
         at += 8 * (2 * docs + 1)
@@ -227,6 +256,21 @@ class Shard:
     def document(self, i: int) -> np.ndarray:
         return self.tokens(np.arange(self.starts[i], self.starts[i + 1]))
 
+    def checks(self) -> list[int]:
+        """The crc32 of each document's ids, some documents decoded at once."""
+        out: list[int] = []
+        while len(out) < len(self.doc_ids):
+            first = len(out)
+            past = max(first + 1, int(np.searchsorted(self.starts, self.starts[first] + READ_TOKENS, side="right")) - 1)
+            raw = memoryview(self.tokens(np.arange(self.starts[first], self.starts[past])).astype("<u4").tobytes())
+            edges = (4 * (self.starts[first : past + 1] - self.starts[first])).tolist()
+            out += [zlib.crc32(raw[a:b]) for a, b in zip(edges, edges[1:])]
+        return out
+
+    def names(self) -> pa.Array:
+        """doc_ids, null for the last ones without an id."""
+        return pa.array(self.doc_ids, mask=np.arange(len(self.doc_ids)) >= len(self.doc_ids) - self.nameless)
+
 
 # -- jobs ------------------------------------------------------------------------------------------------------------
 
@@ -238,33 +282,36 @@ def write_tokens(docs: DataFrame, folder: str, path: str) -> DataFrame:
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        ids, counts, doc_ids, size, shard = [], [], [], 0, 0
+        ids, counts, doc_ids, size, nameless, shard = [], [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
-            nonlocal ids, counts, doc_ids, size, shard
+            nonlocal ids, counts, doc_ids, size, nameless, shard
             # a name of its own for each attempt; the manifest names those of attempts that ended well
             target = f"{folder}/part-{part:06d}-{shard:05d}-{uuid.uuid4().hex}.dac"
             every = np.concatenate(counts)
             with open_output(target) as stream:
-                write_shard(stream, np.concatenate(doc_ids), every, np.concatenate(ids))
+                write_shard(stream, np.concatenate(doc_ids), every, np.concatenate(ids), nameless)
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "path": [target], "n_docs": [len(every)], "n_tokens": [size]})
-            ids, counts, doc_ids, size, shard = [], [], [], 0, shard + 1
+            ids, counts, doc_ids, size, nameless, shard = [], [], [], 0, 0, shard + 1
             return row
 
         for batch in batches:
-            names = batch.column(0).to_numpy(zero_copy_only=False)
+            unnamed = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            names = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             for row, stop, some, lengths in encoded(batch.column(1), path):
                 ids.append(some)
                 counts.append(lengths)
                 doc_ids.append(names[row:stop])
                 size += len(some)
+                nameless += int(unnamed[row:stop].sum())
                 if size >= SHARD_TOKENS:
                     yield close()
         if size:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    by = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]  # the hash splits the rows of one doc_id, or of none
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ordered = ordered.repartitionByRange(*by).sortWithinPartitions(*by)
     return keep_table(map_batches(ordered, written, _MANIFEST))
 
 
@@ -279,8 +326,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with open_input(path) as stream:
                     shard = Shard(stream.read())
-                checks = [zlib.crc32(shard.document(i).astype("<u4").tobytes()) for i in range(len(shard.doc_ids))]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids), pa.array(start + shard.starts[:-1]), pa.array(np.diff(shard.starts)), pa.array(checks, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([shard.names(), pa.array(start + shard.starts[:-1]), pa.array(np.diff(shard.starts)), pa.array(shard.checks(), pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = placed.select("path", "before").repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism), "path")
     return map_batches(spread, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
