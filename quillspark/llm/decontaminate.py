@@ -11,7 +11,8 @@ The automaton is bounded: items are dealt into blocks of at most
 ``BLOCK_OF_ITEMS`` bytes of text, one broadcast automaton and one pass each.
 
 Defined results: null and empty texts have no words and no hits; items without
-words match nothing; items without an item_id are left out; each row of documents
+words match nothing; the windows of items without an item_id hit, but such items
+are neither counted nor listed; each row of documents
 has a result of its own, whatever its doc_id and the number of blocks; other columns
 are ignored.
 """
@@ -31,22 +32,23 @@ from .common import keep_table, map_batches, table
 from .textblock import ALNUM, Block, blocks, windows
 
 WINDOW = 10
-BLOCK_OF_ITEMS = 8 << 20
+#: Bytes of item text in one automaton. Measured at 2 MB: 460 MB while the driver builds it, some 30 MB as arrays.
+BLOCK_OF_ITEMS = 2 << 20
 
 
 class SuffixAutomaton:
     """Over sequences of word numbers; each state also knows which items hold its window."""
 
-    def __init__(self, items: list[tuple[str, list[int]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[int]]], window: int):
         self.window = window
         self.length, self.link, self.edges = [0], [-1], [{}]
         for _, words in items:
             last = 0
             for word in words:
                 last = self._extend(last, word)
-        self.holders: list[set[str]] = [set() for _ in self.length]
+        self.holders: list[set[str | None]] = [set() for _ in self.length]
         #: By state: whole items of fewer words than a window, as (words, item).
-        self.short: list[list[tuple[int, str]]] = [[] for _ in self.length]
+        self.short: list[list[tuple[int, str | None]]] = [[] for _ in self.length]
         for name, words in items:
             state = 0
             for word in words:
@@ -93,36 +95,67 @@ class SuffixAutomaton:
             self.link[new] = target if self.length[target] == self.length[state] + 1 else self._split(state, word, target)
         return new
 
+    def flat(self) -> FlatAutomaton:
+        return FlatAutomaton(self)
+
+
+class FlatAutomaton:
+    """A built automaton as numpy arrays, which is what workers get: edges by state and word, holders and short items by state."""
+
+    def __init__(self, built: SuffixAutomaton):
+        self.window = built.window
+        self.length, self.link, self.next_short = (np.array(x, dtype=np.int32) for x in (built.length, built.link, built.next_short))
+        many = np.array([len(e) for e in built.edges])
+        self.edge_at = np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
+        words = np.fromiter((w for e in built.edges for w in e), dtype=np.int32, count=int(many.sum()))
+        targets = np.fromiter((t for e in built.edges for t in e.values()), dtype=np.int32, count=int(many.sum()))
+        order = np.lexsort((words, np.repeat(np.arange(len(many)), many)))
+        self.edge_word, self.edge_target = words[order], targets[order]
+        self.names = sorted({name for held in built.holders for name in held if name is not None} | {name for ends in built.short for _, name in ends if name is not None})
+        number = {name: i for i, name in enumerate(self.names)} | {None: -1}
+        self.holder_at = np.concatenate([[0], np.cumsum([len(h) for h in built.holders])]).astype(np.int64)
+        self.holder = np.array([number[name] for held in built.holders for name in held], dtype=np.int32)
+        self.short_at = np.concatenate([[0], np.cumsum([len(x) for x in built.short])]).astype(np.int64)
+        self.short_size = np.array([size for ends in built.short for size, _ in ends], dtype=np.int32)
+        self.short_name = np.array([number[name] for ends in built.short for _, name in ends], dtype=np.int32)
+
+    def _step(self, state: int, word: int) -> int:
+        low, high = self.edge_at[state], self.edge_at[state + 1]
+        at = low + np.searchsorted(self.edge_word[low:high], word)
+        return int(self.edge_target[at]) if at < high and self.edge_word[at] == word else 0
+
     def stream(self, words: list[int]) -> tuple[list[tuple[int, int]], set[str]]:
         """(hit spans of word positions, items of which a window occurs)."""
         state = matched = 0
         spans, found = [], set()
         for at, word in enumerate(words):
-            while state and word not in self.edges[state]:
-                state = self.link[state]
-                matched = self.length[state]
-            if word not in self.edges[state]:
+            to = self._step(state, word)
+            while not to and state:
+                state = int(self.link[state])
+                matched = int(self.length[state])
+                to = self._step(state, word)
+            if not to:
                 continue
-            state = self.edges[state][word]
+            state = to
             matched += 1
             if matched >= self.window:
                 spans.append((at + 1 - matched, at + 1))
                 up = state
                 while self.length[self.link[up]] >= self.window:
-                    up = self.link[up]
-                found |= self.holders[up]
-            up = self.next_short[state]
+                    up = int(self.link[up])
+                found.update(self.holder[self.holder_at[up] : self.holder_at[up + 1]].tolist())
+            up = int(self.next_short[state])
             while up:
-                for size, name in self.short[up]:
-                    if size <= matched:
-                        spans.append((at + 1 - size, at + 1))
-                        found.add(name)
-                up = self.next_short[self.link[up]]
-        return spans, found
+                for k in range(self.short_at[up], self.short_at[up + 1]):
+                    if self.short_size[k] <= matched:
+                        spans.append((at + 1 - int(self.short_size[k]), at + 1))
+                        found.add(int(self.short_name[k]))
+                up = int(self.next_short[self.link[up]])
+        return spans, {self.names[i] for i in found if i >= 0}
 
 
 class Detector:
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.window = window
         named, hashes = [], []
         column = pa.array([text for _, text in items], pa.string())
@@ -137,7 +170,7 @@ class Detector:
         self.vocabulary = np.unique(together)
         self.pairs = np.unique(windows(together, whose, 2)[0])
         self.short = {k: np.unique(np.concatenate([windows(x, np.zeros(k, dtype=int), k)[0] for x in hashes if len(x) == k])) for k in sorted({len(x) for x in hashes}) if 0 < k < window}
-        self.automaton = SuffixAutomaton([(n, np.searchsorted(self.vocabulary, h).tolist()) for n, h in zip(named, hashes, strict=True)], window)
+        self.automaton = SuffixAutomaton([(n, np.searchsorted(self.vocabulary, h).tolist()) for n, h in zip(named, hashes, strict=True)], window).flat()
 
     def _stretches(self, hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Words that may belong to a hit."""
@@ -196,11 +229,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def detectors(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_OF_ITEMS) -> Iterator[Detector]:
     """One detector for each block of items; the size of the table decides their number."""
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("b")).first()["b"] or 0
     parts = max(1, -(-int(total) // (block_bytes // 2 if total > block_bytes else block_bytes)))
     for part in range(parts):
-        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else items
+        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
         yield Detector([(r["item_id"], r["text"]) for r in mine.collect()], window)
 
 
@@ -235,7 +268,7 @@ def _found_over_blocks(rows: DataFrame, each: Iterator[Detector]) -> DataFrame:
     """What ``_find`` gives, over all blocks of items; rows with a unique doc_id."""
     every = _find(rows, next(each))
     for detector in each:
-        every = every.unionByName(_find(rows, detector).where("size(items) > 0"))
+        every = every.unionByName(_find(rows, detector).where("size(spans) > 0"))
     joined = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     union = """aggregate(array_sort(spans), cast(array() as array<struct<first:bigint,past:bigint>>),
         (done, s) -> case when size(done) > 0 and element_at(done, -1).past >= s.first

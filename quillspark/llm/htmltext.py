@@ -5,8 +5,9 @@ to all elements it stands in, discounted by the share of its text that is
 links.  The lowest article or main with more than half of the page's points is
 kept whole; without one, the lowest container with more than half of them.  With
 it go those siblings, of it and of the wrappers around it, that read like more of
-the article.  Elements that are never article text, by their kind or by what
-their class, id or role says, are left out first.
+the article.  Elements that are never article text, by their kind or by what all
+words of a class or id or their role say, are left out first, unless next to
+nothing is left then.
 
 Defined results: null or empty html, and pages without any block of text, give
 the empty string; markup that ends early is read to its end; other columns are
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_batches, table
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+("[^"]*+"?|'[^']*+'?|[^\s>]++))?""")
@@ -35,6 +36,8 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What a start tag closes, up to the given ancestors.
 _CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _ASIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent notice notices notification alert newsletter subscribe signup share sharing social related recommended recommendations comment comments disqus reply replies respond popup modal overlay widget widgets toolbar pagination pager skip hidden login search tags meta byline".split())
+#: Words that add nothing to what another word of a name says.
+_NEUTRAL_WORDS = frozenset("area bar block body bottom box buttons col column container content div entry form full global group holder icons inline inner item items js left line link links list main middle mobile module outer page panel part post posts region right row section shell site slot small sticky strip text title top unit user view wrap wrapper".split())
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _SPLIT_NAME = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 #: Elements that are parts of a text and never its container.
@@ -46,6 +49,8 @@ _SIBLING_SHARE = 0.2
 _LINKED = 0.25
 #: Characters from which on a run of text outside paragraphs reads like one.
 _LONG = 80
+#: Characters outside links under which what names leave is doubted, and how many times as much prose there must be then.
+_LEAST_LEFT, _FAR_MORE = 100, 10
 
 
 class Element:
@@ -139,8 +144,13 @@ def _left_out(element: Element, by_name: bool) -> bool:
         return True
     if said.get("role", "").lower() in _ASIDE_ROLES:
         return True
-    words = {w.lower() for w in _SPLIT_NAME.split(f"{said.get('class', '')} {said.get('id', '')}")}
-    return bool(words & _ASIDE_WORDS)
+    return any(_names_aside(name) for name in f"{said.get('class', '')} {said.get('id', '')}".split())
+
+
+def _names_aside(name: str) -> bool:
+    """Whether a class or id says so in all of its words: ``post-meta`` does, ``meta-analysis`` doesn't."""
+    words = [w.lower() for w in _SPLIT_NAME.split(name) if w and not w.isdigit()]
+    return any(w in _ASIDE_WORDS for w in words) and all(w in _ASIDE_WORDS or w in _NEUTRAL_WORDS for w in words)
 
 
 class _Block:
@@ -210,7 +220,12 @@ def _container(root: Element) -> Element:
 
 def main_blocks(page: str) -> list[str]:
     root = parse(page)
-    found = _blocks(root, True) or _blocks(root, False)
+    found = _blocks(root, True)
+    if sum(len(b.text) - b.links for b in found) < _LEAST_LEFT:
+        # names that leave next to nothing of a page of prose are not to be believed
+        every = _blocks(root, False)
+        if not found or sum(len(b.text) - b.links for b in every if len(b.text) >= _LONG) >= _FAR_MORE * max(_LEAST_LEFT, sum(len(b.text) for b in found)):
+            found = every
     if not found:
         return []
     size: dict[int, list[int]] = {}
@@ -281,7 +296,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points); one row per row of ``pages``."""
     wanted = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return wanted.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return map_batches(wanted, _extracted, "page_id long, url string, text string, n_chars long")
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

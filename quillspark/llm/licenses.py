@@ -4,9 +4,11 @@ Everything is DataFrame expressions.  Blocks are the lines of a text and, for
 notices wrapped over lines, all windows of its consecutive words that are as long
 as a template and a quarter more (``WINDOW_SLACK``).  A block meets a template if
 it holds at least ``CONTAINMENT`` of the template's distinct words.  Words are
-ordered by the number of texts of the corpus that hold them; a block must hold
-one of the rarest words of a template (prefix filter) and have enough words
-(length filter) before its containment is counted.
+ordered by the number of texts of the corpus that hold them.  A block must hold
+one of the rarest words of a template (prefix filter), and enough words of any
+template (length filter); and what stands before and after that word in the
+ordered words of the template and of the block must still allow the containment
+(positional filter) before it is counted.
 
 Defined results: null and empty texts, and texts without words, have no labels;
 rows that share a doc_id share labels and score; other columns are ignored.
@@ -109,13 +111,18 @@ def template_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = T
         ranked = sorted(set(words), key=order.__getitem__)
         need = math.ceil(containment * len(ranked) - 1e-9)
         wide = math.ceil(len(words) * (1 + WINDOW_SLACK))
-        rows += [(i, label, len(ranked), need, wide, word, ranked) for word in ranked[: len(ranked) - need + 1]]
-    prefixes = spark.createDataFrame(rows, "template int, label string, size int, need int, wide int, word string, template_words array<string>")
+        rows += [(i, label, len(ranked), need, wide, word, place, ranked) for place, word in enumerate(ranked[: len(ranked) - need + 1])]
+    prefixes = spark.createDataFrame(rows, "template int, label string, size int, need int, wide int, word string, place int, template_words array<string>")
+    globally = F.array(*[F.lit(w) for w in sorted(known, key=order.__getitem__)])
     rare = sorted({r[5] for r in rows})
     probing = texts.where(F.arrays_overlap("all_words", F.array(*[F.lit(w) for w in rare]))).select("doc_id", F.explode(_blocks(F.col("low"), F.col("all_words"), rare, max(r[4] for r in rows))).alias("block"))
-    probing = probing.select("doc_id", "block.before", "block.words", F.explode("block.probes").alias("word"))
+    # the block's words that stand in any template, in the global order
+    probing = probing.select("doc_id", "block.before", "block.words", F.array_intersect(globally, "block.words").alias("ordered"), F.explode("block.probes").alias("word"))
     # the templates' prefixes: some words for each template, fixed by this module
-    pairs = probing.join(F.broadcast(prefixes), "word").where(F.size("words") >= F.col("need"))
+    pairs = probing.join(F.broadcast(prefixes), "word").where(F.size("ordered") >= F.col("need"))
+    # common words before and after the probed one are at most as many as either side has there
+    at = (F.array_position("ordered", F.col("word")) - 1).cast("int")
+    pairs = pairs.where(F.least("place", at) + 1 + F.least(F.col("size") - F.col("place") - 1, F.size("ordered") - at - 1) >= F.col("need"))
     common = lambda words: F.size(F.array_intersect(words, "template_words"))
     near = pairs.where(common(F.col("words")) >= F.col("need"))
     # windows that hold the rare word: their first places in the block, from 1

@@ -8,8 +8,10 @@ memory-maps the files, looks up each block's distinct keys by binary search and
 sums log10 probabilities; nothing is collected but a list of files and a few
 sums for each.
 
-Words are 64-bit hashes for the exact unigram counts, their upper 32 bits in
-pairs.  The number of shards follows the size of the text, so a shard stays
+Words are 64-bit hashes for the exact unigram counts, their upper 48 bits in
+pairs: of a thousand million distinct words about two thousand share those with
+another.  A pair travels as a 64-bit key and 32 bits more, from which both words
+come back.  The number of shards follows the size of the text, so a shard stays
 small; a pair reaches its shard once for each stretch of text at most, so a
 frequent pair is no hot key.
 
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_table, local_path, open_input, open_output, shared_folder, table
+from .common import keep_table, local_path, map_batches, open_input, open_output, shared_folder, table
 from .textblock import SPACED, Block, blocks, mix
 
 FOLDS, HELD_OUT = 7, 2
@@ -68,18 +70,35 @@ def tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, before, whose
 
 
-def pair_keys(before: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    return mix((before & ~_LOW) | (hashes >> _U(32)))
+_CUT = _U(16)
 
 
-def summed(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Distinct keys in order, and the sums of their values."""
+def word_keys(hashes: np.ndarray) -> np.ndarray:
+    """The 48 bits of a word that pairs, contexts and continuations know."""
+    return hashes >> _CUT << _CUT
+
+
+def pair_keys(before: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit keys, the 32 bits that the words cannot be told from the key without)."""
+    low = hashes >> _CUT & _LOW
+    return mix((word_keys(before) | hashes >> _U(48)) ^ mix(low + _U(1))), low
+
+
+def unpaired(keys: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word keys of both words of each pair."""
+    high = unmix(keys) ^ mix(low + _U(1))
+    return word_keys(high), (high & _U(0xFFFF)) << _U(48) | low << _CUT
+
+
+def summed(keys: np.ndarray, values: list[np.ndarray], carried: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct keys in order, and the sums of their values; the last ``carried`` columns follow from the key and stay."""
     if not len(keys):
         return keys, values
     order = np.argsort(keys)
     keys = keys[order]
     heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[heads], [np.add.reduceat(v[order], heads) for v in values]
+    sums = len(values) - carried
+    return keys[heads], [np.add.reduceat(v[order], heads) if i < sums else v[order][heads] for i, v in enumerate(values)]
 
 
 def _shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -126,7 +145,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[tuple[int, int], tuple[
     out = {}
     for key in sorted(found):
         parts = found.pop(key)
-        out[key] = summed(np.concatenate([p[0] for p in parts]), [np.concatenate(c) for c in zip(*[p[1] for p in parts], strict=True)])
+        out[key] = summed(np.concatenate([p[0] for p in parts]), [np.concatenate(c) for c in zip(*[p[1] for p in parts], strict=True)], carried=key[0] == PAIR)
     return out
 
 
@@ -226,9 +245,9 @@ class KneserNey:
     def scores(self, block: Block) -> dict[str, np.ndarray]:
         hashes, before, whose = tokens(block)
         known = self.files[UNIGRAM].find(hashes)[0]
-        pairs = self.files[PAIR].find(pair_keys(before, hashes))[0]
-        total, ones, twos, more = self.files[CONTEXT].find(before >> _U(32) << _U(32))
-        continued = self.files[CONTINUED].find(hashes >> _U(32) << _U(32))[0]
+        pairs = self.files[PAIR].find(pair_keys(before, hashes)[0])[0]
+        total, ones, twos, more = self.files[CONTEXT].find(word_keys(before))
+        continued = self.files[CONTINUED].find(word_keys(hashes))[0]
         lower = np.full(len(hashes), self.spare / (self.vocabulary + 1))
         if self.pair_types:
             lower += (continued - self.word_discounts[np.minimum(continued, 3)]) / self.pair_types
@@ -258,13 +277,16 @@ def fit(docs: DataFrame) -> KneserNey:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[np.ndarray] = []
-        pairs: list[np.ndarray] = []
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
 
         def fold() -> Iterator[pa.RecordBatch]:
-            for kind, keys in ((UNIGRAM, words), (PAIR, pairs)):
-                distinct, counts = np.unique(np.concatenate(keys), return_counts=True)
-                yield _packets(kind, distinct, [counts], shards)
-                keys.clear()
+            distinct, counts = np.unique(np.concatenate(words), return_counts=True)
+            words.clear()
+            yield _packets(UNIGRAM, distinct, [counts], shards)
+            keys, low = (np.concatenate(part) for part in zip(*pairs, strict=True))
+            pairs.clear()
+            distinct, at, counts = np.unique(keys, return_index=True, return_counts=True)
+            yield _packets(PAIR, distinct, [counts, low[at]], shards)
 
         for batch in batches:
             for _, _, block in blocks(batch.column(0), lower=True):
@@ -284,14 +306,14 @@ def fit(docs: DataFrame) -> KneserNey:
         return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([10 + kind], pa.int32()), pa.array([row], pa.binary())], ["shard", "kind", "payload"])
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (kind, shard), (keys, (counts,)) in _gathered(batches).items():
+        for (kind, shard), (keys, (counts, *low)) in _gathered(batches).items():
             if kind == UNIGRAM:
                 yield stored(kind, shard, keys, [counts], [int(counts.sum()), len(keys)])
                 continue
             yield stored(kind, shard, keys, [counts], [int((counts == r).sum()) for r in (1, 2, 3, 4)])
-            both = unmix(keys)
-            yield _packets(CONTEXT, *summed(both & ~_LOW, [counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts > 2).astype(np.int64)]), shards)
-            yield _packets(CONTINUED, *summed(both << _U(32), [np.ones(len(keys), dtype=np.int64)]), shards)
+            before, word = unpaired(keys, low[0].astype(np.uint64))
+            yield _packets(CONTEXT, *summed(before, [counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts > 2).astype(np.int64)]), shards)
+            yield _packets(CONTINUED, *summed(word, [np.ones(len(keys), dtype=np.int64)]), shards)
 
     def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packets() -> Iterator[pa.RecordBatch]:
@@ -307,8 +329,8 @@ def fit(docs: DataFrame) -> KneserNey:
         yield from files
 
     train = docs.select(F.col("text").cast("string").alias("text"))
-    spread = train.mapInArrow(counted, _DEALT).repartition(shards, "shard").mapInArrow(paired, _DEALT)
-    manifest = keep_table(spread.repartition(shards, "shard").mapInArrow(closed, _DEALT))
+    spread = map_batches(map_batches(train, counted, _DEALT).repartition(shards, "shard"), paired, _DEALT)
+    manifest = keep_table(map_batches(spread.repartition(shards, "shard"), closed, _DEALT))
 
     many = {UNIGRAM: 2, PAIR: 4, CONTEXT: 0, CONTINUED: 6}
     paths: dict[int, dict[int, str]] = {k: {} for k in many}
@@ -335,7 +357,7 @@ def lm_scores(docs: DataFrame, model: KneserNey) -> DataFrame:
                 arrays = [got["n_tokens"].astype(np.int64), got["n_known"], train, got["base_score"], got["score"], perplexity]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), *map(pa.array, arrays)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    return _wanted(docs).mapInArrow(scored, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return map_batches(_wanted(docs), scored, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ one document; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -124,21 +125,20 @@ def _lists(rows: np.ndarray) -> pa.Array:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_shingles", "print_a", "print_b", "bands", "sketch", "parity"]
+    names = ["doc_id", "n_shingles", "digest", "bands", "sketch", "parity"]
     for batch in batches:
         for row, stop, block in blocks(batch.column(1), lower=True, most=1 << 19):
             keys, whose = shingle_sets(block, k)
             sizes = np.bincount(whose, minlength=block.n).astype(np.int64)
             edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-            prints = []
-            for value in (keys, mix(keys + np.uint64(0x51ED270B))):
-                sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(value, dtype=np.uint64)])
-                prints.append(pa.array((sums[edges[1:]] - sums[edges[:-1]]).view(np.int64)))
+            raw, at = memoryview(np.ascontiguousarray(keys)).cast("B"), (8 * edges).tolist()
+            # of the whole sorted set, so that equal digests are equal sets
+            digests = pa.array([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(at, at[1:])], pa.binary())
             have, bands, sketches = signatures(keys, whose, block.n)
             every_band = np.zeros((block.n, BANDS), dtype=np.int64)
             every_sketch = np.zeros((block.n, SKETCH_BITS // 64), dtype=np.int64)
             every_band[have], every_sketch[have] = bands, sketches
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), pa.array(sizes), *prints, _lists(every_band), _lists(every_sketch), _lists(parities(keys, edges))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), pa.array(sizes), digests, _lists(every_band), _lists(every_sketch), _lists(parities(keys, edges))], names)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -155,8 +155,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def document_signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, two sums that identify the set, band keys, the odd sketches of the samples and of the set."""
-    return map_batches(_texts(docs), partial(_signed, k=shingle), "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>, sketch array<long>, parity array<long>")
+    """doc_id, n_shingles, a 128-bit digest of the whole set, band keys, the odd sketches of the samples and of the set."""
+    return map_batches(_texts(docs), partial(_signed, k=shingle), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def odd_bits(a: Column, b: Column) -> Column:
@@ -205,7 +205,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     return keep_table(common.where(F.lit(100) * F.col("common") >= F.lit(SIMILARITY_PERCENT) * F.col("union")).select("a", "b").distinct())
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every id of ``edges`` (a, b); root is the smallest id reachable.
 
     Large-star and small-star contractions alternate, each written to the shared folder, until nothing changes.
@@ -213,7 +213,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     spark = edges.sparkSession
     now = keep_table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
-    for _ in range(most_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -244,7 +244,7 @@ def _joined_up(roots: DataFrame, edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with an equal set); one row per row of ``docs``."""
     signed = keep_table(document_signatures(docs, shingle))
-    prints = ["print_a", "print_b", "n_shingles"]
+    prints = ["digest", "n_shingles"]
     classes = signed.where("n_shingles > 0").groupBy(*prints).agg(F.min("doc_id").alias("class_id"))
     members = keep_table(signed.select("doc_id", *prints).join(classes, prints, "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")))
     leaders = members.where("n_shingles > 0 and doc_id = class_id").select(F.col("doc_id").alias("id")).distinct()

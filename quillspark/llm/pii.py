@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_batches, table
 from .textblock import SPACED, Block, blocks
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -409,28 +409,34 @@ def block_tags(block: Block, model: Tagger) -> dict[int, list[tuple[str, int, in
     return out
 
 
-def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end in code points, end exclusive); one row per row of ``docs``."""
-    model = docs.sparkSession.sparkContext.broadcast(tagger())  # weights of some thousand features: a fixed size
+def personal_data(docs: DataFrame, labelled: list[list[tuple[str, str]]] | None = None) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end in code points, end exclusive), n_secret, has_personal_data; one row per row of ``docs``.
+
+    ``labelled`` is the table to train on, lines of (word, label); by default ``labelled_table``.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(tagger() if labelled is None else Tagger(labelled))  # weights of some thousand features: a fixed size
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, stop, block in blocks(batch.column(1), lower=True):
                 tags = block_tags(block, model.value)
-                counts, base_text, all_text = [], [], []
+                counts, base_text, all_text, counted = [], [], [], []
                 for i in range(block.n):
                     text = batch.column(1)[row + i].as_py() or ""
                     base = base_spans(text)
                     more = tagged_spans(text, tags.get(i, []), base)
                     counts.append([len(base[k]) for k in KINDS[:4]])
+                    counted.append(len(base.get("secret", [])) + len(more.get("secret", [])))
                     base_text.append(joined(base))
                     all_text.append(joined({k: base.get(k, []) + more.get(k, []) for k in KINDS}))
                 numbers = np.array(counts, dtype=np.int64).reshape(-1, 4)
                 digests = [hashlib.sha256(b.encode()).hexdigest() for b in base_text]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), *[pa.array(numbers[:, j]) for j in range(4)], pa.array(digests, pa.string()), pa.array(all_text, pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                secrets = np.array(counted, dtype=np.int64)
+                some = np.array([bool(t) for t in all_text], dtype=bool)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), *[pa.array(numbers[:, j]) for j in range(4)], pa.array(digests, pa.string()), pa.array(all_text, pa.string()), pa.array(secrets), pa.array(some)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_secret", "has_personal_data"])
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return wanted.mapInArrow(found, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_batches(wanted, found, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, has_personal_data boolean")
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,13 +26,14 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_table, open_input, open_output, shared_folder, table
+from .common import keep_table, map_batches, open_input, open_output, shared_folder, table
 
 REVISIT_BYTES = 100
 #: Index entries in a piece of a run, the unit that a merge reads.
@@ -41,6 +42,8 @@ PIECE = 512
 ARCHIVE_BYTES = 1 << 30
 #: Entries, about, in a range of the merge.
 RANGE_ENTRIES = 4_000
+#: Runs that a merge takes at once; more are merged into longer runs first.
+MERGED_RUNS = 64
 _START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 _ENTRY = pa.schema([("urlkey", pa.string()), ("timestamp", pa.string()), ("page_id", pa.int64()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
@@ -137,15 +140,39 @@ class LoserTree:
             self.winner = i
 
 
-_PIECES = "path string, run string, start long, size long, n long, first_key string, last_key string"
+_KEY = "struct<urlkey:string,timestamp:string,page_id:bigint>"
+_PIECES = f"path string, run string, start long, size long, n long, first {_KEY}, last {_KEY}"
+_PIECE_TYPES = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), *[pa.struct([("urlkey", pa.string()), ("timestamp", pa.string()), ("page_id", pa.int64())])] * 2]
+
+
+def write_run(run: str, name: str, entries: Iterator[tuple]) -> pa.RecordBatch:
+    """A sorted run in pieces; one row of _PIECES for each."""
+    pieces, start, part = [], 0, []
+
+    def named(entry: tuple) -> dict:
+        return {"urlkey": entry[0], "timestamp": entry[1], "page_id": entry[2]}
+
+    with open_output(run) as index:
+        while part := list(islice(entries, PIECE)):
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, _ENTRY) as out:
+                out.write_table(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), _ENTRY.types, strict=True)], schema=_ENTRY))
+            index.write(sink.getvalue())
+            pieces.append((name, run, start, sink.tell(), len(part), named(part[0]), named(part[-1])))
+            start += sink.tell()
+    columns = list(zip(*pieces, strict=True)) or [()] * len(_PIECE_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PIECE_TYPES, strict=True)], ["path", "run", "start", "size", "n", "first", "last"])
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Archives and sorted index runs in ``folder``; returns the kept list of the runs' pieces."""
     rows = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
-    firsts = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_page"))
-    typed = rows.join(firsts, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first_page"), F.col("first_page")).alias("refers_to"))
+    # narrow rows meet on the digest, whole pages only on their own id: equal or empty pages are no hot key for texts
+    large = rows.where(F.octet_length("html") >= REVISIT_BYTES).select("page_id", "digest")
+    firsts = large.groupBy("digest").agg(F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page")).where("first_page < last_page").drop("last_page")
+    revisits = large.join(firsts, "digest").where("page_id <> first_page").groupBy("page_id", "digest").agg(F.min("first_page").alias("refers_to"))
+    typed = rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, stream, offset, entries = "", None, 0, []
@@ -153,18 +180,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         def close() -> pa.RecordBatch:
             stream.close()
             entries.sort()
-            run, start, pieces = f"{name}.cdx", 0, []
-            with open_output(run) as index:
-                for at in range(0, len(entries), PIECE):
-                    part = entries[at : at + PIECE]
-                    sink = io.BytesIO()
-                    with pa.ipc.new_stream(sink, _ENTRY) as out:
-                        out.write_table(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), _ENTRY.types, strict=True)], schema=_ENTRY))
-                    index.write(sink.getvalue())
-                    pieces.append((name, run, start, sink.tell(), len(part), part[0][0], part[-1][0]))
-                    start += sink.tell()
-            columns = list(zip(*pieces, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["path", "run", "start", "size", "n", "first_key", "last_key"])
+            return write_run(f"{name}.cdx", name, iter(entries))
 
         for batch in batches:
             for page_id, url, html, digest, refers_to in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -182,32 +198,68 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         if stream is not None:
             yield close()
 
-    return keep_table(typed.mapInArrow(written, _PIECES))
+    return keep_table(map_batches(typed, written, _PIECES))
 
 
-def _cursor(pieces: list[tuple[str, int, int]], low: str | None, high: str | None) -> Iterator[tuple]:
-    """A run's entries with low <= key < high, one piece in memory at a time."""
+def _cursor(pieces: list[tuple[str, int, int]], low: tuple | None = None, high: tuple | None = None) -> Iterator[tuple]:
+    """A run's entries with low <= (key, timestamp, page_id) < high, one piece in memory at a time."""
     for run, start, size in pieces:
         with open_input(run) as stream:
             stream.seek(start)
             part = pa.ipc.open_stream(stream.read(size)).read_all()
         for entry in zip(*[c.to_pylist() for c in part.columns], strict=True):
-            if (low is None or entry[0] >= low) and (high is None or entry[0] < high):
+            if (low is None or entry[:3] >= low) and (high is None or entry[:3] < high):
                 yield entry
 
 
+def fewer_runs(pieces: DataFrame, folder: str, most: int = MERGED_RUNS) -> DataFrame:
+    """The pieces of at most about ``most`` runs: groups of runs are merged into longer ones, in as many passes as it takes."""
+    runs = pieces.select("run").distinct().count()
+    while runs > most:
+        groups = -(-2 * runs // most)  # half of ``most`` in each, about
+
+        def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, mine = None, {}
+
+            def flow() -> pa.RecordBatch:
+                run = f"{folder}/{uuid.uuid4().hex}.cdx"
+                return write_run(run, run, iter(LoserTree([_cursor(p) for _, p in sorted(mine.items())])))
+
+            for batch in batches:
+                for group, run, start, size in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    if now is not None and group != now:
+                        yield flow()
+                        mine = {}
+                    now = group
+                    mine.setdefault(run, []).append((run, start, size))
+            if now is not None:
+                yield flow()
+
+        dealt = pieces.select(F.pmod(F.xxhash64("run"), F.lit(groups)).alias("group"), "run", "start", "size").repartition(groups, "group").sortWithinPartitions("group", "run", "start")
+        pieces = keep_table(map_batches(dealt, merged, _PIECES))
+        fewer = pieces.select("run").distinct().count()
+        if fewer >= runs:
+            break
+        runs = fewer
+    return pieces
+
+
 def merged_index(pieces: DataFrame, range_entries: int = RANGE_ENTRIES) -> DataFrame:
-    """part, place and the entries of all runs: in global order of (part, place)."""
-    total = pieces.agg(F.sum("n").alias("n")).first()["n"] or 0
-    ranges = max(1, min(10_000, -(-total // range_entries)))
+    """part, place and the entries of all runs: in global order of (part, place).
+
+    Ranges are cut by url key, timestamp and page_id, so that one url with very many captures is many ranges; each is
+    wide enough that a range reads few pieces in vain from each run.
+    """
+    whole = pieces.agg(F.sum("n").alias("n"), F.countDistinct("run").alias("runs")).first()
+    ranges = max(1, min(10_000, -(-(whole["n"] or 0) // max(range_entries, 4 * PIECE * whole["runs"]))))
     # cuts between ranges: they balance tasks and change no result, so a bounded sample of pieces serves
-    keys = sorted(r[0] for r in pieces.select("first_key").orderBy(F.xxhash64("run", "start")).limit(20_000).collect())
+    keys = sorted(tuple(r[0]) for r in pieces.select("first").orderBy(F.xxhash64("run", "start")).limit(20_000).collect())
     cuts = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            out = [(part, r["run"], r["start"], r["size"]) for r in rows for part in range(bisect.bisect_right(cuts, r["first_key"]), bisect.bisect_right(cuts, r["last_key"]) + 1)]
+            out = [(part, r["run"], r["start"], r["size"]) for r in rows for part in range(bisect.bisect_right(cuts, tuple(r["first"].values())), bisect.bisect_right(cuts, tuple(r["last"].values())) + 1)]
             yield pa.RecordBatch.from_pydict({"part": pa.array([o[0] for o in out], pa.int64()), "run": pa.array([o[1] for o in out], pa.string()), "start": pa.array([o[2] for o in out], pa.int64()), "size": pa.array([o[3] for o in out], pa.int64())})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,9 +286,9 @@ def merged_index(pieces: DataFrame, range_entries: int = RANGE_ENTRIES) -> DataF
         if now is not None:
             yield from flow()
 
-    spread = pieces.select("run", "start", "size", "first_key", "last_key").mapInArrow(dealt, "part long, run string, start long, size long")
+    spread = map_batches(pieces.select("run", "start", "size", "first", "last"), dealt, "part long, run string, start long, size long")
     sorted_pieces = spread.repartition(max(1, len(cuts) + 1), "part").sortWithinPartitions("part", "run", "start")
-    return sorted_pieces.mapInArrow(merge, "part long, place long, urlkey string, timestamp string, page_id long, path string, offset long, length long")
+    return map_batches(sorted_pieces, merge, "part long, place long, urlkey string, timestamp string, page_id long, path string, offset long, length long")
 
 
 def read_archives(index: DataFrame) -> DataFrame:
@@ -260,12 +312,13 @@ def read_archives(index: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate(types)], ["part", "place", "urlkey", "timestamp", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return index.mapInArrow(read, schema)
+    return map_batches(index, read, schema)
 
 
 def capture_history(pages: DataFrame) -> DataFrame:
     """Writes archives of all of ``pages`` and reads them back through the merged index."""
-    return read_archives(merged_index(write_archives(pages, shared_folder(pages.sparkSession))))
+    folder = shared_folder(pages.sparkSession)
+    return read_archives(merged_index(fewer_runs(write_archives(pages, folder), folder)))
 
 
 def op3_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
