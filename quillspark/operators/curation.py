@@ -61,10 +61,51 @@ def coverage(roster: DataFrame, held: DataFrame, key: str, kind: str) -> DataFra
     return sums.withColumn("percent", F.when(total == 0, 100.0).otherwise(F.bround(100.0 * F.col("present") / total, 1)))
 
 
-def fuzzy_matches(left: DataFrame, right: DataFrame, least: float = 0.9) -> DataFrame:
-    """id, name, match, ratio: best of the names within two characters of length, as an equi-join on the length."""
-    near = left.select("id", "name", F.length("name").alias("n")).withColumn("m", F.explode(F.sequence(F.col("n") - 2, F.col("n") + 2)))
-    pairs = near.join(right.select(F.col("name").alias("match"), F.length("name").alias("m")), "m")
-    ratio = 1 - F.levenshtein("name", "match") / F.greatest("n", "m")
-    good = pairs.withColumn("ratio", F.round(ratio, 6)).where(F.col("ratio") >= least)
-    return winners(good, ["id"], [F.desc("ratio"), F.col("match")]).select("id", "name", "match", "ratio")
+def _deleted(name: Column, most: Column) -> Column:
+    """The name and what is left of it after up to ``most`` (2 at most) deletions of a character."""
+    shorter = lambda x: F.when(F.length(x) > 1, F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, 1, i - 1), F.substring(x, i + 1, F.length(x))))).otherwise(F.array().cast("array<string>"))
+    once = F.array_distinct(shorter(name))
+    twice = F.array_distinct(F.flatten(F.transform(once, shorter)))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.array(name), F.when(most >= 1, once).otherwise(none), F.when(most >= 2, twice).otherwise(none)))
+
+
+def _pieces(name: Column, most: Column) -> Column:
+    """The name cut into ``most`` + 1 runs: as many edits leave one of them whole."""
+    wide = F.ceil(F.length(name) / (most + 1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), most), lambda i: F.substring(name, (i * wide + 1).cast("int"), wide))
+
+
+def _probes(name: Column, most: Column) -> Column:
+    """All runs of the name that may be such a piece of a name within two characters of its length."""
+    widths = F.array_distinct(F.transform(F.sequence(F.length(name) - 2, F.length(name) + 2), lambda n: F.ceil(n / (F.floor((n + 2) / 10) + 1)).cast("int")))
+    return F.array_distinct(F.flatten(F.transform(widths, lambda k: F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, i, k)))))
+
+
+def fuzzy_matches(left: DataFrame, right: DataFrame, least: float = 0.9, by: list[str] | None = None) -> DataFrame:
+    """id, name, match, ratio: the name itself, or the best of those within two characters of length and the ratio; ``by`` columns must be equal.
+
+    Names that a ratio of 0.9 leaves two edits at most (under 28 characters) meet on what deletions leave of both,
+    which no common prefix makes a hot key; longer ones on a whole piece of one of them. Both lose no match.
+    """
+    if least < 0.9:
+        raise ValueError("candidates are complete from a ratio of 0.9 on")
+    by = by or []
+    names = right.select(*by, F.col("name").alias("match")).distinct()
+    exact = left.join(names, (F.col("name") == F.col("match")) & _same(left, names, by), "left_semi").select(*by, "id", "name", F.col("name").alias("match"), F.lit(1.0).alias("ratio"))
+    rest = left.select(*by, "id", "name").join(names, (F.col("name") == F.col("match")) & _same(left, names, by), "left_anti")
+    most = lambda c: F.floor((F.length(c) + 2) / 10).cast("int")
+    keys = lambda df, c, other: df.withColumn("key", F.explode(F.when(most(F.col(c)) <= 2, _deleted(F.col(c), most(F.col(c)))).otherwise(F.array().cast("array<string>")))).unionByName(df.where(F.length(c) >= 26).withColumn("key", F.explode(F.transform(other(F.col(c), most(F.col(c))), lambda x: F.concat(F.lit("|"), x)))))
+    probing = keys(rest, "name", _probes)
+    offered = keys(names, "match", lambda c, m: _pieces(c, m))
+    pairs = probing.join(offered, [*by, "key"]).select(*by, "id", "name", "match").distinct()
+    ratio = 1 - F.levenshtein("name", "match") / F.greatest(F.length("name"), F.length("match"))
+    good = pairs.where(F.abs(F.length("name") - F.length("match")) <= 2).withColumn("ratio", F.round(ratio, 6)).where(F.col("ratio") >= least)
+    return winners(exact.unionByName(good), ["id"], [F.desc("ratio"), F.col("match")]).select("id", "name", "match", "ratio")
+
+
+def _same(left: DataFrame, right: DataFrame, by: list[str]) -> Column:
+    out = F.lit(True)
+    for c in by:
+        out = out & (left[c] == right[c])
+    return out

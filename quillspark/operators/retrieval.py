@@ -19,7 +19,7 @@ def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def document_frequency(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    each = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    each = spread(docs.select("text")).select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     return each.groupBy("term").agg(F.count("*").alias("df"))
 
 
@@ -29,23 +29,58 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return sums.withColumn("avgdl", F.when(F.col("documents") == 0, 1.0).otherwise(F.col("total_tokens") / F.col("documents")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files are too few for them; large tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def query_vectors(spark, queries: dict[str, str]) -> DataFrame:
+    """query_id, idx, weight: raw term counts of each query."""
+    words = spark.createDataFrame(list(queries.items()), "query_id string, q string").select("query_id", F.explode(tokens(F.col("q"))).alias("term"))
+    return words.withColumn("idx", term_hash("term")).groupBy("query_id", "idx").agg(F.count("*").alias("weight"))
+
+
 def query_vector(spark, query: str) -> DataFrame:
     """idx, weight: raw term counts of the query."""
-    words = spark.createDataFrame([(query,)], "q string").select(F.explode(tokens(F.col("q"))).alias("term"))
-    return words.withColumn("idx", term_hash("term")).groupBy("idx").agg(F.count("*").alias("weight"))
+    return query_vectors(spark, {"q": query}).drop("query_id")
+
+
+def bm25_many(docs: DataFrame, queries: dict[str, str], key: str = "doc_id") -> DataFrame:
+    """query_id, key, score of every document that shares a slot with the query.
+
+    Two scans of the texts, of which only the queries' terms are shuffled by document: the first scan counts terms
+    (combined before its shuffle) together with the corpus sums, which stand at the empty term; the few terms in the
+    queries' slots then select the tokens of the second, or meet them in a join if they are more than SMALL_ROWS.
+    """
+    words = spread(docs.select(key, "text")).select(key, tokens(F.col("text")).alias("w"))
+    n = F.size("w")
+    seen = words.select(n.alias("n"), F.explode(F.concat(F.array_distinct("w"), F.array(F.lit("")))).alias("term"))
+    vocabulary = seen.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("n"))).alias("total"))
+    slots = term_hash("term").alias("idx")
+    found = vocabulary.select("*", slots).join(F.broadcast(query_vectors(docs.sparkSession, queries)), "idx", "left").where("query_id is not null or term = ''")  # a query's words
+    rows = found.limit(SMALL_ROWS + 1).collect()
+    stats = next((r for r in rows if r["term"] == ""), None)
+    if stats is None and len(rows) > SMALL_ROWS:
+        stats = found.where("term = ''").first()
+    many, avgdl = (stats["df"], stats["total"] / stats["df"]) if stats else (0, 1.0)
+    schema = "term string, query_id string, weight long, df long"
+    if len(rows) <= SMALL_ROWS:  # as good as always: the terms in a few of the slots
+        known = [(r["term"], r["query_id"], r["weight"], r["df"]) for r in rows if r["term"] != ""]
+        words = words.select(key, n.alias("length"), F.filter("w", lambda x: x.isin(sorted({t for t, *_ in known}))).alias("w"))
+        terms = F.broadcast(docs.sparkSession.createDataFrame(known, schema))
+    else:
+        words, terms = words.select(key, n.alias("length"), "w"), found.where("term <> ''").select("term", "query_id", "weight", "df")
+    terms = terms.withColumn("idf", F.log((F.lit(many) + 1) / (F.col("df") + 1)) + 1).withColumn("avgdl", F.lit(float(avgdl))).drop("df")
+    held = words.select(key, "length", F.explode("w").alias("term")).join(terms, "term")
+    counts = held.groupBy(key, "query_id", "term").agg(F.count("*").alias("tf"), *[F.first(c).alias(c) for c in ("length", "weight", "avgdl", "idf")])
+    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
+    return counts.groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("idf") * saturated).alias("score"))
 
 
 def bm25_scores(docs: DataFrame, query: str) -> DataFrame:
     """doc_id, score: only terms that share a slot with the query are weighed."""
-    spark = docs.sparkSession
-    wanted = query_vector(spark, query)
-    counts = term_counts(docs)
-    terms = document_frequency(docs).withColumn("idx", term_hash("term")).join(F.broadcast(wanted), "idx")  # a query's few terms
-    stats = corpus_stats(docs)
-    weighed = counts.join(terms, "term").crossJoin(F.broadcast(stats))  # one row
-    idf = F.log((F.col("documents") + 1) / (F.col("df") + 1)) + 1
-    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    return weighed.groupBy("doc_id").agg(F.sum(F.col("weight") * idf * saturated).alias("score"))
+    return bm25_many(docs, {"q": query}).drop("query_id")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -71,6 +106,12 @@ def top(df: DataFrame, k: int, key: str, score: str = "score") -> DataFrame:
     return df.orderBy(F.desc(score), key).limit(k)
 
 
+def page(hits: DataFrame, order: list, most: int, skip: int = 0) -> DataFrame:
+    """Rows ``skip`` to ``skip`` + ``most`` in order, with the exact ``total`` of all hits: counted apart, so that hits meet in no single task."""
+    total = hits.agg(F.count("*").alias("total"))
+    return hits.orderBy(*order).offset(skip).limit(most).crossJoin(F.broadcast(total))  # one row
+
+
 def ranked(df: DataFrame, key: str, k: int) -> DataFrame:
     """key, rank of the first k: the limit comes first, so that only k rows are numbered."""
     return top(df, k, key).select(key, F.row_number().over(Window.orderBy(F.desc("score"), key)).alias("rank"))
@@ -82,6 +123,15 @@ def rrf(left: DataFrame, right: DataFrame, key: str, k: int = RRF_K) -> DataFram
     return a.join(b, key, "full_outer").withColumn("score", F.round(part("rank_a") + part("rank_b"), 6))
 
 
+#: Rows up to which the small side of a pairing is broadcast.
+SMALL_ROWS = 10_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast, once its rows are counted; as it is beyond SMALL_ROWS, where Spark pairs partitions."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def centroids(vectors: DataFrame) -> DataFrame:
     """label, centroid: the mean vector of each label."""
     parts = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
@@ -90,8 +140,7 @@ def centroids(vectors: DataFrame) -> DataFrame:
 
 def routed(vectors: DataFrame, floor: float = 0.45) -> DataFrame:
     """vec_id, route (nearest centroid, null under the floor), similarity."""
-    cents = centroids(vectors)  # one row for each label
-    near = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(cents)).withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("centroid")), 6))
+    near = vectors.select("vec_id", "embedding").crossJoin(small(centroids(vectors))).withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("centroid")), 6))
     best = near.groupBy("vec_id").agg(F.max(F.struct("similarity", (-F.col("label")).alias("least"))).alias("b"))
     return best.select("vec_id", F.when(F.col("b.similarity") >= floor, -F.col("b.least")).alias("route"), F.col("b.similarity").alias("similarity"))
 

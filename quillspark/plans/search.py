@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet, term_hash, tokens
+from ..operators import index as I
 from ..operators import retrieval as R
 from ..sources.tables import table
 
@@ -32,7 +33,8 @@ def _docs(spark, d):
 
 
 def _bm25(spark, d):
-    return R.bm25_scores(_docs(spark, d), QUERY).withColumn("score", F.round("score", 6))
+    """Scores from the stored index, as the searches of a service read them."""
+    return I.search_index(I.stored_index(_docs(spark, d)), {"q": QUERY}).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def _first_vector(spark, d):
@@ -68,10 +70,18 @@ def fused_union(spark, d):
     return prose.unionByName(entity).withColumn("place", place)
 
 
+def passage_merge_max(spark, d):
+    """Topics and the whole question as one batch of queries; each passage keeps its best score."""
+    scores = I.search_index(I.stored_index(_docs(spark, d)), {"topic": " ".join(QUERY.split(" ")[:3]), "whole": QUERY}).withColumn("score", F.round("score", 6))
+    most = F.when(F.col("query_id") == "whole", 10).otherwise(5)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return scores.withColumn("place", place).where(F.col("place") <= most).groupBy("doc_id").agg(F.max("score").alias("score"))
+
+
 def filter_list_total(spark, d):
     """Filtered rows by id, at most 50, with the exact total; a filter column that is null never matches."""
     hits = table(spark, d, "part").where("p_size between 5 and 15 and p_type like 'S%'").select("p_partkey", "p_name")
-    return hits.withColumn("total", F.count("*").over(Window.partitionBy())).orderBy("p_partkey").limit(50)
+    return R.page(hits, ["p_partkey"], 50)
 
 
 def query_router(spark, d):
@@ -85,6 +95,8 @@ def query_router(spark, d):
 
 QUERIES = {
     "bm25_topk": bm25_topk,
+    "bm25_without_index": lambda s, d: R.top(R.bm25_scores(_docs(s, d), QUERY).withColumn("score", F.round("score", 6)), 10, "doc_id").select("doc_id", "score"),
+    "bm25_index_build": lambda s, d: I.stored_index(_docs(s, d)).groupBy("idx").agg(F.count("*").alias("documents"), F.round(F.sum("weight"), 4).alias("weight")),
     "bm25_query_vector": lambda s, d: R.query_vector(s, QUERY),
     "corpus_stats": lambda s, d: R.corpus_stats(_docs(s, d)).withColumn("avgdl", F.round("avgdl", 6)),
     "term_df": lambda s, d: R.document_frequency(_docs(s, d)),
@@ -101,12 +113,16 @@ QUERIES = {
     "cr_range_filter": lambda s, d: table(s, d, "part").where("p_size >= 3 and p_size <= 7").select("p_partkey", "p_size"),
     "snippet": lambda s, d: _docs(s, d).select("doc_id", snippet(F.col("text")).alias("snippet")),
     "query_router": query_router,
-    "passage_merge_max": lambda s, d: R.top(_bm25(s, d), 10, "doc_id").unionByName(R.top(_bm25(s, d), 20, "doc_id").withColumn("score", F.round(F.col("score") / 2, 6))).groupBy("doc_id").agg(F.max("score").alias("score")),
+    "passage_merge_max": passage_merge_max,
     "token_counts": lambda s, d: _docs(s, d).select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n_tokens")),
 }
 
 ORACLES = {
     "bm25_topk": f"with {_BM25} select doc_id, round(raw, 6) as score from bm order by score desc, doc_id limit 10",
+    "bm25_without_index": lambda s, d: R.top(R.bm25_scores(_docs(s, d), QUERY).withColumn("score", F.round("score", 6)), 10, "doc_id").select("doc_id", "score"),
+    "bm25_index_build": lambda s, d: I.stored_index(_docs(s, d)).groupBy("idx").agg(F.count("*").alias("documents"), F.round(F.sum("weight"), 4).alias("weight")),
+    "bm25_without_index": f"with {_BM25} select doc_id, round(raw, 6) as score from bm order by score desc, doc_id limit 10",
+    "bm25_index_build": f"with {_BM25}, p as (select th.idx, doc_id, sum((ln((n+1)/(df+1)) + 1) * (tf*2.5 / (tf + 1.5*(0.25 + 0.75*l/(t/n))))) as weight from tf join th using (term), st group by 1, 2) select idx, count(*) as documents, round(sum(weight), 4) as weight from p group by 1",
     "bm25_query_vector": f"with {_BM25} select idx, weight from q",
     "corpus_stats": f"with {_BM25} select n as documents, coalesce(t, 0)::bigint as total_tokens, round(case when n = 0 then 1.0 else t/n end, 6) as avgdl from st",
     "term_df": f"with {_BM25} select term, df from df",
@@ -135,8 +151,9 @@ ORACLES = {
     "snippet": "select doc_id, case when length(text) > 240 then substr(text, 1, 240) || '…' else text end as snippet from documents",
     "query_router": """with h as (select conv_id, turn, list_filter([case when regexp_matches(text, '(?i)(how|rule|can i)') then 'rules' end, case when regexp_matches(text, '(?i)(who|where|story)') then 'lore' end, case when regexp_matches(text, '(?i)(attack|damage|round)') then 'combat' end], lambda x: x is not null) as f from conversations where role = 'user')
       select conv_id, turn, case when len(f) = 1 then f[1] else 'all' end as route from h""",
-    "passage_merge_max": f"""with {_BM25}, s as (select doc_id, round(raw, 6) as score from bm),
-      u as ((select doc_id, score from s order by score desc, doc_id limit 10) union all (select doc_id, round(score/2, 6) from (select * from s order by score desc, doc_id limit 20)))
-      select doc_id, max(score) as score from u group by 1""",
+    "passage_merge_max": f"""with {_BM25}, qq as (select 'whole' as query_id, idx, weight from q union all select 'topic', {_HASH}, count(*) from (select unnest({_TOK.replace("text", repr(" ".join(QUERY.split(" ")[:3])))}) as term) group by 1, 2),
+      s as (select query_id, doc_id, round(sum(qq.weight * (ln((n+1)/(df+1)) + 1) * (tf*2.5 / (tf + 1.5*(0.25 + 0.75*l/(t/n))))), 6) as score from tf join th using (term) join qq on th.idx = qq.idx, st group by 1, 2),
+      r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as k from s)
+      select doc_id, max(score) as score from r where k <= case when query_id = 'whole' then 10 else 5 end group by 1""",
     "token_counts": f"select doc_id, len({_TOK})::bigint as n_tokens from documents",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import curation as C
+from ..operators import retrieval as R
 from ..sources.tables import table
 from ..streaming import limits
 
@@ -143,7 +144,7 @@ QUERIES = {
     "crafting": lambda s, d: _part(s, d).select("p_partkey", F.ceil(F.col("p_retailprice") / 250).cast("long").alias("days"), F.floor(F.col("p_retailprice") / 2).cast("long").alias("cost")),
     "dice_parse": dice_parse,
     "percentile_nearest_rank": percentile_nearest_rank,
-    "review_queue_paging": lambda s, d: table(s, d, "labels").where("quality = 0").withColumn("total", F.count("*").over(Window.partitionBy())).orderBy("doc_id").offset(10).limit(10),
+    "review_queue_paging": lambda s, d: R.page(table(s, d, "labels").where("quality = 0"), ["doc_id"], 10, skip=10),
     "scope_zero_counts": lambda s, d: s.createDataFrame([(f"src{i}",) for i in range(25)], "source string").join(_docs(s, d).groupBy("source").agg(F.count("*").alias("n")), "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("n")),
     "union_case_insensitive": lambda s, d: _part(s, d).select(F.lower("p_brand").alias("k")).unionByName(_part(s, d).select(F.upper("p_brand").alias("k"))).select(F.lower("k").alias("k")).distinct(),
     "json_field_extract": lambda s, d: _events(s, d).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")),
