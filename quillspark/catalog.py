@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import search, sheets, store
+from .plans import layout, search, sheets, store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return search.QUERIES | store.QUERIES | sheets.QUERIES
+    return search.QUERIES | store.QUERIES | sheets.QUERIES | layout.BOOK.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return search.ORACLES | store.ORACLES | sheets.ORACLES
+    return search.ORACLES | store.ORACLES | sheets.ORACLES | layout.BOOK.sql
