@@ -11,7 +11,8 @@ from .book import Book, literal, values
 
 BOOK = Book()
 WORDS = ["Spell Lists", "DRAGON lairs", "Class Features", "Using Equipment", "Traps", "Combat", "History of", "Personality", "Notes", "The Planes", "Backgrounds of", "Nine gods", "Treasure", "Races", "Chapter"]
-_HEAD = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, WORDS)), (F.col("p_partkey") % len(WORDS) + 1).cast("int")), "p_name")
+def _head():
+    return F.concat_ws(" ", F.element_at(F.array(*map(F.lit, WORDS)), (F.col("p_partkey") % len(WORDS) + 1).cast("int")), "p_name")
 _HEAD_SQL = f"({literal(WORDS)})[p_partkey % {len(WORDS)} + 1] || ' ' || p_name"
 
 
@@ -24,7 +25,7 @@ _TYPE = "case c " + " ".join(f"when '{a}' then '{b}'" for a, b in L.RECORD_TYPES
 
 @BOOK(f"select p_partkey, {_HEAD_SQL} as heading, {_case(_HEAD_SQL)} as category from part")
 def heading_category(s, d):
-    return table(s, d, "part").select("p_partkey", _HEAD.alias("heading")).withColumn("category", L.heading_category(F.col("heading")))
+    return table(s, d, "part").select("p_partkey", _head().alias("heading")).withColumn("category", L.heading_category(F.col("heading")))
 
 
 _CONFUSED = "case c " + " ".join(f"when '{a}' then {literal(list(b))}" for a, b in L.CONFUSED.items()) + " else []::varchar[] end"
@@ -32,15 +33,16 @@ _CONFUSED = "case c " + " ".join(f"when '{a}' then {literal(list(b))}" for a, b
 
 @BOOK(f"with h as (select p_partkey, {_case(_HEAD_SQL)} as c from part), l as (select p_partkey, list_concat([c], {_CONFUSED}, {literal(list(L.FREQUENT))}) as l from h) select p_partkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') as prior from l")
 def heading_prior(s, d):
-    return table(s, d, "part").select("p_partkey", F.array_join(L.category_prior(L.heading_category(_HEAD)), ",").alias("prior"))
+    return table(s, d, "part").select("p_partkey", F.array_join(L.category_prior(L.heading_category(_head())), ",").alias("prior"))
 
 
 @BOOK(f"with b as (select p_partkey, p_name as title, {_HEAD_SQL} as parent from part) select p_partkey, case when {_case('title')} = 'Rule' and parent <> '' then {_case('parent')} else {_case('title')} end as category from b")
 def bookmark_contents(s, d):
-    return table(s, d, "part").select("p_partkey", S.bookmark_category(F.col("p_name"), _HEAD).alias("category"))
+    return table(s, d, "part").select("p_partkey", S.bookmark_category(F.col("p_name"), _head()).alias("category"))
 
 
-_ORDER_HEAD = F.element_at(F.array(*map(F.lit, WORDS)), (F.col("o_orderkey") % len(WORDS) + 1).cast("int"))
+def _order_head():
+    return F.element_at(F.array(*map(F.lit, WORDS)), (F.col("o_orderkey") % len(WORDS) + 1).cast("int"))
 _ORDER_HEAD_SQL = f"({literal(WORDS)})[o_orderkey % {len(WORDS)} + 1]"
 
 
@@ -49,13 +51,13 @@ _ORDER_HEAD_SQL = f"({literal(WORDS)})[o_orderkey % {len(WORDS)} + 1]"
   f as (select o_custkey, place, title, coalesce(last_value(case when c <> 'Rule' then c end ignore nulls) over (partition by o_custkey order by place rows unbounded preceding), 'Rule') as category, page from t)
   select * from f union all select o_custkey, 0, 'Front Matter', 'Rule', 1 from f where place = 1 and page > 1""")
 def full_heading_contents(s, d):
-    rows = table(s, d, "orders").select("o_custkey", "o_orderkey", _ORDER_HEAD.alias("text"), (F.col("o_orderkey") % 400).cast("int").alias("page"))
+    rows = table(s, d, "orders").select("o_custkey", "o_orderkey", _order_head().alias("text"), (F.col("o_orderkey") % 400).cast("int").alias("page"))
     return S.full_contents(rows, "o_custkey", ["o_orderkey"], "text", "page")
 
 
 @BOOK(f"select o_orderkey, c as category from (select o_orderkey, {_case(_ORDER_HEAD_SQL)} as c from orders) where {_TYPE} is not null")
 def confident_contents(s, d):
-    return S.confident_contents(table(s, d, "orders").select("o_orderkey", _ORDER_HEAD.alias("text")), "text").select("o_orderkey", "category")
+    return S.confident_contents(table(s, d, "orders").select("o_orderkey", _order_head().alias("text")), "text").select("o_orderkey", "category")
 
 
 _SPACED = [("B ULLYWUG", "BULLYWUG"), ("A CT IONS", "ACTIONS"), ("A CTI ONS", "A CTI ONS"), ("XP COSTS", "XP COSTS"), ("ABE ER RATIONS", "ABEERRATIONS"), ("THE GI ANT", "THE GIANT"), ("Mixed C ase", "Mixed C ase"), ("CHAPTER O F", "CHAPTER OF"), ("D20 ROLLS", "D20 ROLLS"), ("ONE", "ONE"), ("", ""), (None, None)]
@@ -76,7 +78,8 @@ def html_table_rows(s, d):
     return tables.where("cells is not null").select("l_orderkey", "l_linenumber", F.col("cells")[1][0].alias("cell"), F.col("cells")[1][1].alias("amount"))
 
 
-_ITEM = F.when(F.col("event_type") == "view", "section_header").when(F.col("event_type") == "error", "table").otherwise("text")
+def _item():
+    return F.when(F.col("event_type") == "view", "section_header").when(F.col("event_type") == "error", "table").otherwise("text")
 
 
 @BOOK("""with i as (select *, case when event_type = 'view' then 'section_header' when event_type = 'error' then 'table' else 'text' end as kind, case when event_type = 'view' then 'Heading ' || event_id when event_id % 7 = 0 then 'Caption ' || event_id else '' end as txt from events),
@@ -87,7 +90,7 @@ def table_names(s, d):
     """Events as layout items; every fifth table is of one column and so none."""
     text = F.when(F.col("event_type") == "view", F.concat(F.lit("Heading "), F.col("event_id").cast("string"))).when(F.col("event_id") % 7 == 0, F.concat(F.lit("Caption "), F.col("event_id").cast("string"))).otherwise("")
     markup = F.when(F.col("event_id") % 5 == 0, "<tr><td>a</td></tr><tr><td>b</td></tr>").otherwise("<tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr>")
-    items = table(s, d, "events").select("user_id", "event_id", _ITEM.alias("kind"), text.alias("text"), markup.alias("html"))
+    items = table(s, d, "events").select("user_id", "event_id", _item().alias("kind"), text.alias("text"), markup.alias("html"))
     return S.named_tables(items, "user_id", "event_id").select("user_id", "event_id", "name")
 
 
@@ -124,7 +127,7 @@ def stat_blocks(s, d):
   select o_orderkey, coalesce(type, 'Monster') as type, case when type is null and monster then 'The Chapter' else title end as name from t where type is not null or monster or failed""")
 def section_candidates(s, d):
     """Orders as sections of their customer's book; every fourth book has no typed section, and ``Chapter`` is a known monster."""
-    rows = table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("book"), _ORDER_HEAD.alias("title"))
+    rows = table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("book"), _order_head().alias("title"))
     rows = rows.withColumn("category", F.when(F.col("book") % 4 == 0, "Rule").otherwise(L.heading_category(F.col("title"))))
     return S.candidates(rows, "category", "title", s.createDataFrame([("chapter", "The Chapter")], "key string, canonical string")).select("o_orderkey", "type", "name")
 
