@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import layout, records, retrieval, search, sheets, store
+from .plans import kept, layout, records, retrieval, search, sheets, store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return search.QUERIES | store.QUERIES | sheets.QUERIES | layout.BOOK.queries | records.BOOK.queries | retrieval.BOOK.queries
+    return search.QUERIES | store.QUERIES | sheets.QUERIES | kept.BOOK.queries | layout.BOOK.queries | records.BOOK.queries | retrieval.BOOK.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return search.ORACLES | store.ORACLES | sheets.ORACLES | layout.BOOK.sql | records.BOOK.sql | retrieval.BOOK.sql
+    return search.ORACLES | store.ORACLES | sheets.ORACLES | kept.BOOK.sql | layout.BOOK.sql | records.BOOK.sql | retrieval.BOOK.sql

@@ -109,3 +109,54 @@ def _same(left: DataFrame, right: DataFrame, by: list[str]) -> Column:
     for c in by:
         out = out & (left[c] == right[c])
     return out
+
+
+def roster_states(roster: DataFrame, held: DataFrame, source: str) -> DataFrame:
+    """name, state: of the source's roster (name, source) present or missing; held beyond it, extra_other if another source's roster has the name, else extra_unknown."""
+    known = roster.groupBy("name").agg(F.bool_or(F.col("source") == source).alias("own"))
+    both = known.join(held.select("name").distinct().withColumn("held", F.lit(True)), "name", "full_outer")
+    own, here = F.coalesce("own", F.lit(False)), F.col("held").isNotNull()
+    state = F.when(own & here, "present").when(own, "missing").when(here & F.col("own").isNotNull(), "extra_other").when(here, "extra_unknown")
+    return both.withColumn("state", state).where("state is not null")
+
+
+def cleaned_names(rows: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Records (with backfill) of one name: backfilled ones go where a grounded one is; grounded ones after the first are flagged."""
+    group = Window.partitionBy(*key)
+    turn = F.row_number().over(Window.partitionBy(*key, "backfill").orderBy(order))
+    counted = rows.withColumn("grounded", F.sum(F.when(~F.col("backfill"), 1).otherwise(0)).over(group)).withColumn("turn", turn)
+    kept = counted.where(~(F.col("backfill") & (F.col("grounded") >= 1)))
+    return kept.withColumn("flagged", (F.col("grounded") >= 2) & ~F.col("backfill") & (F.col("turn") > 1)).drop("grounded", "turn")
+
+
+def authority_label(matched: Column, official: Column, verified: Column) -> Column:
+    return F.when(matched, "canon").when(official, "canon-unindexed").when(F.coalesce(verified, F.lit(False)), "verified-thirdparty").otherwise("homebrew")
+
+
+def item_type(rarity: Column) -> Column:
+    return F.when(F.lower(rarity).isin("common", "uncommon", "rare", "very rare", "legendary", "artifact"), "MagicItem").otherwise("Item")
+
+
+def registered(forms: DataFrame, sources: DataFrame) -> DataFrame:
+    """Forms (file, name, version, type, source) with edition, book_type and result, the first thing wrong or ok."""
+    edition = F.try_element_at(F.filter(F.array(*map(F.lit, ("Edition2014", "Edition2024"))), lambda k: F.lower(k) == F.lower("version")), F.lit(1))
+    book_type = F.coalesce(F.try_element_at(F.filter(F.array(*map(F.lit, ("Core", "Supplement", "Adventure", "Setting", "Unknown"))), lambda k: F.lower(k) == F.lower("type")), F.lit(1)), F.lit("Unknown"))
+    known = forms.join(sources.select(F.lower("key").alias("_key")).distinct(), F.lower("source") == F.col("_key"), "left")
+    wrong = (
+        F.when(F.col("file").isNull(), "file is required.")
+        .when(~F.lower("file").endswith(".pdf"), "Only PDF files are accepted.")
+        .when(F.coalesce("name", F.lit("")) == "", "displayName is required.")
+        .when(edition.isNull(), "Invalid version")
+        .when(F.col("source").isNotNull() & F.col("_key").isNull(), "unknown source key")
+    )
+    return known.withColumn("result", F.coalesce(wrong, F.lit("ok"))).withColumn("edition", F.when(F.col("result") == "ok", edition)).withColumn("book_type", F.when(F.col("result") == "ok", book_type)).drop("_key")
+
+
+def number_labelled(text: Column, value: str, label: str, wrong: list[str], window: int = 30) -> Column:
+    """False where a whole occurrence of the number has a wrong label, and not its own, within ``window`` characters."""
+    low = F.lower(text)
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: (F.substring(low, i, len(value)) == value) & ~F.substring(low, i + len(value), 1).rlike("[0-9]") & ((i == 1) | ~F.substring(low, i - 1, 1).rlike("[0-9]")))
+    first = lambda i: F.greatest(i - window, F.lit(1))
+    near = lambda i: F.substring(low, first(i), i + len(value) + window - first(i))
+    bad = lambda s: s.rlike("|".join(w.lower() for w in wrong)) & ~s.contains(label.lower())
+    return ~F.exists(at, lambda i: bad(near(i)))
