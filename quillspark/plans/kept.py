@@ -363,7 +363,7 @@ def list_symptoms(s, d):
     return table(s, d, "documents").select("doc_id", (F.coalesce(marks, F.lit(0)) < 2).alias("no_list"))
 
 
-_LABELS = [("total 750 xp adjusted to 1125", True), ("total: 750 xp, to be adjusted by hand and much later on", False), ("adjusted 750 xp, total", True), ("7500 total", True), ("", True), ("budget " + "x" * 40 + " 750 " + "y" * 40 + " total", True), ("in total: 750", False)]
+_LABELS = [("total 750 xp adjusted to 1125", True), ("total: 750 xp " + "z" * 40 + " adjusted", False), ("adjusted 750 xp, total", True), ("7500 total", True), ("", True), ("budget " + "x" * 40 + " 750 " + "y" * 40 + " total", True), ("in total: 750", False)]
 
 
 @BOOK(f"select t as text, w as ok from {values(_LABELS, 't, w')}")

@@ -141,7 +141,6 @@ QUERIES = {
     "encounter_multiplier_class": encounter,
     "encounter_difficulty": encounter_difficulty,
     "caster_level": caster_levels,
-    "crafting": lambda s, d: _part(s, d).select("p_partkey", F.ceil(F.col("p_retailprice") / 250).cast("long").alias("days"), F.floor(F.col("p_retailprice") / 2).cast("long").alias("cost")),
     "dice_parse": dice_parse,
     "percentile_nearest_rank": percentile_nearest_rank,
     "review_queue_paging": lambda s, d: R.page(table(s, d, "labels").where("quality = 0"), ["doc_id"], 10, skip=10),
@@ -158,8 +157,7 @@ QUERIES = {
     "block_point_id": lambda s, d: _docs(s, d).select("doc_id", F.substring(F.sha2(F.concat("source", F.col("doc_id").cast("string")), 256), 1, 32).alias("point_id")),
     "host_allow_list": lambda s, d: table(s, d, "pages").withColumn("host", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)).where(F.col("host").endswith(".example.com") | (F.col("host") == "example.com")).select("page_id", "host"),
     "fixed_window_limiter": limits.fixed_windows,
-    "sliding_window_counts": limits.sliding_counts,
-    "turn_round_tick": limits.rounds,
+    "sliding_window_limiter": limits.sliding_counts,
     "queue_dedup_stream": limits.queue_stream,
 }
 
@@ -199,7 +197,6 @@ ORACLES = {
         select l_orderkey, h as hard_from, case when adjusted >= d then 'Deadly' when adjusted >= h then 'Hard' when adjusted >= m then 'Medium' when adjusted >= e then 'Easy' else 'Trivial' end as earlier,
             case when xp >= lh then 'Hard' when xp >= lm then 'Medium' when xp >= le then 'Easy' else 'Trivial' end as later from a""",
     "caster_level": "select p_partkey, (p_partkey % 11 + p_partkey % 7 // 2 + (p_partkey % 5 + 1) // 2 + p_partkey % 9 // 3)::int as caster_level, (2 + (greatest(1, p_size) - 1) // 4)::int as proficiency, floor((p_size - 10) / 2.0)::int as modifier from part",
-    "crafting": "select p_partkey, ceil(p_retailprice / 250)::bigint as days, floor(p_retailprice / 2)::bigint as cost from part",
     "dice_parse": "with d as (select l_orderkey, l_linenumber, l_linenumber as n, (l_quantity % 20 + 1)::int as sides, case when l_linenumber > 3 then l_partkey % 2000 else 0 end as extra from lineitem) select l_orderkey, l_linenumber, case when n between 1 and 100 and extra <= 1000 then n * (sides + 1) / 2 + extra end::double as average from d",
     "percentile_nearest_rank": "with r as (select event_type, value, row_number() over (partition by event_type order by value, event_id) as k, count(*) over (partition by event_type) as n from events) select event_type, max(value) filter (where k = ceil(50 * n / 100)) as p50, max(value) filter (where k = ceil(95 * n / 100)) as p95 from r group by 1",
     "review_queue_paging": "select doc_id, quality, toxic, count(*) over () as total from labels where quality = 0 order by doc_id limit 10 offset 10",
@@ -214,7 +211,7 @@ ORACLES = {
     "html_links": "select page_id, ((length(html) - length(replace(html, '<a href=', ''))) // 8)::bigint as links from pages",
     "block_point_id": "select doc_id, substr(sha256(source || doc_id), 1, 32) as point_id from documents",
     "host_allow_list": "with h as (select page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) as host from pages) select page_id, host from h where host like '%.example.com' or host = 'example.com'",
-    "sliding_window_counts": limits.SLIDING_SQL,
-    "turn_round_tick": limits.ROUNDS_SQL,
+    "sliding_window_limiter": limits.SLIDING_SQL,
+    "fixed_window_limiter": limits.FIXED_SQL,
     "queue_dedup_stream": limits.QUEUE_SQL,
 }
