@@ -103,12 +103,9 @@ def dice_parse(s, d):
 
 
 def percentile_nearest_rank(s, d):
-    """Nearest rank: the value at place ceil(p * n)."""
-    place = F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id"))
-    n = F.count("*").over(Window.partitionBy("event_type"))
-    rows = _events(s, d).select("event_type", "value", place.alias("place"), n.alias("n"))
-    at = lambda p: F.max(F.when(F.col("place") == F.ceil(F.lit(p) * F.col("n") / 100), F.col("value")))
-    return rows.groupBy("event_type").agg(at(50).alias("p50"), at(95).alias("p95"))
+    """Nearest rank: the value at place ceil(p * n), from counts of values that are combined before their shuffle."""
+    at = lambda p: F.expr(f"percentile_disc({p}) within group (order by value)")
+    return _events(s, d).groupBy("event_type").agg(at("0.50").alias("p50"), at("0.95").alias("p95"))
 
 
 def fuzzy_name_match(s, d):
@@ -169,6 +166,14 @@ def _sections(s, d):
 
 QUERIES["gaps_islands_sections"] = _sections
 
+
+def _stop(first: str) -> str:
+    """Where a window of a text of n characters ends, in SQL."""
+    end = f"least({first} + 800, n)"
+    back = f"strpos(reverse(substr(x, {end} - 199, 200)), ' ')"
+    return f"case when {end} < n and {back} > 0 and {end} - {back} > {first} + 100 then {end} - {back} else {end} end"
+
+
 _EASY, _MEDIUM, _HARD, _DEADLY = (str([row[i] for row in rules.BUDGETS_2014]) for i in range(4))
 _LATER_EASY, _LATER_MEDIUM, _LATER_HARD = (str([row[i] for row in rules.BUDGETS_2024]) for i in range(3))
 _XP = "[" + ",".join(str(rules.CR_XP[float(i)]) for i in range(1, 31)) + "]"
@@ -208,6 +213,10 @@ ORACLES = {
     "fuzzy_name_match": "with p as (select id, name, s_name as match, round(1 - levenshtein(name, s_name) / greatest(length(name), length(s_name)), 6) as ratio from (select c_custkey as id, 'Suplier' || substr(c_name, 9, 20) as name from customer), supplier where abs(length(name) - length(s_name)) <= 2) select id, name, match, ratio from (select *, row_number() over (partition by id order by ratio desc, match) as k from p where ratio >= 0.9) where k = 1",
     "full_outer_coverage": "with r as (select distinct l_linestatus as kind, l_partkey as key from lineitem where l_returnflag = 'R'), h as (select distinct l_linestatus as kind, l_partkey as key from lineitem where l_returnflag = 'A'), b as (select coalesce(r.kind, h.kind) as kind, r.key as rk, h.key as hk from r full join h on r.kind = h.kind and r.key = h.key) select kind, count(*) filter (where rk is not null and hk is not null) as present, count(*) filter (where hk is null) as missing, count(*) filter (where rk is null) as extra, case when count(rk) = 0 then 100.0 else round_even(100.0::double * count(*) filter (where rk is not null and hk is not null) / count(rk), 1) end as percent from b group by 1",
     "numeric_noise_filter": r"select doc_id from documents where length(text) >= 40 and floor(len(regexp_extract_all(text, '\p{L}')) * 100 / length(text)) >= 40",
+    "chunk_split": f"""with recursive t as (select doc_id, coalesce(text, '') as x, length(coalesce(text, '')) as n from documents), c as (
+        select doc_id, 0 as chunk_index, 0 as first, {_stop('0')} as stop from t
+        union all select doc_id, chunk_index + 1, greatest(first + 1, stop - 100), {_stop('greatest(first + 1, stop - 100)')} from c join t using (doc_id) where stop < n)
+      select doc_id, chunk_index::int as chunk_index, (stop - first)::int as chunk_chars from c""",
     "html_links": "select page_id, ((length(html) - length(replace(html, '<a href=', ''))) // 8)::bigint as links from pages",
     "block_point_id": "select doc_id, substr(sha256(source || doc_id), 1, 32) as point_id from documents",
     "host_allow_list": "with h as (select page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) as host from pages) select page_id, host from h where host like '%.example.com' or host = 'example.com'",

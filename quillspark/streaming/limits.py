@@ -109,9 +109,12 @@ def advanced(combats: DataFrame, combatants: DataFrame, order: list[Column]) ->
     steps = at + F.col("turns")
     new_rounds = F.when(F.col("turns") > 0, F.floor(steps / size)).otherwise(0).cast("int")
     now = F.when(F.col("turns") > 0, F.get(ids, F.pmod(steps, size).cast("int"))).otherwise(F.col("current"))
-    timers = F.filter(F.transform("held", lambda h: h["timer"] - new_rounds), lambda t: t > 0)
-    lasting = F.size(F.filter("held", lambda h: h["timer"].isNull()))
-    return rows.select("combat", (F.col("round") + new_rounds).alias("round"), now.alias("current"), timers.alias("timers"), lasting.alias("lasting"))
+    # the counts become columns of their own before a lambda meets them
+    moved = rows.select("combat", "held", (F.col("round") + new_rounds).alias("round"), new_rounds.alias("ticks"), now.alias("current"))
+    timed = F.filter(F.transform("held", lambda x: x["timer"]), lambda t: t.isNotNull())
+    left = F.when(F.col("ticks") == 0, timed).otherwise(F.filter(F.transform(timed, lambda t: t - F.col("ticks")), lambda t: t > 0))
+    lasting = F.size(F.filter("held", lambda x: x["timer"].isNull()))
+    return moved.select("combat", "round", "current", left.alias("timers"), lasting.alias("lasting"))
 
 
 def turns_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +131,7 @@ TURNS_SQL = """with l as (select l_orderkey as combat, l_partkey * 10 + l_linenu
   c as (select combat, list(id order by roll desc nulls last, m desc, pl desc, id) as ids, list(timer) as timers, count(*) as n, count(*) filter (where timer is null) as lasting, min(id) as first from l group by 1),
   p as (select *, combat % 11 as turns, case when combat % 3 = 0 then 0 when combat % 3 = 1 then -1 else list_position(ids, first) - 1 end as pos, case when combat % 3 = 0 then null when combat % 3 = 1 then -5 else first end as current from c),
   q as (select *, case when turns > 0 then floor((pos + turns) / n)::int else 0 end as bumps from p)
-  select combat, 1 + bumps as round, case when turns > 0 then ids[((pos + turns) % n) + 1] else current end as current, len(list_filter(timers, lambda t: t is not null and t - bumps > 0))::int as timers, lasting::int as lasting from q"""
+  select combat, 1 + bumps as round, case when turns > 0 then ids[((pos + turns) % n) + 1] else current end as current, len(list_filter(timers, lambda t: t is not null and (bumps = 0 or t - bumps > 0)))::int as timers, lasting::int as lasting from q"""
 
 
 def queue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

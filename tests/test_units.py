@@ -54,7 +54,10 @@ def test_coverage_of_an_empty_roster(spark):
 
 
 def test_window_begins_with_the_first_hit_after_the_last():
-    assert limits.admitted([0, 1, 2, 3, 59, 60, 61], limit=3, window=60) == [True, True, True, False, False, True, True]
+    chat = limits.FixedWindow(3, 60)
+    assert [chat.admits(t) for t in (0, 1, 2, 3, 59, 60, 61)] == [True, True, True, False, False, True, True]
+    calls = limits.SlidingWindow(2, 60, 6)
+    assert [calls.admits(t) for t in (0, 5, 9, 59, 60, 61, 119, 120)] == [True, True, False, False, True, True, False, True]
 
 
 def test_without_llm(monkeypatch):
