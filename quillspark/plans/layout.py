@@ -231,7 +231,7 @@ def semantic_chunks(s, d):
     return s.createDataFrame([(_CHUNKED,)], "t string").select(F.posexplode(cut(F.col("t"))).alias("chunk", "text"))
 
 
-@BOOK("select doc_id, (case when length(text) // 4 <= 100 then 1 end)::int as chunks, length(text) as chars from documents where length(text) // 4 <= 100 and trim(text) <> ''")
+@BOOK("select doc_id, (case when length(text) // 4 <= 100 then 1 end)::int as chunks, length(text)::int as chars from documents where length(text) // 4 <= 100 and trim(text) <> ''")
 def semantic_chunks_short(s, d):
     """Texts within the budget are one chunk, as they are."""
     cut = L.column_of(lambda t: L.semantic_chunks(t, 100), "array<string>")
