@@ -24,18 +24,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN_ROOTS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder's URI under spark.checkpoint.dir, which driver and executors share.
 
-    Only a session without that setting (tests on one machine) gets a temporary folder of its own.
+    Only a session of one process (tests) may be without that setting; it gets a folder of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = os.environ.get("QUILL_TEST_SHARED") or tempfile.mkdtemp(prefix="quill-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context = spark.sparkContext
+        if not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = _OWN_ROOTS.setdefault(context.applicationId, os.environ.get("QUILL_TEST_SHARED") or tempfile.mkdtemp(prefix="quill-shared-"))
     return f"{root.rstrip('/')}/quill-{uuid.uuid4().hex}"
 
 
+#: Folders that keep_table has written, by who is to delete them; the innermost last.
+_WRITTEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, at its end, the tables that were kept within it, but for those given to what it yields.
+
+    What is to outlive it must have been kept itself: a table that is still to be computed would miss what it reads.
+    """
+    written: list[str] = []
+    spared: set[str] = set()
+
+    def spare(df: DataFrame) -> DataFrame:
+        spared.update(f.rsplit("/", 1)[0] for f in df.inputFiles())
+        return df
+
+    _WRITTEN.append(written)
+    try:
+        yield spare
+    finally:
+        _WRITTEN.remove(written)
+        names = {s.rsplit("/", 1)[-1] for s in spared}
+        jvm = spark.sparkContext._jvm
+        for folder in written:
+            if folder.rsplit("/", 1)[-1] in names:
+                if _WRITTEN:
+                    _WRITTEN[-1].append(folder)
+                continue
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _give_back() -> None:
     """Hands memory that this process has freed back to the system."""
     forget_powers()
@@ -70,6 +108,8 @@ def keep_table(df: DataFrame, folder: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = folder or shared_folder(spark)
     df.write.mode("overwrite").parquet(path)
+    if _WRITTEN and folder is None:
+        _WRITTEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

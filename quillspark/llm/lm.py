@@ -22,9 +22,7 @@ repeated rows are counted and scored each; other columns are ignored.
 
 from __future__ import annotations
 
-import os
 import struct
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -41,6 +39,8 @@ FOLDS, HELD_OUT = 7, 2
 STRETCH_TOKENS = 1 << 22
 #: Bytes of text for each shard.
 SHARD_BYTES = 1 << 24
+#: Shards of a kind that a worker holds where it cannot map them.
+HELD_SHARDS = 2
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
 END = int(mix(np.array([0x0E4D], dtype=np.uint64))[0])
@@ -159,10 +159,9 @@ def write_arrays(stream, keys: np.ndarray, columns: list[np.ndarray]) -> None:
 
 
 class SortedArrays:
-    """A mapped file of ``write_arrays``."""
+    """The bytes of ``write_arrays``, mapped or read."""
 
-    def __init__(self, path: str):
-        raw = np.memmap(path, dtype=np.uint8, mode="r")
+    def __init__(self, raw: np.ndarray):
         n, many = (int(x) for x in raw[:16].view("<u8"))
         self.keys = raw[16 : 16 + 8 * n].view("<u8")
         self.columns, at = [], 16 + 8 * n
@@ -190,7 +189,7 @@ class SortedArrays:
 
 
 class ModelFiles:
-    """The model's files of one kind, by shard; opened when first needed."""
+    """The model's files of one kind, by shard; mapped when first needed. Of a store without a mount, a few shards are held in memory."""
 
     def __init__(self, paths: dict[int, str], shards: int, columns: int):
         self.paths, self.shards, self.columns = paths, shards, columns
@@ -202,14 +201,14 @@ class ModelFiles:
     def _shard(self, s: int) -> SortedArrays:
         if s not in self.open:
             path = local_path(self.paths[s])
-            if path is None:  # a store without a mount: this worker maps a copy of its own, gone once mapped
-                with open_input(self.paths[s]) as source, tempfile.NamedTemporaryFile(delete=False) as copy:
-                    while part := source.read(1 << 24):
-                        copy.write(part)
-                self.open[s] = SortedArrays(copy.name)
-                os.unlink(copy.name)
+            if path is not None:
+                raw = np.memmap(path, dtype=np.uint8, mode="r")
             else:
-                self.open[s] = SortedArrays(path)
+                while len(self.open) >= HELD_SHARDS:
+                    self.open.pop(next(iter(self.open)))
+                with open_input(self.paths[s]) as source:
+                    raw = np.frombuffer(source.read(), dtype=np.uint8)
+            self.open[s] = SortedArrays(raw)
         return self.open[s]
 
     def find(self, keys: np.ndarray) -> list[np.ndarray]:

@@ -142,7 +142,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A row of which the mix takes n whole texts and some words more gives n + 1 rows; ``n_chars`` of a cut row is its own.
     Rows equal in doc_id, source and text share evenly what the mix takes of them; rows of which it takes nothing go.
     """
-    sums = mixed_sizes(docs, by_text=True).groupBy("doc_id", "source", "text_hash", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
+    sums = mixed_sizes(docs, by_text=True).where("size > 0").groupBy("doc_id", "source", "text_hash", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
     each = F.floor(F.col("taken") / F.col("rows"))
     shares = sums.select(F.col("doc_id").alias("mixed_id"), F.col("source").alias("mixed_source"), "text_hash", F.floor(each / F.col("size")).cast("int").alias("whole"), (each % F.col("size")).alias("rest")).where("whole > 0 or rest > 0")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("mixed_id")) & F.col("source").cast("string").eqNullSafe(F.col("mixed_source")) & (F.xxhash64(F.col("text").cast("string")) == F.col("text_hash"))

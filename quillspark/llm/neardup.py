@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_table, map_batches, table
+from .common import keep_table, map_batches, scratch, table
 from .idfilter import among, bitmap, without
 from .textblock import SPACED, Block, blocks, mix, windows
 
@@ -49,6 +49,8 @@ PARITY_BITS = 2048
 MOST_ODD_BITS = 156
 #: Rounds of random bucket centres before components are compared across.
 CENTRE_ROUNDS = 1
+#: Members of a bucket that one task compares with all others of it.
+GRID_ROWS = 512
 _NUMBERS = np.random.default_rng(20240501)
 _FLIP = _NUMBERS.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 _TURN = (_NUMBERS.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -271,9 +273,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     wide = rest.join(shared.join(leading.select("id", "n_shingles", "sketch", "parity"), "id"), "id")
     columns = {"id": "", "root": "root_", "n_shingles": "n_", "sketch": "sketch_", "parity": "parity_", "shared": "shared_"}
     left, right = (wide.select("band", *(F.col(c).alias(f"{head}{x}") for c, head in columns.items())) for x in ("a", "b"))
+    # members of a large bucket meet in a grid of tasks: a row on the left in one, on the right in all
+    grid = rest.groupBy("band").agg(F.ceil(F.count("*") / GRID_ROWS).cast("int").alias("cells"))
+    left = left.join(grid, "band").withColumn("cell", F.pmod(F.xxhash64("a"), F.col("cells")).cast("int")).drop("cells")
+    right = right.join(grid, "band").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("cells")
     # a pair that shares several buckets is taken in one of them
     once = left["band"] == F.array_min(F.array_intersect("shared_a", "shared_b"))
-    across = left.join(right, (left["band"] == right["band"]) & (F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b")) & _alike("a", "b") & _may_link("a", "b") & once)
+    across = left.join(right, (left["band"] == right["band"]) & (left["cell"] == right["cell"]) & (F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b")) & _alike("a", "b") & _may_link("a", "b") & once)
     roots = _joined_up(roots, _confirmed(across.select("a", "b"), docs, shingle))
 
     found = members.join(roots, F.col("class_id") == F.col("id"), "left").withColumn("component_id", F.coalesce("root", "class_id"))
@@ -282,9 +288,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without those that have a smaller-numbered near duplicate."""
-    gone = keep_table(near_duplicates(docs).where("not kept").select("doc_id").distinct())
+    with scratch(docs.sparkSession) as spare:
+        gone = spare(keep_table(near_duplicates(docs).where("not kept").select("doc_id").distinct()))
     return without(docs, "doc_id", gone)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), QUERY_SHINGLE)
+    with scratch(spark) as spare:
+        return spare(keep_table(near_duplicates(table(spark, sf_dir, "documents"), QUERY_SHINGLE)))

@@ -537,12 +537,67 @@ def test_empty_tables(spark, odd_docs):
 
 def test_pipeline_stages(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = _texts(spark, small)
     good = corpus_pipeline.quality_rules(spark, docs, small)
     assert {r[0] for r in good.select("doc_id").collect()} == {r[0] for r in quality.op1_quality_forest(spark, small).where("kept").select("doc_id").collect()}
     kept = corpus_pipeline.near_duplicates(spark, docs, small)
     assert kept.columns == docs.columns
-    assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(i for i, (_, root) in _components(_texts(spark, small), 5).items() if i == root)
-    assert corpus_pipeline.run(spark, small).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(i for i, (_, root) in _components(texts, 5).items() if i == root)
+    # decontamination: no document with a window of any item
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", _lower(t))
+    items = [words(t) for t in _texts(spark, small, "benchmark", "item_id").values()]
+    grams = {tuple(w[a : a + min(10, len(w))]) for w in items if w for a in range(len(w) - min(10, len(w)) + 1)}
+    sizes = {len(g) for g in grams}
+    clean = {i for i, t in texts.items() if not any(tuple(w[a : a + k]) in grams for k in sizes for w in [words(t)] for a in range(len(w) - k + 1))}
+    assert {r[0] for r in corpus_pipeline.benchmark_decontamination(spark, docs, small).select("doc_id").collect()} == clean
+    # the mix: each source's words to within one word a row of what the plan takes
+    taken, got = Counter(), Counter()
+    for r in mixing.mixed_sizes(docs, by_text=True).collect():
+        taken[r["source"]] += r["taken"]
+    for r in corpus_pipeline.source_mix(spark, docs, small).collect():
+        got[r["source"]] += len(_words(r["text"]))
+    assert all(abs(got[k] - taken[k]) <= 3 for k in taken)
+    out = corpus_pipeline.run(spark, small)
+    assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    rows = sorted(out.collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in rows] == list(np.cumsum([0] + [r["n_tokens"] for r in rows])[:-1])
+    assert [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in rows)
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, small, odd_docs):
+    for docs in (odd_docs, odd_docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, small)
+            rows = out.collect()
+            assert name == "token_output" or out.columns == docs.columns
+            if name == "token_output":
+                assert len(rows) == docs.count()
+            if name == "near_duplicates":
+                assert sum(r["doc_id"] is None for r in rows) == docs.where("doc_id is null").count()
+
+
+def test_own_tables_go_and_results_stay(spark, small):
+    from quillspark.llm.common import keep_table, scratch
+
+    with scratch(spark) as spare:
+        gone = keep_table(spark.range(5))
+        stays = spare(keep_table(gone.where("id > 2")))
+    assert stays.count() == 2
+    with pytest.raises(Exception, match=r"(?i)not.exist|FileNotFound"):
+        spark.read.parquet(*gone.inputFiles()).count()
+
+
+_PROSE = ["First comes a paragraph, of some length, that reads like the start of an article about weather.", "Then another one follows, with more commas, more words, and so a few more points than the first.", "The last of them ends the article, as it should, with a sentence that is long enough to count."]
+_SHELLS = ["<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>", "<div><div id=story><div>{}</div></div></div>", "<table><tr><td>{}</td></tr></table>", "<main><article><section>{}</section></article></main>"]
+_NOISE = ["", "<nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>", "<div class='sidebar-left'><p>Short words, in a bar.</p></div>", "<header><h1>Site</h1></header>", "<div class=cookie-banner><p>We use cookies, as all do, and ask you to agree to all of them at once, please.</p></div>", "<form><p>Your mail, please</p></form><aside><p>Read on, elsewhere</p></aside>"]
+
+
+@pytest.mark.parametrize("shell", range(len(_SHELLS)))
+@pytest.mark.parametrize("noise", range(len(_NOISE)))
+def test_op7_page_shapes(shell, noise):
+    for inner in ("".join(f"<p>{p}</p>" for p in _PROSE), "<p>" + "<p>".join(_PROSE), "".join(f"<div><p>{p}</p></div>" for p in _PROSE)):
+        page = f"<html><head><title>x</title></head><body>{_NOISE[noise]}{_SHELLS[shell].format(inner)}{_NOISE[-noise]}<div class=comments><p>A reader says, at some length, that this was good.</p></div><footer>Ours, all of it</footer></body></html>"
+        assert htmltext.main_blocks(page) == _PROSE
 
 
 def test_registry_has_all_eleven():
