@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import decontaminate, mixing, neardup, quality, tokens
-from quillspark.llm.common import keep_table, table
+from quillspark.llm.common import keep_table, scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +41,14 @@ STAGES = [
     ("token_output", token_output),
 ]
 
-#: Shingle sets, path lengths and token ids are beyond SQL; the tests hold each stage against a brute-force version.
+#: Shingle sets, path lengths and token ids are beyond SQL; the tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = keep_table(stage(spark, docs, sf_dir))
-    return docs
+    with scratch(spark) as spare_last:
+        for _, stage in STAGES:
+            with scratch(spark) as spare:
+                docs = spare(keep_table(stage(spark, docs, sf_dir)))
+        return spare_last(docs)
