@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -144,30 +145,160 @@ def damage_types(fields: Column) -> Column:
     return F.coalesce(listed, F.when(single.isNotNull(), F.array(single)))
 
 
-def _class_text(name: str, fields: dict) -> str:
-    hd = fields.get("hd")
-    lines = [f"{name} — {'d' + str(hd['faces']) if isinstance(hd, dict) else '?'} hit die."]
-    saves = ", ".join(p.upper() for p in fields.get("proficiency") or [] if p)
-    gained = sorted(J.features(fields.get("classFeatures"), "classFeature"), key=lambda f: f[2])
-    lines += [f"Saving throws: {saves}."] if saves else []
-    lines += ["Features: " + ", ".join(f"{n} ({level})" for n, _, level in gained) + "."] if gained else []
-    return "\n".join(lines) + "\n"
+# What codes in records stand for, and the sentences that each type of record is told in.
+SIZES = {"T": "Tiny", "S": "Small", "M": "Medium", "L": "Large", "H": "Huge", "G": "Gargantuan"}
+ALIGNMENTS = {"L": "Lawful", "C": "Chaotic", "G": "Good", "E": "Evil", "N": "Neutral", "U": "Unaligned", "A": "Any"}
+RULE_TYPES = {"C": "core", "O": "optional", "V": "variant"}
+ABILITY_NAMES = {"str": "Strength", "dex": "Dexterity", "con": "Constitution", "int": "Intelligence", "wis": "Wisdom", "cha": "Charisma"}
+SENTENCES = {
+    "Race": ("{name} — {sizes} race.", " Speed: {speed} ft.", " Traits: {traitTags}.", " {summary}"),
+    "Subrace": ("{name}", " ({raceName} subrace).", " {summary}"),
+    "Background": ("{name}.", " Skills: {skills}.", " {summary}"),
+    "Feat": ("{name}.", " Prerequisite: {needs}.", " {summary}"),
+    "Item": ("{name}.", " Type: {type}.", " Value: {gold} gp.", " {summary}"),
+    "MagicItem": ("{name}. {rarity?} magic item", " ({type})", ".{attuned?}", " {summary}"),
+    "Weapon": ("{name}.", " {weaponCategory} weapon.", " Damage: {dmg1} {dmgType?}.", " {summary}"),
+    "Armor": ("{name}. {type?} armor.", " AC: {ac}.", " {summary}"),
+    "God": ("{name}.", " {pantheon} pantheon.", " Alignment: {alignments}.", " Domains: {domains}.", " Symbol: {symbol}.", " {summary}"),
+    "Trap": ("{name}.", " {trapHazType} trap.", " {summary}"),
+    "Condition": ("{name}", ". {summary}"),
+    "DiseasePoison": ("{name}", ". {summary}"),
+    "VehicleMount": ("{name}.", " {vehicleType}.", " {summary}"),
+    "Plane": ("{name}.", " {category}.", " {summary}"),
+    "Faction": ("{name}.", " HQ: {headquarters}.", " Goals: {first_goals}.", " {summary}"),
+    "Location": ("{name}.", " {category}", " in {setting}", ".", " {summary}"),
+    "Lore": ("{name}.", " {category} lore.", " {summary}"),
+    "Rule": ("{name}.", " {rule} rule.", " {summary}"),
+    "Class": ("{name} — {die} hit die.\n", "Saving throws: {saves}.\n", "Features: {gained}.\n"),
+}
+
+
+def _texts(value) -> list[str]:
+    return [x for x in value if isinstance(x, str)] if isinstance(value, list) else []
+
+
+def _need(key: str, value) -> str:
+    """One wish of a prerequisite as words."""
+    whole = lambda v: isinstance(v, int) and not isinstance(v, bool)
+    told = lambda e: e if isinstance(e, str) else " ".join(v for v in e.values() if isinstance(v, str)) if isinstance(e, dict) else ""
+    groups = [g for g in value if isinstance(g, dict)] if isinstance(value, list) else []
+    if key == "race":
+        return " or ".join(g["name"] for g in groups if isinstance(g.get("name"), str) and g["name"])
+    if key == "ability":
+        each = (", ".join(f"{ABILITY_NAMES[a.lower()]} {n}" for a, n in g.items() if a.lower() in ABILITY_NAMES and whole(n)) for g in groups)
+        return " or ".join(t for t in each if t)
+    if key == "spellcasting":
+        return "The ability to cast at least one spell" if value is True else ""
+    if key == "level":
+        level = value.get("level") if isinstance(value, dict) else value
+        return f"Level {level}" if whole(level) else ""
+    if key in ("proficiency", "other"):
+        return ", ".join(t for t in map(told, value) if t) if isinstance(value, list) else told(value)
+    return ""
+
+
+def _gained(refs) -> str:
+    """Features with their levels, by level; references of three parts or more, or objects that say the level."""
+    out = []
+    for ref in refs if isinstance(refs, list) else []:
+        if isinstance(ref, str):
+            parts = ref.split("|")
+            out += [(parts[0], int(parts[-1]))] if len(parts) >= 3 and parts[-1].strip().isdigit() else []
+        elif isinstance(ref, dict) and isinstance(ref.get("classFeature"), str) and isinstance(ref.get("level"), int):
+            out.append((ref["classFeature"].split("|")[0], ref["level"]))
+    return ", ".join(f"{n} ({level})" for n, level in sorted(out, key=lambda f: f[1]))
+
+
+def _told(fields: dict) -> dict[str, str]:
+    """What the sentences may name, besides the record's own texts and whole numbers."""
+    hd, value, attuned = fields.get("hd"), fields.get("value"), fields.get("reqAttune")
+    first = fields["entries"][0] if isinstance(fields.get("entries"), list) and fields["entries"] else ""
+    wishes = [", ".join(t for t in (_need(k, v) for k, v in e.items()) if t) for e in fields.get("prerequisite") or [] if isinstance(e, dict)]
+    own = {k: v if isinstance(v, str) else str(v) for k, v in fields.items() if isinstance(v, str) or (isinstance(v, int) and not isinstance(v, bool) and k in ("speed", "ac"))}
+    return own | {
+        "summary": J.plain(first) if isinstance(first, str) else "", "sizes": "/".join(SIZES.get(x.upper(), x) for x in _texts(fields.get("size"))) or "Unknown", "traitTags": ", ".join(_texts(fields.get("traitTags"))),
+        "skills": ", ".join(k for e in fields.get("skillProficiencies") or [] if isinstance(e, dict) for k in e), "needs": " or ".join(w for w in wishes if w), "gold": str(value // 100) if isinstance(value, int) else "",
+        "attuned": " Requires attunement." if attuned not in (None, False) else "", "alignments": " ".join(ALIGNMENTS.get(x.upper(), x) for x in _texts(fields.get("alignment"))), "domains": ", ".join(_texts(fields.get("domains"))),
+        "first_goals": "; ".join(_texts(fields.get("goals"))[:2]), "rule": RULE_TYPES.get(str(fields.get("ruleType", "")).upper(), fields.get("ruleType") or ""),
+        "die": f"d{hd['faces']}" if isinstance(hd, dict) else "?", "saves": ", ".join(p.upper() for p in fields.get("proficiency") or [] if p), "gained": _gained(fields.get("classFeatures")),
+    }
+
+
+def _render(kind: str | None, name: str | None, fields: str | None, stored: str | None) -> str | None:
+    """The sentences whose values are all there (those marked ? may be empty)."""
+    if kind not in SENTENCES:
+        return stored
+    try:
+        said = _told(json.loads(fields or "")) | {"name": name or ""}
+    except (ValueError, AttributeError, TypeError, KeyError):
+        return f"{name} ({kind})"
+    out = []
+    for sentence in SENTENCES[kind]:
+        wanted = [w.rstrip("?") for w in re.findall(r"\{(\w+\??)\}", sentence) if not w.endswith("?")]
+        if all(said.get(w) for w in wanted):
+            out.append(re.sub(r"\{(\w+)\??\}", lambda m: said.get(m[1]) or "", sentence))
+    return "".join(out)
 
 
-#: Renderers of a record's name and fields by type; others give the name, the type and the first entry.
-RENDERERS = {"Class": _class_text}
+def rendered(kind: Column, name: Column, fields: Column, stored: Column) -> Column:
+    """A record as text by its type; of types without sentences what is stored; its name and type where it cannot be read."""
+    return F.udf(_render, "string", useArrow=True)(kind, name, fields, stored)
 
 
-def _render(kind: str | None, name: str | None, fields: str | None) -> str:
-    try:
-        held = json.loads(fields or "null")
-        if kind in RENDERERS:
-            return RENDERERS[kind](name, held)
-        first = next((J.flattened(e) for e in held.get("entries") or [] if J.flattened(e).strip()), "")
-    except (ValueError, AttributeError, TypeError, KeyError):
-        first = ""
-    return f"{name} ({kind})" + (f". {first}" if first else "")
+def guarded(item: Column) -> Column:
+    """The kinds of roster that take an item: armor codes without a source, a weapon's category, and rarity."""
+    got = lambda k: F.get_json_object(item, f"$.{k}")
+    rare = got("rarity").isNotNull() & (F.lower(got("rarity")) != "none")
+    kinds = F.array(F.when(F.lower(got("type")).isin(*ARMOR_CODES), "Armor"), F.when(got("weaponCategory").isNotNull(), "Weapon"), F.when(rare, "MagicItem").otherwise("Item"))
+    return F.filter(kinds, lambda k: k.isNotNull())
+
+
+def copied(fields: Column, key: str, kind: str) -> Column:
+    """A field as JSON if it is of the kind asked for (array, string, int, any); null otherwise."""
+    held = F.try_variant_get(F.try_parse_json(fields), f"$.{key}", "variant")
+    shape = F.schema_of_variant(held)
+    fits = {"array": shape.startswith("ARRAY"), "string": shape == "STRING", "int": shape == "BIGINT", "any": shape != "VOID"}[kind]
+    return F.when(fits, F.variant_get(held, "$", "string") if kind in ("string", "int") else F.to_json(held))
+
+
+def validated(documents: DataFrame, key: str, text: str, versions: tuple[str, ...] = ("1",)) -> DataFrame:
+    """key, problem of documents that are no JSON, of an unknown version, without a book, or with a record that lacks id, type or name."""
+    held = documents.select(key, F.try_parse_json(text).alias("_v"), F.col(text).alias("_t"))
+    missing = F.exists(F.from_json(F.get_json_object("_t", "$.entities"), "array<struct<id:string,type:string,name:string>>"), lambda e: (F.coalesce(e["id"], F.lit("")) == "") | (F.coalesce(e["type"], F.lit("")) == "") | (F.coalesce(e["name"], F.lit("")) == ""))
+    problem = (
+        F.when(F.col("_v").isNull(), "unreadable")
+        .when(~F.coalesce(F.get_json_object("_t", "$.schemaVersion").isin(*versions), F.lit(False)), "unknown version")
+        .when(F.get_json_object("_t", "$.book.sourceBook").isNull(), "no book")
+        .when(F.coalesce(missing, F.lit(True)), "incomplete record")
+    )
+    return held.select(key, problem.alias("problem")).where("problem is not null")
+
+
+def without_sidecars(files: DataFrame, name: str) -> DataFrame:
+    return files.where(F.col(name).endswith(".json") & ~F.col(name).rlike(rf"\.({'|'.join(SIDECARS)})\.json$"))
+
+
+def name_uuid(space: str, name: Column) -> Column:
+    """The UUID of version 5 of a name within a name space (a UUID): SHA-1, with version and variant set."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(space.replace("-", ""))), F.encode(name, "UTF-8")))
+    variant = F.lower(F.hex((F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4 + 8).cast("int")))
+    return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
+
+
+def replaced_tables(generic: DataFrame, resolved: DataFrame, key: str) -> DataFrame:
+    """Tables made for resolution take the place of generic ones of their id; those of spells stand beside."""
+    return generic.join(resolved.select(key), key, "left_anti").unionByName(resolved)
+
+
+def embedded(rows: DataFrame, text: str, embed, most: int = 800) -> DataFrame:
+    """``rows`` with the vector of the text's first ``most`` characters; ``embed`` takes a pandas series of texts and gives one of lists."""
+    return rows.withColumn("embedding", F.pandas_udf(embed, "array<float>")(F.substring(text, 1, most)))
 
 
-def rendered(kind: Column, name: Column, fields: Column) -> Column:
-    return F.udf(_render, "string", useArrow=True)(kind, name, fields)
+def converted(files: DataFrame, cache: DataFrame | None, convert: Column, version: int) -> DataFrame:
+    """hash, version, result of files (hash, content): from the cache where it has the hash in this version, else converted."""
+    if cache is None:
+        return files.select("hash", F.lit(version).alias("version"), convert.alias("result"))
+    current = cache.where(F.col("version") == version)
+    new = files.join(current, "hash", "left_anti").select("hash", F.lit(version).alias("version"), convert.alias("result"))
+    return current.join(files.select("hash"), "hash", "left_semi").select("hash", "version", "result").unionByName(new)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -241,15 +242,84 @@ def payload_flattening(s, d):
 
 
 _RENDERED = [
-    ("Class", "Bard", '{"hd":{"faces":8},"proficiency":["dex","cha"],"classFeatures":["Song|Bard||2","Jack|Bard|PHB|1"]}', "Bard — d8 hit die.\nSaving throws: DEX, CHA.\nFeatures: Jack (1), Song (2).\n"),
+    ("Class", "Bard", '{"hd":{"faces":8},"proficiency":["dex","cha"],"classFeatures":["Song|Bard||2","Jack|Bard|1",{"classFeature":"Late|x","level":9}]}', "Bard — d8 hit die.\nSaving throws: DEX, CHA.\nFeatures: Jack (1), Song (2), Late (9).\n"),
     ("Class", "Odd", "{}", "Odd — ? hit die.\n"),
-    ("Vehicle", "Cart", '{"entries":["A {@b plain} cart."]}', "Cart (Vehicle). A plain cart."),
-    ("Vehicle", "Raft", "broken", "Raft (Vehicle)"),
+    ("Race", "Elf", '{"size":["M","s"],"speed":30,"traitTags":["Darkvision"],"entries":["A {@b tall} folk."]}', "Elf — Medium/Small race. Speed: 30 ft. Traits: Darkvision. A tall folk."),
+    ("Feat", "Grit", '{"prerequisite":[{"ability":[{"str":13,"dex":13},{"con":15}],"level":4},{"race":[{"name":"orc"}]}],"entries":[{"x":1}]}', "Grit. Prerequisite: Strength 13, Dexterity 13 or Constitution 15, Level 4 or orc."),
+    ("MagicItem", "Orb", '{"rarity":"rare","reqAttune":"by a bard"}', "Orb. rare magic item. Requires attunement."),
+    ("Item", "Cup", '{"type":"G","value":250}', "Cup. Type: G. Value: 2 gp."), ("Weapon", "Axe", '{"weaponCategory":"martial","dmg1":"1d8"}', "Axe. martial weapon. Damage: 1d8 ."), ("Armor", "Mail", '{"type":"HA","ac":16}', "Mail. HA armor. AC: 16."),
+    ("God", "Sun", '{"alignment":["L","G"],"domains":["Light","War"],"symbol":"Disc"}', "Sun. Alignment: Lawful Good. Domains: Light, War. Symbol: Disc."), ("Rule", "Grid", '{"ruleType":"O"}', "Grid. optional rule."), ("Location", "Port", '{"setting":"Coast"}', "Port. in Coast."),
+    ("Faction", "Ring", '{"goals":["a","b","c"]}', "Ring. Goals: a; b."), ("Background", "Sage", '{"skillProficiencies":[{"arcana":true,"history":true}]}', "Sage. Skills: arcana, history."), ("Condition", "Blind", '{"entries":["No sight."]}', "Blind. No sight."),
+    ("Trap", "Pit", "broken", "Pit (Trap)"), ("Unheard", "X", "{}", "as stored"),
 ]
 
 
 @BOOK(f"select name, t as text from {values([(n, t) for _, n, _, t in _RENDERED], 'name, t')}")
 def canonical_text(s, d):
-    """Records as text by the renderer of their type; a record without one, or that cannot be read, gives its name, type and first entry."""
+    """Records as text by the sentences of their type."""
     rows = s.createDataFrame([r[:3] for r in _RENDERED], "type string, name string, fields string")
-    return rows.select("name", O.rendered(F.col("type"), F.col("name"), F.col("fields")).alias("text"))
+    return rows.select("name", O.rendered(F.col("type"), F.col("name"), F.col("fields"), F.lit("as stored")).alias("text"))
+
+
+@BOOK("""select p_partkey, case p_partkey % 4 when 0 then 'Armor,Item' when 1 then 'Item' when 2 then 'Weapon,MagicItem' else 'Item' end as kinds from part""")
+def roster_guards(s, d):
+    """Which rosters take an item; an armor code with a source is none here."""
+    k = F.col("p_partkey")
+    item = F.when(k % 4 == 0, '{"type":"la"}').when(k % 4 == 1, '{"type":"HA|XPHB","rarity":"None"}').when(k % 4 == 2, '{"weaponCategory":"simple","rarity":"rare"}').otherwise('{"rarity":"none"}')
+    return _part(s, d).select("p_partkey", F.array_join(O.guarded(item), ",").alias("kinds"))
+
+
+@BOOK("""select p_partkey, '[1,"x"]' as tags, p_name as name, p_size::varchar as size, null::varchar as wrong_kind, null::varchar as missing from part""")
+def field_copies(s, d):
+    f = F.concat(F.lit('{"tags":[1,"x"],"name":"'), "p_name", F.lit('","size":'), F.col("p_size").cast("string"), F.lit(',"nothing":null}'))
+    rows = _part(s, d).select("p_partkey", f.alias("f"))
+    got = lambda key, kind, name: O.copied(F.col("f"), key, kind).alias(name)
+    return rows.select("p_partkey", got("tags", "array", "tags"), got("name", "string", "name"), got("size", "int", "size"), got("name", "array", "wrong_kind"), got("other", "any", "missing"))
+
+
+@BOOK("""select p_partkey, case p_partkey % 5 when 0 then 'unreadable' when 1 then 'unknown version' when 2 then 'no book' else 'incomplete record' end as problem from part where p_partkey % 5 <> 4""")
+def canonical_validation(s, d):
+    """Documents of records checked as they are loaded."""
+    k = F.col("p_partkey") % 5
+    entity = F.when(k == 3, '{"id":"a.b.c","type":"Spell"}').otherwise('{"id":"a.b.c","type":"Spell","name":"N"}')
+    text = F.when(k == 0, '{"schemaVersion":"1",').otherwise(F.concat(F.when(k == 1, '{"schemaVersion":"9"').otherwise('{"schemaVersion":"1"'), F.when(k == 2, "").otherwise(',"book":{"sourceBook":"B"}'), F.lit(',"entities":['), entity, F.lit("]}")))
+    return O.validated(_part(s, d).select("p_partkey", text.alias("t")), "p_partkey", "t")
+
+
+@BOOK("select f as file from (values ('a.json'), ('b.errors.json'), ('c.declined.json'), ('errors.json'), ('d.txt'), ('e.progress.json')) v(f) where f in ('a.json', 'errors.json')")
+def sidecar_scan(s, d):
+    return O.without_sidecars(s.createDataFrame([(f,) for f in ("a.json", "b.errors.json", "c.declined.json", "errors.json", "d.txt", "e.progress.json")], "file string"), "file")
+
+
+@BOOK("""with h as (select p_partkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('block:' || p_partkey)) as g from part)
+  select p_partkey, g[1:8] || '-' || g[9:12] || '-5' || g[14:16] || '-' || substr('89ab', strpos('0123456789abcdef', g[17]) % 4 + case when strpos('0123456789abcdef', g[17]) % 4 = 0 then 4 else 0 end, 1) || g[18:20] || '-' || g[21:32] as id from h""")
+def name_uuids(s, d):
+    return _part(s, d).select("p_partkey", O.name_uuid("6ba7b811-9dad-11d1-80b4-00c04fd430c8", F.concat(F.lit("block:"), F.col("p_partkey").cast("string"))).alias("id"))
+
+
+@BOOK("select 't' || p_partkey as id, case when p_partkey % 3 = 0 then 'resolution' else 'generic' end as source from part union all select 't' || p_partkey || '-spells', 'resolution' from part where p_partkey % 5 = 0")
+def table_replacement(s, d):
+    key = F.concat(F.lit("t"), F.col("p_partkey").cast("string"))
+    generic = _part(s, d).select(key.alias("id"), F.lit("generic").alias("source"))
+    made = _part(s, d).where("p_partkey % 3 = 0").select(key.alias("id"), F.lit("resolution").alias("source"))
+    spells = _part(s, d).where("p_partkey % 5 = 0").select(F.concat(key, F.lit("-spells")).alias("id"), F.lit("resolution").alias("source"))
+    return O.replaced_tables(generic, made.unionByName(spells), "id")
+
+
+@BOOK("select doc_id, len(regexp_extract_all(substr(text, 1, 800), 'e'))::double as e, len(regexp_extract_all(substr(text, 1, 800), 'n'))::double as n from documents where text is not null")
+def text_embeddings(s, d):
+    """Vectors of a given embedder, here of letter counts; only a text's first 800 characters count."""
+    rows = O.embedded(table(s, d, "documents").where("text is not null").select("doc_id", "text"), "text", _letter_counts)
+    return rows.select("doc_id", F.col("embedding")[0].cast("double").alias("e"), F.col("embedding")[1].cast("double").alias("n"))
+
+
+def _letter_counts(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [float(t.count("e")), float(t.count("n"))])
+
+
+@BOOK("select p_partkey::varchar as hash, 2 as version, case when p_partkey % 3 = 0 then 'kept' else 'made of ' || p_name end as result from part")
+def conversion_cache(s, d):
+    """Results by content hash and converter version: kept ones are taken, those of older versions and unknown ones made anew."""
+    files = _part(s, d).select(F.col("p_partkey").cast("string").alias("hash"), F.col("p_name").alias("content"))
+    cache = files.where("cast(hash as int) % 3 <> 1").select("hash", F.when(F.col("hash").cast("int") % 3 == 0, 2).otherwise(1).alias("version"), F.lit("kept").alias("result"))
+    return O.converted(files, cache, F.concat(F.lit("made of "), "content"), 2)
