@@ -239,3 +239,72 @@ def table_cells(markup: str) -> list[list[str]] | None:
     if len(rows) < 2 or len(rows[0]) < 2 or (len(rows) == 2 and scores >= 3):
         return None
     return rows
+
+
+# How spell schools, levels and stat lines read once scanned.
+_SCHOOL = re.compile(r"abjurati[ao]n|conjuration|divination|enchantment|evocation|illusion|necromancy|transmutation", re.I)
+_LEVEL = re.compile(r"\d.{0,4}leve", re.I)
+_CANTRIP = re.compile(r"\bca[l]*[nl]trip\b", re.I)
+_LEVEL_WORD = re.compile(r"\b(ca[l]*[nl]trip|lst|ist)\b", re.I)
+_STAT = re.compile(r"^\s*(Casting Time|Range|Components|Duration|At Higher Levels|Ritual|Concentration)\b", re.I)
+
+
+def _told_level(text: str) -> bool:
+    return bool(_LEVEL.search(text) or _SCHOOL.search(text) or _CANTRIP.search(text))
+
+
+def _name_before_level(text: str) -> str:
+    """What stands before a spell's level and school."""
+    digit, word, cantrip = re.search(r"\d", text), _LEVEL_WORD.search(text), _CANTRIP.search(text)
+    if digit:
+        return text[: min(digit.start(), word.start()) if word else digit.start()].strip()
+    if cantrip:
+        last = next((m for m in reversed(list(_SCHOOL.finditer(text, 0, cantrip.start()))) if not text[m.end() : cantrip.start()].strip()), None)
+        return text[: last.start() if last else cantrip.start()].strip()
+    return text[: word.start()].strip() if word else text.strip()
+
+
+class Promoter:
+    """Turns a book's layout blocks, in order, into items: spell names become headings, stat lines in headings become text, and ``X TRAITS`` the race's name."""
+
+    def __init__(self) -> None:
+        self.last: str | None = None
+        self.seen: set[str] = set()
+
+    @staticmethod
+    def _key(name: str) -> str:
+        return "".join(c for c in name.lower() if c.isalnum())
+
+    def _heading(self, name: str, level: int) -> tuple[str, str, int]:
+        self.last = self._key(name)
+        self.seen.add(self.last)
+        return ("section_header", name, level)
+
+    def _promoted(self, name: str) -> list[tuple[str, str, int]]:
+        key = self._key(name)
+        return [self._heading(name, 2)] if 2 <= len(name) <= 40 and key and key != self.last else []
+
+    def items(self, kind: str, text: str | None, level: int | None, markup: str | None, before: str | None, after: str | None) -> list[tuple[str, str, int | None]]:
+        text = (text or "").strip()
+        if kind.lower() == "table" and (markup or "").strip():
+            return [("table", text, None)]
+        if not text:
+            return []
+        out: list[tuple[str, str, int | None]] = []
+        first = text.split("\n")[0]
+        if not level and len(text) <= 90 and _told_level(text) and "casting time" in (after or "").lower():
+            out += self._promoted(_name_before_level(text) or _name_before_level(before or ""))
+        if level:
+            if _STAT.search(text):
+                return [*out, ("text", text, None)]
+            race = text[:-7].strip() if len(text) <= 40 and text.upper().endswith(" TRAITS") else ""
+            if race and self._key(race) and self._key(race) not in self.seen:
+                return [*out, self._heading(race, level)]
+            name = _name_before_level(text) if not text.upper().endswith(" TRAITS") and len(text) <= 90 and _told_level(text) else ""
+            return [*out, self._heading(name or text, level)]
+        if kind.lower() == "text":
+            casts = "casting time" in text.lower()
+            if (casts and _told_level(text[:60])) or (not casts and len(first) <= 55 and _told_level(first)):
+                out += self._promoted(_name_before_level(first))
+            out.append(("text", text, None))
+        return out

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import layout as L
 from ..functions.text import tokens
+from .mutations import unfinished
 
 #: Layout items between a heading and the table that it still names.
 NAMES_WITHIN = 10
@@ -144,3 +148,41 @@ def resolved_type(name: Column, text: Column, prior: Column, same_type: Column,
         .when(F.get(prior, 0).isin(*GATED) & ~real, "Decline")
         .otherwise("Defer")
     )
+
+
+def promoted(blocks: DataFrame, book: str, order: str) -> DataFrame:
+    """book, order, part, kind, text, level: the items of layout blocks (kind, text, level, html), in each book's order.
+
+    A block is read with the headings before it in mind, so a book is folded in order by one task, a block at a time.
+    """
+    w = Window.partitionBy(book).orderBy(order)
+    rows = blocks.select(book, order, "kind", "text", "level", "html", F.lag("text").over(w).alias("before"), F.lead("text").over(w).alias("after"))
+    schema = f"{book} {dict(blocks.dtypes)[book]}, {order} {dict(blocks.dtypes)[order]}, part int, kind string, text string, level int"
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, promoter = None, L.Promoter()
+        plain = lambda x: None if x is None or x != x else x
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if r[0] != now:
+                    now, promoter = r[0], L.Promoter()
+                level = plain(r.level)
+                for part, item in enumerate(promoter.items(r.kind, plain(r.text), None if level is None else int(level), plain(r.html), plain(r.before), plain(r.after))):
+                    out.append((r[0], r[1], part, *item))
+            frame = pd.DataFrame(out, columns=[book, order, "part", "kind", "text", "level"])
+            yield frame.astype({"level": "Int32"})
+
+    return rows.repartition(book).sortWithinPartitions(book, order).mapInPandas(fold, schema)
+
+
+def reground(records: DataFrame, done: DataFrame, key: str, batch: int = 50) -> DataFrame:
+    """Records (grounded, p_name) that a checkpoint does not list, each with its action and its batch.
+
+    Places are counted within ranges of the key and then across them, so that records do not meet in one task.
+    """
+    left = unfinished(records, done, key)
+    ranged = left.repartitionByRange(key).withColumn("_range", F.spark_partition_id()).withColumn("action", action(F.when(F.col("grounded"), "Grounded").otherwise("Uncertain"), F.col("p_name")))
+    within = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1)
+    before = within.groupBy("_range").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return within.join(before.select("_range", "_before"), "_range").withColumn("batch", F.floor((F.col("_before") + F.col("_place")) / batch)).drop("_range", "_place", "_before")

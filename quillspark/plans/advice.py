@@ -201,3 +201,23 @@ def combat_end(s, d):
 def zip_by_position(s, d):
     pairs = F.arrays_zip(F.array("p_name").alias("a"), F.array("p_brand").alias("b"))
     return _part(s, d).select("p_partkey", F.transform(pairs, lambda z: F.concat_ws("=", z["a"], z["b"]))[0].alias("pair"))
+
+
+@BOOK("""with h as (select c_custkey as campaign, s_suppkey as hero, case when s_suppkey % 3 <> 0 then s_suppkey % 60 end as hp from customer join supplier on s_nationkey = c_nationkey where c_custkey < 200)
+  select campaign, 'hero' || hero as name, true as is_player, coalesce(hp, 0) as hp from h union all select c_custkey, 'monster' || i, false, (i + 1) * 7 from customer, range(3) r(i) where c_custkey < 200""")
+def combat_draft(s, d):
+    """A combat's combatants: the campaign's heroes from their latest sheets, and monsters at average hit points."""
+    campaigns = table(s, d, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("campaign"), "c_nationkey")
+    heroes = table(s, d, "supplier").select("s_nationkey", F.col("s_suppkey").alias("hero"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_suppkey") % 60).alias("hp"))
+    party = campaigns.join(heroes, F.col("c_nationkey") == F.col("s_nationkey")).select("campaign", F.concat(F.lit("hero"), F.col("hero").cast("string")).alias("name"), F.lit(True).alias("is_player"), F.coalesce("hp", F.lit(0)).alias("hp"))
+    monsters = F.array(*[F.struct(F.lit(f"monster{i}").alias("name"), F.lit((i + 1) * 7).cast("long").alias("hp")) for i in range(3)])
+    return party.unionByName(campaigns.select("campaign", F.inline(monsters)).withColumn("is_player", F.lit(False)))
+
+
+@BOOK("select o_custkey as campaign, o_orderkey as session, case o_orderkey % 4 when 0 then 'criminal' when 1 then 'military' when 2 then 'arcane' else 'default' end as party, least(o_orderkey % 6 + 1, 5)::int as heroes, p_name as lore from orders left join part on p_partkey = o_orderkey")
+def session_packets(s, d):
+    """A session's encounter party, themed characters and lore together; lore may be missing."""
+    theme = F.element_at(F.array(*map(F.lit, ("A HEIST in the temple", "town watch", "old wizards", "farmers"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    rows = table(s, d, "orders").select(F.col("o_custkey").alias("campaign"), F.col("o_orderkey").alias("session"), A.party_of_theme(theme).alias("party"), F.least(F.col("o_orderkey") % 6 + 1, F.lit(5)).cast("int").alias("heroes"))
+    lore = _part(s, d).select(F.col("p_partkey").alias("session"), F.col("p_name").alias("lore"))
+    return rows.join(lore, "session", "left")

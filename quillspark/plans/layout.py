@@ -237,3 +237,28 @@ def semantic_chunks_short(s, d):
     cut = L.column_of(lambda t: L.semantic_chunks(t, 100), "array<string>")
     rows = table(s, d, "documents").where("floor(length(text) / 4) <= 100 and trim(text) <> ''").select("doc_id", cut(F.col("text")).alias("c"))
     return rows.select("doc_id", F.size("c").alias("chunks"), F.length(F.col("c")[0]).alias("chars"))
+
+
+_RAW = [
+    ("text", "ACID SPLASH Conjuration cantrip", None), ("text", "Casting Time: 1 action", None), ("text", "GNOME TRAITS", 1), ("text", "Your gnome has traits.", None), ("text", "GNOME TRAITS", 1), ("text", "Range: 60 feet", 2), ("text", "FIREBALL 3rd-level evocation", 1),
+    ("table", "Loot", None), ("text", "AID\n2nd-level abjuration\nCasting Time: 1 action", None), ("text", "", None), ("image", "x", None), ("text", "2nd-level abjuration", None), ("text", "Plain prose of no level.", None),
+]
+_PROMOTED = [
+    (0, 0, "section_header", "ACID SPLASH", 2), (0, 1, "text", "ACID SPLASH Conjuration cantrip", None), (1, 0, "text", "Casting Time: 1 action", None), (2, 0, "section_header", "GNOME", 1), (3, 0, "text", "Your gnome has traits.", None), (4, 0, "section_header", "GNOME TRAITS", 1), (5, 0, "text", "Range: 60 feet", None),
+    (6, 0, "section_header", "FIREBALL", 1), (7, 0, "table", "Loot", None), (8, 0, "section_header", "AID", 2), (8, 1, "text", "AID\n2nd-level abjuration\nCasting Time: 1 action", None), (11, 0, "text", "2nd-level abjuration", None), (12, 0, "text", "Plain prose of no level.", None),
+]
+
+
+@BOOK(f"select b as book, i as place, p as part, k as kind, t as text, l::int as level from range(40) r(b), {values(_PROMOTED, 'i, p, k, t, l')}")
+def heading_promotion(s, d):
+    """The same layout blocks in forty books: names of spells and races become headings."""
+    rows = [(b, i, kind, text, level, "<tr>" if kind == "table" else None) for b in range(40) for i, (kind, text, level) in enumerate(_RAW)]
+    return S.promoted(s.createDataFrame(rows, "book long, place int, kind string, text string, level int, html string"), "book", "place")
+
+
+@BOOK("""with p as (select p_partkey, p_size, (row_number() over (order by p_partkey) - 1) // 50 as batch from part where p_partkey % 3 = 0 and p_partkey % 2 = 0) select batch, count(*) as records, count(*) filter (where p_size > 25) as promoted from p group by 1""")
+def reground_batches(s, d):
+    """Records still under review graded anew, in batches of fifty after which a checkpoint is written; those that one lists are left out."""
+    rows = table(s, d, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), "p_name", (F.col("p_size") > 25).alias("grounded"))
+    done = table(s, d, "part").where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("id"), F.lit("extracted").alias("state"))
+    return S.reground(rows, done, "id").groupBy("batch").agg(F.count("*").alias("records"), F.count_if(F.col("action") == "Promote").alias("promoted"))
