@@ -22,6 +22,7 @@ repeated rows are counted and scored each; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import struct
 import uuid
 from collections.abc import Iterator
@@ -39,6 +40,8 @@ FOLDS, HELD_OUT = 7, 2
 STRETCH_TOKENS = 1 << 22
 #: Bytes of text for each shard.
 SHARD_BYTES = 1 << 24
+#: Shards up to which packets are dealt in one step.
+FAN = 1024
 #: Shards of a kind that a worker holds where it cannot map them.
 HELD_SHARDS = 2
 _U = np.uint64
@@ -110,19 +113,18 @@ _DEALT = "shard int, kind int, payload binary"
 
 
 def _packets(kind: int, keys: np.ndarray, values: list[np.ndarray], shards: int) -> pa.RecordBatch:
-    """Sorted keys and values as one packed row for each shard."""
-    bounds = np.searchsorted(_shards_of(keys, shards), np.arange(shards + 1))
+    """Sorted keys and values as one packed row for each shard that has any."""
+    whose = _shards_of(keys, shards)
+    heads = np.flatnonzero(np.diff(whose, prepend=-1))
     rows = []
-    for s in range(shards):
-        a, b = bounds[s], bounds[s + 1]
-        if a < b:
-            # a narrow type for counts where they allow it
-            parts = []
-            for v in values:
-                part = v[a:b].astype(np.uint64)
-                width = np.uint8 if part.max() < 1 << 8 else np.uint32 if part.max() < 1 << 32 else np.uint64
-                parts.append(struct.pack("<B", np.dtype(width).itemsize) + part.astype(width).tobytes())
-            rows.append((s, struct.pack("<QB", b - a, len(values)) + keys[a:b].tobytes() + b"".join(parts)))
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(keys)], strict=True) if len(keys) else ():
+        # a narrow type for counts where they allow it
+        parts = []
+        for v in values:
+            part = v[a:b].astype(np.uint64)
+            width = np.uint8 if part.max() < 1 << 8 else np.uint32 if part.max() < 1 << 32 else np.uint64
+            parts.append(struct.pack("<B", np.dtype(width).itemsize) + part.astype(width).tobytes())
+        rows.append((int(whose[a]), struct.pack("<QB", b - a, len(values)) + keys[a:b].tobytes() + b"".join(parts)))
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "kind", "payload"])
 
 
@@ -267,12 +269,44 @@ def _wanted(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def fit(docs: DataFrame) -> KneserNey:
-    """Counts all of ``docs`` and stores the model in the shared folder."""
+def fit(docs: DataFrame, shard_bytes: int = SHARD_BYTES, fan: int = FAN) -> KneserNey:
+    """Counts all of ``docs`` and stores the model in the shared folder.
+
+    Beyond ``fan`` shards, packets are dealt in two steps: to groups of shards first, about as many as a group has,
+    folded there anew and dealt to the shards, so that no step makes a packet for each pair of a task and a shard.
+    """
     spark = docs.sparkSession
     folder = shared_folder(spark)
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("b")).first()["b"] or 0
-    shards = max(1, -(-int(size) // SHARD_BYTES))
+    shards = groups = max(1, -(-int(size) // shard_bytes))
+    if shards > fan:
+        groups = math.isqrt(shards - 1) + 1
+        shards = groups * -(-shards // groups)  # a multiple, so that groups are runs of shards
+
+    def refolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size = 0
+
+        def fold() -> Iterator[pa.RecordBatch]:
+            for kind in sorted(held):
+                parts = held.pop(kind)
+                yield _packets(kind, *summed(np.concatenate([p[0] for p in parts]), [np.concatenate(c) for c in zip(*[p[1] for p in parts], strict=True)], carried=kind == PAIR), shards)
+
+        for batch in batches:
+            files = batch.column(1).to_numpy() >= 10
+            yield batch.filter(pa.array(files))
+            for kind, payload in zip(*[c.to_pylist() for c in batch.filter(pa.array(~files)).columns[1:]], strict=True):
+                held.setdefault(kind, []).append(_unpacked(payload))
+                size += len(held[kind][-1][0])
+                if size >= STRETCH_TOKENS:
+                    yield from fold()
+                    size = 0
+        yield from fold()
+
+    def dealt(packets: DataFrame) -> DataFrame:
+        if groups < shards:
+            packets = map_batches(packets.repartition(groups, "shard"), refolded, _DEALT)
+        return packets.repartition(shards, "shard")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[np.ndarray] = []
@@ -281,11 +315,11 @@ def fit(docs: DataFrame) -> KneserNey:
         def fold() -> Iterator[pa.RecordBatch]:
             distinct, counts = np.unique(np.concatenate(words), return_counts=True)
             words.clear()
-            yield _packets(UNIGRAM, distinct, [counts], shards)
+            yield _packets(UNIGRAM, distinct, [counts], groups)
             keys, low = (np.concatenate(part) for part in zip(*pairs, strict=True))
             pairs.clear()
             distinct, at, counts = np.unique(keys, return_index=True, return_counts=True)
-            yield _packets(PAIR, distinct, [counts, low[at]], shards)
+            yield _packets(PAIR, distinct, [counts, low[at]], groups)
 
         for batch in batches:
             for _, _, block in blocks(batch.column(0), lower=True):
@@ -311,8 +345,8 @@ def fit(docs: DataFrame) -> KneserNey:
                 continue
             yield stored(kind, shard, keys, [counts], [int((counts == r).sum()) for r in (1, 2, 3, 4)])
             before, word = unpaired(keys, low[0].astype(np.uint64))
-            yield _packets(CONTEXT, *summed(before, [counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts > 2).astype(np.int64)]), shards)
-            yield _packets(CONTINUED, *summed(word, [np.ones(len(keys), dtype=np.int64)]), shards)
+            yield _packets(CONTEXT, *summed(before, [counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts > 2).astype(np.int64)]), groups)
+            yield _packets(CONTINUED, *summed(word, [np.ones(len(keys), dtype=np.int64)]), groups)
 
     def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packets() -> Iterator[pa.RecordBatch]:
@@ -328,8 +362,8 @@ def fit(docs: DataFrame) -> KneserNey:
         yield from files
 
     train = docs.select(F.col("text").cast("string").alias("text"))
-    spread = map_batches(map_batches(train, counted, _DEALT).repartition(shards, "shard"), paired, _DEALT)
-    manifest = keep_table(map_batches(spread.repartition(shards, "shard"), closed, _DEALT))
+    spread = map_batches(dealt(map_batches(train, counted, _DEALT)), paired, _DEALT)
+    manifest = keep_table(map_batches(dealt(spread), closed, _DEALT))
 
     many = {UNIGRAM: 2, PAIR: 4, CONTEXT: 0, CONTINUED: 6}
     paths: dict[int, dict[int, str]] = {k: {} for k in many}

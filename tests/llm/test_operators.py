@@ -435,6 +435,15 @@ def test_op10_brute_force(spark, small):
         assert r["score"] == pytest.approx(sum(math.log10(chance(v, x)) for v, x in zip(["<s>", *w[:-1]], w)), rel=1e-9)
 
 
+def test_op10_deals_in_two_steps_alike(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    one, two = (lm.fit(docs, shard_bytes=20_000, fan=fan) for fan in (1000, 3))
+    assert two.files[lm.PAIR].shards > 3
+    assert (one.total, one.vocabulary, one.pair_types, one.spare) == (two.total, two.vocabulary, two.pair_types, two.spare)
+    scores = [{r["doc_id"]: r["score"] for r in lm.lm_scores(docs, m).collect()} for m in (one, two)]
+    assert scores[0].keys() == scores[1].keys() and all(scores[0][k] == pytest.approx(scores[1][k], rel=1e-12) for k in scores[0])
+
+
 def test_unmix_inverts_mix():
     x = np.random.default_rng(1).integers(0, 2**63, 1000, dtype=np.uint64)
     assert (lm.unmix(lm.mix(x)) == x).all()
