@@ -35,7 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
-        if not context.master.startswith("local["):
+        if context.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = _OWN_ROOTS.setdefault(context.applicationId, os.environ.get("QUILL_TEST_SHARED") or tempfile.mkdtemp(prefix="quill-shared-"))
     return f"{root.rstrip('/')}/quill-{uuid.uuid4().hex}"
