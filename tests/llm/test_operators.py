@@ -159,6 +159,21 @@ def test_op2_link_among_texts_that_fall_short_of_their_source(spark):
     assert got[300][1] == got[rows[20][0]][1]
 
 
+def test_op2_grid_of_large_buckets_changes_nothing(spark, monkeypatch):
+    random = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(60):
+        words = list(base)
+        for at in random.choice(120, random.integers(0, 16), replace=False):
+            words[at] = f"x{random.integers(0, 30)}"
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(neardup, "GRID_ROWS", 3)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, 2).collect()}
+    assert got == {i: root for i, (_, root) in _components(texts, 2).items()}
+
+
 def test_op3_history(spark, small):
     pages = _texts(spark, small, "pages", "page_id", "html")
     rows = sorted(warc.op3_warc_captures(spark, small).collect(), key=lambda r: (r["part"], r["place"]))
