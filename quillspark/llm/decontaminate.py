@@ -19,7 +19,6 @@ are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import chain
 
