@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,7 +69,6 @@ class Options:
     max_top_k: int = MAX_TOP_K
     pool: int = POOL
     least_score: float = LEAST_SCORE
-    extra: dict = field(default_factory=dict)
 
     def hybrid(self, sparse_stored: bool) -> bool:
         """Sparse ranks take part if asked for at all and stored; how much is asked for plays no part."""
