@@ -195,13 +195,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough; the sets of the documents concerned are built again."""
     near = keep_table(pairs.distinct())
     needed = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    words = docs.sparkSession.sparkContext.broadcast(bitmap(needed))
+    chosen = bitmap(needed)
+    texts = _texts(docs) if chosen is not None else _texts(docs).join(needed, F.col("doc_id") == F.col("id"), "left_semi")
+    words = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # chosen and cut by one worker: two functions in a row would hold two workers a task
         return _sets((batch.filter(pa.array(among(batch.column(0), words.value))) for batch in batches), shingle)
 
-    found = keep_table(map_batches(_texts(docs), sets, "id long, shingles array<long>"))
+    found = keep_table(map_batches(texts, sets, "id long, shingles array<long>"))
     joined = near.join(found.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a").join(found.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
     common = joined.withColumn("common", F.size(F.array_intersect("set_a", "set_b"))).withColumn("union", F.size("set_a") + F.size("set_b") - F.col("common"))
     return keep_table(common.where(F.lit(100) * F.col("common") >= F.lit(SIMILARITY_PERCENT) * F.col("union")).select("a", "b").distinct())

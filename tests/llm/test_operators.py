@@ -174,6 +174,17 @@ def test_op2_grid_of_large_buckets_changes_nothing(spark, monkeypatch):
     assert got == {i: root for i, (_, root) in _components(texts, 2).items()}
 
 
+@pytest.mark.parametrize("most", [1 << 28, 64, 1])
+def test_ids_are_taken_out_exactly(spark, monkeypatch, most):
+    from quillspark.llm import idfilter
+
+    monkeypatch.setattr(idfilter, "LEAST_BITS", 64)
+    monkeypatch.setattr(idfilter, "MOST_BITS", most)
+    docs = spark.range(300).selectExpr("nullif(id, 7) as doc_id", "id as n")
+    left = idfilter.without(docs, "doc_id", spark.range(0, 300, 11).toDF("doc_id"))
+    assert sorted(r["n"] for r in left.collect()) == [i for i in range(300) if i % 11 or i == 7]
+
+
 def test_op3_history(spark, small):
     pages = _texts(spark, small, "pages", "page_id", "html")
     rows = sorted(warc.op3_warc_captures(spark, small).collect(), key=lambda r: (r["part"], r["place"]))
