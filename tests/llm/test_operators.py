@@ -479,8 +479,11 @@ def test_unmix_inverts_mix():
 
 def test_op3_many_runs_and_one_url(spark, tmp_path):
     made = [(i, f"http://h.example/{'same' if i % 3 else i % 50}", f"<p>{i % 40}</p>" * (30 if i % 2 else 1)) for i in range(900)]
-    pages = spark.createDataFrame([(*row, i) for i, row in enumerate([*made, *made[:5], (901, None, None), (902, None, "é" * 200_000)])], "page_id long, url string, html string, digest int").repartition(20)
-    pieces = warc.write_archives(pages, f"{tmp_path}/runs")
+    pages = spark.createDataFrame([(*row, i) for i, row in enumerate([*made, *made[:5], (901, None, None), (902, None, "é" * 200_000)])], "page_id long, url string, html string, digest int")
+    pieces = None
+    for k in range(8):  # eight crawls, of a run or more each
+        more = warc.write_archives(pages.where(f"page_id % 8 = {k}"), f"{tmp_path}/runs")
+        pieces = more if pieces is None else pieces.unionByName(more)
     fewer = warc.fewer_runs(pieces, f"{tmp_path}/runs", most=4)
     assert pieces.select("run").distinct().count() > 4 >= fewer.select("run").distinct().count()
     whole = [[(r["urlkey"], r["timestamp"], r["page_id"]) for r in sorted(warc.merged_index(p, 100).collect(), key=lambda r: (r["part"], r["place"]))] for p in (pieces, fewer)]
