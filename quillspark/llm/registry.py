@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, htmltext, licenses, lm, mixing, neardup, pii, quality, tokens, warc
+from . import decontaminate, htmltext, licenses, lm, mixing, neardup, pii, quality, tokens, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,9 +23,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": tokens.op8_token_files,
         "op9_source_mix": mixing.op9_source_mix,
         "op10_lm_scores": lm.op10_lm_scores,
+        "op12_url_filter": urlfilter.op12_url_filter,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": licenses.oracle()}
+    return {"op5_license_scan": licenses.oracle(), "op12_url_filter": urlfilter.oracle()}
