@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, htmltext, licenses, lm, mixing, neardup, pii, quality, tokens, urlfilter, warc
+from . import collocations, decontaminate, htmltext, licenses, lm, mixing, neardup, pii, quality, tokens, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,9 +24,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_source_mix": mixing.op9_source_mix,
         "op10_lm_scores": lm.op10_lm_scores,
         "op12_url_filter": urlfilter.op12_url_filter,
+        "op13_collocations": collocations.op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": licenses.oracle(), "op12_url_filter": urlfilter.oracle()}
+    return {"op5_license_scan": licenses.oracle(), "op12_url_filter": urlfilter.oracle(), "op13_collocations": collocations.oracle()}
