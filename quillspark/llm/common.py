@@ -103,11 +103,11 @@ def map_batches(df: DataFrame, function: Callable[[Iterator], Iterator], schema:
     return df.mapInArrow(frees_memory(function), schema)
 
 
-def keep_table(df: DataFrame, folder: str | None = None) -> DataFrame:
+def keep_table(df: DataFrame, folder: str | None = None, **options: str) -> DataFrame:
     """The rows of ``df`` written once to the shared folder and read from there: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = folder or shared_folder(spark)
-    df.write.mode("overwrite").parquet(path)
+    df.write.options(**options).mode("overwrite").parquet(path)
     if _WRITTEN and folder is None:
         _WRITTEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

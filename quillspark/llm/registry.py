@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import collocations, decontaminate, htmltext, licenses, lm, mixing, neardup, pii, quality, tokens, urlfilter, warc
+from . import collocations, decontaminate, htmltext, licenses, lm, mixing, neardup, pii, quality, ranked, tokens, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": tokens.op8_token_files,
         "op9_source_mix": mixing.op9_source_mix,
         "op10_lm_scores": lm.op10_lm_scores,
+        "op11_ranked_search": ranked.op11_ranked_search,
         "op12_url_filter": urlfilter.op12_url_filter,
         "op13_collocations": collocations.op13_collocations,
         "pipeline": corpus_pipeline.run,
@@ -30,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": licenses.oracle(), "op12_url_filter": urlfilter.oracle(), "op13_collocations": collocations.oracle()}
+    return {"op5_license_scan": licenses.oracle(), "op11_ranked_search": ranked.oracle(), "op12_url_filter": urlfilter.oracle(), "op13_collocations": collocations.oracle()}

@@ -121,6 +121,14 @@ class Block:
         return np.bincount(owner, minlength=self.n).astype(np.int64)
 
 
+def words(block: Block, table: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The maximal runs of bytes in the class themselves, and the index of each one's text."""
+    starts, ends, owner = block.spans(table)
+    offsets = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(block.data[table[block.data]].tobytes())), owner
+
+
 def windows(hashes: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, index of the first word) of all k consecutive words of the same text."""
     m = len(hashes) - k + 1

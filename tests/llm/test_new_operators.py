@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -10,7 +11,7 @@ import pytest
 from oracle import as_rows, sql_rows
 from pyspark.sql import functions as F
 
-from quillspark.llm import collocations, urlfilter
+from quillspark.llm import collocations, ranked, urlfilter
 from quillspark.llm.common import keep_table
 
 
@@ -124,3 +125,51 @@ def test_op13_suffix_order():
     assert heads == sorted(heads)
     for a, b, k in zip(heads, heads[1:], shared[1:], strict=False):
         assert k == next((i for i in range(4) if i >= min(len(a), len(b)) or a[i] != b[i]), 4)
+
+
+def test_op11_equals_sql(spark, small):
+    rows = ranked.op11_ranked_search(spark, small).toPandas()
+    assert as_rows(rows) == as_rows(sql_rows(ranked.oracle(), small))
+
+
+def _terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", _lower(text))
+
+
+def _ranked_plainly(docs, items, top):
+    counts = [(i, Counter(_terms(t))) for i, t in docs]
+    n_docs, length = sum(bool(c) for _, c in counts), sum(c.total() for _, c in counts)
+    df = Counter(t for _, c in counts for t in c)
+    out = []
+    for item, text in set(items):
+        found = []
+        for i, c in counts:
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * (10 + 90 * c.total() * n_docs // length))) for t in set(_terms(text)) if c[t])
+            if score > 0:
+                found.append((-score, i is None, i or 0, i))
+        out += [(item, k + 1, x[3], -x[0]) for k, x in enumerate(sorted(found)[:top])]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("shard_docs,wave", [(1 << 16, 256), (1, 256), (5, 1), (64, 3)])
+def test_op11_against_brute_force(spark, shard_docs, wave, monkeypatch):
+    monkeypatch.setattr(ranked, "WAVE", wave)
+    random = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(40)] + ["Été", "日本", "ONE", "one"]
+    texts = [" ".join(random.choice(vocabulary[: int(random.integers(2, 44))], int(random.integers(1, 60)))) for _ in range(80)]
+    texts += [None, "", " .,- ", "one", "One one", " ".join(f"x{i} one" for i in range(20_000))] + texts[:6] * 3
+    docs = [(int(i) if i else None, t) for i, t in zip(random.permutation(len(texts)), texts, strict=True)]
+    docs += docs[:9] + [(None, "w1 w2"), (-5, "w1 w2"), (2**63 - 2, "w1 w2")]
+    items = [(i, " ".join(random.choice(vocabulary, 8))) for i in range(8)] + [(0, "w1"), (8, None), (9, "absent"), (10, "one ONE"), (10, "one ONE"), (11, " ".join(vocabulary))]
+    frame = spark.createDataFrame([(*d, 1, "t") for d in docs], "doc_id long, text string, score long, terms string")
+    asked = spark.createDataFrame([(*i, 3) for i in items], "item_id long, text string, rank int")
+    for top, query_bytes in ((10, 1 << 20), (3, 60)):
+        got = ranked.ranked(frame, asked, top, shard_docs=shard_docs, query_bytes=query_bytes).collect()
+        assert sorted(map(tuple, got), key=str) == _ranked_plainly(docs, items, top)
+
+
+def test_op11_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a")], "item_id long, text string")
+    for d, i in ((docs.limit(0), items), (docs, items.limit(0)), (docs.where("doc_id > 5"), items.limit(0))):
+        assert ranked.ranked(d, i).collect() == []
