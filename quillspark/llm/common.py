@@ -14,8 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from .textblock import forget_powers
-
 #: Bytes of an Arrow batch between an executor and its worker: texts are long, and both sides hold whole batches.
 BATCH_BYTES = 4 << 20
 
@@ -76,7 +74,6 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
 
 def _give_back() -> None:
     """Hands memory that this process has freed back to the system."""
-    forget_powers()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # a C library without this call keeps it
         ctypes.CDLL(None).malloc_trim(0)

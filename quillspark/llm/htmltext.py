@@ -7,7 +7,7 @@ kept whole; without one, the lowest container with more than half of them.  With
 it go those siblings, of it and of the wrappers around it, that read like more of
 the article.  Elements that are never article text, by their kind or by what all
 words of a class or id or their role say, are left out first, unless next to
-nothing is left then.
+nothing is left then; a form is, unless it holds more than half of the page's text.
 
 Defined results: null or empty html, and pages without any block of text, give
 the empty string; markup that ends early is read to its end; other columns are
@@ -30,7 +30,12 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][A-Za-
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+("[^"]*+"?|'[^']*+'?|[^\s>]++))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-_NEVER = frozenset("script style textarea title xmp iframe noembed noframes noscript head template nav footer aside form button select svg math canvas object video audio dialog menu".split())
+#: What holds no text to read, and what by its kind is no article.
+_MARKUP = frozenset("script style textarea title xmp iframe noembed noframes noscript head template select svg math canvas object video audio".split())
+_ASIDE_TAGS = frozenset("nav footer aside button dialog menu".split())
+#: Controls that only hold a label, and the block elements that end one left open.
+_CONTROLS = frozenset("button select option".split())
+_ENDS_CONTROLS = frozenset("address article blockquote dl figure h1 h2 h3 h4 h5 h6 main ol p pre section table ul".split())
 _BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption footer nav aside form".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What a start tag closes, up to the given ancestors.
@@ -104,6 +109,12 @@ def parse(page: str) -> Element:
 
 def _make_room(here: Element, name: str) -> Element:
     """Closes what a start tag ends without saying so."""
+    if name in _ENDS_CONTROLS:
+        up = here
+        while up.parent is not None and up.tag not in _BLOCK:
+            if up.tag in _CONTROLS:
+                here = up.parent
+            up = up.parent
     if name in _BLOCK:
         up = here
         while up.parent is not None and (up.tag not in _BLOCK or up.tag == "p"):
@@ -128,16 +139,43 @@ def _attributes(element: Element) -> dict[str, str]:
     return out
 
 
-def _left_out(element: Element, by_name: bool) -> bool:
+def _wrapping_forms(root: Element) -> set[int]:
+    """Forms that hold more than half of the page's text: some frameworks put each page into one. Others are dropped.
+
+    Sizes are summed from the leaves up, over a stack of its own; controls and what is never text add nothing.
+    """
+    order, stack = [], [root]
+    while stack:
+        element = stack.pop()
+        order.append(element)
+        stack.extend(c for c in element.children if not isinstance(c, str) and c.tag not in _MARKUP and c.tag not in _CONTROLS)
+    if not any(e.tag == "form" for e in order):
+        return set()
+    size: dict[int, int] = {}
+    for element in reversed(order):
+        own = sum(len(c.strip()) if isinstance(c, str) else size.get(id(c), 0) for c in element.children)
+        size[id(element)] = own
+    return {id(e) for e in order if e.tag == "form" and 2 * size[id(e)] > size[id(root)] and size[id(e)] >= _LEAST_LEFT}
+
+
+#: How much is left out: by names too, by kinds, or only what holds no text to read.
+_BY_NAME, _BY_KIND, _BY_MARKUP = 2, 1, 0
+
+
+def _left_out(element: Element, by: int, forms: set[int]) -> bool:
     tag = element.tag
-    if tag in _NEVER:
+    if tag in _MARKUP:
+        return True
+    if by == _BY_MARKUP:
+        return False
+    if tag in _ASIDE_TAGS or tag == "form" and id(element) not in forms:
         return True
     if tag == "header":
         up = element.parent
         while up is not None and up.tag not in ("article", "main"):
             up = up.parent
         return up is None
-    if not by_name or tag in ("html", "body", "article", "main", "#root") or not element.attributes.strip():
+    if by != _BY_NAME or tag in ("html", "body", "article", "main", "#root") or id(element) in forms or not element.attributes.strip():
         return False
     said = _attributes(element)
     if "hidden" in said or said.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", said.get("style", ""), re.I):
@@ -160,7 +198,7 @@ class _Block:
         self.text, self.links, self.owner = text, links, owner
 
 
-def _blocks(root: Element, by_name: bool) -> list[_Block]:
+def _blocks(root: Element, by: int, forms: set[int]) -> list[_Block]:
     """Runs of text between block boundaries, in page order; the walk keeps its own stack, so deep pages are fine."""
     out: list[_Block] = []
     parts: list[str] = []
@@ -189,7 +227,7 @@ def _blocks(root: Element, by_name: bool) -> list[_Block]:
                     links += len(child.strip())
             elif child.tag == "br":
                 parts.append(" ")
-            elif not _left_out(child, by_name):
+            elif not _left_out(child, by, forms):
                 stack.append((child, 0, in_link or child.tag == "a"))
         elif element.tag in _BLOCK:
             close()
@@ -220,11 +258,15 @@ def _container(root: Element) -> Element:
 
 def main_blocks(page: str) -> list[str]:
     root = parse(page)
-    found = _blocks(root, True)
-    if sum(len(b.text) - b.links for b in found) < _LEAST_LEFT:
-        # names that leave next to nothing of a page of prose are not to be believed
-        every = _blocks(root, False)
-        if not found or sum(len(b.text) - b.links for b in every if len(b.text) >= _LONG) >= _FAR_MORE * max(_LEAST_LEFT, sum(len(b.text) for b in found)):
+    forms = _wrapping_forms(root)
+    found = _blocks(root, _BY_NAME, forms)
+    for by in (_BY_KIND, _BY_MARKUP):
+        if sum(len(b.text) - b.links for b in found) >= _LEAST_LEFT:
+            break
+        # names, then kinds, that leave next to nothing of a page of prose are not to be believed
+        every = _blocks(root, by, forms)
+        most = _FAR_MORE * max(_LEAST_LEFT, sum(len(b.text) for b in found))
+        if by == _BY_KIND and not found or sum(len(b.text) - b.links for b in every if len(b.text) >= _LONG) >= most:
             found = every
     if not found:
         return []

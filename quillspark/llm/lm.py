@@ -226,11 +226,19 @@ class ModelFiles:
 
 
 def discounts(n: list[int]) -> np.ndarray:
-    """The discounts of counts 0, 1, 2 and 3 or more, from how many things are counted 1 to 4 times."""
-    n1, n2, n3, n4 = n
+    """The discounts of counts 0, 1, 2 and 3 or more, from how many things are counted 1 to 4 times.
+
+    Repeated texts make these numbers irregular.  An estimate outside (0, count) would leave an unseen word without
+    mass, or a seen one; the one absolute discount, or a half, stands in for it.
+    """
+    n1, n2 = n[:2]
     y = n1 / (n1 + 2 * n2) if n1 else 0.0
-    d = [0.0, 1 - 2 * y * n2 / n1 if n1 and n2 else 0.5, 2 - 3 * y * n3 / n2 if n2 and n3 else 1.0, 3 - 4 * y * n4 / n3 if n3 and n4 else 1.5]
-    return np.clip(d, [0, 0, 0, 0], [0, 1, 2, 3])
+    absolute = y if 0 < y < 1 else 0.5
+    out = [0.0]
+    for count, (here, above) in enumerate(zip(n, n[1:], strict=False), 1):
+        estimate = count - (count + 1) * y * above / here if here else 0.0
+        out.append(estimate if 0 < estimate < count else absolute)
+    return np.array(out)
 
 
 class KneserNey:
@@ -257,6 +265,8 @@ class KneserNey:
         back_off = np.where(total > 0, (d[1] * ones + d[2] * twos + d[3] * more) / own, 1.0)
         chance = np.where(total > 0, (pairs - d[np.minimum(pairs, 3)]) / own, 0.0) + back_off * lower
         base = np.log10((known + 1) / (self.total + self.vocabulary + 1))
+        if not (chance > 0).all():
+            raise ArithmeticError("the model leaves a token without probability")
         add = lambda x: np.bincount(whose, x, minlength=block.n)
         return {"n_tokens": np.bincount(whose, minlength=block.n), "n_known": add(known > 0).astype(np.int64), "base_score": add(base), "score": add(np.log10(chance))}
 

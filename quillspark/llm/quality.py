@@ -193,17 +193,22 @@ class QualityModel:
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found, rows = _found(batch.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array(base_failed(found)), batch.column(1), *[pa.array(rows[:, i]) for i in range(len(FEATURES))]], ["failed", "quality", *FEATURES])
+        yield pa.RecordBatch.from_arrays([pa.array(base_failed(found)), *batch.columns[1:], *[pa.array(rows[:, i]) for i in range(len(FEATURES))]], ["failed", "quality", "labelled_id", *FEATURES])
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS) -> QualityModel:
-    """A forest and its threshold from at most ``bound`` labelled rows, the same ones on every run."""
-    picked = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("labelled_id"), F.col("quality").cast("int").alias("quality"))
-    picked = picked.orderBy(F.xxhash64("labelled_id"), "labelled_id", "quality").limit(bound)
+    """A forest and its threshold from at most ``bound`` labelled rows, the same ones on every run.
+
+    An id labelled both ways counts as bad; rows repeated under an id count once.
+    """
+    named = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("labelled_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    picked = named.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(bound)
     # at most ``bound`` rows of two numbers: a proven size
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("labelled_id"))
-    schema = "failed boolean, quality int, " + ", ".join(f"{x} double" for x in FEATURES)
-    rows = map_batches(sample.select("text", "quality"), _sampled, schema).where("not failed").toPandas().sort_values(["quality", *FEATURES], kind="stable").head(2 * bound)
+    schema = "failed boolean, quality int, labelled_id long, " + ", ".join(f"{x} double" for x in FEATURES)
+    measured = map_batches(sample.select("text", "quality", "labelled_id"), _sampled, schema).where("not failed").distinct()
+    # an id may stand on several rows of other texts: of all rows, so many as the bound, by hash
+    rows = measured.orderBy(F.xxhash64("labelled_id", *FEATURES), "labelled_id", *FEATURES).limit(bound).toPandas().sort_values(["quality", *FEATURES], kind="stable")
     if not len(rows):
         return QualityModel(None, float("inf"))
     values, good = rows[FEATURES].to_numpy(), rows["quality"].to_numpy() == 1

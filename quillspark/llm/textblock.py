@@ -22,40 +22,9 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 1 << 19
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_SEED = _U(0xD6E8FEB86659FD93)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1), modulo 2**64, by doubling."""
-    out = np.ones(max(1, n), dtype=np.uint64)
-    have = 1
-    step = base % (1 << 64)
-    while have < n:
-        more = min(have, n - have)
-        np.multiply(out[:more], _U(step), out=out[have : have + more])
-        have += more
-        step = step * step % (1 << 64)
-    return out
-
-
-class _Tables:
-    """Powers of the hash base and of its inverse, grown when a longer block comes."""
-
-    up = _powers(_BASE, 1 << 10)
-    down = _powers(pow(_BASE, -1, 1 << 64), 1 << 10)
-
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            n = max(n, 2 * len(cls.up))
-            cls.up, cls.down = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
-        return cls.up, cls.down
-
-
-def forget_powers() -> None:
-    """Drops what long blocks have grown."""
-    _Tables.up, _Tables.down = _Tables.up[: 1 << 10].copy(), _Tables.down[: 1 << 10].copy()
+_STEP, _SEED = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+#: What is left of eight bytes read from a span's last 0 to 8 bytes on.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,6 +51,32 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros follow the last."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def _further(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(span, place) of the second and further eight bytes of spans that have some."""
+    more = (sizes - 1) // 8
+    owner = np.repeat(np.arange(len(sizes)), more)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(more) - more, more) + 1
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, other: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether spans of ``data`` and of ``other``, of the same sizes, hold the same bytes."""
+    a, b = eight_bytes(data), eight_bytes(other)
+    same = (a[starts] ^ b[at]) & _MASKS[np.minimum(sizes, 8)] == 0
+    long = np.flatnonzero(same & (sizes > 8))
+    if len(long):
+        owner, place = _further(sizes[long])
+        i = long[owner]
+        differ = (a[starts[i] + 8 * place] ^ b[at[i] + 8 * place]) & _MASKS[np.minimum(sizes[i] - 8 * place, 8)] != 0
+        same[i[differ]] = False
+    return same
+
+
 class Block:
     """Texts laid end to end: ``data`` uint8, ``offsets`` int64 (one more than texts)."""
 
@@ -89,7 +84,6 @@ class Block:
         self.data = LOWER[data] if lower else data
         self.offsets = offsets.astype(np.int64)
         self.n = len(offsets) - 1
-        self._sums: np.ndarray | None = None
 
     def spans(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, text index) of the maximal runs of bytes in the class; none crosses texts."""
@@ -109,13 +103,20 @@ class Block:
         return starts, ends, np.searchsorted(self.offsets, starts, side="right") - 1
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte spans, the same wherever the span stands."""
-        up, down = _Tables.upto(len(self.data) + 1)
-        if self._sums is None:
-            sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + _U(1)) * up[: len(self.data)], out=sums[1:])
-            self._sums = sums
-        return mix((self._sums[ends] - self._sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _SEED)
+        """64-bit hashes of byte spans, the same wherever the span stands.
+
+        Each eight bytes are mixed with their place in the span before they are added, so that bytes that change
+        places change the sum; spans of one length of up to eight bytes never share a hash.
+        """
+        eights, sizes = eight_bytes(self.data), ends - starts
+        out = mix(eights[starts] & _MASKS[np.minimum(sizes, 8)])
+        long = np.flatnonzero(sizes > 8)
+        if len(long):
+            owner, place = _further(sizes[long])
+            at = long[owner]
+            found = mix((eights[starts[at] + 8 * place] & _MASKS[np.minimum(sizes[at] - 8 * place, 8)]) ^ mix(place.astype(np.uint64) * _STEP))
+            out[long] += np.add.reduceat(found, np.flatnonzero(place == 1))
+        return mix(out + sizes.astype(np.uint64) * _SEED)
 
     def counts(self, owner: np.ndarray) -> np.ndarray:
         return np.bincount(owner, minlength=self.n).astype(np.int64)

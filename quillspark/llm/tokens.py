@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keep_table, map_batches, open_input, open_output, shared_folder, table
-from .textblock import Block, blocks, byte_class
+from .textblock import Block, blocks, byte_class, same_bytes
 
 END_ID = 2
 MAGIC = b"QDAC0002"
@@ -45,7 +45,7 @@ SHARD_TOKENS = 1 << 21
 #: Tokens that a reader decodes at once, or one longer document.
 READ_TOKENS = 1 << 16
 #: Slots of a worker's table of pieces, and ids in its arena after which it starts anew: some 36 MB.
-SLOTS, ARENA_IDS = 1 << 20, 1 << 22
+SLOTS, ARENA_IDS, ARENA_BYTES = 1 << 20, 1 << 22, 1 << 24
 #: Bytes of text encoded at once.
 BLOCK = 1 << 19
 # The normalizer and splitting that the cuts below agree with; texts of other vocabularies are encoded whole.
@@ -102,9 +102,24 @@ class PieceEncoder:
         self.sizes = np.zeros(SLOTS, dtype=np.int32)
         self.arena = np.zeros(1 << 16, dtype=np.uint32)
         self.filled = 0
-
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # the pieces' own bytes: a slot's hash is never believed without them
+        self.text_starts = np.zeros(SLOTS, dtype=np.int64)
+        self.text_sizes = np.full(SLOTS, -1, dtype=np.int32)
+        self.texts = np.zeros(1 << 16, dtype=np.uint8)
+        self.text_filled = 0
+
+    def _remember(self, slots: np.ndarray, raw: list[bytes]) -> None:
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        own = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        while self.text_filled + len(own) > len(self.texts):
+            self.texts = np.concatenate([self.texts, np.zeros_like(self.texts)])
+        self.texts[self.text_filled : self.text_filled + len(own)] = own
+        self.text_starts[slots], self.text_sizes[slots] = self.text_filled + np.cumsum(sizes) - sizes, sizes
+        self.text_filled += len(own)
+
+    def _learn(self, keys: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Where in the arena the ids of each new piece start, and how many they are."""
+        pieces = [x.decode() for x in raw]
         many = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
         sizes = np.fromiter(map(len, many), dtype=np.int32, count=len(many))
         ids = np.fromiter((i for one in many for i in one), dtype=np.uint32, count=int(sizes.sum()))
@@ -114,12 +129,13 @@ class PieceEncoder:
         starts = (self.filled + np.cumsum(sizes) - sizes).astype(np.int32)
         slots = keys & _U(SLOTS - 1)
         self.keys[slots], self.starts[slots], self.sizes[slots] = keys, starts, sizes
+        self._remember(slots, raw)
         self.filled += len(ids)
         return starts, sizes
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, tokens of each text); the block is lower-cased."""
-        if self.filled > ARENA_IDS:
+        if self.filled > ARENA_IDS or self.text_filled > ARENA_BYTES:
             self._forget()
         data = block.data
         starts, ends, _ = block.spans(_NOT_SPACE)
@@ -134,14 +150,22 @@ class PieceEncoder:
         owner = np.searchsorted(block.offsets, starts, side="right") - 1
         hashes = block.hashes(starts, ends)
         slots = hashes & _U(SLOTS - 1)
-        at, sizes = self.starts[slots], self.sizes[slots]
-        new = np.flatnonzero((self.keys[slots] != hashes) | (sizes == 0))
+        at, sizes, lengths = self.starts[slots], self.sizes[slots], ends - starts
+        known = (self.keys[slots] == hashes) & (self.text_sizes[slots] == lengths)
+        some = np.flatnonzero(known)
+        known[some] = same_bytes(data, starts[some], self.texts, self.text_starts[slots[some]], lengths[some])
+        new = np.flatnonzero(~known)
         if len(new):
-            distinct, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
-            raw = data.tobytes()
+            _, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
             one = new[first]
-            found, lengths = self._learn(distinct, [raw[a:b].decode() for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
-            at[new], sizes[new] = found[back], lengths[back]
+            alike = lengths[new] == lengths[one[back]]
+            alike[alike] = same_bytes(data, starts[new[alike]], data, starts[one[back[alike]]], lengths[new[alike]])
+            other = np.flatnonzero(~alike)  # another piece of the same hash
+            back[other] = len(one) + np.arange(len(other))
+            one = np.concatenate([one, new[other]])
+            raw = data.tobytes()
+            found, many = self._learn(hashes[one], [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
+            at[new], sizes[new] = found[back], many[back]
         sizes = sizes.astype(np.int64)
         ids = self.arena[np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
         return ids, np.bincount(owner, sizes, minlength=block.n).astype(np.int64)

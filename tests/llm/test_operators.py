@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from oracle import as_rows, sql_rows
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import decontaminate, htmltext, licenses, lm, mixing, neardup, pii, quality, registry, tokens, warc
@@ -640,3 +641,153 @@ def test_op7_page_shapes(shell, noise):
 
 def test_registry_has_all_eleven():
     assert [k.split("_")[0] for k in registry.queries()] == ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "pipeline"]
+
+
+def test_op7_forms_and_open_controls():
+    inner = "<h1>Head of it</h1>" + "".join(f"<p>{p}</p>" for p in _PROSE)
+    whole = ["Head of it", *_PROSE]
+    forms = "<form class=search><input name=q><button>Search</button></form>", "<form id=newsletter><p>Subscribe to our letters, and read them all, every week, wherever you may be.</p><input></form>"
+    assert htmltext.main_blocks(f"<html><body><form id=aspnetForm method=post><input type=hidden><article>{inner}</article><button>Send</button></form></body></html>") == whole
+    assert htmltext.main_blocks(f"<body><form class='page-form'><div>{forms[0].replace('form', 'div')}</div><div class=content>{inner}</div></form><footer>x</footer></body>") == whole
+    assert htmltext.main_blocks(f"<body>{forms[0]}<article>{inner}</article>{forms[1]}</body>") == whole
+    assert htmltext.main_blocks(f"<body><article><button>Share{inner}</article></body>") == whole
+    assert htmltext.main_blocks(f"<body><article><select><option>One<option>Two{inner}</article></body>") == whole
+    assert htmltext.main_blocks(f"<body><dialog><div>{inner * 9}</div></dialog></body>") == whole * 9
+    assert htmltext.main_blocks("<body><form><input><label>Name</label></form></body>") == []
+
+
+def test_op7_odd_rows(spark):
+    page = "<body><article>" + "".join(f"<p>{p}</p>" for p in _PROSE) + "</article></body>"
+    rows = [(1, None, None), (2, "u", ""), (3, "u", page), (3, "u", page), (None, "u", page), (4, "u", "<p>" + "word, " * 200_000)]
+    pages = spark.createDataFrame([(*r, "clash", 7) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    got = [tuple(r) for r in htmltext.main_text(pages).collect()]
+    text, long = "\n".join(_PROSE), ("word, " * 200_000).strip()
+    assert sorted(got, key=str) == sorted([(i, u, t, len(t)) for (i, u, h), t in zip(rows, ["", "", text, text, text, long], strict=True)], key=str)
+    assert htmltext.main_text(pages.limit(0)).collect() == []
+
+
+def _twins(length):
+    """Texts whose polynomial hashes modulo 2**64 are equal whatever the base."""
+    ones = [bin(i).count("1") % 2 for i in range(length)]
+    return "".join("ab"[x] for x in ones), "".join("ba"[x] for x in ones)
+
+
+@pytest.mark.parametrize("length", [16, 1024, 2048, 4096])
+def test_structured_texts_do_not_share_hashes(spark, length):
+    from tokenizers import Tokenizer
+
+    from quillspark.llm.textblock import SPACED, Block, blocks
+
+    a, b = _twins(length)
+    for _, _, block in blocks(pa.array([f"{a} {b} {a}"])):
+        h = Block.hashes(block, *block.spans(SPACED)[:2])
+        assert h[0] != h[1] and h[0] == h[2]
+    docs = spark.createDataFrame([(1, f"{a}\n{b}\n{a}"), (2, b), (3, a)], "doc_id long, text string")
+    plain = Tokenizer.from_file(tokens.vocabulary_path())
+    for r in tokens.token_files(docs).collect():
+        ids = [*plain.encode({1: f"{a}\n{b}\n{a}", 2: b, 3: a}[r["doc_id"]], add_special_tokens=False).ids, 2]
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r["doc_id"]: r["n_dup_lines"] for r in quality.quality_verdicts(docs, labels).collect()} == {1: 1, 2: 0, 3: 0}
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs.where("doc_id > 1")).collect()} == {2: 2, 3: 3}
+    items = spark.createDataFrame([(1, b)], "item_id long, text string")
+    assert {r["doc_id"]: bool(r["items"]) for r in decontaminate.contamination(docs, items).collect()} == {1: True, 2: True, 3: False}
+
+
+def test_hashes_equal_only_for_equal_spans():
+    from quillspark.llm.textblock import Block
+
+    random = np.random.default_rng(8)
+    data = random.integers(97, 99, 4000).astype(np.uint8)
+    block = Block(data, np.array([0, 4000]))
+    starts = random.integers(0, 3900, 3000)
+    ends = starts + random.integers(0, 30, 3000)
+    seen = {}
+    for h, a, b in zip(block.hashes(starts, ends).tolist(), starts, ends, strict=True):
+        assert seen.setdefault(h, data[a:b].tobytes()) == data[a:b].tobytes()
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_op8_pieces_of_one_hash_keep_their_ids(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from quillspark.llm.textblock import Block
+
+    monkeypatch.setattr(Block, "hashes", lambda self, starts, ends: np.full(len(starts), 7, dtype=np.uint64))
+    worker = tokens.PieceEncoder(tokens.vocabulary_path())
+    monkeypatch.setitem(tokens._ENCODERS, "same", worker)
+    plain = Tokenizer.from_file(tokens.vocabulary_path())
+    texts = ["one two three", "three two one", "elephants elephantine elephants", "", "x" * 3000 + " " + "y" * 3000]
+    for _ in range(2):
+        for _, _, ids, counts in tokens.encoded(pa.array(texts), "same"):
+            ends = np.cumsum(counts)
+            assert [ids[a : b - 1].tolist() for a, b in zip(ends - counts, ends, strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_op10_repeated_texts_leave_no_token_without_mass(spark):
+    rows, i = [], 0
+    for text, times in [(f"a{k} b{k}", 3) for k in range(60)] + [(f"d{k} e{k}", 2) for k in range(4)]:
+        for _ in range(times):
+            while zlib.crc32(str(i).encode()) % 7 == 2:
+                i += 1
+            rows.append((i, text))
+            i += 1
+    while zlib.crc32(str(i).encode()) % 7 != 2:
+        i += 1
+    rows.append((i, "d0 zzz"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.fit(docs.where(~lm.held_out(F.col("doc_id"))))
+    got = {r["doc_id"]: r for r in lm.lm_scores(docs, model).collect()}
+    assert i in got and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got.values())
+    # all continuations of a context share its whole mass: d0 is followed by e0, and by anything else with what is left
+    for n in ([0, 0, 60, 0], [0, 4, 60, 0], [5, 0, 0, 0], [1, 5, 0, 9], [3, 9, 1, 1], [0, 0, 0, 0], [7, 3, 2, 1]):
+        d = lm.discounts(n)
+        assert d[0] == 0 and all(0 < d[k] < k for k in (1, 2, 3))
+
+
+def test_op1_repeated_rows_change_no_threshold(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    six, twice = docs, labels.union(labels)
+    for _ in range(5):
+        six = six.unionByName(docs)
+    for bound in (200, 10_000):
+        plain, repeated = quality.fit(docs, labels, bound), quality.fit(six, twice, bound)
+        assert plain.threshold == repeated.threshold
+
+
+def test_op1_path_lengths_by_hand():
+    """40 rows are fewer than a tree's sample: each tree has all of them, so its leaves' rows can be counted again."""
+    random = np.random.default_rng(11)
+    values = random.normal(size=(40, len(quality.FEATURES)))
+    forest = quality.IsolationForest(values)
+
+    def expected(n):
+        return 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+
+    def lengths(tree, node, depth, inside, asked):
+        f, cut = forest.feature[tree, node], forest.split[tree, node]
+        if f < 0:
+            return {i: depth + expected(len(inside)) for i in asked}
+        left = lambda rows, table: ([i for i in rows if table[i][f] < cut], [i for i in rows if table[i][f] >= cut])
+        (a, b), (x, y) = left(inside, values), left(asked, probes)
+        return lengths(tree, 2 * node + 1, depth + 1, a, x) | lengths(tree, 2 * node + 2, depth + 1, b, y)
+
+    probes = np.concatenate([values[:10], values[:5] + 3, values[:5] - 50])
+    total = np.zeros(len(probes))
+    for tree in range(len(forest.feature)):
+        found = lengths(tree, 0, 0, list(range(40)), list(range(len(probes))))
+        total += [found[i] for i in range(len(probes))]
+    assert forest.score(probes) == pytest.approx(2 ** (-total / len(forest.feature) / expected(40)))
+    assert forest.score(values + 50).mean() > forest.score(values).mean()
+
+
+def test_op1_held_out_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    model = quality.fit(docs, labels.where(~held))
+    rows = docs.join(labels.where(held), "doc_id").select("text", "quality").toArrow()
+    _, failed, _, kept = model.verdicts(rows.column("text").combine_chunks())
+    good = rows.column("quality").to_numpy() == 1
+    assert kept[good & ~failed].mean() > 0.97 and kept[~good & ~failed].mean() < 0.06
