@@ -29,6 +29,13 @@ def shared_root(spark: SparkSession) -> str:
     return _KNOWN.setdefault(("root", spark.sparkContext.applicationId), tempfile.mkdtemp(prefix="quill-"))
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder and read from there: cuts lineage, survives lost executors."""
+    path = f"{shared_root(rows.sparkSession)}/kept-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def build_index(docs: DataFrame, folder: str, key: str = "doc_id") -> None:
     """Writes the weight of each slot of each document to ``folder``; colliding terms add."""
     words = spread(docs.select(key, "text")).select(key, tokens(F.col("text")).alias("w"))

@@ -2,11 +2,86 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import layout as L
+from ..operators import intervals, outline, renames
+from ..sources.tables import table
 from ..streaming import keyed
 from .book import Book
+from .layout import _case
 
 BOOK = Book()
 
 ingestion_queue = BOOK(keyed.INGESTION_SQL)(keyed.ingestion_queue)
 extraction_retries = BOOK(keyed.RETRIES_SQL)(keyed.extraction_retries)
 tool_cache = BOOK(keyed.CACHE_SQL)(keyed.tool_cache)
+
+
+_SECTIONS = "select o_custkey as book, o_orderkey as section, (o_orderkey * 7 % 400)::bigint as first, case when o_orderkey % 3 <> 0 then (o_orderkey * 7 % 400 + o_orderkey % 90 - 5)::bigint end as last from orders"
+
+
+@BOOK(f"""with s as ({_SECTIONS}), e as (select book, section, first, coalesce(last, lead(first) over (partition by book order by first, section) - 1, 1099511627776) as last from s),
+  p as (select l_orderkey, l_linenumber, l_orderkey % (select count(*) from customer) as book, (l_partkey * 13 + l_linenumber) % 450 as page from lineitem)
+  select l_orderkey, l_linenumber, page, arg_min(section, (first, section)) as section from p left join e on e.book = p.book and page between first and last group by 1, 2, 3""")
+def section_of_page(s, d):
+    """Orders as sections of a customer's pages, which overlap, some without an end; lines as pages, each in the first section that holds it."""
+    k = F.col("o_orderkey")
+    first = (k * 7 % 400).cast("long")
+    sections = table(s, d, "orders").select(F.col("o_custkey").alias("book"), k.alias("section"), first.alias("first"), F.when(k % 3 != 0, first + k % 90 - 5).alias("last"))
+    books = table(s, d, "customer").count()
+    pages = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % books).alias("book"), ((F.col("l_partkey") * 13 + F.col("l_linenumber")) % 450).alias("page"))
+    return intervals.first_interval(pages, sections, "book", "page", "first", "last", "section", ["section"]).select("l_orderkey", "l_linenumber", "page", "section").distinct()
+
+
+_TITLE_SQL = "case o_orderkey % 5 when 0 then ' x ' when 1 then '' when 2 then 'Monsters (A-Z)' when 3 then 'Spells of ' || o_orderpriority else 'Entry ' || o_orderkey end"
+
+
+@BOOK(f"""with recursive b as (select o_orderkey as id, {_TITLE_SQL} as title, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as parent from orders),
+  w as (select id, title, null::varchar as parent_title, case when length(trim(title)) >= 3 then title end as context from b where parent is null
+    union all select b.id, b.title, w.context, case when length(trim(b.title)) >= 3 then b.title else w.context end from b join w on b.parent = w.id)
+  select id, title, parent_title, case when {_case('title')} = 'Rule' and parent_title is not null then {_case('parent_title')} else {_case('title')} end as category from w where length(trim(title)) >= 3""")
+def bookmark_outline(s, d):
+    """A customer's orders as a chain of bookmarks, each under the one before; titles of fewer than three characters are passed over."""
+    k = F.col("o_orderkey")
+    title = F.when(k % 5 == 0, " x ").when(k % 5 == 1, "").when(k % 5 == 2, "Monsters (A-Z)").when(k % 5 == 3, F.concat(F.lit("Spells of "), "o_orderpriority")).otherwise(F.concat(F.lit("Entry "), k.cast("string")))
+    chain = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    marks = table(s, d, "orders").select(k.alias("id"), title.alias("title"), F.lag("o_orderkey").over(chain).alias("parent"))
+    rows = outline.outline(marks, "id", "parent", "title")
+    own, above = L.heading_category(F.col("title")), L.heading_category(F.col("parent_title"))
+    return rows.select("id", "title", "parent_title", F.when((own == "Rule") & F.col("parent_title").isNotNull(), above).otherwise(own).alias("category"))
+
+
+def _id_sql(k: str, new: bool) -> str:
+    kind = f"(['item', 'weapon', 'spell'])[{k} % 3 + 1]"
+    kind = f"case when {k} % 5 = 0 then 'armor' else {kind} end" if new else kind
+    return f"'book' || {k} % 7 || '.' || {kind} || '.n' || {k}"
+
+
+_RECORD_SQL = "'{\"id\":\"' || {own} || '\",\"n\":' || k || ',\"see\":[\"' || {up} || '\",{\"\\\"q\\\"\":\"' || {old} || ' too\",\"of\":\"' || {far} || '\"}]}'"
+
+
+def _record_sql() -> str:
+    parts = {"own": _id_sql("k", True), "up": _id_sql("up", True), "old": _id_sql("k", False), "far": _id_sql("far", True)}
+    out = _RECORD_SQL
+    for name, sql in parts.items():
+        out = out.replace("{" + name + "}", f"({sql})")
+    return out
+
+
+@BOOK(f"""with n as (select p_partkey as k, p_partkey % 7 + (p_partkey // 14) * 7 as up, p_partkey % 7 + 7 * (p_partkey // 70) as far from part)
+  select k as p_partkey, {_id_sql('k', True)} as id, {_record_sql()} as record, ((k % 5 = 0)::int + (up % 5 = 0)::int + (far % 5 = 0)::int)::bigint as references from n""")
+def type_renames(s, d):
+    """Parts as records that name themselves, two others, and their own id within a longer text; every fifth is an armor by the roster."""
+    def old(k):
+        return F.concat(F.lit("book"), (k % 7).cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, ("item", "weapon", "spell"))), (k % 3 + 1).cast("int")), F.lit(".n"), k.cast("string"))
+
+    k = F.col("p_partkey")
+    up, far = k % 7 + F.expr("p_partkey div 14") * 7, k % 7 + F.expr("p_partkey div 70") * 7
+    text = F.concat(F.lit('{"id":"'), old(k), F.lit('","n":'), k.cast("string"), F.lit(',"see":["'), old(up), F.lit('",{"\\"q\\"":"'), old(k), F.lit(' too","of":"'), old(far), F.lit('"}]}'))
+    records = table(s, d, "part").select("p_partkey", (k % 7).alias("book"), old(k).alias("id"), F.concat("p_name", F.lit(" "), k.cast("string")).alias("name"), F.lower("p_brand").alias("source"), F.split_part(old(k), F.lit("."), F.lit(2)).alias("type"), text.alias("record"))
+    lookup = records.where("p_partkey % 5 = 0").select(F.lower("name").alias("name_key"), F.upper("source").alias("source_key"), F.lit("Armor").alias("type"))
+    changes = renames.corrections(records, lookup)
+    done = renames.renamed(records, changes, "p_partkey").join(changes.select(F.col("old_id").alias("id"), "book", "new_id"), ["book", "id"], "left")
+    return done.select("p_partkey", F.coalesce("new_id", "id").alias("id"), "record", "references")
