@@ -1,12 +1,14 @@
 """A stored index of hashed-term weights, built once for a table and read by slot.
 
 Postings are (idx, key, weight), in ranges of ``idx`` and sorted by it, so that a query's few slots prune row groups.
-``stored_index`` finds the index of a table again by the names, sizes and times of its files, as long as the session lives.
+``stored_index`` finds the index of a table again by the names, sizes and times of its files.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,21 +50,55 @@ def build_index(docs: DataFrame, folder: str, key: str = "doc_id") -> None:
     postings.repartitionByRange("idx").sortWithinPartitions("idx").write.mode("overwrite").parquet(folder)
 
 
-def _identity(docs: DataFrame) -> tuple:
-    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    mark = files.agg(F.count("*"), F.sum("file_size"), F.max("file_modification_time"), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()
-    return tuple(map(str, mark))
+def _file_system(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def is_complete(spark: SparkSession, folder: str) -> bool:
+    """Whether Spark has finished writing the folder."""
+    system, path = _file_system(spark, f"{folder}/_SUCCESS")
+    return system.exists(path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    system, path = _file_system(spark, folder)
+    system.delete(path, True)
+
+
+def folders(spark: SparkSession, parent: str) -> list[str]:
+    """Names of what stands in a folder; none if it is not there."""
+    system, path = _file_system(spark, parent)
+    return [x.getPath().getName() for x in system.listStatus(path)] if system.exists(path) else []
+
+
+def identity(table: DataFrame) -> str:
+    """A name made of the names, sizes and times of a table's files, which are listed a folder at a time; no row is read."""
+    spark, files = table.sparkSession, table.inputFiles()
+    mark = hashlib.sha256()
+    for parent in sorted({f.rsplit("/", 1)[0] for f in files}):
+        system, path = _file_system(spark, parent)
+        for status in sorted((x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in system.listStatus(path)):
+            mark.update(repr(status).encode())
+    mark.update(repr(sorted(files)).encode())
+    return mark.hexdigest()[:32]
+
+
+def stored(table: DataFrame, kind: str, build: Callable[[str], None], last: str = "") -> str:
+    """The folder that ``build`` writes for these very files, ``last`` being what it writes last.
+
+    Written once under spark.checkpoint.dir and found again by name by any session.
+    """
+    spark = table.sparkSession
+    folder = f"{shared_root(spark)}/{kind}-{identity(table)}"
+    if not is_complete(spark, folder + last):
+        build(folder)
+    return folder
 
 
 def stored_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The postings of a table read from files; built the first time that a session asks for these very files."""
-    spark = docs.sparkSession
-    name = (spark.sparkContext.applicationId, key, *_identity(docs))
-    if name not in _KNOWN:
-        folder = f"{shared_root(spark)}/index-{uuid.uuid4().hex}"
-        build_index(docs, folder, key)
-        _KNOWN[name] = folder
-    return spark.read.parquet(_KNOWN[name])
+    """The postings of a table read from files; built the first time that anyone asks for these very files."""
+    return docs.sparkSession.read.parquet(stored(docs, f"index-{key}", lambda folder: build_index(docs, folder, key)))
 
 
 def search_index(postings: DataFrame, queries: dict[str, str], key: str = "doc_id") -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import layout as L
-from ..operators import intervals, outline, renames
+from ..operators import blockmax, intervals, outline, renames, vectors
+from ..operators.bookstats import BookStats, follow
+from ..operators.index import shared_root
 from ..sources.tables import table
 from ..streaming import keyed
 from .book import Book
 from .layout import _case
+from .search import _BM25, _COS, _TOK, QUERY
 
 BOOK = Book()
 
@@ -85,3 +90,42 @@ def type_renames(s, d):
     changes = renames.corrections(records, lookup)
     done = renames.renamed(records, changes, "p_partkey").join(changes.select(F.col("old_id").alias("id"), "book", "new_id"), ["book", "id"], "left")
     return done.select("p_partkey", F.coalesce("new_id", "id").alias("id"), "record", "references")
+
+
+_BOOKS = "b as (select * from documents where source is not null and source <> 'src2' and (source <> 'src1' or doc_id % 40 < 20) and (source <> 'src3' or doc_id % 40 >= 20))"
+
+
+@BOOK(f"""with {_BOOKS}, t as (select {_TOK} as w from b), d as (select term, count(*) as df from (select unnest(list_distinct(w)) as term from t) group by 1)
+  select term, df, (select count(*) from t) as documents, (select sum(len(w)) from t)::bigint as tokens from d""")
+def stats_stored(s, d):
+    """Sources as books that come as a stream: all of them, then one with fewer texts, then one that goes and one that comes again, over restarts."""
+    place = f"{shared_root(s)}/stats-{uuid.uuid4().hex}"
+    stats = BookStats(s, f"{place}/stats")
+    docs = table(s, d, "documents").select(F.col("source").alias("book"), "text", "doc_id", F.lit(False).alias("gone"))
+    again = docs.where("book = 'src3' and doc_id % 40 >= 20")
+    gone = docs.where("book = 'src2'").select("book", "text", "doc_id", F.lit(True).alias("gone"))
+    for rows in (docs, docs.where("book = 'src1' and doc_id % 40 < 20"), again.unionByName(gone)):
+        # a book's texts are in one file, so that a micro-batch has it whole
+        rows.drop("doc_id").repartition("book").write.mode("append").parquet(f"{place}/source")
+        stream = s.readStream.schema(rows.drop("doc_id").schema).option("maxFilesPerTrigger", 8).parquet(f"{place}/source")
+        follow(stream, stats, f"{place}/state")
+    return stats.terms().crossJoin(F.broadcast(stats.totals().select("documents", "tokens")))  # one row
+
+
+@BOOK(f"""with edge as (select quantile_disc(abs(x::double), 0.99) as edge from (select unnest(embedding) as x from embeddings)),
+  codes as (select vec_id, embedding as e, list_transform(embedding, lambda x: greatest(-127.0, least(127.0, round_even(x::double / edge * 127, 0)))) as c from embeddings, edge),
+  sized as (select *, sqrt(list_sum(list_transform(c, lambda x: x * x))) as size from codes),
+  pairs as (select q.vec_id as query_id, v.vec_id, q.e as v_, v.e as e, case when q.size * v.size > 0 then list_sum(list_transform(list_zip(q.c, v.c), lambda p: p[1] * p[2])) / (q.size * v.size) else 0 end as coarse from sized q, sized v where q.vec_id % 20 = 0),
+  few as (select * from pairs qualify row_number() over (partition by query_id order by coarse desc, vec_id) <= 20),
+  scored as (select query_id, vec_id, round(coalesce({_COS.replace(" e,", " e,").replace(", v)", ", v_)").replace("(v,", "(v_,")}, 0), 6) as score from few)
+  select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from scored qualify rank <= 10""")
+def quantised_stored(s, d):
+    """Each twentieth vector against all: the nearest ten by codes of eight bits, oversampled by two, then by the whole vectors."""
+    rows = table(s, d, "embeddings")
+    return vectors.nearest_stored(rows, rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
+
+
+@BOOK(f"with {_BM25} select doc_id, round(raw, 6) as score from bm order by 2 desc, 1 limit 10")
+def bm25_topk_blocks(s, d):
+    """The ten best of the sparse search with blocks skipped that cannot hold one."""
+    return blockmax.Search(*blockmax.stored_blocks(table(s, d, "documents")), QUERY).hits
