@@ -14,12 +14,15 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda t: t != "")
 
 
-def term_hash(term: str) -> Column:
-    """FNV-1a of the UTF-8 bytes, modulo the slots; takes a column name."""
-    return F.expr(
-        f"""pmod(aggregate(transform(sequence(1, octet_length({term})), i -> cast(conv(substr(hex(encode({term}, 'UTF-8')), 2*i-1, 2), 16, 10) as bigint)),
+def slot_of(term: str) -> str:
+    """SQL for the slot of a column: FNV-1a of the UTF-8 bytes, modulo the slots."""
+    return f"""pmod(aggregate(transform(sequence(1, octet_length({term})), i -> cast(conv(substr(hex(encode({term}, 'UTF-8')), 2*i-1, 2), 16, 10) as bigint)),
         cast(2166136261 as bigint), (a, b) -> pmod((a ^ b) * 16777619, 4294967296)), {TERM_SLOTS})"""
-    )
+
+
+def term_hash(term: str) -> Column:
+    """A column's slot; takes its name."""
+    return F.expr(slot_of(term))
 
 
 def snippet(text: Column, most: int = 240) -> Column:

@@ -8,14 +8,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import layout as L
-from ..operators import blockmax, intervals, outline, renames, vectors
+from ..functions import callables
+from ..operators import blockmax, intervals, outline, renames, schemas, vectors
 from ..operators.bookstats import BookStats, follow
 from ..operators.index import shared_root
+from ..sources import canonical
 from ..sources.tables import table
 from ..streaming import keyed
 from .book import Book
 from .layout import _case
-from .search import _BM25, _COS, _TOK, QUERY
+from .records import _letter_counts
+from .retrieval import _SHARE
+from .search import _BM25, _COS, _KNN, _TOK, QUERY, _first_vector
 
 BOOK = Book()
 
@@ -129,3 +133,70 @@ def quantised_stored(s, d):
 def bm25_topk_blocks(s, d):
     """The ten best of the sparse search with blocks skipped that cannot hold one."""
     return blockmax.Search(*blockmax.stored_blocks(table(s, d, "documents")), QUERY).hits
+
+
+def _called(s, d):
+    callables.register(s, table(s, d, "documents"), table(s, d, "embeddings"), _letter_counts)
+
+
+@BOOK(f"with {_BM25} select doc_id, round(raw, 6) as score from bm order by 2 desc, 1 limit 10")
+def sql_sparse_search(s, d):
+    """The sparse search called by name from SQL."""
+    _called(s, d)
+    return s.sql("select doc_id, score from sparse_search(:q, 10)", {"q": QUERY})
+
+
+@BOOK(f"with {_KNN} select vec_id, score from kn order by score desc, vec_id limit 10")
+def sql_dense_search(s, d):
+    """The dense search called by name, with the vector of a row."""
+    _called(s, d)
+    return s.sql("select vec_id, score from dense_search(:v, 10)", {"v": [float(x) for x in _first_vector(s, d)]})
+
+
+@BOOK(f"with {_BM25}, p as (select doc_id, round(raw, 6) as score from bm order by 2 desc, 1 limit 20) select doc_id, score, {_SHARE} as relevance from p join documents using (doc_id) order by relevance desc, score desc, doc_id limit 5")
+def sql_reranked_search(s, d):
+    """The sparse search's hits joined to their texts and handed to the reranker, all in SQL."""
+    _called(s, d)
+    table(s, d, "documents").createOrReplaceTempView("quill_documents")
+    return s.sql("select doc_id, score, relevance from rerank(table(select doc_id, score, text from sparse_search(:q, 20) join quill_documents using (doc_id)), :q, 5, 'lexical')", {"q": QUERY})
+
+
+@BOOK("select doc_id, len(regexp_extract_all(substr(text, 1, 800), 'e'))::double as e, len(regexp_extract_all(substr(text, 1, 800), 'n'))::double as n from documents where text is not null")
+def sql_embedded(s, d):
+    """A given embedder called by name; it sees a text's first 800 characters."""
+    _called(s, d)
+    table(s, d, "documents").createOrReplaceTempView("quill_documents")
+    return s.sql("select doc_id, v[0] as e, v[1] as n from (select doc_id, embed_text(text) as v from quill_documents where text is not null)")
+
+
+@BOOK("""select p_brand as slug, (row_number() over (partition by p_brand order by p_partkey) - 1)::int as ordinal, 'p' || p_partkey as id, case when p_partkey % 7 = 0 then 'patched' else p_name end as name, p_size as size, case when p_partkey % 7 = 0 then p_type end as extra from part""")
+def canonical_patch(s, d):
+    """Parts as documents of a brand, written by files of their own; every seventh record is patched, and all are read back."""
+    path = f"{shared_root(s)}/canonical-{uuid.uuid4().hex}"
+    id = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    part = table(s, d, "part").withColumn("slug", F.col("p_brand"))
+    record = F.to_json(F.struct(id.alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.array(F.lit("a"), F.lit('"q"')).alias("list")))
+    canonical.write_documents(part.select("slug", F.col("p_partkey").alias("ordinal"), record.alias("record")), path)
+    patch = F.to_json(F.struct(F.lit("patched").alias("name"), F.col("p_type").alias("extra")))
+    canonical.patch_documents(s, path, part.where("p_partkey % 7 = 0").select("slug", id.alias("id"), patch.alias("patch")))
+    got = lambda p: F.get_json_object("record", f"$.{p}").alias(p)
+    return canonical.read_documents(s, path).select("slug", "ordinal", got("id"), got("name"), got("size").cast("int").alias("size"), got("extra"))
+
+
+_SHAPED = """'{"id":' || p_partkey || ',"name":' || to_json(p_name) || ',"price":' || p_retailprice || case p_partkey % 3 when 0 then ',"sizes":[' || p_size || ',' || p_partkey || ']' when 1 then ',"odd":' || case when p_partkey % 2 = 0 then '1' else '"one"' end else ',"in":{"brand":' || to_json(p_brand) || ',"new":' || (p_size > 20) || '}' end || '}'"""
+
+
+@BOOK(rf"""with r as (select (['ring', 'tool'])[p_partkey % 2 + 1] as type, ({_SHAPED})::json as record from part), t as (select q.type, j.fullkey, j.type as kind from r q, json_tree(q.record) j),
+  n as (select type, regexp_replace(fullkey, '\[\d+\]', '[]', 'g') as path, case when kind in ('UBIGINT', 'BIGINT') then 'integer' when kind = 'DOUBLE' then 'number' when kind = 'VARCHAR' then 'string' else lower(kind) end as kind from t)
+  select type, path, case when count(distinct kind) = 1 then min(kind) else 'any' end as kind from n group by 1, 2""")
+def record_schemas(s, d):
+    """What the schemas of parts as records say of each path, by type: some fields are a type's own, one is of two kinds."""
+    k = F.col("p_partkey")
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    q = lambda c: F.to_json(F.array(c))
+    name = F.regexp_extract(q(F.col("p_name")), r"^\[(.*)\]$", 1)
+    brand = F.regexp_extract(q(F.col("p_brand")), r"^\[(.*)\]$", 1)
+    more = F.when(k % 3 == 0, text(',"sizes":[', F.col("p_size").cast("string"), ",", k.cast("string"), "]")).when(k % 3 == 1, text(',"odd":', F.when(k % 2 == 0, "1").otherwise('"one"'))).otherwise(text(',"in":{"brand":', brand, ',"new":', (F.col("p_size") > 20).cast("string"), "}"))
+    record = text('{"id":', k.cast("string"), ',"name":', name, ',"price":', F.col("p_retailprice").cast("string"), more, "}")
+    rows = table(s, d, "part").select(F.when(k % 2 == 0, "ring").otherwise("tool").alias("type"), record.alias("record"))
+    return schemas.schema_paths(schemas.json_schemas(rows))
