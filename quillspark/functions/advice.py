@@ -152,21 +152,35 @@ def assess(levels: list[int], xps: list[int], later: bool) -> tuple[int, int]:
     return sum(adjusted >= b for b in _budget(levels, later)), adjusted
 
 
-def build_encounter(levels: list[int], target: int, later: bool, xps: list[int]) -> tuple[list[int], int, int, bool]:
-    """Monsters picked one by one (their places), the band and adjusted experience they come to, and whether that is the target.
+def build_encounter(levels: list[int], target: int, later: bool, xps: list[int]) -> tuple[list[int], int, int, bool, str | None, int | None]:
+    """Monsters picked one by one (their places), the band and adjusted experience they come to, whether that is the target,
+    and why not: ``overshoot`` with the band that every further monster would come to at least, or ``scarce``.
 
-    The first pick is the anchor; later picks are worth less than it where any are. Each pick is the one that comes to
-    most without passing the target; at most fifteen.
+    The first pick is the anchor; later picks are worth less than it where any are. Each pick is the first of those that
+    come to most without passing the target; at most fifteen. Bands end at hard in the later edition.
     """
-    target = min(target, len(_budget(levels, later)))
+    budget, n = _budget(levels, later), len(levels)
+    target = min(target, len(budget))
+    shift = 1 if n < 3 else -1 if n > 5 else 0
     picked: list[int] = []
-    band, adjusted = assess(levels, [], later)
+    total = band = adjusted = 0
+    reason, over = None, None
     while band != target and len(picked) < MOST_MONSTERS:
+        step = max((k for k, (least, _) in enumerate(rules.MULTIPLIERS) if len(picked) + 1 >= least), default=0) + shift
+        factor = 1.0 if later else rules.STEPS[min(max(step, 0), len(rules.STEPS) - 1)]
         cheaper = [i for i, x in enumerate(xps) if picked and x < xps[picked[0]]]
-        trials = [(assess(levels, [xps[p] for p in picked] + [xps[i]], later), i) for i in cheaper or range(len(xps))]
-        fitting = [(t, i) for t, i in trials if t[0] <= target]
-        if not fitting:
+        best, passed = None, None
+        for i in cheaper or range(len(xps)):
+            worth = int((total + xps[i]) * factor + 0.5)
+            at = sum(worth >= b for b in budget)
+            if at > target:
+                passed = at if passed is None else min(passed, at)
+            elif best is None or worth > best[1]:
+                best = (i, worth, at)
+        if best is None:
+            reason, over = ("overshoot", passed) if xps else (None, None)
             break
-        (band, adjusted), best = max(fitting, key=lambda f: (f[0][1], -f[1]))
-        picked.append(best)
-    return picked, band, adjusted, band == target
+        picked.append(best[0])
+        total, adjusted, band = total + xps[best[0]], best[1], best[2]
+    matched = band == target
+    return picked, band, adjusted, matched, None if matched else reason or "scarce", None if matched else over

@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import jsontree as J
 from ..functions.text import name_key
+from ..sources.canonical import write_documents
 from .index import shared_root
 
 # Endings of files that stand beside records and are none, types of record in ids, armor codes.
@@ -19,24 +21,52 @@ ID_TYPES = "class|subclass|race|subrace|background|feat|spell|weapon|armor|item|
 ARMOR_CODES = ("la", "ma", "ha", "s")
 
 
-def write_rosters(rows: DataFrame) -> str:
-    """Rows (kind, ordinal, r: JSON) as one JSON document for each kind, ``{kind: [...]}``, in a new shared folder; returns it."""
-    spark = rows.sparkSession
-    folder = f"{shared_root(spark)}/rosters-{uuid.uuid4().hex}"
-    whole = rows.groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "r"))), lambda x: x["r"]), ",").alias("rs"))
-    documents = whole.select("kind", F.concat(F.lit('{"'), "kind", F.lit('":['), "rs", F.lit("]}")).alias("value"))
-    for kind in [r["kind"] for r in documents.select("kind").distinct().limit(1000).collect()]:  # kinds of roster: a handful
-        documents.where(F.col("kind") == kind).select("value").coalesce(1).write.mode("overwrite").text(f"{folder}/{kind}s.json")
+@dataclass(frozen=True)
+class Roster:
+    """Files by pattern, whose ``key`` is an array of records of a type; a second name's field; the category that is left out."""
+
+    pattern: str
+    type: str
+    key: str
+    alias: str | None = None
+    without_category: str | None = None
+
+
+#: Which files hold which rosters, in the order in which their names count.
+REGISTRY = (
+    Roster("spells-*.json", "Spell", "spell"), Roster("class-*.json", "Class", "class"), Roster("class-*.json", "Subclass", "subclass", alias="shortName"),
+    Roster("bestiary-*.json", "Monster", "monster"), Roster("items*.json", "Item", "item"), Roster("items-base*.json", "Item", "baseitem"),
+    Roster("backgrounds*.json", "Background", "background"), Roster("races*.json", "Race", "race"), Roster("feats*.json", "Feat", "feat", without_category="FS"),
+    Roster("conditionsdiseases*.json", "Condition", "condition"), Roster("deities*.json", "God", "deity"),
+)
+
+
+def write_rosters(rows: DataFrame, rosters: tuple[Roster, ...] = REGISTRY) -> str:
+    """Rows (key, source, ordinal, r: JSON) as files of JSON, one for each roster and source, in a new shared folder; returns it.
+
+    A file is written by the task that has its rows, a record at a time. Keys that no roster has are an error.
+    """
+    folder = f"{shared_root(rows.sparkSession)}/rosters-{uuid.uuid4().hex}"
+    known = {r.key: r for r in rosters}
+    if not rows.where(~F.coalesce(F.col("key").isin(*known), F.lit(False))).isEmpty():
+        raise ValueError(f"rosters are of {', '.join(known)}")
+    for key, roster in known.items():
+        own = rows.where(F.col("key") == key)
+        slug = F.concat(F.lit(roster.pattern.removesuffix(".json").rstrip("*").rstrip("-") + "-"), "source")
+        write_documents(own.select(slug.alias("slug"), "ordinal", F.col("r").alias("record")), folder, key)
     return folder
 
 
-def read_rosters(spark: SparkSession, folder: str, registry: list[tuple[str, str, str]]) -> DataFrame:
-    """type, ordinal, record (JSON) of every array element of the files that the registry (pattern, type, array key) names."""
+def read_rosters(spark: SparkSession, folder: str, rosters: tuple[Roster, ...] = REGISTRY) -> DataFrame:
+    """type, roster (its place), file, ordinal, alias and record (JSON) of every record; files of no roster and sidecars are not read."""
     parts = []
-    for order, (pattern, kind, key) in enumerate(registry):
-        files = spark.read.text(f"{folder}/{pattern}", wholetext=True).where(~F.col("_metadata.file_path").rlike(rf"\.({'|'.join(SIDECARS)})\.json"))
-        items = files.select(F.posexplode(F.from_json(F.get_json_object("value", f"$.{key}"), "array<string>")).alias("place", "record"))
-        parts.append(items.select(F.lit(kind).alias("type"), (F.lit(order) * 1_000_000_000_000 + F.col("place")).alias("ordinal"), "record"))
+    for order, r in enumerate(rosters):
+        files = spark.read.option("pathGlobFilter", r.pattern).text(folder, wholetext=True).where(~F.col("_metadata.file_name").rlike(rf"\.({'|'.join(SIDECARS)})\.json"))
+        items = files.select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.from_json(F.get_json_object("value", f"$.{r.key}"), "array<string>")).alias("ordinal", "record"))
+        if r.without_category is not None:
+            items = items.where(~F.coalesce(F.get_json_object("record", "$.category") == r.without_category, F.lit(False)))
+        alias = F.get_json_object("record", f"$.{r.alias}") if r.alias else F.lit(None).cast("string")
+        parts.append(items.select(F.lit(r.type).alias("type"), F.lit(order).alias("roster"), "file", "ordinal", alias.alias("alias"), "record"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -44,24 +74,38 @@ def read_rosters(spark: SparkSession, folder: str, registry: list[tuple[str, str
 
 
 def _named(rosters: DataFrame) -> DataFrame:
-    return rosters.select("type", "ordinal", F.get_json_object("record", "$.name").alias("name"), F.get_json_object("record", "$.source").alias("source"))
+    return rosters.select("type", _turn().alias("turn"), "alias", F.get_json_object("record", "$.name").alias("name"), F.get_json_object("record", "$.source").alias("source"))
+
+
+def _turn() -> Column:
+    """The order in which records are loaded: by roster, file and place."""
+    return F.struct("roster", "file", "ordinal")
 
 
 def type_lookup(rosters: DataFrame) -> DataFrame:
     """name_key, source_key, type: the last record of a lower-cased name and upper-cased source."""
     rows = _named(rosters).where("name is not null and source is not null")
-    return rows.groupBy(F.lower("name").alias("name_key"), F.upper("source").alias("source_key")).agg(F.max_by("type", _turn(rows)).alias("type"))
+    return rows.groupBy(F.lower("name").alias("name_key"), F.upper("source").alias("source_key")).agg(F.max_by("type", "turn").alias("type"))
 
 
-def _turn(rows: DataFrame) -> Column:
-    """Records take turns by place, rosters at one place by their order in the registry."""
-    return F.struct(F.col("ordinal") % 1_000_000_000_000, F.col("ordinal"))
+def by_id(rosters: DataFrame, source: str, id: Column) -> DataFrame:
+    """id and record of one source's records, by an id made of ``name``, ``type`` and ``source``; the last of an id stands."""
+    rows = rosters.select("*", F.get_json_object("record", "$.name").alias("name"), F.get_json_object("record", "$.source").alias("source"))
+    mine = rows.where((F.upper("source") == source.upper()) & F.col("name").isNotNull()).select(id.alias("id"), "record", _turn().alias("turn"))
+    return mine.groupBy("id").agg(F.max_by("record", "turn").alias("record"))
 
 
 def name_index(rosters: DataFrame) -> DataFrame:
-    """key, type, name: the distinct types of a normalised name, each with the first spelling."""
-    rows = _named(rosters).where("name is not null")
-    return rows.groupBy(name_key(F.col("name")).alias("key"), "type").agg(F.min_by("name", "ordinal").alias("name"))
+    """key, type, name, first: the distinct types of a normalised name, each with its first record's name, and whether the name is known by it first.
+
+    A second name is a key of its own for the record's name; it counts after the name itself.
+    """
+    rows = _named(rosters).where("name <> ''")
+    keys = rows.select("type", "name", F.struct("turn", F.lit(0).alias("second")).alias("turn"), name_key(F.col("name")).alias("key"))
+    more = rows.where("alias <> '' and alias <> name").select("type", "name", F.struct("turn", F.lit(1).alias("second")).alias("turn"), name_key(F.col("alias")).alias("key"))
+    each = keys.unionByName(more).groupBy("key", "type").agg(F.min(F.struct("turn", "name")).alias("n"))
+    lead = each.groupBy("key").agg(F.min("n.turn").alias("lead"))
+    return each.join(lead, "key").select("key", "type", F.col("n.name").alias("name"), (F.col("n.turn") == F.col("lead")).alias("first"))
 
 
 def dangling(records: DataFrame, key: str, fields: str, ids: DataFrame) -> DataFrame:
@@ -107,11 +151,12 @@ def short_name(key: Column, year: Column) -> Column:
 
 def books_of_intent(intents: DataFrame, books: DataFrame) -> DataFrame:
     """intent and the id of each book (id, year, group) that it names."""
-    said = F.lower(F.trim("intent"))
-    group = F.lower("group")
-    meets = (said.isin("core", "core books") & (group == "core")) | (said.isin("supplement", "supplements") & (group == "supplement")) | (said.isin("setting", "settings") & (group == "setting"))
-    meets = meets | (said.isin("2014", "5e") & (F.col("year") < 2020)) | (said.isin("2024", "5.5e") & (F.col("year") >= 2024))
-    named = intents.join(F.broadcast(books.limit(10_000)), meets).select("intent", "id")  # a catalogue of books
+    said, group = F.lower(F.trim("intent")), F.lower("group")
+    # what a book is named by: an equality join, of any number of books and intents
+    names = F.array_compact(F.array(
+        *[F.when(group == word, F.lit(name)) for word, spelt in (("core", ("core", "core books")), ("supplement", ("supplement", "supplements")), ("setting", ("setting", "settings"))) for name in spelt],
+        *[F.when(F.col("year") < 2020, F.lit(name)) for name in ("2014", "5e")], *[F.when(F.col("year") >= 2024, F.lit(name)) for name in ("2024", "5.5e")]))
+    named = intents.withColumn("_said", said).join(books.select("id", F.explode(names).alias("_said")), "_said").select("intent", "id")
     return named.unionByName(intents.where(said.isin("srd", "free rules")).select("intent", F.lit("srd52").alias("id")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import advice as A
 from ..functions import rules
+from ..operators import encounters
 from ..sources.tables import table
 from ..streaming import limits
 from .book import Book, literal, values
@@ -131,15 +132,43 @@ def party_levels(s, d):
     return rows.groupBy("c_custkey").agg(F.concat(F.lit("["), F.array_join(levels, ", "), F.lit("]")).alias("levels"))
 
 
-@BOOK()
+_CRS = list(rules.CR_XP)
+_THEMES = (None, "Ring", "widget", "nothing")
+_BOUNDS = "case when later then list_transform(range(1, 4), lambda b: list_sum(list_transform(levels, lambda v: (%s)[v][b]))) else list_transform(range(1, 5), lambda b: list_sum(list_transform(levels, lambda v: (%s)[v][b]))) end" % (
+    [list(r) for r in rules.BUDGETS_2024], [list(r) for r in rules.BUDGETS_2014])
+_FACTOR = "case when later then 1.0 else ([1.0, 1.5, 2.0, 2.5, 3.0, 4.0])[greatest(0, least(5, case when {n} >= 15 then 5 when {n} >= 11 then 4 when {n} >= 7 then 3 when {n} >= 3 then 2 when {n} >= 2 then 1 else 0 end + case when len(levels) < 3 then 1 when len(levels) > 5 then -1 else 0 end)) + 1] end::double"
+# of a step: each monster that may be next as [worth * 100 + 99 - place, band]
+_TRIALS = f"list_transform(list_filter(range(1, len(xps) + 1), lambda i: n = 0 or xps[i] < xps[picked[1]] or list_min(xps) >= xps[picked[1]]), lambda i: [floor((total + xps[i]) * {_FACTOR.format(n='(n + 1)')} + 0.5)::bigint * 100 + 99 - i, len(list_filter(budget, lambda b: floor((total + xps[i]) * {_FACTOR.format(n='(n + 1)')} + 0.5) >= b))])"
+
+
+@BOOK(f"""with recursive a as (select o_orderkey, list_transform(range(1, o_orderkey % 6 + 2), lambda i: (o_orderkey + i) % 20 + 1) as levels, (o_orderkey % 4 + 1)::int as target, o_orderkey % 5 = 0 as later, ({literal(_THEMES)})[o_orderkey // 3 % 4 + 1] as theme,
+      case when o_orderkey % 7 = 0 then 5.0::double end as gte, case when o_orderkey % 11 = 0 then 2.0::double end as lte from orders),
+  p as (select distinct levels, target, later, theme, gte, lte from a),
+  q as (select *, {_BOUNDS} as budget from p),
+  w as (select *, coalesce(lte, list_max(list_transform(list_filter({_CR}, lambda c: c.x <= budget[least(target, len(budget))]), lambda c: c.c)), 0) as hi, coalesce(gte, 0.125) as lo from q),
+  s as (select *, row_number() over () as id, case when lo > hi and gte is not null then lo else hi end as high, case when lo > hi and gte is null then hi else lo end as low, lo > hi and gte is not null and lte is not null as inverted from w),
+  m as (select p_partkey, p_partkey % 3 = 0 as later, ({_CRS})[p_size % {len(_CRS)} + 1]::double as cr, string_split(p_name, ' ') as words, row_number() over (order by p_retailprice desc, p_partkey) as place from part),
+  c as (select id, list(p_partkey order by place) as ids, list(x order by place) as xps from (select s.id, p_partkey, place, ({_CR})[list_position({_CRS}, cr)].x as x from s join m on m.later = s.later and cr between low and high and (theme is null or list_contains(words, lower(theme))) where not inverted qualify row_number() over (partition by s.id order by place) <= 20) group by 1),
+  r as (select s.id, levels, later, least(target, len(budget)) as goal, budget, coalesce(ids, []) as ids, coalesce(xps, []) as xps, []::bigint[] as picked, 0::bigint as total, 0::bigint as n, 0::bigint as band, 0::bigint as adjusted, null::varchar as reason, null::bigint as over, false as ended from s left join c on c.id = s.id where not inverted
+    union all select id, levels, later, goal, budget, ids, xps,
+      case when best is null then picked else list_append(picked, 99 - best % 100) end, case when best is null then total else total + xps[99 - best % 100] end, case when best is null then n else n + 1 end,
+      case when best is null then band else list_filter(trials, lambda t: t[1] = best)[1][2] end, case when best is null then adjusted else best // 100 end,
+      case when best is null and len(xps) > 0 then 'overshoot' end, case when best is null then list_min(list_transform(trials, lambda t: t[2])) end, best is null
+    from (select *, list_max(list_transform(list_filter(trials, lambda t: t[2] <= goal), lambda t: t[1])) as best from (select *, {_TRIALS} as trials from r where not ended and band <> goal and n < 15))),
+  f as (select *, band = goal as matched from r qualify row_number() over (partition by id order by n desc, ended desc) = 1)
+  select o_orderkey, array_to_string(list_transform(picked, lambda i: ids[i]), ',') as picked, band::int as band, adjusted::int as adjusted, matched, case when s.inverted then 'inverted' when not matched then coalesce(reason, 'scarce') end as reason, case when not matched then over end::int as over, coalesce(len(xps), 0)::int as candidates
+  from a join s on s.levels = a.levels and s.target = a.target and s.later = a.later and s.theme is not distinct from a.theme and s.gte is not distinct from a.gte and s.lte is not distinct from a.lte left join f on f.id = s.id""")
 def encounter_builder(s, d):
-    """A greedy encounter for each order's party, of the monsters of twelve challenge ratings; held against brute force in the tests."""
-    xps = [rules.CR_XP[c] for c in (0.125, 0.25, 0.5, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 12.0)]
-    build = F.udf(lambda levels, target: A.build_encounter(list(levels), target, False, xps), "struct<picked:array<int>,band:int,adjusted:int,matched:boolean>", useArrow=True)
+    """A greedy encounter for each order's party, of parts as monsters of its edition and theme, within bounds given or by the party's budget."""
     k = F.col("o_orderkey")
+    choose = lambda of, i: F.element_at(F.array(*map(F.lit, of)), (i + 1).cast("int"))
     levels = F.transform(F.sequence(F.lit(1), (k % 6 + 1).cast("int")), lambda i: ((k + i) % 20 + 1).cast("int"))
-    rows = table(s, d, "orders").select("o_orderkey", build(levels, (k % 4 + 1).cast("int")).alias("b"))
-    return rows.select("o_orderkey", F.array_join("b.picked", ",").alias("picked"), "b.band", "b.adjusted", "b.matched")
+    asks = table(s, d, "orders").select(
+        "o_orderkey", levels.alias("levels"), (k % 4 + 1).cast("int").alias("target"), (k % 5 == 0).alias("later"), choose(_THEMES, F.floor(k / 3) % 4).alias("theme"),
+        F.when(k % 7 == 0, 5.0).alias("cr_gte"), F.when(k % 11 == 0, 2.0).alias("cr_lte"))
+    price = -F.col("p_retailprice")
+    monsters = _part(s, d).select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 3 == 0).alias("later"), choose(_CRS, F.col("p_size") % len(_CRS)).alias("cr"), F.split("p_name", " ").alias("keywords"), price.alias("place"))
+    return encounters.built(asks, monsters).select("o_orderkey", F.array_join("picked", ",").alias("picked"), "band", "adjusted", "matched", "reason", "over", "candidates")
 
 
 @BOOK("""select p_partkey, case p_partkey % 4 when 0 then 'criminal' when 1 then 'military' when 2 then 'arcane' else 'default' end as party, case p_partkey % 4 when 0 then 'Bandit Captain' when 1 then 'Veteran' when 2 then 'Mage' else 'Veteran' end as leader from part""")

@@ -170,30 +170,44 @@ def variant_items(s, d):
     return made.select("p_partkey", "variant", *_got("item", "name"), F.get_json_object("item", "$.entries[0]").alias("entry"))
 
 
-@BOOK("""with r as (select p_partkey, p_name as name, p_brand as source, case when p_partkey % 2 = 0 then 'Item' else 'Spell' end as type from part),
-  i as (select lower(name) as k, upper(source) as s, arg_max(type, p_partkey) as type from r group by 1, 2) select k as name_key, s as source_key, type from i""")
+@BOOK("""with r as (select p_partkey, p_name as name, p_brand as source, case p_partkey % 4 when 0 then 'Item' when 1 then 'Spell' when 2 then 'Subclass' else 'Feat' end as type, case p_partkey % 4 when 0 then 4 when 1 then 0 when 2 then 2 else 8 end as roster from part where not (p_partkey % 4 = 3 and p_size > 25)),
+  i as (select lower(name) as k, upper(source) as s, arg_max(type, (roster, source, p_partkey)) as type from r group by 1, 2) select k as name_key, s as source_key, type from i""")
 def roster_type_lookup(s, d):
     """Rosters read from JSON files; of equal names and sources, the last record's type stands."""
     return O.type_lookup(_rosters(s, d))
 
 
-@BOOK("""select lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) as key, case when p_partkey % 2 = 0 then 'Item' else 'Spell' end as type, arg_min(p_name, p_partkey) as name from part group by 1, 2""")
+@BOOK("""with r as (select p_partkey, p_name, p_brand, p_type, case p_partkey % 4 when 0 then 'Item' when 1 then 'Spell' when 2 then 'Subclass' else 'Feat' end as type, case p_partkey % 4 when 0 then 4 when 1 then 0 when 2 then 2 else 8 end as roster from part where not (p_partkey % 4 = 3 and p_size > 25)),
+  k as (select lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) as key, type, p_name as name, roster, p_brand, p_partkey, 0 as second from r union all select lower(regexp_replace(p_type, '[^A-Za-z0-9]', '', 'g')), type, p_name, roster, p_brand, p_partkey, 1 from r where type = 'Subclass'),
+  f as (select key, type, arg_min(name, (roster, p_brand, p_partkey, second)) as name, min((roster, p_brand, p_partkey, second)) as turn from k group by 1, 2)
+  select key, type, name, turn = min(turn) over (partition by key) as first from f""")
 def roster_name_index(s, d):
-    """Each type that a normalised name has, with the first spelling."""
+    """Each type that a normalised name has, with its first record's name; subclasses also by their short name, feats without fighting styles."""
     return O.name_index(_rosters(s, d))
 
 
-@BOOK("select count(*) as records, count(*) filter (where p_partkey % 2 = 0) as items, sum(p_size)::bigint as sizes from part")
+@BOOK("select count(*) as records, count(*) filter (where p_partkey % 4 = 0) as items, sum(p_size)::bigint as sizes from part where not (p_partkey % 4 = 3 and p_size > 25)")
 def roster_import(s, d):
     """All rosters of a folder by registry of file pattern, type and array key; sidecar files are left out."""
     return _rosters(s, d).agg(F.count("*").alias("records"), F.count_if(F.col("type") == "Item").alias("items"), F.sum(F.get_json_object("record", "$.size").cast("long")).alias("sizes"))
 
 
 def _rosters(s, d) -> DataFrame:
-    """The parts as two rosters, written as JSON files the way such rosters come, and read through the registry."""
-    rows = _part(s, d).select("p_partkey", _json(name=F.col("p_name"), source=F.col("p_brand"), size=F.col("p_size")).alias("r"), F.when(F.col("p_partkey") % 2 == 0, "item").otherwise("spell").alias("kind"))
-    folder = O.write_rosters(rows.select("kind", F.col("p_partkey").alias("ordinal"), "r"))
-    return O.read_rosters(s, folder, [("items*.json", "Item", "item"), ("spells*.json", "Spell", "spell")])
+    """The parts as rosters of a brand each, written as JSON files the way such rosters come, and read through the registry."""
+    k = F.col("p_partkey")
+    key = F.element_at(F.array(*map(F.lit, ("item", "spell", "subclass", "feat"))), (k % 4 + 1).cast("int"))
+    record = _json(name=F.col("p_name"), source=F.col("p_brand"), size=F.col("p_size"), shortName=F.col("p_type"), category=F.when(F.col("p_size") > 25, "FS").otherwise("G"))
+    return O.read_rosters(s, O.write_rosters(_part(s, d).select(key.alias("key"), F.col("p_brand").alias("source"), k.alias("ordinal"), record.alias("r"))))
+
+
+@BOOK("""select case p_partkey % 4 when 0 then 'item' when 1 then 'spell' when 2 then 'subclass' else 'feat' end || '.' || p_name as id, max(p_partkey)::varchar as last from part where p_brand = 'Brand#7' and not (p_partkey % 4 = 3 and p_size > 25) group by 1""")
+def roster_by_id(s, d):
+    """One source's records by id; the last of an id stands."""
+    k = F.col("p_partkey")
+    key = F.element_at(F.array(*map(F.lit, ("item", "spell", "subclass", "feat"))), (k % 4 + 1).cast("int"))
+    record = _json(name=F.col("p_name"), source=F.col("p_brand"), n=k, category=F.when(F.col("p_size") > 25, "FS"))
+    rosters = O.read_rosters(s, O.write_rosters(_part(s, d).select(key.alias("key"), F.col("p_brand").alias("source"), k.alias("ordinal"), record.alias("r"))))
+    return O.by_id(rosters, "brand#7", F.concat_ws(".", F.lower("type"), F.col("name"))).select("id", F.get_json_object("record", "$.n").alias("last"))
 
 
 @BOOK("""with x as (select p_brand as source, p_name as spell, ['Wizard', 'Bard', 'Cleric'][p_partkey % 3 + 1] as class from part where p_size < 25),

@@ -27,8 +27,8 @@ class Staged(WriterCommitMessage):
 
 
 class CanonicalWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path, self.job = path.rstrip("/"), uuid.uuid4().hex
+    def __init__(self, path: str, key: str):
+        self.path, self.job, self.key = path.rstrip("/"), uuid.uuid4().hex, key
 
     def _open(self) -> tuple[fs.FileSystem, str]:
         return fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
@@ -50,7 +50,7 @@ class CanonicalWriter(DataSourceWriter):
                     raise ValueError(f"{now!r} names no document")
                 files.append((f"{staging}/{uuid.uuid4().hex}", f"{folder}/{now}.json"))
                 out = system.open_output_stream(files[-1][0])
-                out.write(b'{"entities":[')
+                out.write(f"{{{json.dumps(self.key)}:[".encode())
             else:
                 out.write(b",")
             json.loads(row["record"])  # what is no JSON ends the job, and with it nothing is changed
@@ -88,14 +88,14 @@ class Canonical(DataSource):
         return "slug string, ordinal long, record string"
 
     def writer(self, schema, overwrite: bool) -> CanonicalWriter:
-        return CanonicalWriter(self.options["path"])
+        return CanonicalWriter(self.options["path"], self.options.get("key", "entities"))
 
 
-def write_documents(rows: DataFrame, path: str) -> None:
-    """Writes the documents of (slug, ordinal, record); documents of other slugs stay as they are."""
+def write_documents(rows: DataFrame, path: str, key: str = "entities") -> None:
+    """Writes the documents of (slug, ordinal, record), each an array under ``key``; documents of other slugs stay as they are."""
     rows.sparkSession.dataSource.register(Canonical)
     given = rows.select("slug", F.col("ordinal").cast("long").alias("ordinal"), "record")
-    given.repartition("slug").sortWithinPartitions("slug", "ordinal").write.format("canonical").mode("append").save(path)
+    given.repartition("slug").sortWithinPartitions("slug", "ordinal").write.format("canonical").option("key", key).mode("append").save(path)
 
 
 def read_documents(spark: SparkSession, path: str, slugs: list[str] | None = None) -> DataFrame:

@@ -52,6 +52,7 @@ def test_encounters_are_built_greedily():
         xps, target, later = source.sample(worth, source.randint(0, 8)), source.randint(1, 4), source.random() < 0.5
         goal = min(target, 3) if later else target
         chosen: list[int] = []
+        why, over = "scarce", None
         while (now := advice.assess(levels, [xps[i] for i in chosen], later))[0] != goal and len(chosen) < 15:
             pool = [i for i in range(len(xps)) if chosen and xps[i] < xps[chosen[0]]] or list(range(len(xps)))
             best = None
@@ -60,9 +61,12 @@ def test_encounters_are_built_greedily():
                 if trial[0] <= goal and (best is None or trial[1] > best[1][1]):
                     best = (i, trial)
             if best is None:
+                bands = [advice.assess(levels, [xps[c] for c in chosen] + [xps[i]], later)[0] for i in pool]
+                why, over = ("overshoot", min(bands)) if xps else (why, over)
                 break
             chosen.append(best[0])
-        assert advice.build_encounter(levels, target, later, xps) == (chosen, *now, now[0] == goal)
+        matched = now[0] == goal
+        assert advice.build_encounter(levels, target, later, xps) == (chosen, *now, matched, None if matched else why, None if matched else over)
 
 
 @pytest.mark.parametrize(("value", "crafters", "days", "materials"), [(1000, 1, 100, 500), (50, 1, 5, 25), (75, 1, 8, 37), (1000, 4, 25, 500), (1000, 0, 100, 500), (0, 1, None, None)])
