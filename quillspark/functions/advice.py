@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 import re
 
 from pyspark.sql import Column
@@ -93,17 +92,13 @@ def dice(text: Column) -> Column:
     return F.when(F.coalesce(fits, F.lit(False)), F.struct(count.alias("count"), die.alias("die"), modifier.alias("modifier"), mode.alias("mode")))
 
 
-def roll(text: str, seed: int) -> int | None:
-    """A roll's total; the same for the same seed."""
-    found = re.match(DICE, text or "")
-    if not found:
-        return None
-    source, sides = random.Random(seed), int(found[2])
-    extra = int((found[3] or "0").replace(" ", ""))
-    if found[4]:
-        pair = [source.randint(1, sides) for _ in range(2)]
-        return (max if found[4].lower().startswith("adv") else min)(pair) + extra
-    return sum(source.randint(1, sides) for _ in range(int(found[1] or 1))) + extra
+def rolled(text: Column, seed: Column) -> Column:
+    """A roll's total, by a seed: each die from a hash of the seed and its place, so that a roll is the same again. Null for what is no roll."""
+    x = dice(text)
+    face = lambda i: F.conv(F.substring(F.md5(F.concat(seed.cast("string"), F.lit(":"), i.cast("string"))), 1, 8), 16, 10).cast("long") % x["die"] + 1
+    thrown = F.transform(F.sequence(F.lit(1), F.when(x["mode"] == "Normal", x["count"]).otherwise(2)), face)
+    total = F.when(x["mode"] == "Normal", F.aggregate(thrown, F.lit(0).cast("long"), lambda s, n: s + n)).when(x["mode"] == "Advantage", F.array_max(thrown)).otherwise(F.array_min(thrown))
+    return F.when(x.isNotNull(), total + x["modifier"])
 
 
 def spell_numbers(level: Column, score: Column) -> tuple[Column, Column]:

@@ -65,3 +65,14 @@ def built(asks: DataFrame, monsters: DataFrame) -> DataFrame:
     each = each.select(*_ASK, picked.alias("picked"), "b.band", "b.adjusted", "b.matched", F.when(F.col("inverted"), "inverted").otherwise(F.col("b.reason")).alias("reason"), "b.over", F.coalesce(F.when(~F.col("inverted"), F.size("xps")), F.lit(0)).alias("candidates"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"e.{c}")) for c in ("theme", "cr_gte", "cr_lte")] + [F.col(f"a.{c}") == F.col(f"e.{c}") for c in ("levels", "target", "later")]
     return asks.alias("a").join(each.alias("e"), same, "left").select("a.*", *[f"e.{c}" for c in ("picked", "band", "adjusted", "matched", "reason", "over", "candidates")])
+
+
+def archetypes(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """``wanted`` (archetype, cap) with ``id``: the smallest of the records (id, name, cr) of that name, whatever its case, within the cap.
+
+    Of a name and challenge only the smallest id counts, so that a name is one row with a short list.
+    """
+    least = known.where("name is not null and cr is not null").groupBy(F.lower("name").alias("_name"), "cr").agg(F.min("id").alias("id"))
+    listed = least.groupBy("_name").agg(F.collect_list(F.struct("cr", "id")).alias("_c"))
+    found = F.array_min(F.transform(F.filter("_c", lambda c: c["cr"] <= F.col("cap")), lambda c: c["id"]))
+    return wanted.join(listed, F.lower("archetype") == F.col("_name"), "left").withColumn("id", found).drop("_name", "_c")

@@ -10,7 +10,7 @@ from ..functions import rules
 from ..operators import encounters
 from ..sources.tables import table
 from ..streaming import limits
-from .book import Book, literal, values
+from .book import Book, literal
 
 BOOK = Book()
 
@@ -26,15 +26,6 @@ def crafting(s, d):
     return _part(s, d).select("p_partkey", A.craft_days(v, c).alias("days"), A.craft_materials(v).alias("materials"))
 
 
-_RARITIES = [(" Common", 1, 50), ("UNCOMMON", 2, 200), ("rare", 10, 2000), ("very-rare", 25, 20000), ("Very Rare", 25, 20000), ("legendary", 50, 100000), ("artifact", None, None), (None, None, None)]
-
-
-@BOOK(f"select r as rarity, w::int as workweeks, g::int as gold from {values(_RARITIES, 'r, w, g')}")
-def magic_item_crafting(s, d):
-    made = A.magic_craft(A.rarity_of(F.col("rarity")))
-    return s.createDataFrame([(r,) for r, *_ in _RARITIES], "rarity string").select("rarity", made["workweeks"].alias("workweeks"), made["gold"].alias("gold"))
-
-
 @BOOK("""select p_partkey, case when p_partkey % 4 = 0 then 'Edition2024' else 'Edition2014' end as edition, case p_partkey % 4 when 0 then 'Hard' when 1 then 'Trivial' else 'Medium' end as difficulty, case when 2010 + p_size >= 2024 or p_brand = 'Brand#1' then 'Edition2024' else 'Edition2014' end as source_edition from part""")
 def wish_parsing(s, d):
     """Editions and difficulties as said, with their defaults; a source's edition by year or key."""
@@ -51,33 +42,6 @@ def highest_challenge(s, d):
     return _part(s, d).select("p_partkey", A.highest_challenge(F.col("p_partkey") * 37).alias("cr"))
 
 
-_ROLLS = [("2d6+3", 2, 6, 3, "Normal"), ("d20 adv", 1, 20, 0, "Advantage"), (" 1D20 - 4 Disadvantage", 1, 20, -4, "Disadvantage"), ("2d20 adv", None, None, None, None), ("101d4", None, None, None, None), ("1d8+1001", None, None, None, None), ("3d7", None, None, None, None), ("", None, None, None, None), ("0d6", None, None, None, None), ("99999999999d6", None, None, None, None)]
-
-
-@BOOK(f"select t as text, c::int as count, d::int as die, m::int as modifier, o as mode from {values(_ROLLS, 't, c, d, m, o')}")
-def dice_expressions(s, d):
-    x = A.dice(F.col("text"))
-    return s.createDataFrame([(r[0],) for r in _ROLLS], "text string").select("text", *[x[c].alias(c) for c in ("count", "die", "modifier", "mode")])
-
-
-@BOOK("select p_partkey, true as within from part")
-def dice_rolls(s, d):
-    """Rolls by seed: within their bounds, and the same again."""
-    rolled = F.udf(A.roll, "int", useArrow=True)
-    text = F.concat(F.lit("3d6+"), (F.col("p_size") % 5).cast("string"))
-    rows = _part(s, d).select("p_partkey", (F.col("p_size") % 5).alias("extra"), rolled(text, "p_partkey").alias("a"), rolled(text, "p_partkey").alias("b"))
-    return rows.select("p_partkey", ((F.col("a") == F.col("b")) & F.col("a").between(F.col("extra") + 3, F.col("extra") + 18)).alias("within"))
-
-
-_SUBSETS = [(k, ", ".join(v)) for k, v in A.SUBSETS.items()]
-
-
-@BOOK(f"select c as class, p as proficiencies from {values([*_SUBSETS, ('Nobody', '')], 'c, p')}")
-def multiclass_proficiencies(s, d):
-    held = F.create_map(*[F.lit(x) for k, v in _SUBSETS for x in (k.lower(), v)])
-    return s.createDataFrame([(k,) for k, _ in _SUBSETS] + [("Nobody",)], "class string").select("class", F.coalesce(F.try_element_at(held, F.lower("class")), F.lit("")).alias("proficiencies"))
-
-
 @BOOK("""with s as (select p_partkey, p_size % 20 + 1 as level, p_partkey % 20 + 1 as score from part) select p_partkey, (8 + 2 + (level - 1) // 4 + floor((score - 10) / 2.0))::int as dc, (2 + (level - 1) // 4 + floor((score - 10) / 2.0))::int as attack, p_partkey % 25 <> 8 + 2 + (level - 1) // 4 + floor((score - 10) / 2.0) and p_partkey % 25 <> 0 as inconsistent from s""")
 def spell_numbers(s, d):
     """Save DC and attack bonus, and whether a recorded DC (0: none) differs."""
@@ -179,14 +143,16 @@ def themed_parties(s, d):
     return _part(s, d).select("p_partkey", A.party_of_theme(theme).alias("party")).withColumn("leader", F.element_at(leaders, F.col("party")))
 
 
-@BOOK("""with c as (select p_partkey as id, upper(p_name) as name, p_size / 2.0 as cr from part), a as (select o_orderkey, 'RED WIDGET' as archetype, o_orderkey % 30 as cap from orders where o_orderkey < 500)
+_ARCHETYPES = ("Red Widget", "SMALL RING", "hot gear", "Archmage")
+
+
+@BOOK(f"""with c as (select p_partkey as id, lower(p_name) as name, p_size / 2.0 as cr from part), a as (select o_orderkey, lower(({literal(_ARCHETYPES)})[o_orderkey % 4 + 1]) as archetype, o_orderkey % 30 as cap from orders)
   select o_orderkey, min(id) filter (where cr <= cap) as id, min(id) filter (where cr <= cap) is not null as in_corpus from a left join c on name = archetype group by 1""")
 def npc_archetypes(s, d):
     """The first record of an archetype's exact name within the challenge asked for."""
-    wanted = table(s, d, "orders").where("o_orderkey < 500").select("o_orderkey", F.lit("Red Widget").alias("archetype"), (F.col("o_orderkey") % 30).alias("cap"))
-    known = _part(s, d).select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"), (F.col("p_size") / 2).alias("cr"))
-    found = wanted.join(known, F.lower("archetype") == F.col("name"), "left").groupBy("o_orderkey").agg(F.min(F.when(F.col("cr") <= F.col("cap"), F.col("id"))).alias("id"))
-    return found.withColumn("in_corpus", F.col("id").isNotNull())
+    wanted = table(s, d, "orders").select("o_orderkey", F.element_at(F.array(*map(F.lit, _ARCHETYPES)), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("archetype"), (F.col("o_orderkey") % 30).alias("cap"))
+    known = _part(s, d).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_size") / 2).alias("cr"))
+    return encounters.archetypes(wanted, known).select("o_orderkey", "id", F.col("id").isNotNull().alias("in_corpus"))
 
 
 @BOOK("""with r as (select event_id, user_id, floor(value)::int % 3 as roll, user_id % 2 as m, event_id % 2 = 0 as pl from events), o as (select *, row_number() over w as place, lag(event_id) over w as up, lag(roll) over w as proll, lag(pl) over w as ppl, lead(event_id) over w as down, lead(roll) over w as nroll, lead(pl) over w as npl from r window w as (partition by user_id order by roll desc nulls last, m desc, pl desc, event_id))
@@ -232,15 +198,13 @@ def zip_by_position(s, d):
     return _part(s, d).select("p_partkey", F.transform(pairs, lambda z: F.concat_ws("=", z["a"], z["b"]))[0].alias("pair"))
 
 
-@BOOK("""with h as (select c_custkey as campaign, s_suppkey as hero, case when s_suppkey % 3 <> 0 then s_suppkey % 60 end as hp from customer join supplier on s_nationkey = c_nationkey where c_custkey < 200)
-  select campaign, 'hero' || hero as name, true as is_player, coalesce(hp, 0) as hp from h union all select c_custkey, 'monster' || i, false, (i + 1) * 7 from customer, range(3) r(i) where c_custkey < 200""")
+@BOOK("""select o_custkey as campaign, 'hero' || o_orderkey as name, true as is_player, case when o_orderkey % 3 <> 0 then o_orderkey % 60 else 0 end as hp from orders union all select c_custkey, 'monster' || i, false, (i + 1) * 7 from customer, range(3) r(i)""")
 def combat_draft(s, d):
-    """A combat's combatants: the campaign's heroes from their latest sheets, and monsters at average hit points."""
-    campaigns = table(s, d, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("campaign"), "c_nationkey")
-    heroes = table(s, d, "supplier").select("s_nationkey", F.col("s_suppkey").alias("hero"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_suppkey") % 60).alias("hp"))
-    party = campaigns.join(heroes, F.col("c_nationkey") == F.col("s_nationkey")).select("campaign", F.concat(F.lit("hero"), F.col("hero").cast("string")).alias("name"), F.lit(True).alias("is_player"), F.coalesce("hp", F.lit(0)).alias("hp"))
+    """A combat's combatants: the campaign's heroes, here its orders, from their latest sheets, and monsters at average hit points."""
+    heroes = table(s, d, "orders").select(F.col("o_custkey").alias("campaign"), F.col("o_orderkey").alias("hero"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 60).alias("hp"))
+    party = heroes.select("campaign", F.concat(F.lit("hero"), F.col("hero").cast("string")).alias("name"), F.lit(True).alias("is_player"), F.coalesce("hp", F.lit(0)).alias("hp"))
     monsters = F.array(*[F.struct(F.lit(f"monster{i}").alias("name"), F.lit((i + 1) * 7).cast("long").alias("hp")) for i in range(3)])
-    return party.unionByName(campaigns.select("campaign", F.inline(monsters)).withColumn("is_player", F.lit(False)))
+    return party.unionByName(table(s, d, "customer").select(F.col("c_custkey").alias("campaign"), F.inline(monsters)).withColumn("is_player", F.lit(False)))
 
 
 @BOOK("select o_custkey as campaign, o_orderkey as session, case o_orderkey % 4 when 0 then 'criminal' when 1 then 'military' when 2 then 'arcane' else 'default' end as party, least(o_orderkey % 6 + 1, 5)::int as heroes, p_name as lore from orders left join part on p_partkey = o_orderkey")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import layout as L
 from ..operators import layout as S
 from ..sources.tables import table
-from .book import Book, literal, values
+from .book import Book, literal
 
 BOOK = Book()
 WORDS = ["Spell Lists", "DRAGON lairs", "Class Features", "Using Equipment", "Traps", "Combat", "History of", "Personality", "Notes", "The Planes", "Backgrounds of", "Nine gods", "Treasure", "Races", "Chapter"]
@@ -60,14 +60,6 @@ def confident_contents(s, d):
     return S.confident_contents(table(s, d, "orders").select("o_orderkey", _order_head().alias("text")), "text").select("o_orderkey", "category")
 
 
-_SPACED = [("B ULLYWUG", "BULLYWUG"), ("A CT IONS", "ACTIONS"), ("A CTI ONS", "A CTI ONS"), ("XP COSTS", "XP COSTS"), ("ABE ER RATIONS", "ABEERRATIONS"), ("THE GI ANT", "THE GIANT"), ("Mixed C ase", "Mixed C ase"), ("CHAPTER O F", "CHAPTER OF"), ("D20 ROLLS", "D20 ROLLS"), ("ONE", "ONE"), ("", ""), (None, None)]
-
-
-@BOOK(f"select h as heading, w as despaced from {values(_SPACED, 'h, w')}")
-def heading_despaced(s, d):
-    return s.createDataFrame([(a,) for a, _ in _SPACED], "heading string").select("heading", L.column_of(L.despaced, "string")(F.col("heading")).alias("despaced"))
-
-
 @BOOK("""select l_orderkey, l_linenumber, 'part ' || l_partkey || ' & more' as cell, l_quantity::int::varchar as amount from lineitem where l_orderkey % 3 <> 0""")
 def html_table_rows(s, d):
     """Lines as tables of one row; every third has one column only and is no table."""
@@ -105,23 +97,6 @@ def section_groups(s, d):
     return S.section_groups(blocks, "book", "place", "title", "page", "body").drop("group")
 
 
-_ITEMS = [
-    ("section_header", "Goblin Boss"), ("text", "Small humanoid (goblinoid), neutral evil"), ("text", "Armor Class 17"), ("text", "Hit Points 21"), ("section_header", "ACTIONS"), ("text", "Scimitar."),
-    ("section_header", "Lore"), ("text", "Large claims about goblins."), ("text", "Nothing more."), ("text", "Nor here."),
-    ("section_header", "A heading that is far too long to be the name of any kind of creature"), ("text", "Huge giant, chaotic evil"), ("text", "Notes"), ("text", "armor class 14"), ("title", "Ogre"),
-    ("text", "large giant"), ("text", "Armor Class 11"), ("text", "Medium beast, unaligned"), ("text", "Armor Class 12"), ("text", "end"),
-]
-_BLOCKS = [(1, "Goblin Boss", 5), (11, "Lore", 3), (15, "Ogre", 2), (17, "Ogre", 3)]
-
-
-@BOOK(f"select b as book, i as place, name, n as lines from range(3) r(b), {values(_BLOCKS, 'i, name, n')}")
-def stat_blocks(s, d):
-    """The same items in three books; a block ends where the next begins or an outer heading stands."""
-    rows = [(b, i, kind, text) for b in range(3) for i, (kind, text) in enumerate(_ITEMS)]
-    found = S.stat_blocks(s.createDataFrame(rows, "book long, place int, kind string, text string"), "book", "place")
-    return found.select("book", "place", "name", F.size(F.split("text", "\n")).alias("lines"))
-
-
 @BOOK(f"""with c as (select o_orderkey, o_custkey as book, {_ORDER_HEAD_SQL} as title, case when o_custkey % 4 = 0 then 'Rule' else {_case(_ORDER_HEAD_SQL)} end as c from orders),
   t as (select *, {_TYPE} as type, bool_and({_TYPE} is null) over (partition by book) as failed, lower(regexp_replace(title, '[^A-Za-z0-9]', '', 'g')) = 'chapter' as monster from c)
   select o_orderkey, coalesce(type, 'Monster') as type, case when type is null and monster then 'The Chapter' else title end as name from t where type is not null or monster or failed""")
@@ -132,14 +107,6 @@ def section_candidates(s, d):
     return S.candidates(rows, "category", "title", s.createDataFrame([("chapter", "The Chapter")], "key string, canonical string")).select("o_orderkey", "type", "name")
 
 
-_TITLES = [("THE LORD OF THE RINGS", "The Lord of the Rings"), ("half-ORC and a GP", "Half-Orc and a GP"), ("(the npcs' guide)", "(The NPCs' Guide)"), ("AOE in D&D", "AoE in D&D"), ("-- x", "-- X"), ("", ""), ("MAN-OF-WAR", "Man-of-War"), ("ÉLAN vital!", "ÉLan Vital!")]
-
-
-@BOOK(f"select n as name, t as title from {values(_TITLES, 'n, t')}")
-def name_title_case(s, d):
-    return s.createDataFrame([(a,) for a, _ in _TITLES], "name string").select("name", L.title_case(F.col("name")).alias("title"))
-
-
 _NAMES = ["upper(p_name)", "p_name", "'f ' || p_name", "p_name || '... 3'", "replace(p_name, 'i', 'I')", "'X'"]
 
 
@@ -158,33 +125,25 @@ def name_without_stat_line(s, d):
     return table(s, d, "part").select("p_partkey", L.without_stat_line(F.concat(name, tail)).alias("name"))
 
 
-_SIGNS = [
-    ("Armor class 12, hit points 3, Challenge 1/2", "Goblin", "stat"), ("Huge object. Armor Class 12. Hit Points 30", "Ballista", "object"), ("Ring of x, very rare", "Ring", "magic"), ("This Wondrous Item glows", "Orb", "magic"),
-    ("1d8 slashing", "Sword", "item"), ("Armor Class 14, 30 gp", "Mail", "item"), ("Starting at 3rd level, and at sixth level", "Path", "levels"), ("at 3rd level and when you reach 3rd level", "Path", "none"),
-    ("10th-level feature; 6th-level feature", "Oath", "levels"), ("nothing", "Step 2", "none"), ("nothing", "Actions", "none"), ("nothing", "12 men", "none"), ("nothing", "Dragon's Lair", "none"),
-]
-_LIKE = {"Step 2": False, "Actions": False, "12 men": False, "Dragon's Lair": False}
-
-
-@BOOK(f"select text, name, sign, nl as name_like from {values([(*r, _LIKE.get(r[1], True)) for r in _SIGNS], 'text, name, sign, nl')}")
-def content_signatures(s, d):
-    t = F.col("text")
-    sign = F.when(L.object_stat_block(t), "object").when(L.complete_stat_block(t), "stat").when(L.magic_item(t), "magic").when(L.plain_item(t), "item").when(L.level_progression(t), "levels").otherwise("none")
-    return s.createDataFrame([r[:2] for r in _SIGNS], "text string, name string").select("text", "name", sign.alias("sign"), L.name_like(F.col("name")).alias("name_like"))
-
-
 @BOOK("select p_partkey, p_name || ' of fire and (' || p_type || ')' as text from part")
 def markup_stripped(s, d):
     text = F.concat(F.lit("{@item "), "p_name", F.lit("|PHB|x} of {@spell fire} and ({@b "), "p_type", F.lit("})"))
     return table(s, d, "part").select("p_partkey", L.without_markup(text).alias("text"))
 
 
-@BOOK("""with w as (select doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 20, 60)), '[^\\p{L}\\p{Nd}]+'), lambda x: length(x) >= 3))) as v from documents),
-  s as (select doc_id, list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 60)), '[^\\p{L}\\p{Nd}]+'), lambda x: x <> '')) as src from documents),
-  m as (select doc_id, bool_and(len(list_filter(src, lambda b: v = b or levenshtein(v, b) <= greatest(1, least(length(v), length(b)) // 4))) > 0) as grounded from w join s using (doc_id) group by 1)
-  select doc_id, coalesce(grounded, false) as grounded from documents left join m using (doc_id)""")
+_WORD_SQL = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: length(x) >= {}))"
+
+
+@BOOK(f"""with r as (select o_orderkey, replace(lower(o_orderpriority), 'e', 'a') || case when o_orderkey % 3 = 0 then ' by ' || o_orderkey else '' end as said, o_orderkey // 10 || ' was ' || o_orderpriority || ' in ' || o_orderstatus as source from orders),
+  w as (select o_orderkey, unnest({_WORD_SQL.format('said', 3)}) as v from r), s as (select o_orderkey, {_WORD_SQL.format('source', 1)} as src from r),
+  m as (select o_orderkey, bool_and(len(list_filter(src, lambda b: v = b or levenshtein(v, b) <= greatest(1, least(length(v), length(b)) // 4))) > 0) as grounded from w join s using (o_orderkey) group by 1)
+  select o_orderkey, coalesce(grounded, false) as grounded from orders left join m using (o_orderkey)""")
 def grounding_by_words(s, d):
-    return table(s, d, "documents").select("doc_id", F.coalesce(S.grounded_in(F.substring("text", 20, 60), F.substring("text", 1, 60)), F.lit(False)).alias("grounded"))
+    """What is said of an order, misspelt and sometimes with its number, against the whole of its source."""
+    k = F.col("o_orderkey")
+    said = F.concat(F.replace(F.lower("o_orderpriority"), F.lit("e"), F.lit("a")), F.when(k % 3 == 0, F.concat(F.lit(" by "), k.cast("string"))).otherwise(""))
+    source = F.concat(F.floor(k / 10).cast("string"), F.lit(" was "), "o_orderpriority", F.lit(" in "), "o_orderstatus")
+    return table(s, d, "orders").select("o_orderkey", F.coalesce(S.grounded_in(said, source), F.lit(False)).alias("grounded"))
 
 
 @BOOK("""with v as (select p_partkey, p_name as name, p_partkey % 5 = 0 as t0, case when p_partkey % 3 <> 0 then p_size / 50.0 end as score, case p_partkey % 4 when 0 then true when 1 then false end as judged, p_partkey % 7 <> 0 as enabled, case p_partkey % 6 when 0 then 'low' when 1 then 'high' end as conf from part),
@@ -197,19 +156,6 @@ def grounding_verdicts(s, d):
     return rows.select("p_partkey", "status", S.disposition(F.col("status"), F.col("p_name"), F.col("conf")).alias("disposition"), S.action(F.col("status"), F.col("p_name")).alias("action"))
 
 
-_RESOLVE = [
-    ("Fireball", "nothing", ["Spell"], "Spell", "Spell", "Force:Spell"), ("Step 3", "x", ["Monster"], None, None, "Drop"), ("Boat", "Large object, armor class 15, hit points 3", ["Item"], None, None, "Force:Object"),
-    ("Orc", "Armor Class 13 Hit Points 15 Challenge 1/2", ["Spell"], None, None, "Force:Monster"), ("Orb", "wondrous item", ["Item"], None, "Item", "Force:MagicItem"), ("Elf", "tall", ["Monster"], None, "Race", "Force:Race"),
-    ("Cart", "wood", ["Monster", "Object"], None, None, "Defer"), ("Goblin King", "tale", ["Monster", "Item"], None, None, "Decline"), ("Potion", "red", ["Item"], None, None, "Defer"),
-]
-
-
-@BOOK(f"select name, o as outcome from {values([(r[0], r[5]) for r in _RESOLVE], 'name, o')}")
-def type_resolver(s, d):
-    rows = s.createDataFrame([r[:5] for r in _RESOLVE], "name string, text string, prior array<string>, same string, other string")
-    return rows.select("name", S.resolved_type(*map(F.col, ("name", "text", "prior", "same", "other"))).alias("outcome"))
-
-
 @BOOK("""with n as (select p_partkey, case when p_partkey % 3 = 0 then upper(p_name) when p_partkey % 3 = 1 then p_name || ' x ray' else p_name end as name from part)
   select p_partkey, case when p_partkey % 3 = 0 then array_to_string(list_transform(string_split(lower(name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') else name end as name, p_partkey % 3 = 1 as needs_review from n""")
 def name_normalizer(s, d):
@@ -221,16 +167,6 @@ def name_normalizer(s, d):
     return rows.select("p_partkey", F.when(fixable, L.title_case(F.col("name"))).otherwise(F.col("name")).alias("name"), (~fixable & L.scanning_marks(F.col("name"))).alias("needs_review"))
 
 
-_CHUNKED = "## One\nalpha beta gamma delta\n\nplain words that go on for a while\n| a | b |\n|---|---|\n| 1 | 2 |\n" + "z" * 50 + "\n\n \n### Two\nend"
-_CHUNKS = ["## One\nalpha beta gamma delta", "plain words that go on for a while", "| a | b |\n|---|---|\n| 1 | 2 |", "z" * 32, "z" * 18 + "\n### Two\nend"]
-
-
-@BOOK(f"select i as chunk, t as text from {values(list(enumerate(_CHUNKS)), 'i, t')}")
-def semantic_chunks(s, d):
-    cut = L.column_of(lambda t: L.semantic_chunks(t, 8), "array<string>")
-    return s.createDataFrame([(_CHUNKED,)], "t string").select(F.posexplode(cut(F.col("t"))).alias("chunk", "text"))
-
-
 @BOOK("select doc_id, (case when length(text) // 4 <= 100 then 1 end)::int as chunks, length(text)::int as chars from documents where length(text) // 4 <= 100 and trim(text) <> ''")
 def semantic_chunks_short(s, d):
     """Texts within the budget are one chunk, as they are."""
@@ -239,23 +175,6 @@ def semantic_chunks_short(s, d):
     return rows.select("doc_id", F.size("c").alias("chunks"), F.length(F.col("c")[0]).alias("chars"))
 
 
-_RAW = [
-    ("text", "ACID SPLASH Conjuration cantrip", None), ("text", "Casting Time: 1 action", None), ("text", "GNOME TRAITS", 1), ("text", "Your gnome has traits.", None), ("text", "GNOME TRAITS", 1), ("text", "Range: 60 feet", 2), ("text", "FIREBALL 3rd-level evocation", 1),
-    ("table", "Loot", None), ("text", "AID\n2nd-level abjuration\nCasting Time: 1 action", None), ("text", "", None), ("image", "x", None), ("text", "2nd-level abjuration", None), ("text", "Plain prose of no level.", None),
-]
-_PROMOTED = [
-    (0, 0, "section_header", "ACID SPLASH", 2), (0, 1, "text", "ACID SPLASH Conjuration cantrip", None), (1, 0, "text", "Casting Time: 1 action", None), (2, 0, "section_header", "GNOME", 1), (3, 0, "text", "Your gnome has traits.", None), (4, 0, "section_header", "GNOME TRAITS", 1), (5, 0, "text", "Range: 60 feet", None),
-    (6, 0, "section_header", "FIREBALL", 1), (7, 0, "table", "Loot", None), (8, 0, "section_header", "AID", 2), (8, 1, "text", "AID\n2nd-level abjuration\nCasting Time: 1 action", None), (11, 0, "text", "2nd-level abjuration", None), (12, 0, "text", "Plain prose of no level.", None),
-]
-
-
-@BOOK(f"select b as book, i as place, p as part, k as kind, t as text, l::int as level from range(40) r(b), {values(_PROMOTED, 'i, p, k, t, l')}")
-def heading_promotion(s, d):
-    """The same layout blocks in forty books: names of spells and races become headings."""
-    rows = [(b, i, kind, text, level, "<tr>" if kind == "table" else None) for b in range(40) for i, (kind, text, level) in enumerate(_RAW)]
-    return S.promoted(s.createDataFrame(rows, "book long, place int, kind string, text string, level int, html string"), "book", "place")
-
-
 @BOOK("""with p as (select p_partkey, p_size, (row_number() over (order by p_partkey) - 1) // 50 as batch from part where p_partkey % 3 = 0 and p_partkey % 2 = 0) select batch, count(*) as records, count(*) filter (where p_size > 25) as promoted from p group by 1""")
 def reground_batches(s, d):
     """Records still under review graded anew, in batches of fifty after which a checkpoint is written; those that one lists are left out."""

@@ -97,7 +97,6 @@ QUERIES = {
     "bm25_topk": bm25_topk,
     "bm25_without_index": lambda s, d: R.top(R.bm25_scores(_docs(s, d), QUERY).withColumn("score", F.round("score", 6)), 10, "doc_id").select("doc_id", "score"),
     "bm25_index_build": lambda s, d: I.stored_index(_docs(s, d)).groupBy("idx").agg(F.count("*").alias("documents"), F.round(F.sum("weight"), 4).alias("weight")),
-    "bm25_query_vector": lambda s, d: R.query_vector(s, QUERY),
     "corpus_stats": lambda s, d: R.corpus_stats(_docs(s, d)).withColumn("avgdl", F.round("avgdl", 6)),
     "term_df": lambda s, d: R.document_frequency(_docs(s, d)),
     "term_hash_weights": lambda s, d: R.document_frequency(_docs(s, d)).withColumn("idx", term_hash("term")).groupBy("idx").agg(F.count("*").alias("terms"), F.sum("df").alias("df")),
@@ -121,7 +120,6 @@ ORACLES = {
     "bm25_topk": f"with {_BM25} select doc_id, round(raw, 6) as score from bm order by score desc, doc_id limit 10",
     "bm25_without_index": f"with {_BM25} select doc_id, round(raw, 6) as score from bm order by score desc, doc_id limit 10",
     "bm25_index_build": f"with {_BM25}, p as (select th.idx, doc_id, sum((ln((n+1)/(df+1)) + 1) * (tf*2.5 / (tf + 1.5*(0.25 + 0.75*l/(t/n))))) as weight from tf join th using (term), st group by 1, 2) select idx, count(*) as documents, round(sum(weight), 4) as weight from p group by 1",
-    "bm25_query_vector": f"with {_BM25} select idx, weight from q",
     "corpus_stats": f"with {_BM25} select n as documents, coalesce(t, 0)::bigint as total_tokens, round(case when n = 0 then 1.0 else t/n end, 6) as avgdl from st",
     "term_df": f"with {_BM25} select term, df from df",
     "term_hash_weights": f"with {_BM25} select idx, count(*) as terms, sum(df)::bigint as df from th group by 1",
