@@ -132,10 +132,13 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
-def centroids(vectors: DataFrame) -> DataFrame:
-    """label, centroid: the mean vector of each label."""
+def centroids(vectors: DataFrame, unit: bool = False) -> DataFrame:
+    """label, centroid: the mean vector of each label, of length one if asked for; a mean of zeros stays."""
     parts = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
-    return parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
+    means = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
+    if not unit:
+        return means
+    return means.withColumn("_size", norm(F.col("centroid"))).withColumn("centroid", F.when(F.col("_size") > 0, F.transform("centroid", lambda x: x / F.col("_size"))).otherwise(F.col("centroid"))).drop("_size")
 
 
 def routed(vectors: DataFrame, floor: float = 0.45) -> DataFrame:

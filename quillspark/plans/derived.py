@@ -12,6 +12,7 @@ from ..functions.text import term_hash, tokens
 from ..operators import curation as C
 from ..operators import layout as S
 from ..operators import mutations as M
+from ..operators import rendering
 from ..operators import rosters as O
 from ..sources.tables import table
 from .book import Book, literal
@@ -266,3 +267,24 @@ def draconic_ancestry(s, d):
     row = F.to_json(F.array(F.col("p_brand"), F.upper("p_type"), _text(F.col("p_size").cast("string"), " ft. cone", F.when(_k() % 4 == 0, " (Dex. save)").when(_k() % 4 == 1, " (con save)").when(_k() % 4 == 2, " (Lck. save)").otherwise(""))))
     race = _text('{"name":"Dragonborn","entries":["x",{"type":"entries","entries":[{"type":"table","caption":"Other","rows":[["a","b","c"]]},{"type":"table","caption":"Draconic Ancestry","rows":[', row, "]}]}]}")
     return _part(s, d).select("p_partkey", F.inline(J.arrow(J.ancestry_rows, "array<struct<ancestry:string,damage_type:string,breath_area:string,save_ability:string,option:int>>")(race)))
+
+
+_N = "chr(10)"
+
+
+@BOOK(f"""select p_partkey, case p_partkey % 4
+  when 0 then p_name || ' — Small, Huge ' || lower(p_type) || ', Lawful Any alignment' || {_N} || 'AC ' || p_size || {_N} || 'HP ' || p_partkey || ' (2d6)' || {_N} || 'Speed walk 30 ft., fly ' || p_brand || {_N} || 'STR 10 CHA ' || p_size || {_N} || 'CR 1/' || p_size || {_N} || 'Traits:' || {_N} || '  Keen: has ' || p_name || {_N} || '  Odd' || {_N} || 'Legendary — Roar' || {_N}
+  when 1 then p_name || ' — ' || case p_size % 5 when 0 then 'Evocation cantrip' when 1 then '1st-level Evocation' when 2 then '2nd-level Evocation' when 3 then '3rd-level Evocation' else '4th-level Evocation' end || {_N} || 'Casting Time: 1 action' || {_N} || 'Range: ' || p_size || ' feet' || {_N} || 'Components: V, M (' || p_brand || ')' || {_N} || 'Duration: Concentration, up to 1 minute' || {_N} || {_N} || 'A ' || p_type || '.' || {_N} || 'inner' || {_N} || {_N} || 'At Higher Levels: more' || {_N}
+  when 2 then p_name || ' (' || p_type || ' subclass).' || {_N} || case when p_size > 7 then 'Features: ' || p_brand || ' (7), Aura (' || p_size || ').' else 'Features: Aura (' || p_size || '), ' || p_brand || ' (7).' end || {_N}
+  else p_name || ' — Object' || {_N} || 'AC ?' || {_N} || 'HP ' || p_size || {_N} || 'Damage Immunities: poison, ' || lower(p_type) || {_N} || 'Actions:' || {_N} || '  Bolt: hits' || {_N} || 'A thing.' || {_N} end as text from part""")
+def record_texts(s, d):
+    """Parts as monsters, spells, subclasses and objects, told by their fields."""
+    size, key = F.col("p_size").cast("string"), _k().cast("string")
+    name, kind, brand = F.col("p_name"), F.col("p_type"), F.col("p_brand")
+    monster = _text('{"size":["S","h"],"type":{"type":"', F.lower(kind), '","tags":["x"]},"alignment":["L","A"],"ac":[{"ac":', size, '}],"hp":{"average":', key, ',"formula":"2d6"},"speed":{"walk":30,"fly":"', brand, '"},"str":10,"cha":', size, ',"cr":{"cr":"1/', size, '"},"trait":[{"name":"Keen","entries":["has {@b ', name, '}"]},{"name":"Odd","entries":[{"x":1}]}],"legendary":[{"name":"Roar"}]}')
+    spell = _text('{"level":', (F.col("p_size") % 5).cast("string"), ',"school":"v","time":[{"number":1,"unit":"action"}],"range":{"type":"point","distance":{"type":"feet","amount":', size, '}},"components":{"v":true,"m":{"text":"', brand, '"}},"duration":[{"type":"timed","duration":{"type":"minute","amount":1}}],"concentration":true,"entries":["A ', kind, '.",{"type":"entries","entries":[{"items":["inner"]}]}],"entriesHigherLevel":["more"]}')
+    subclass = _text('{"className":"', kind, '","subclassFeatures":["Aura|Y||Z||', size, '",{"subclassFeature":"', brand, '|Y||Z||7","level":7},"bad","x|y"]}')
+    thing = _text('{"ac":["special"],"hp":{"average":', size, '},"immune":["poison","', F.lower(kind), '"],"action":[{"name":"Bolt","entries":["hits"]}],"description":"A {@i thing}."}')
+    fields = F.when(_k() % 4 == 0, monster).when(_k() % 4 == 1, spell).when(_k() % 4 == 2, subclass).otherwise(thing)
+    rows = _part(s, d).select("p_partkey", _pick(["Monster", "Spell", "Subclass", "Object"], _k()).alias("kind"), name.alias("name"), fields.alias("fields"))
+    return rows.select("p_partkey", rendering.rendered(F.col("kind"), F.col("name"), F.col("fields")).alias("text"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import layout as L
 from ..functions import callables
-from ..operators import blockmax, intervals, outline, renames, schemas, vectors
+from ..operators import advisor, blockmax, intervals, outline, renames, schemas, vectors
+from ..operators import retrieval as R
 from ..operators.bookstats import BookStats, follow
 from ..operators.index import shared_root
 from ..sources import canonical
@@ -200,3 +201,83 @@ def record_schemas(s, d):
     record = text('{"id":', k.cast("string"), ',"name":', name, ',"price":', F.col("p_retailprice").cast("string"), more, "}")
     rows = table(s, d, "part").select(F.when(k % 2 == 0, "ring").otherwise("tool").alias("type"), record.alias("record"))
     return schemas.schema_paths(schemas.json_schemas(rows))
+
+
+_CLASSES = "(['Wizard', 'Bard', 'Cleric'])"
+
+
+@BOOK(f"""with i as (select p_brand as source, p_name as name, unnest(case when p_size % 2 = 0 then [{_CLASSES}[p_partkey % 3 + 1], 'Druid'] else [{_CLASSES}[p_partkey % 3 + 1]] end) as class, p_partkey from part where p_partkey % 4 <> 0),
+  e as (select lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) as n, lower(regexp_replace(source, '[^A-Za-z0-9]', '', 'g')) as s, bool_or(class = 'Druid') as has from i group by 1, 2), l as (select n, bool_or(has) as has from e group by 1),
+  c as (select p_partkey from part left join e on e.n = lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) and e.s = lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) left join l on l.n = lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) where p_type <> 'PROMO' and coalesce(e.has, l.has, false))
+  select p_partkey as id, (select count(*) from c) as total from c order by 1 limit 200""")
+def spells_of_class(s, d):
+    """Parts as spells, some unknown to the index: those that a druid casts, as a class or as a class's variant, with their exact number."""
+    part = table(s, d, "part")
+    k = F.col("p_partkey")
+    one = F.element_at(F.array(*map(F.lit, ("Wizard", "Bard", "Cleric"))), (k % 3 + 1).cast("int"))
+    named = lambda c: F.array(F.struct(c.alias("name")))
+    info = F.struct(named(one).alias("class"), F.when(F.col("p_size") % 2 == 0, named(F.lit("Druid"))).alias("classVariant"))
+    index = part.where("p_partkey % 4 <> 0").select(F.to_json(F.create_map("p_brand", F.create_map("p_name", F.to_json(info)))).alias("text"))
+    rows = part.select(k.alias("id"), F.lit("Spell").alias("type"), F.col("p_name").alias("name"), F.col("p_brand").alias("source"), "p_type")
+    return advisor.listed_spells(rows, F.col("p_type") != "PROMO", advisor.spell_classes(index), "druid", 5000).select("id", "total")
+
+
+@BOOK("""with c as (select p_partkey from part where p_partkey % 2 = 0 and (p_partkey % 3 = 0 or (p_partkey % 3 = 1 and p_size > 20))) select p_partkey as id, (select count(*) from c) as total from c order by 1 limit 50""")
+def races_of_ability(s, d):
+    """Parts as races: those that raise wisdom by themselves or by choice, with their exact number; fifty are listed."""
+    k = F.col("p_partkey")
+    fields = F.when(k % 3 == 0, '{"ability":[{"str":2,"WIS":1}]}').when((k % 3 == 1) & (F.col("p_size") > 20), '{"ability":[{"choose":{"from":["int","wis"]}}]}').otherwise('{"ability":[{"cha":2}]}')
+    rows = table(s, d, "part").select(k.alias("id"), F.when(k % 2 == 0, "Race").otherwise("Feat").alias("type"), fields.alias("fields"))
+    return advisor.listed_races(rows, F.lit(True), " Wis ").select("id", "total")
+
+
+@BOOK(f"""with b as (select o_orderkey, {_CLASSES}[o_orderkey % 3 + 1] as class, case when o_orderkey % 5 <> 0 then o_orderkey % 23 end as level from orders),
+  p as (select {_CLASSES}[p_partkey % 3 + 1] as class, p_size % 11 as level, p_partkey as id from part), r as (select class, level, id from p where level between 1 and 9 qualify row_number() over (partition by class, level order by id) <= 25),
+  m as (select distinct class, level from b), l as (select m.class, m.level, list(id order by r.level, id)[1:25] as ids from m join r on r.class = m.class and r.level <= case when m.level is null then 1 else least(greatest((m.level + 1) // 2, 1), 9) end group by 1, 2)
+  select o_orderkey, coalesce(array_to_string(ids, ','), '') as spells from b left join l on l.class = b.class and l.level is not distinct from b.level""")
+def build_spells(s, d):
+    """Orders as builds of a class, some without a level: the spells recommended to each."""
+    k = F.col("o_orderkey")
+    one = lambda key: F.element_at(F.array(*map(F.lit, ("Wizard", "Bard", "Cleric"))), (key % 3 + 1).cast("int"))
+    builds = table(s, d, "orders").select("o_orderkey", one(k).alias("class"), F.when(k % 5 != 0, k % 23).alias("level"))
+    spells = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.upper(one(F.col("p_partkey"))).alias("class"), (F.col("p_size") % 11).alias("level"))
+    return advisor.recommended_spells(builds, spells).select("o_orderkey", F.array_join("spells", ",").alias("spells"))
+
+
+_FEATURES = [("Rage", 1), ("Reckless Attack", 2), ("Primal Path", 3), ("Fast Movement", 5), ("Path feature", 6), ("Feral Instinct", 7)]
+
+
+@BOOK(f"""with s as (select o_orderkey as sheet, o_orderkey % 9 as level, o_orderkey % 4 = 0 as chosen, o_orderkey % 8 as have from orders where o_orderkey % 7 <> 0),
+  f as (select * from (values {', '.join(f"('{n}', {v}, {i})" for i, (n, v) in enumerate(_FEATURES))}) v(name, since, place))
+  select sheet, 'UntakenChoice' as kind, 'Path' as about from s where level >= 3 and not chosen
+  union all select sheet, 'UntakenChoice', name from s, f where since <= level and not contains(name, 'Path') and place >= have""")
+def sheet_critique(s, d):
+    """Orders as sheets of a class that record its first few features; one in seven is of a class that is not known."""
+    k = F.col("o_orderkey")
+    names = F.array(*[F.lit(n.upper().replace(" ", "-")) for n, _ in _FEATURES])
+    sheets = table(s, d, "orders").select(k.alias("sheet"), F.when(k % 7 == 0, "Mystic").otherwise("barbarian").alias("class"), (k % 9).alias("level"), F.when(k % 4 == 0, "Totem").otherwise(" ").alias("subclass"))
+    sheets = sheets.withColumn("have", F.slice(names, F.lit(1), (F.col("sheet") % 8).cast("int")))
+    classes = s.range(1).select(F.lit("Barbarian").alias("class"), F.lit("Path").alias("title"), F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).alias("level")) for n, v in _FEATURES]).alias("features"))
+    return advisor.critique(sheets, classes)
+
+
+@BOOK("""with t as (select p_partkey, list_distinct(list_filter(regexp_split_to_array(lower(p_name || '''s (' || p_type || '): x-' || p_brand), '[ \\-''():]'), lambda w: w <> '')) as a, list_distinct(list_filter(regexp_split_to_array(lower('RING-' || p_type || ' s'), '[ \\-''():]'), lambda w: w <> '')) as b from part)
+  select p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6)::double as similarity from t""")
+def name_similarity(s, d):
+    """Word similarity of names with all marks that part words."""
+    a, b = F.concat("p_name", F.lit("'s ("), "p_type", F.lit("): x-"), "p_brand"), F.concat(F.lit("RING-"), "p_type", F.lit(" s"))
+    return table(s, d, "part").select("p_partkey", F.round(advisor.word_jaccard(a, b), 6).alias("similarity"))
+
+
+@BOOK("""select p_name as text, p_brand as book, p_type as section, max(p_size * 1.0)::double as score from part where p_brand in ('Brand#3', 'Brand#7', 'Brand#9') group by 1, 2, 3""")
+def passages_of_books(s, d):
+    """Parts as hits of several searches: a passage of some books once, with its best score."""
+    hits = table(s, d, "part").select(F.col("p_name").alias("text"), F.col("p_brand").alias("book"), F.col("p_type").alias("section"), F.col("p_size").cast("double").alias("score"))
+    return advisor.merged_passages(hits, ["Brand#3", "Brand#7", "Brand#9"])
+
+
+@BOOK("""with x as (select label, embedding, generate_subscripts(embedding, 1) as i from embeddings), m as (select label, i, avg(embedding[i]::double) as m from x group by 1, 2), n as (select label, sqrt(sum(m * m)) as size from m group by 1)
+  select label, (i - 1)::int as place, round(m / size, 6) as weight from m join n using (label)""")
+def unit_centroids(s, d):
+    """Each label's mean vector, of length one."""
+    return R.centroids(table(s, d, "embeddings"), unit=True).select("label", F.posexplode("centroid").alias("place", "weight")).withColumn("weight", F.round("weight", 6))
