@@ -8,7 +8,9 @@ each neighbouring pair of words stands in some item reach the automaton, which
 changes no result.
 
 The automaton is bounded: items are dealt into blocks of at most
-``BLOCK_OF_ITEMS`` bytes of text, one broadcast automaton and one pass each.
+``BLOCK_OF_ITEMS`` bytes of text, one broadcast automaton each.  With more than one
+block the texts are still read once: a bitmap of all items' pairs of words picks the
+stretches that may hold a hit of any, and the automata stream only these.
 
 Defined results: null and empty texts have no words and no hits; items without
 words match nothing; the windows of items without an item_id hit, but such items
@@ -28,9 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keep_table, map_batches, table
-from .textblock import ALNUM, Block, blocks, windows
+from .textblock import ALNUM, Block, blocks, mix, windows
 
 WINDOW = 10
+#: Bits of the bitmap by which many blocks of items share one pass over the texts (32 MB to each worker at most).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+_RUN = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of item text in one automaton. Measured at 2 MB: 460 MB while the driver builds it, some 30 MB as arrays.
 BLOCK_OF_ITEMS = 2 << 20
 
@@ -172,22 +177,7 @@ class Detector:
         self.automaton = SuffixAutomaton([(n, np.searchsorted(self.vocabulary, h).tolist()) for n, h in zip(named, hashes, strict=True)], window).flat()
 
     def _stretches(self, hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Words that may belong to a hit."""
-        edge = np.zeros(len(hashes) + 1, dtype=np.int32)
-        keys, at = windows(hashes, owner, 2)
-        if self.window > 1 and len(keys):
-            at = at[_among(keys, self.pairs)]
-            heads = np.flatnonzero(np.diff(at, prepend=-9) != 1)
-            runs = np.diff(np.append(heads, len(at)))
-            long = runs >= self.window - 1
-            np.add.at(edge, at[heads[long]], 1)
-            np.add.at(edge, at[heads[long]] + runs[long] + 1, -1)
-        for k, known in self.short.items():
-            keys, at = windows(hashes, owner, k)
-            at = at[_among(keys, known)]
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + k, -1)
-        return np.cumsum(edge[:-1]) > 0
+        return _stretches(hashes, owner, self.window, list(self.short), lambda k, keys: _among(keys, self.short[k] if k else self.pairs))
 
     def block(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, set[str]], dict[int, list[tuple[int, int]]]]:
         """(word starts, word ends, words of each text; by text with hits: items, merged word spans)."""
@@ -210,6 +200,25 @@ class Detector:
         return starts, ends, counts, items, {k: merged(v) for k, v in spans.items()}
 
 
+def _stretches(hashes: np.ndarray, owner: np.ndarray, window: int, short: list[int], has) -> np.ndarray:
+    """Words that may belong to a hit: in runs of pairs that items hold as long as a window's, or of a whole short item. ``has(k, keys)`` tells of runs of k words; 0 stands for pairs."""
+    edge = np.zeros(len(hashes) + 1, dtype=np.int32)
+    keys, at = windows(hashes, owner, 2)
+    if window > 1 and len(keys):
+        at = at[has(0, keys)]
+        heads = np.flatnonzero(np.diff(at, prepend=-9) != 1)
+        runs = np.diff(np.append(heads, len(at)))
+        long = runs >= window - 1
+        np.add.at(edge, at[heads[long]], 1)
+        np.add.at(edge, at[heads[long]] + runs[long] + 1, -1)
+    for k in short:
+        keys, at = windows(hashes, owner, k)
+        at = at[has(k, keys)]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + k, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(keys), dtype=bool)
@@ -263,17 +272,115 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     return keep_table(docs.withColumn(key, F.monotonically_increasing_id())), key
 
 
-def _found_over_blocks(rows: DataFrame, each: Iterator[Detector]) -> DataFrame:
-    """What ``_find`` gives, over all blocks of items; rows with a unique doc_id."""
-    every = _find(rows, next(each))
+def _places(k: int, keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(keys + np.uint64(k) * _RUN) % np.uint64(bits)).astype(np.int64)
+
+
+def _run_bitmap(benchmark: DataFrame, window: int) -> tuple[np.ndarray, list[int]]:
+    """A bitmap of all items' pairs and whole short items, or-ed together by Spark, and the sizes of those; at most 32 MB."""
+    texts = benchmark.select(F.col("text").cast("string").alias("text"))
+    bytes_ = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * int(bytes_)).bit_length()))
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, block in blocks(batch.column(0), lower=True):
+                starts, ends, owner = block.spans(ALNUM)
+                hashes, counts = block.hashes(starts, ends), block.counts(owner)
+                found = [(0, windows(hashes, owner, 2)[0])]
+                for k in sorted({int(n) for n in counts if 0 < n < window}):
+                    mine = counts[owner] == k
+                    found.append((k, windows(hashes[mine], owner[mine], k)[0]))
+                for k, keys in found:
+                    at = np.unique(_places(k, keys, bits))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at >> 6), pa.array(np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64))], ["k", "word", "bits"])
+
+    rows = map_batches(texts, slots, "k int, word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"), F.collect_set("k").alias("ks"))
+    out, sizes = np.zeros(bits // 64, dtype=np.uint64), set()
+    for batch in rows.toArrow().to_batches():  # as many rows as the bitmap has words, at most
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
+        sizes.update(batch.column(2).flatten().unique().to_pylist())
+    return out, sorted(sizes - {0})
+
+
+_PARTS = "doc_id long, n_words long, parts array<struct<first:long,words:binary>>"
+
+
+def _stretched(rows: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """doc_id, n_words and the stretches that may hold a hit of any item, as their words' hashes; kept.
+
+    The one pass over the texts: what the blocks of items look at further is only this, which is little.
+    """
+    bitmap, short = _run_bitmap(benchmark, window)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        kind = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.binary())]))
+
+        def has(k: int, keys: np.ndarray) -> np.ndarray:
+            at = _places(k, keys, 64 * len(known))
+            return (known[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+        for batch in batches:
+            for row, stop, block in blocks(batch.column(1), lower=True):
+                starts, ends, owner = block.spans(ALNUM)
+                hashes, counts = block.hashes(starts, ends), block.counts(owner)
+                parts: list[list] = [[] for _ in range(block.n)]
+                maybe = np.flatnonzero(_stretches(hashes, owner, window, short, has)) if len(hashes) else np.zeros(0, dtype=int)
+                if len(maybe):
+                    firsts = np.cumsum(counts) - counts
+                    for part in np.split(maybe, np.flatnonzero((np.diff(maybe) != 1) | (np.diff(owner[maybe]) != 0)) + 1):
+                        text = int(owner[part[0]])
+                        parts[text].append({"first": int(part[0] - firsts[text]), "words": hashes[part].tobytes()})
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), pa.array(counts), pa.array(parts, kind)], ["doc_id", "n_words", "parts"])
+
+    return keep_table(map_batches(rows.select("doc_id", "text"), found, _PARTS))
+
+
+def _find_in(stretches: DataFrame, detector: Detector) -> DataFrame:
+    """doc_id, spans and items of a block of items in the kept stretches; rows without a hit are left out."""
+    shared = stretches.sparkSession.sparkContext.broadcast(detector)  # of at most BLOCK_OF_ITEMS bytes of items
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        span = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
+        for batch in batches:
+            ids, spans, items = [], [], []
+            for doc_id, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                mine: list[tuple[int, int]] = []
+                held: set[str] = set()
+                for part in parts:
+                    words = np.frombuffer(part["words"], dtype=np.uint64)
+                    numbers = np.where(_among(words, model.vocabulary), np.searchsorted(model.vocabulary, words), -1)
+                    at, names = model.automaton.stream(numbers.tolist())
+                    mine += [(a + part["first"], b + part["first"]) for a, b in at]
+                    held |= names
+                if mine:
+                    ids.append(doc_id)
+                    spans.append([{"first": a, "past": b} for a, b in merged(mine)])
+                    items.append(sorted(held))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], ["doc_id", "spans", "items"])
+
+    rows = stretches.where("size(parts) > 0").select("doc_id", "parts")
+    return map_batches(rows, found, "doc_id long, spans array<struct<first:long,past:long>>, items array<string>")
+
+
+def _found_over_blocks(rows: DataFrame, benchmark: DataFrame, each: Iterator[Detector], window: int) -> DataFrame:
+    """What ``_find`` gives, over all blocks of items; rows with a unique doc_id. The texts are read once."""
+    stretches = _stretched(rows, benchmark, window)
+    every = None
     for detector in each:
-        every = every.unionByName(_find(rows, detector).where("size(spans) > 0"))
-    joined = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = _find_in(stretches, detector)
+        every = found if every is None else every.unionByName(found)
+    joined = every.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     union = """aggregate(array_sort(spans), cast(array() as array<struct<first:bigint,past:bigint>>),
         (done, s) -> case when size(done) > 0 and element_at(done, -1).past >= s.first
             then concat(slice(done, 1, size(done) - 1), array(named_struct('first', element_at(done, -1).first, 'past', greatest(element_at(done, -1).past, s.past))))
             else concat(done, array(s)) end)"""
-    return joined.withColumn("spans", F.expr(union))
+    whole = stretches.select("doc_id", "n_words").join(joined.withColumn("spans", F.expr(union)), "doc_id", "left")
+    none = {"spans": "array<struct<first:bigint,past:bigint>>", "items": "array<string>"}
+    return whole.select("doc_id", "n_words", *[F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in none.items()])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_OF_ITEMS) -> DataFrame:
@@ -283,7 +390,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     if second is None:
         return _find(docs, first)
     kept, key = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    found = _found_over_blocks(kept.select(F.col(key).alias("doc_id"), "text"), chain([first, second], each))
+    found = _found_over_blocks(kept.select(F.col(key).alias("doc_id"), "text"), benchmark, chain([first, second], each), window)
     return kept.select(key, "doc_id").join(found.withColumnRenamed("doc_id", key), key).drop(key)
 
 
@@ -299,7 +406,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     if second is None:
         return _cut(docs, docs.sparkSession.sparkContext.broadcast(first), place, most_coverage)
     kept, key = _keyed(docs)
-    found = _found_over_blocks(kept.select(F.col(key).alias("doc_id"), "text"), chain([first, second], each)).where("size(spans) > 0")
+    found = _found_over_blocks(kept.select(F.col(key).alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, chain([first, second], each), window).where("size(spans) > 0")
     hits = found.select(F.col("doc_id").alias(key), F.expr("aggregate(spans, 0L, (n, s) -> n + s.past - s.first)").alias("n_hit"), "n_words", "spans")
     hits = hits.select(key, (F.col("n_hit") <= F.lit(most_coverage) * F.col("n_words")).alias(f"{key}_stays"), F.col("spans").alias(f"{key}_spans"))
     judged = kept.join(hits, key, "left").where(F.coalesce(F.col(f"{key}_stays"), F.lit(True))).drop(key, f"{key}_stays")

@@ -791,3 +791,58 @@ def test_op1_held_out_labels(spark):
     _, failed, _, kept = model.verdicts(rows.column("text").combine_chunks())
     good = rows.column("quality").to_numpy() == 1
     assert kept[good & ~failed].mean() > 0.97 and kept[~good & ~failed].mean() < 0.06
+
+
+def test_op4_viterbi_against_all_paths():
+    """Of short lines every sequence of labels is scored by the model's own weights; the decoded one is the best."""
+    import itertools
+
+    model = pii.tagger()
+    lines = ["mail bob.x77@post1.example.org now", "token = 9f86d081884c7d659a2feaa0c55ad015", "call +44 (020) 555-0199", "ip 10.0.0.1 and 4111 1111", "a", "v1.22.3 ok 2024-01-02", "+1", '"deadbeefdeadbeefdeadbeefdeadbeef"', "one two three four"]
+    for _, _, block in pii.blocks(pa.array(lines), lower=True, most=1 << 30):
+        *_, line, rows = pii.features(block)
+        safe, model.safe = model.safe, False
+        try:
+            labels = model.decode(rows, line)
+        finally:
+            model.safe = safe
+        scores = model.scores(rows)
+        for k in np.unique(line):
+            at = np.flatnonzero(line == k)
+            best = max(itertools.product(range(len(pii.LABELS)), repeat=len(at)), key=lambda p: model.begin[p[0]] + model.finish[p[-1]] + sum(scores[i, x] for i, x in zip(at, p, strict=True)) + sum(model.move[a, b] for a, b in itertools.pairwise(p)))
+            assert tuple(labels[at]) == best, lines[k]
+
+
+#: Lines written by hand, not by the rule that the model is trained on; what a span is said to be stands before its words.
+_BY_HAND = """please write to <email jane_doe-99@dept.uni-example.edu > before noon
+the server at <ip 192.168.17.44 > did not answer
+his number is <phone +33 1 42 68 53 00 > during the day
+pay with <card 5500005555555559 > or in cash
+api_key = <secret b7e23ec29af22b0b4e41da31e868d57226121c84 >
+export AUTH token = <secret "0f1e2d3c4b5a69788796a5b4c3d2e1f00f1e2d3c" >
+we met in 1999 and again on 2004-05-06 in room 12
+version v2.14.0 of the library needs 3.5 GB
+nothing of the kind is said here , only words and words
+contact <email sales@shop.example.net > today
+chapter 4 has 120 pages and section 4.2 has 3
+card number <card 4012888888881881 > is no longer valid"""
+
+
+def test_op4_lines_written_by_hand():
+    model = pii.tagger()
+    right = wrong = 0
+    for text in _BY_HAND.split("\n"):
+        words, gold, label = [], [], "O"
+        for token in text.split(" "):
+            if token.startswith("<"):
+                label = token[1:]
+            elif token == ">":
+                label = "O"
+            else:
+                words.append(token)
+                gold.append(pii.LABELS.index(label))
+        for _, _, block in pii.blocks(pa.array([" ".join(words)]), lower=True, most=1 << 30):
+            *_, line, rows = pii.features(block)
+            same = model.decode(rows, line) == np.array(gold)
+            right, wrong = right + int(same.sum()), wrong + int((~same).sum())
+    assert right / (right + wrong) > 0.93, (right, wrong)
