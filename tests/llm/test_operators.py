@@ -829,8 +829,9 @@ card number <card 4012888888881881 > is no longer valid"""
 
 
 def test_op4_lines_written_by_hand():
+    """Nothing harmless is marked; secrets, which no pattern knows, are found by the model, and every other span by it or its pattern."""
     model = pii.tagger()
-    right = wrong = 0
+    right = total = 0
     for text in _BY_HAND.split("\n"):
         words, gold, label = [], [], "O"
         for token in text.split(" "):
@@ -840,9 +841,19 @@ def test_op4_lines_written_by_hand():
                 label = "O"
             else:
                 words.append(token)
-                gold.append(pii.LABELS.index(label))
-        for _, _, block in pii.blocks(pa.array([" ".join(words)]), lower=True, most=1 << 30):
+                gold.append(label)
+        plain = " ".join(words)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        for _, _, block in pii.blocks(pa.array([plain]), lower=True, most=1 << 30):
             *_, line, rows = pii.features(block)
-            same = model.decode(rows, line) == np.array(gold)
-            right, wrong = right + int(same.sum()), wrong + int((~same).sum())
-    assert right / (right + wrong) > 0.93, (right, wrong)
+            found = [pii.LABELS[x] for x in model.decode(rows, line)]
+        base = pii.base_spans(plain)
+        right, total = right + sum(a == b for a, b in zip(found, gold, strict=True)), total + len(gold)
+        for word, mine, wanted, end in zip(words, found, gold, ends, strict=True):
+            if wanted == "O":
+                assert mine == "O", (word, mine)
+            elif wanted == "secret":
+                assert mine == "secret", (word, mine)
+            else:
+                assert mine == wanted or any(a <= end - len(word) and end <= b for a, b in base[wanted]), (word, mine)
+    assert right / total > 0.9, (right, total)  # the model by itself misses addresses without digits and numbers in pairs
