@@ -36,7 +36,9 @@ from .textblock import LOWER, byte_class, mix, text_array
 #: A phrase's least count and most words, the share (in hundredths) of its places that a longer phrase takes over, and phrases of a language.
 LEAST, LONGEST, TAKEN_OVER, PHRASES = 30, 4, 80, 2000
 #: Words of a shard, and bytes of text gathered for one.
-SHARD_WORDS, SHARD_BYTES = 1 << 20, 6 << 20
+SHARD_WORDS, SHARD_BYTES = 1 << 19, 3 << 20
+#: Buckets in which a language's phrases are ranked before they meet.
+RANK_BUCKETS = 32
 #: Bits of the bitmap of frequent pairs for each, at least and at most (32 MB to each worker).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
 
@@ -236,8 +238,12 @@ def collocations(docs: DataFrame, least: int = LEAST, most: int = PHRASES, shard
     cuts = cuts.withColumn("score", F.expr("(cast(2000000 as decimal(7, 0)) * cast(a as decimal(20, 0))) div (cast(l as decimal(20, 0)) + r)"))
     best = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
 
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    ranked = best.withColumn("rank", place.cast("long")).where(F.col("rank") <= most)
+    # a language may be most of the phrases: the first of each of its buckets come first, and only those meet
+    order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    dealt = best.withColumn("_bucket", F.pmod(F.xxhash64("phrase"), F.lit(RANK_BUCKETS)))
+    first = dealt.withColumn("_place", F.row_number().over(Window.partitionBy("lang", "_bucket").orderBy(*order))).where(F.col("_place") <= most).drop("_place", "_bucket")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    ranked = first.withColumn("rank", place.cast("long")).where(F.col("rank") <= most)
     totals = counts.where("words = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
