@@ -1,7 +1,7 @@
 """Phrase collocations: n-gram counts from word-id suffix arrays, scored by how well a phrase holds together.
 
 Texts are cut into pieces at punctuation and line ends and into words between
-blanks.  A shard is a run of some million words of one language.  Its words get
+blanks.  A shard is a run of half a million words of one language.  Its words get
 ids, exactly, by their bytes; prefix doubling sorts the shard's suffixes by their
 first 1, 2 and 4 words, never past the end of a piece.  In that order phrases of
 k words are the intervals whose neighbours share k words, so that one pass over
