@@ -153,33 +153,32 @@ def without_markup(text: Column) -> Column:
 
 
 def despaced(heading: str | None) -> str | None:
-    """A heading in capitals whose words came apart, put together: one or two letters that are no word join what follows."""
+    """A heading in capitals whose words came apart, put together.
+
+    Words are taken from the left. One or two letters that are no word join what follows, and what stands before too if
+    that ends in their first letter; at the end they join what stands before. A letter that may be a word joins a word
+    that was put together after it.
+    """
     if not heading or any(c.islower() for c in heading) or not any(c.isalpha() for c in heading):
         return heading
-    parts = [[p, False] for p in heading.split()]
-    if len(parts) < 2:
+    rest = [(word, False) for word in reversed(heading.split())]
+    if len(rest) < 2:
         return heading
-
-    def stray(p: str) -> bool:
-        return len(p) <= 2 and p.isalpha() and p not in ALONE
-
-    def join(first: int, past: int, joined: bool) -> None:
-        parts[first:past] = [["".join(p for p, _ in parts[first:past]), joined]]
-
-    while (i := next((i for i, (p, _) in enumerate(parts) if stray(p)), None)) is not None and len(parts) > 1:
-        last = i + 1 == len(parts)
-        if i and not last and parts[i - 1][0][-1].upper() == parts[i][0][0].upper():
-            join(i - 1, i + 2, True)
-        else:
-            join(*((i - 1, i + 1) if last else (i, i + 2)), True)
-    i = 0
-    while i + 1 < len(parts):
-        if len(parts[i][0]) == 1 and parts[i][0] in ALONE and parts[i + 1][1]:
-            join(i, i + 2, False)
-            i = 0
+    done: list[tuple[str, bool]] = []
+    while rest:
+        word, made = rest.pop()
+        if len(word) > 2 or not word.isalpha() or word in ALONE or not (rest or done):
+            done.append((word, made))
+            continue
+        before = done.pop()[0] if done and (not rest or done[-1][0][-1] == word[0]) else ""
+        rest.append((before + word + (rest.pop()[0] if rest else ""), True))
+    whole: list[str] = []
+    for word, made in done:
+        if made and whole and len(whole[-1]) == 1 and whole[-1] in ALONE:
+            whole[-1] += word
         else:
-            i += 1
-    return " ".join(p for p, _ in parts)
+            whole.append(word)
+    return " ".join(whole)
 
 
 def semantic_chunks(text: str, most: int) -> list[str]:

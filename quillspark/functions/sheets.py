@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,12 +34,26 @@ SLOTS = (
     (4, 3, 3, 3, 3, 2, 1, 1, 1),
     (4, 3, 3, 3, 3, 2, 2, 1, 1),
 )
-#: Base and category of each armor.
+#: Base and category of each armor.
 ARMOR = {"Padded": (11, "Light"), "Leather": (11, "Light"), "Studded Leather": (12, "Light"), "Hide": (12, "Medium"), "Chain Shirt": (13, "Medium"), "Scale Mail": (14, "Medium"), "Breastplate": (14, "Medium"), "Half Plate": (15, "Medium"), "Ring Mail": (14, "Heavy"), "Chain Mail": (16, "Heavy"), "Splint": (17, "Heavy"), "Plate": (18, "Heavy")}
-#: The two saves a starting class is proficient in.
+#: The two saves a starting class is proficient in.
 SAVES = {"Barbarian": ("Strength", "Constitution"), "Bard": ("Dexterity", "Charisma"), "Cleric": ("Wisdom", "Charisma"), "Druid": ("Intelligence", "Wisdom"), "Fighter": ("Strength", "Constitution"), "Monk": ("Strength", "Dexterity"), "Paladin": ("Wisdom", "Charisma"), "Ranger": ("Strength", "Dexterity"), "Rogue": ("Dexterity", "Intelligence"), "Sorcerer": ("Constitution", "Charisma"), "Warlock": ("Wisdom", "Charisma"), "Wizard": ("Intelligence", "Wisdom")}
-#: Abilities of 13 or more that a second class asks for; a slash separates alternatives.
-PREREQUISITES = {"Barbarian": "Strength", "Bard": "Charisma", "Cleric": "Wisdom", "Druid": "Wisdom", "Fighter": "Strength/Dexterity", "Monk": "Dexterity+Wisdom", "Paladin": "Strength+Charisma", "Ranger": "Dexterity+Wisdom", "Rogue": "Dexterity", "Sorcerer": "Charisma", "Warlock": "Charisma", "Wizard": "Intelligence", "Artificer": "Intelligence"}
+#: Abilities of 13 or more that a second class asks for; all of one of the alternatives.
+PREREQUISITES = {
+    "Barbarian": (("Strength",),),
+    "Bard": (("Charisma",),),
+    "Cleric": (("Wisdom",),),
+    "Druid": (("Wisdom",),),
+    "Fighter": (("Strength",), ("Dexterity",)),
+    "Monk": (("Dexterity", "Wisdom"),),
+    "Paladin": (("Strength", "Charisma"),),
+    "Ranger": (("Dexterity", "Wisdom"),),
+    "Rogue": (("Dexterity",),),
+    "Sorcerer": (("Charisma",),),
+    "Warlock": (("Charisma",),),
+    "Wizard": (("Intelligence",),),
+    "Artificer": (("Intelligence",),),
+}
 
 
 def _lookup(table: dict, key: Column) -> Column:
@@ -85,21 +102,16 @@ def armor_class(name: Column, classes: Column, dexterity: Column, constitution:
 
 def save_bonus(start_class: Column, ability: Column, score: Column, level: Column) -> Column:
     """Saving-throw bonus; null for a class without known saves."""
-    both = _lookup({name: "/".join(pair).lower() for name, pair in SAVES.items()}, start_class)
-    skilled = F.array_contains(F.split(both, "/"), F.lower(ability))
+    pairs = [x for name, pair in SAVES.items() for x in (F.lit(name.lower()), F.array(*[F.lit(a.lower()) for a in pair]))]
+    skilled = F.array_contains(F.try_element_at(F.create_map(*pairs), F.lower(start_class)), F.lower(ability))
     return ability_modifier(score) + F.when(skilled, proficiency(level)).when(~skilled, 0)
 
 
 def may_multiclass(wanted: Column, scores: dict[str, Column]) -> Column:
     """Whether the scores, by ability, let one take the class; false for an unknown class."""
     allowed = F.lit(False)
-    for name, rule in PREREQUISITES.items():
-        met = F.lit(False)
-        for group in rule.split("/"):
-            every = F.lit(True)
-            for ability in group.split("+"):
-                every = every & (scores[ability] >= 13)
-            met = met | every
+    for name, alternatives in PREREQUISITES.items():
+        met = reduce(or_, (reduce(and_, (scores[ability] >= 13 for ability in group)) for group in alternatives))
         allowed = F.when(F.lower(wanted) == name.lower(), met).otherwise(allowed)
     return allowed
 

@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import retrieval as R
-from .index import kept, stored, stored_index
-from .retrieval import query_vectors
+from .index import kept, query_slots, stored, stored_index
 
 #: Documents of a block, about, and blocks scored for the bar.
 BLOCK_DOCUMENTS, SEEDS = 64, 4
@@ -42,9 +41,9 @@ class Search:
 
     def __init__(self, postings: DataFrame, maxima: DataFrame, query: str, k: int = 10, key: str = "doc_id", digits: int = 6):
         spark = postings.sparkSession
-        wanted = query_vectors(spark, {"q": query}).collect()  # the query's own words
-        slots = sorted({r["idx"] for r in wanted})
-        vector = F.broadcast(spark.createDataFrame([(r["idx"], r["weight"]) for r in wanted], "idx long, times long"))
+        times = query_slots(spark, {"q": query})["q"]
+        slots = sorted(times)
+        vector = F.broadcast(spark.createDataFrame([(slot, times[slot]) for slot in slots], "idx long, times long"))  # the query's own words
         held = postings.where(F.col("idx").isin(slots))
         bounds = kept(maxima.where(F.col("idx").isin(slots)).join(vector, "idx").groupBy("block").agg(F.sum(F.col("times") * F.col("top")).alias("bound"), F.sum("n").alias("n")))
 

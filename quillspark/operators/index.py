@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import term_hash, tokens
-from .retrieval import K1, B, query_vectors, spread
+from ..functions.text import slot_of, term_hash, tokens
+from .retrieval import K1, B, spread
 
 _KNOWN: dict[tuple, str] = {}
 
@@ -101,10 +102,26 @@ def stored_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.sparkSession.read.parquet(stored(docs, f"index-{key}", lambda folder: build_index(docs, folder, key)))
 
 
+def query_slots(spark: SparkSession, queries: dict[str, str]) -> dict[str, dict[int, int]]:
+    """How often each query's words fall into each slot. A query is a line of text: one row answers for all, without a shuffle."""
+    names = [f"q{i}" for i in range(len(queries))]
+    words = spark.range(1).select(*[tokens(F.lit(text)).alias(name) for name, text in zip(names, queries.values(), strict=True)])
+    row = words.select(*[F.expr(f"transform({name}, t -> {slot_of('t')})").alias(name) for name in names]).first()
+    return {query: dict(Counter(row[name])) for query, name in zip(queries, names, strict=True)}
+
+
 def search_index(postings: DataFrame, queries: dict[str, str], key: str = "doc_id") -> DataFrame:
-    """query_id, key, score of the documents that share a slot with a query; only those slots are read."""
-    wanted = query_vectors(postings.sparkSession, queries).collect()  # the queries' own words
-    slots = sorted({r["idx"] for r in wanted})
-    vector = postings.sparkSession.createDataFrame([tuple(r) for r in wanted], "query_id string, idx long, weight long").withColumnRenamed("weight", "times")
-    held = postings.where(F.col("idx").isin(slots)).join(F.broadcast(vector), "idx")
+    """query_id, key, score of the documents that share a slot with a query; only those slots are read.
+
+    What a slot is worth to each query stands in the plan as a constant, so that a search is one scan and one sum.
+    """
+    wanted = query_slots(postings.sparkSession, queries)
+    by_slot: dict[int, list] = {}
+    for query, slots in wanted.items():
+        for slot, times in slots.items():
+            by_slot.setdefault(slot, []).append(F.struct(F.lit(query).alias("query_id"), F.lit(times).cast("long").alias("times")))
+    if not by_slot:
+        return postings.where("false").select(F.lit("").alias("query_id"), key, F.col("weight").alias("score"))
+    asked = F.create_map(*[x for slot, asks in sorted(by_slot.items()) for x in (F.lit(slot).cast("long"), F.array(*asks))])
+    held = postings.where(F.col("idx").isin(sorted(by_slot))).select(key, "weight", F.inline(F.element_at(asked, F.col("idx"))))
     return held.groupBy("query_id", key).agg(F.sum(F.col("times") * F.col("weight")).alias("score"))
