@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import advice as A
 from ..functions import rules
+from .index import kept
 
 #: Monsters that a search gives a builder, and the challenge below which none is asked for by itself. Fixed values of the service.
 CANDIDATES, FLOOR = 20, 0.125
@@ -55,12 +56,13 @@ def built(asks: DataFrame, monsters: DataFrame) -> DataFrame:
 
     Equal asks are built once. An ask whose bounds contradict has the reason ``inverted`` and no encounter.
     """
-    plans = bounded(asks.select(*_ASK).distinct()).withColumn("_theme", F.lower(F.coalesce("theme", F.lit(""))))
+    # kept, so that bounds are worked out once for each distinct ask and not for every row that asks
+    plans = kept(bounded(kept(asks.select(*_ASK).distinct())).withColumn("_theme", F.lower(F.coalesce("theme", F.lit("")))))
     sources = plans.where("not inverted").select("later", "theme", "low", "high").distinct()
     found = plans.join(candidates(sources, monsters), ["later", "_theme", "low", "high"], "left")
     shape = "struct<picked:array<int>,band:int,adjusted:int,matched:boolean,reason:string,over:int>"
     build = F.udf(lambda levels, target, later, xps: A.build_encounter(list(levels), target, later, list(xps) if xps is not None else []), shape, useArrow=True)
-    each = found.withColumn("b", F.when(~F.col("inverted"), build("levels", "target", "later", "xps")))
+    each = found.repartition(asks.sparkSession.sparkContext.defaultParallelism).withColumn("b", F.when(~F.col("inverted"), build("levels", "target", "later", "xps")))
     picked = F.transform("b.picked", lambda i: F.get("ids", i))
     each = each.select(*_ASK, picked.alias("picked"), "b.band", "b.adjusted", "b.matched", F.when(F.col("inverted"), "inverted").otherwise(F.col("b.reason")).alias("reason"), "b.over", F.coalesce(F.when(~F.col("inverted"), F.size("xps")), F.lit(0)).alias("candidates"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"e.{c}")) for c in ("theme", "cr_gte", "cr_lte")] + [F.col(f"a.{c}") == F.col(f"e.{c}") for c in ("levels", "target", "later")]
