@@ -179,3 +179,12 @@ def build_encounter(levels: list[int], target: int, later: bool, xps: list[int])
         total, adjusted, band = total + xps[best[0]], best[1], best[2]
     matched = band == target
     return picked, band, adjusted, matched, None if matched else reason or "scarce", None if matched else over
+
+
+def level_choices(level: Column, gained: Column, title: Column, subclass: Column, caster: Column) -> Column:
+    """What a level just reached leaves to choose: an ability score improvement, the subclass at the first feature that holds its title, spells where a higher level of them opens."""
+    holds = lambda word: F.exists(gained, lambda g: F.contains(F.lower(g), F.lower(word)))
+    top = lambda v: F.when(v < 1, 0).otherwise(F.least(F.floor((v + 1) / 2), F.lit(9)))
+    return F.array_compact(F.array(
+        F.when(holds(F.lit("ability score improvement")), "ability"), F.when((F.trim(title) != "") & holds(title) & (F.trim(F.coalesce(subclass, F.lit(""))) == ""), "subclass"),
+        F.when(caster & (top(level) > top(level - 1)), "spells")))

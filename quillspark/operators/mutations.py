@@ -88,3 +88,30 @@ def keyword_union(existing: Column, more: Column) -> Column:
     """The existing words, then the others, each once whatever its case, in its first spelling."""
     both = F.concat(F.coalesce(existing, F.array().cast("array<string>")), F.coalesce(more, F.array().cast("array<string>")))
     return F.filter(both, lambda x, i: F.array_position(F.transform(both, F.lower), F.lower(x)) == i + 1)
+
+
+def deletions(requests: DataFrame, books: DataFrame, busy: tuple[str, ...] = ("processing",)) -> DataFrame:
+    """id, outcome and file_goes of requests (id) to delete books (id, status, slug), each asked for once.
+
+    A book that is not there is ``not found``, one being worked on ``conflict``; any other is ``deleted``, and its file
+    goes with it unless a book that stays has the same slug.
+    """
+    asked = requests.select("id").distinct().join(books, "id", "left")
+    judged = asked.withColumn("outcome", F.when(F.col("slug").isNull() & F.col("status").isNull(), "not found").when(F.col("status").isin(*busy), "conflict").otherwise("deleted"))
+    gone = judged.where("outcome = 'deleted'").select("id")
+    held = books.join(gone, "id", "left_anti").select("slug").distinct().withColumn("_held", F.lit(True))
+    return judged.join(held, "slug", "left").select("id", "outcome", ((F.col("outcome") == "deleted") & F.col("_held").isNull()).alias("file_goes"))
+
+
+def cleared(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows but those of the given keys, all columns of which must be equal, nulls as well."""
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in keys.columns]
+    return rows.alias("r").join(keys.distinct().alias("k"), same, "left_anti")
+
+
+def upsert_newer(stored: DataFrame, given: DataFrame, key: str, version: str) -> DataFrame:
+    """One row for each key: that of the highest version, and of equal ones the given row. No version counts as the lowest."""
+    both = stored.withColumn("_given", F.lit(0)).unionByName(given.withColumn("_given", F.lit(1)))
+    columns = [c for c in both.columns if c not in (key, "_given")]
+    best = both.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(F.coalesce(version, F.lit(-1)), "_given")).alias("_row"))
+    return best.select(key, *[F.col(f"_row.{c}").alias(c) for c in columns]).select(*stored.columns)

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import layout as L
 from ..functions import callables
+from ..functions import advice as A
 from ..operators import advisor, blockmax, intervals, outline, renames, schemas, vectors
+from ..operators import mutations as M
 from ..operators import retrieval as R
 from ..operators.bookstats import BookStats, follow
 from ..operators.index import shared_root
 from ..sources import canonical
 from ..sources.tables import table
-from ..streaming import keyed
+from ..streaming import keyed, limits
 from .book import Book
 from .layout import _case
 from .records import _letter_counts
@@ -27,6 +29,7 @@ BOOK = Book()
 ingestion_queue = BOOK(keyed.INGESTION_SQL)(keyed.ingestion_queue)
 extraction_retries = BOOK(keyed.RETRIES_SQL)(keyed.extraction_retries)
 tool_cache = BOOK(keyed.CACHE_SQL)(keyed.tool_cache)
+limiter_stream = BOOK(limits.FIXED_SQL)(keyed.limiter_stream)
 
 
 _SECTIONS = "select o_custkey as book, o_orderkey as section, (o_orderkey * 7 % 400)::bigint as first, case when o_orderkey % 3 <> 0 then (o_orderkey * 7 % 400 + o_orderkey % 90 - 5)::bigint end as last from orders"
@@ -281,3 +284,73 @@ def passages_of_books(s, d):
 def unit_centroids(s, d):
     """Each label's mean vector, of length one."""
     return R.centroids(table(s, d, "embeddings"), unit=True).select("label", F.posexplode("centroid").alias("place", "weight")).withColumn("weight", F.round("weight", 6))
+
+
+@BOOK("""with b as (select o_orderkey as id, o_orderstatus as status, o_custkey % 50 as slug from orders), r as (select o_orderkey as id from orders where o_orderkey % 3 = 0 union select c_custkey + 1000000000 from customer),
+  j as (select r.id, slug, case when b.id is null then 'not found' when status = 'P' then 'conflict' else 'deleted' end as outcome from r left join b using (id)),
+  h as (select distinct slug from b where id not in (select id from j where outcome = 'deleted'))
+  select id, outcome, outcome = 'deleted' and slug not in (select slug from h) as file_goes from j""")
+def book_deletions(s, d):
+    """Every third order as a book to be deleted, some being worked on, some not there; files of a slug stay while a book has it."""
+    books = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 50).alias("slug"))
+    wanted = books.where("id % 3 = 0").select("id").unionByName(table(s, d, "customer").select((F.col("c_custkey") + 1000000000).alias("id")))
+    return M.deletions(wanted, books, ("P",))
+
+
+@BOOK("select event_id from events where not (user_id % 10 = 3 and (case when event_type = 'view' then null else event_type end) is null) and not (user_id % 10 = 4 and event_type = 'click')")
+def chat_cleared(s, d):
+    """Events as turns of a user and a campaign, which views have none of; two chats are cleared."""
+    rows = table(s, d, "events").select("event_id", (F.col("user_id") % 10).alias("user"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("campaign"))
+    keys = s.createDataFrame([(3, None), (4, "click")], "user long, campaign string")
+    return M.cleared(rows, keys).select("event_id")
+
+
+@BOOK("""with s as (select p_partkey as id, (p_partkey % 5)::int as version, p_name as state from part)
+  select id, case when g.p_partkey is not null and coalesce(p_size_v, -1) >= s.version then p_size_v else s.version end as version, case when g.p_partkey is not null and coalesce(p_size_v, -1) >= s.version then 'given' else s.state end as state from s left join (select p_partkey, case when p_size % 7 <> 0 then (p_size % 7)::int end as p_size_v from part where p_partkey % 2 = 0) g on g.p_partkey = s.id""")
+def upsert_versions(s, d):
+    """Records put into a store, where the higher version stands and of equal ones the new record."""
+    part = table(s, d, "part")
+    k = F.col("p_partkey")
+    stored = part.select(k.alias("id"), (k % 5).cast("int").alias("version"), F.col("p_name").alias("state"))
+    given = part.where("p_partkey % 2 = 0").select(k.alias("id"), F.when(F.col("p_size") % 7 != 0, (F.col("p_size") % 7).cast("int")).alias("version"), F.lit("given").alias("state"))
+    return M.upsert_newer(stored, given, "id", "version")
+
+
+@BOOK("""with h as (select page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) as host from pages), a as (select page_id, host from h where host like '%.example.com' or host = 'example.com' or host = 'blog.example.net')
+  select host, page_id, (row_number() over (partition by host order by page_id))::int as place from a qualify place <= 5""")
+def web_results(s, d):
+    """Pages as results of a search: hosts of an allow-list or under one of them, the first five of each."""
+    pages = table(s, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"))
+    allowed = [(F.col("host") == h) | F.col("host").endswith(f".{h}") for h in ("example.com", "blog.example.net")]
+    place = F.row_number().over(Window.partitionBy("host").orderBy("page_id"))
+    return pages.where(allowed[0] | allowed[1]).withColumn("place", place).where("place <= 5").select("host", "page_id", "place")
+
+
+@BOOK("""select c_custkey, c_name, n_name, (row_number() over (partition by c_mktsegment order by n_name, c_name, c_custkey))::int as place from customer join nation on n_nationkey = c_nationkey where c_mktsegment in ('BUILDING', 'MACHINERY')""")
+def heroes_of_users(s, d):
+    """Heroes of two users' campaigns, in order of campaign and name."""
+    rows = table(s, d, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    place = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("n_name", "c_name", "c_custkey"))
+    return rows.select("c_custkey", "c_name", "n_name", place.alias("place"))
+
+
+@BOOK("""with s as (select p_partkey, (p_size % 20 + 1)::int as v, p_partkey % 3 as f, p_partkey % 2 = 0 as caster, p_partkey % 5 = 0 as chosen from part)
+  select p_partkey, array_to_string(list_filter([case when f = 0 then 'ability' end, case when f = 1 and not chosen then 'subclass' end, case when caster and least((v + 1) // 2, 9) > least(v // 2, 9) then 'spells' end], lambda x: x is not null), ',') as choices from s""")
+def level_choices(s, d):
+    """Parts as heroes that reach a level: what it leaves to choose."""
+    k = F.col("p_partkey")
+    gained = F.when(k % 3 == 0, F.array(F.lit("Ability Score Improvement"))).when(k % 3 == 1, F.array(F.lit("x"), F.lit("Martial archetype feature"))).otherwise(F.array(F.lit("Rage")))
+    choices = A.level_choices((F.col("p_size") % 20 + 1).cast("int"), gained, F.lit("Martial Archetype"), F.when(k % 5 == 0, "Champion"), k % 2 == 0)
+    return table(s, d, "part").select("p_partkey", F.array_join(choices, ",").alias("choices"))
+
+
+@BOOK("""select p_brand as slug, count(*) as records, case when p_brand in (select p_brand from part where p_partkey % 50 = 7) then 2 else 1 end::int as read_at from part group by 1""")
+def cached_loads(s, d):
+    """Parts as documents that are loaded, patched here and there and loaded again: what has changed is read twice, all else once."""
+    place = f"{shared_root(s)}/cached-{uuid.uuid4().hex}"
+    id = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    part = table(s, d, "part").withColumn("slug", F.col("p_brand"))
+    canonical.write_documents(part.select("slug", F.col("p_partkey").alias("ordinal"), F.to_json(F.struct(id.alias("id"), "p_name")).alias("record")), f"{place}/docs")
+    canonical.cached_documents(s, f"{place}/docs", f"{place}/cache").count()
+    canonical.patch_documents(s, f"{place}/docs", part.where("p_partkey % 50 = 7").select("slug", id.alias("id"), F.lit('{"more":"than before"}').alias("patch")))
+    return canonical.cached_documents(s, f"{place}/docs", f"{place}/cache").groupBy("slug").agg(F.count("*").alias("records"), F.max("read_at").alias("read_at"))

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from ..operators.index import folders
+
 #: Where tasks write before a commit; names that begin so are no documents.
 STAGING = ".staging-"
 
@@ -119,3 +121,26 @@ def patch_documents(spark: SparkSession, path: str, patches: DataFrame) -> None:
     rows = read_documents(spark, path, slugs).withColumn("id", F.get_json_object("record", "$.id"))
     done = rows.join(patches, ["slug", "id"], "left").select("slug", "ordinal", F.coalesce(merge_shallow(F.col("record"), F.col("patch")), F.col("record")).alias("record"))
     write_documents(done, path)
+
+
+def cached_documents(spark: SparkSession, path: str, cache: str) -> DataFrame:
+    """slug, ordinal, record and read_at (times that a document was read) of a folder's documents, of which only changed ones are read again.
+
+    A document is known by the time and length of its file. What was read of it stands under ``cache``, in a folder of its
+    slug; documents that are gone leave the result, and come back as changed ones.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
+    name = F.url_decode(F.replace(F.regexp_extract("path", r"([^/]*)\.json$", 1), F.lit("+"), F.lit("%2B")))
+    now = files.select(name.alias("slug"), F.col("modificationTime").alias("modified"), "length")  # contents are not asked for, so not read
+    schema = "ordinal int, record string, modified timestamp, length long, read_at int, slug string"
+    known = spark.read.schema(schema).parquet(cache) if folders(spark, cache) else spark.createDataFrame([], schema)
+    before = known.groupBy("slug").agg(F.first("modified").alias("m"), F.first("length").alias("l"), F.max("read_at").alias("n"))
+    stale = now.join(before, "slug", "left").where("m is null or m <> modified or l <> length").select("slug", "modified", "length", (F.coalesce("n", F.lit(0)) + 1).alias("read_at"))
+    wanted = stale.collect()  # a row for each changed document
+    if wanted:
+        table = spark.createDataFrame(wanted, stale.schema)
+        # a document without records is known by a row without one
+        fresh = table.join(read_documents(spark, path, [r["slug"] for r in wanted]), "slug", "left").select("ordinal", "record", "modified", "length", "read_at", "slug")
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug").parquet(cache)
+        known = spark.read.schema(schema).parquet(cache)
+    return known.join(now.select("slug", "modified", "length"), ["slug", "modified", "length"], "left_semi").where("record is not null").select("slug", "ordinal", "record", "read_at")

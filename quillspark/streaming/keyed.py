@@ -129,6 +129,41 @@ class Cached(StatefulProcessor):
 CACHED = IN_FLIGHT
 
 
+class WindowLimit(StatefulProcessor):
+    """Rows (key, ts, t in s, event_id): ``most`` hits in windows of ``seconds`` that begin with a key's first hit after the last one.
+
+    A key that is idle for ``idle`` seconds is forgotten, by a timer of the watermark, so that state follows the callers of late.
+    """
+
+    def __init__(self, most: int, seconds: float, idle: float):
+        self.most, self.seconds, self.idle = most, seconds, max(idle, seconds)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "start double, used long, last double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        start, used, last = self.window.get() if self.window.exists() else (None, 0, None)
+        for row in sorted(rows, key=lambda r: (r["t"], r["event_id"])):
+            if start is None or row["t"] - start >= self.seconds:
+                start, used = row["t"], 0
+            used, last = used + 1, row["t"]
+            yield Row(key=key[0], event_id=row["event_id"], allowed=used <= self.most)
+        self.window.update((start, used, last))
+        self.handle.registerTimer(int((last + self.idle) * 1000) + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.window.exists() and self.window.get()[2] + self.idle <= timerValues.getCurrentWatermarkInMs() / 1000:
+            self.window.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+WINDOW_LIMIT = "key long, event_id long, allowed boolean"
+
+
 @contextlib.contextmanager
 def _rocks(spark: SparkSession):
     before = spark.conf.get(_PROVIDER)
@@ -237,3 +272,12 @@ CACHE_SQL = """with recursive h as (select user_id, event_id, epoch(ts) as t, fl
       case when r.known or h.t - r.failed < 86400 then r.failed when not h.ok then h.t end
     from r join h on h.user_id = r.user_id and h.k = r.k + 1)
   select user_id, event_id, outcome from r"""
+
+
+def limiter_stream(spark: SparkSession, sf_dir: str, files: int = 3) -> DataFrame:
+    """event_id, allowed by the chat's limit, as a stream: three an hour from a caller's first hit; callers idle for two hours are forgotten."""
+    rows = _events(spark, sf_dir).select("key", "ts", (F.unix_micros("ts").cast("double") / 1e6).alias("t"), "event_id")
+    place = _place(spark)
+    late = int(capture(rows, f"{place}/source")) + 1
+    stream = _source(spark, f"{place}/source", rows.schema, files).withWatermark("ts", f"{late} seconds")
+    return drained(folded(stream, WindowLimit(3, 3600, 7200), WINDOW_LIMIT, time="EventTime"), place).select("event_id", "allowed")

@@ -84,3 +84,26 @@ def test_no_events(spark, tmp_path):
     empty = spark.read.parquet(f"{SMALL}/events.parquet").limit(0)
     empty.write.parquet(f"{tmp_path}/events.parquet")
     assert keyed.capture(empty.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts")), f"{tmp_path}/s") == 0.0
+
+
+def test_windows_begin_with_a_hit_and_idle_callers_are_forgotten(spark, tmp_path):
+    source, place = f"{tmp_path}/in", f"{tmp_path}/q"
+    schema = "key long, ts timestamp, t double, event_id long"
+
+    def send(rows):
+        frame = spark.createDataFrame(rows, "key long, t double, event_id long")
+        frame.select("key", F.timestamp_millis((F.col("t") * 1000).cast("long")).alias("ts"), "t", "event_id").coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = keyed._source(spark, source, schema, 1).withWatermark("ts", "0 seconds")
+        out = keyed.drained(keyed.folded(stream, keyed.WindowLimit(2, 60, 120), keyed.WINDOW_LIMIT, time="EventTime"), place)
+        return {r["event_id"]: r["allowed"] for r in out.collect()}
+
+    send([(1, 10.0, 1), (1, 20.0, 2), (1, 69.9, 3), (1, 70.0, 4), (2, 30.0, 5)])
+    assert run() == {1: True, 2: True, 3: False, 4: True, 5: True}
+    send([(1, 75.0, 6), (1, 76.0, 7)])
+    assert run() == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 7: False}
+    send([(9, 1000.0, 8)])
+    send([(1, 2000.0, 9), (1, 2001.0, 10), (1, 2002.0, 11)])
+    out = run()
+    assert (out[9], out[10], out[11]) == (True, True, False)

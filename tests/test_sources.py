@@ -86,3 +86,20 @@ def test_schemas_of_odd_records(spark):
     assert got["a"]["properties"]["`q`"] == {"type": "object", "properties": {}}
     assert got["a"]["properties"]["y"]["items"]["properties"] == {"w": {"type": "number"}, "z": {"type": "string"}}
     assert got["b"]["type"] == "array" and "type" not in got["b"]["items"] and got[None]["type"] == "integer"
+
+
+def test_only_changed_documents_are_read_again(spark, tmp_path):
+    docs, cache = str(tmp_path / "docs"), str(tmp_path / "cache")
+    canonical.write_documents(_rows(spark, ("a", 0, '{"v":1}'), ("b", 0, '{"v":1}'), ("b", 1, '{"v":2}'), ("c", 0, '{"v":3}')), docs)
+    load = lambda: sorted((r["slug"], r["ordinal"], r["record"], r["read_at"]) for r in canonical.cached_documents(spark, docs, cache).collect())
+    first = load()
+    assert [r[3] for r in first] == [1, 1, 1, 1] and load() == first
+    canonical.write_documents(_rows(spark, ("b", 0, '{"v":"longer"}')), docs)
+    (tmp_path / "docs" / "c.json").unlink()
+    (tmp_path / "docs" / "d.json").write_text('{"entities":[]}')
+    assert load() == [("a", 0, '{"v":1}', 1), ("b", 0, '{"v":"longer"}', 2)]
+
+
+def test_columns_that_are_not_asked_for_are_not_read(spark):
+    plan = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang").where("lang = 'en'")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan and "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan

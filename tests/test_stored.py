@@ -130,3 +130,21 @@ def test_an_index_is_found_again_until_its_files_change(spark, tmp_path):
     assert index.stored(docs, "try", build) == index.stored(docs, "try", build) and len(built) == 1
     spark.createDataFrame([(2, "c")], "doc_id long, text string").write.mode("append").parquet(f"{tmp_path}/d.parquet")
     assert index.stored(spark.read.parquet(f"{tmp_path}/d.parquet"), "try", build) != built[0] and len(built) == 2
+
+
+def test_deletions_with_shared_files(spark):
+    from quillspark.operators import mutations
+
+    books = spark.createDataFrame([(1, "done", "a"), (2, "done", "a"), (3, "done", "b"), (4, "processing", "c"), (5, None, "d"), (6, "done", None)], "id int, status string, slug string")
+    asked = spark.createDataFrame([(1,), (1,), (3,), (4,), (5,), (9,), (6,)], "id int")
+    got = {r["id"]: (r["outcome"], r["file_goes"]) for r in mutations.deletions(asked, books).collect()}
+    assert got == {1: ("deleted", False), 3: ("deleted", True), 4: ("conflict", False), 5: ("deleted", True), 9: ("not found", False), 6: ("deleted", True)}
+
+
+def test_newer_versions_stand(spark):
+    from quillspark.operators import mutations
+
+    stored = spark.createDataFrame([(1, 2, "s"), (2, 2, "s"), (3, None, "s"), (4, 9, "s")], "id int, version int, state string")
+    given = spark.createDataFrame([(1, 2, "g"), (2, 1, "g"), (3, None, "g"), (5, 1, "g"), (5, 3, "h")], "id int, version int, state string")
+    got = {r["id"]: (r["version"], r["state"]) for r in mutations.upsert_newer(stored, given, "id", "version").collect()}
+    assert got == {1: (2, "g"), 2: (2, "s"), 3: (None, "g"), 4: (9, "s"), 5: (3, "h")}
