@@ -639,8 +639,8 @@ def test_op7_page_shapes(shell, noise):
         assert htmltext.main_blocks(page) == _PROSE
 
 
-def test_registry_has_all_eleven():
-    assert [k.split("_")[0] for k in registry.queries()] == ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "pipeline"]
+def test_registry_has_all_fourteen():
+    assert [k.split("_")[0] for k in registry.queries()] == ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "op11", "op12", "op13", "pipeline"]
 
 
 def test_op7_forms_and_open_controls():
