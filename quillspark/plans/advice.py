@@ -214,3 +214,10 @@ def session_packets(s, d):
     rows = table(s, d, "orders").select(F.col("o_custkey").alias("campaign"), F.col("o_orderkey").alias("session"), A.party_of_theme(theme).alias("party"), F.least(F.col("o_orderkey") % 6 + 1, F.lit(5)).cast("int").alias("heroes"))
     lore = _part(s, d).select(F.col("p_partkey").alias("session"), F.col("p_name").alias("lore"))
     return rows.join(lore, "session", "left")
+
+
+@BOOK(f"with p as ({BOOK.sql['session_packets']}), e as ({BOOK.sql['encounter_builder']}) select campaign, session, party, heroes, lore, picked, band, reason from p join e on e.o_orderkey = p.session")
+def session_encounters(s, d):
+    """A session's packet with the encounter that is built for it."""
+    built = encounter_builder(s, d).select(F.col("o_orderkey").alias("session"), "picked", "band", "reason")
+    return session_packets(s, d).join(built, "session")
