@@ -38,10 +38,10 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def sessions(rows: DataFrame, part: str, order: str, value: str, gap: int) -> DataFrame:
-    """Gaps and islands: consecutive rows no further apart than ``gap`` share an island."""
-    w = Window.partitionBy(part).orderBy(order, value)
+    """Gaps and islands: consecutive rows no further apart than ``gap`` share an island; nulls come last, and of equal rows each counts by itself."""
+    w = Window.partitionBy(part).orderBy(F.asc_nulls_last(order), F.asc_nulls_last(value))
     new = F.when(F.col(value) - F.lag(value).over(w) > gap, 1).otherwise(0)
-    return rows.withColumn("new", new).withColumn("island", F.sum("new").over(w)).drop("new")
+    return rows.withColumn("new", new).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
 def carried_forward(rows: DataFrame, part: str, order: list[str], value: Column, name: str) -> DataFrame:
