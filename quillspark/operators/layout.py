@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import layout as L
 from ..functions.text import tokens
+from .index import kept
 from .mutations import unfinished
 
 #: Layout items between a heading and the table that it still names.
@@ -179,10 +180,11 @@ def promoted(blocks: DataFrame, book: str, order: str) -> DataFrame:
 def reground(records: DataFrame, done: DataFrame, key: str, batch: int = 50) -> DataFrame:
     """Records (grounded, p_name) that a checkpoint does not list, each with its action and its batch.
 
-    Places are counted within ranges of the key and then across them, so that records do not meet in one task.
+    Places are counted within ranges of the key and then across them, so that records do not meet in one task. The
+    ranges are written once: made twice, they need not be the same.
     """
     left = unfinished(records, done, key)
-    ranged = left.repartitionByRange(key).withColumn("_range", F.spark_partition_id()).withColumn("action", action(F.when(F.col("grounded"), "Grounded").otherwise("Uncertain"), F.col("p_name")))
+    ranged = kept(left.repartitionByRange(key).withColumn("_range", F.spark_partition_id())).withColumn("action", action(F.when(F.col("grounded"), "Grounded").otherwise("Uncertain"), F.col("p_name")))
     within = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1)
     before = within.groupBy("_range").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return within.join(before.select("_range", "_before"), "_range").withColumn("batch", F.floor((F.col("_before") + F.col("_place")) / batch)).drop("_range", "_place", "_before")

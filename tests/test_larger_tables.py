@@ -32,3 +32,29 @@ def test_party_levels_are_counted_before_campaigns_meet_heroes(spark, tmp_path):
     equals_sql(spark, "party_levels", folder)
     plan = catalog.queries()["party_levels"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.index("Join") :]
+
+
+def test_facts_of_a_book_share_keys_with_other_books(spark, tmp_path):
+    folder = write(
+        tmp_path,
+        part="select 1000000 + i as p_partkey, 'Brand#' || (i % 5) as p_brand from range(60) t(i)",
+        customer="select i::bigint as c_custkey, (i % 3)::int as c_nationkey from range(90) t(i)",
+    )
+    equals_sql(spark, "structured_facts", folder)
+
+
+def test_batches_are_counted_over_ranges_that_are_made_once(spark, tmp_path):
+    folder = write(tmp_path, part="select * replace (p_partkey + i * 200 as p_partkey) from '@part.parquet', range(6000) t(i)")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        equals_sql(spark, "reground_batches", folder)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_sections_with_unknown_pages_stand_where_the_sql_puts_them(spark, tmp_path):
+    folder = write(tmp_path, lineitem="select (i % 40)::bigint as l_orderkey, case when i % 5 <> 0 then i // 80 end::int as l_linenumber, case when i % 3 <> 0 then i * 7 % 41 + i / 1000 end::double as l_quantity from range(400) t(i)")
+    ties = duckdb.sql(f"select count(*) from (select 1 from '{folder}/lineitem.parquet' group by l_orderkey, l_linenumber, floor(l_quantity) having count(*) > 1 and count(l_quantity) > 0)").fetchall()
+    assert ties == [(0,)]
+    equals_sql(spark, "gaps_islands_sections", folder)
