@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import retrieval as R
 from .index import search_index
@@ -146,12 +151,37 @@ def fused_search(prose: DataFrame, entities: DataFrame, query: str, top_k: int =
 
 
 def quantised_nearest(vectors: DataFrame, query: list[float], k: int, oversampling: float = 2.0, quantile: float = 0.99) -> DataFrame:
-    """The nearest k by vectors of eight bits first, oversampled, then by the whole ones."""
+    """The nearest k by vectors of eight bits first, oversampled, then by the whole ones: the same k as by those alone.
+
+    What the eight bits leave out of a vector bounds its score. The k-th score of the oversampled pool is the bar; any
+    other vector whose bound reaches the bar is ranked as well.
+    """
     edge = vectors.select(F.percentile_approx(F.array_max(F.transform("embedding", F.abs)), quantile, 10_000).alias("edge")).first()["edge"] or 1.0
-    small = lambda v: F.transform(v, lambda x: F.least(F.greatest(F.round(x / edge * 127), F.lit(-127.0)), F.lit(127.0)))
-    q = F.array(*[F.lit(float(x)) for x in query])
-    coarse = vectors.withColumn("coarse", R.cosine(small(F.col("embedding")), small(q))).orderBy(F.desc("coarse"), "vec_id").limit(int(k * oversampling))
-    return R.top(R.nearest(coarse.drop("coarse"), query), k, "vec_id")
+    q = np.array(query, dtype=np.float64)
+    size = float(np.sqrt((q * q).sum()))
+    unit = q / size if size > 0 else q
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("embedding")
+            coarse, most = np.zeros(len(rows)), np.full(len(rows), np.inf)  # vectors of another length, or none, are ranked whole
+            fit = np.flatnonzero(pc.equal(pc.list_value_length(rows), len(unit)).fill_null(False).to_numpy(zero_copy_only=False)) if len(unit) else np.zeros(0, dtype=np.int64)
+            for at in range(0, len(fit), 4096):
+                here = fit[at : at + 4096]
+                whole = pc.list_flatten(rows.take(pa.array(here))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(here), -1)
+                small = np.clip(np.rint(whole / edge * 127), -127, 127) * (edge / 127)
+                lengths = np.sqrt((whole * whole).sum(axis=1))
+                lengths[lengths == 0] = np.inf
+                coarse[here] = small @ unit / lengths
+                most[here] = coarse[here] + np.sqrt(((whole - small) ** 2).sum(axis=1)) / lengths
+            yield batch.append_column("coarse", pa.array(coarse)).append_column("most", pa.array(most))
+
+    bounded = vectors.mapInArrow(bounds, StructType([*vectors.schema.fields, StructField("coarse", DoubleType()), StructField("most", DoubleType())]))
+    pool = bounded.orderBy(F.desc("coarse"), "vec_id").limit(int(k * oversampling)).drop("coarse", "most")
+    first = R.top(R.nearest(pool, query), k, "vec_id").select("score").collect()
+    # scores are rounded to six digits
+    bar = first[-1]["score"] - 1e-6 if len(first) == k else float("-inf")
+    return R.top(R.nearest(bounded.where(F.col("most") >= bar).drop("coarse", "most"), query), k, "vec_id")
 
 
 def routed_turns(turns: DataFrame, groups: dict[str, str], centroids: DataFrame, floor: float = 0.45) -> DataFrame:
