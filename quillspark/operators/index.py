@@ -9,14 +9,19 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import slot_of, term_hash, tokens
 from .retrieval import K1, B, spread
 
+#: Texts counted at a time.
+COUNTED = 64
+#: Postings of a range, about: what one task sums and sorts.
+RANGE_ENTRIES = 1_000_000
 _KNOWN: dict[tuple, str] = {}
 
 
@@ -39,16 +44,34 @@ def kept(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, words) as (key, length, terms, tfs): a text's words counted where it is read."""
+    for batch in (b.slice(at, COUNTED) for b in batches for at in range(0, b.num_rows, COUNTED)):
+        counts = [Counter(words) for words in batch.column(1).to_pylist()]
+        rows = [pa.array([c.total() for c in counts], pa.int32()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *rows], ["key", "length", "terms", "tfs"])
+
+
 def build_index(docs: DataFrame, folder: str, key: str = "doc_id") -> None:
-    """Writes the weight of each slot of each document to ``folder``; colliding terms add."""
-    words = spread(docs.select(key, "text")).select(key, tokens(F.col("text")).alias("w"))
-    stats = words.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("w")), F.lit(0)).alias("total")).first()
-    avgdl = stats["total"] / stats["n"] if stats["n"] else 1.0
-    counts = words.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
-    idf = counts.groupBy("term").agg(F.count("*").alias("df")).select("term", term_hash("term").alias("idx"), (F.log((F.lit(stats["n"]) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    """Writes the weight of each slot of each document to ``folder``; colliding terms add.
+
+    Words are counted within their text and meet their weight by term, so that only a slot's weights are shuffled by the
+    texts, once; the terms themselves are only where they are too many to be sent to all.
+    """
+    words = spread(docs.select(F.col(key).alias("key"), "text")).select("key", tokens(F.col("text")).alias("w"))
+    # each term's texts, and at the empty term the number of texts and of their words
+    seen = words.select(F.size("w").alias("n"), F.explode(F.concat(F.array_distinct(F.coalesce("w", F.array().cast("array<string>"))), F.array(F.lit("")))).alias("term"))
+    vocabulary = kept(seen.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("n"))).alias("total")))
+    stats = vocabulary.where("term = ''").first()
+    entries = vocabulary.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    many, avgdl = (stats["df"], (stats["total"] or 0) / stats["df"]) if stats else (0, 1.0)
+    idf = vocabulary.where("term <> ''").select("term", term_hash("term").alias("idx"), (F.log((F.lit(many) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    counted = words.where("w is not null").mapInArrow(_counted, f"key {dict(docs.dtypes)[key]}, length int, terms array<string>, tfs array<int>")
+    counts = counted.select("key", "length", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(avgdl))))
-    postings = counts.join(idf, "term").groupBy("idx", key).agg(F.sum(weight).alias("weight"))
-    postings.repartitionByRange("idx").sortWithinPartitions("idx").write.mode("overwrite").parquet(folder)
+    weights = counts.join(idf, "term").select("idx", F.col("key").alias(key), weight.alias("weight"))
+    postings = weights.repartitionByRange(entries // RANGE_ENTRIES + 1, "idx", key).groupBy("idx", key).agg(F.sum("weight").alias("weight"))
+    postings.sortWithinPartitions("idx").write.mode("overwrite").parquet(folder)
 
 
 def _file_system(spark: SparkSession, folder: str):

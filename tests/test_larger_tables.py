@@ -7,7 +7,8 @@ import numpy as np
 from oracle import as_rows, sql_rows
 
 from quillspark import catalog
-from quillspark.operators import vectors
+from quillspark.operators import index, vectors
+from quillspark.sources.tables import table
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -81,3 +82,11 @@ def test_best_codes_are_held_a_tile_at_a_time():
     for row in range(30):
         wanted = sorted(zip(-coarse[row], keys, strict=True))[:20]
         assert list(zip(-held.coarse[held.row == row], held.key[held.row == row], strict=True)) == wanted
+
+
+def test_an_index_shuffles_its_weights_once(spark, tmp_path):
+    written = lambda: sum(x.totalShuffleWrite() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    before = written()
+    index.build_index(table(spark, "/root/testdata/sf0.01", "documents"), str(tmp_path / "index"))
+    size = sum(f.stat().st_size for f in (tmp_path / "index").glob("*.parquet"))
+    assert 0 < written() - before < 6 * size
