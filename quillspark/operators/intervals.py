@@ -2,9 +2,9 @@
 
 Of intervals in order of start, one counts only beyond what those before it reach: what it shares with the furthest of
 them begins later than that one and belongs to it or to one before.  So each is cut to its own part, and the parts are
-disjoint.  A part of length n stands in at most two bins of the power of two that n asks for; a point looks into one bin
-of each power that occurs.  That is an equality join on (book, power, bin), whose rows a long interval or a large book
-does not multiply, with neither a broadcast nor a nested loop.
+disjoint.  Parts and points are sorted together into ranges of (book, page): a point is in the last part that begins at
+or before it, or in none.  What the ranges before leave open is carried to each, one row for a range at most, so that
+neither a long interval nor a large book multiplies rows or stands in one task.
 """
 
 from __future__ import annotations
@@ -57,13 +57,17 @@ def first_interval(points: DataFrame, sections: DataFrame, group: str, point: st
 
     ``order`` tells sections of one start apart; a point or section without group is in none.
     """
-    # the power of two that holds a part's length, its length less one written in binary
-    power = F.greatest(F.lit(0), F.length(F.bin(F.col("_to") - F.col("_from")))).cast("int")
-    parts = own_parts(sections, group, start, end, order).select(group, "_from", "_to", *take).withColumn("_power", power)
-    parts = kept(parts)
-    powers = [r["_power"] for r in parts.select("_power").distinct().collect()]  # at most 42
-    bins = parts.withColumn("_bin", F.explode(F.array_distinct(F.array(F.expr("shiftright(_from, _power)"), F.expr("shiftright(_to, _power)")))))
-    asked = points.select(group, F.col(point).cast("long").alias("_at")).where(f"{group} is not null and _at is not null").distinct()
-    tried = asked.withColumn("_power", F.explode(F.array(*map(F.lit, powers)).cast("array<int>"))).withColumn("_bin", F.expr("shiftright(_at, _power)"))
-    found = tried.join(bins, [group, "_power", "_bin"]).where("_at between _from and _to").select(group, "_at", *take)
-    return points.withColumn("_at", F.col(point).cast("long")).join(found, [group, "_at"], "left").drop("_at")
+    parts = own_parts(sections, group, start, end, order).where(F.col(group).isNotNull())
+    parts = parts.select(group, F.col("_from").alias("_at"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_salt"), F.struct("_to", *take).alias("_part"), F.lit(None).cast(points.schema).alias("_row"))
+    # equal points may be many: their hash deals them over ranges
+    asked = points.select(group, F.col(point).cast("long").alias("_at"), F.lit(1).alias("_kind"), F.xxhash64(*points.columns).alias("_salt"), F.lit(None).cast(parts.schema["_part"].dataType).alias("_part"), F.struct(*points.columns).alias("_row"))
+    placed = kept(parts.unionByName(asked).repartitionByRange(group, "_at", "_kind", "_salt").drop("_salt").withColumn("_range", F.spark_partition_id()))
+    within = Window.partitionBy("_range", group).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.where(F.col(group).isNotNull()).groupBy(group, "_range").agg(F.max(F.when(F.col("_kind") == 0, F.col("_at"))).alias("_at"))
+    carried = starts.withColumn("_at", F.last("_at", ignorenulls=True).over(before)).where("_at is not null")
+    # a range begins within one group at most, so these are no more than the ranges
+    carried = placed.where("_kind = 0").drop("_range").join(F.broadcast(carried), [group, "_at"]).select(group, "_range", F.col("_part").alias("_carried"))
+    met = placed.withColumn("_part", F.last("_part", ignorenulls=True).over(within)).where("_kind = 1").join(F.broadcast(carried), [group, "_range"], "left").withColumn("_part", F.coalesce("_part", "_carried"))
+    holds = F.col("_at") <= F.col("_part._to")
+    return met.select("_row.*", *[F.when(holds, F.col(f"_part.{c}")).alias(c) for c in take])

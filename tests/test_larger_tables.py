@@ -90,3 +90,16 @@ def test_an_index_shuffles_its_weights_once(spark, tmp_path):
     index.build_index(table(spark, "/root/testdata/sf0.01", "documents"), str(tmp_path / "index"))
     size = sum(f.stat().st_size for f in (tmp_path / "index").glob("*.parquet"))
     assert 0 < written() - before < 6 * size
+
+
+def test_points_are_not_multiplied_by_the_lengths_of_sections(spark, tmp_path):
+    # one page asked for by most, in a section that begins far before it
+    folder = write(
+        tmp_path,
+        orders="select (i * 3)::bigint as o_orderkey, (i % 4)::bigint as o_custkey from range(300) t(i)",
+        lineitem="select i::bigint as l_orderkey, (case when i % 10 < 8 then 7 else i end)::bigint as l_partkey, 1::int as l_linenumber from range(20000) t(i)",
+        customer="select i::bigint as c_custkey from range(5) t(i)",
+    )
+    equals_sql(spark, "section_of_page", folder)
+    plan = catalog.queries()["section_of_page"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
