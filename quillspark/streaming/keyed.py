@@ -1,8 +1,10 @@
 """Keyed state over micro-batches: a work queue with release, retries on timers, a cache that cools down after failures.
 
 Each operator is a stateful processor over a stream's groups; state lives in RocksDB under the query's checkpoint, so a
-query that stops goes on where it was.  Within a micro-batch a key's rows are taken in order of time and id; a key's
-rows of one micro-batch are held at a time.
+query that stops goes on where it was.  Within a micro-batch a key's rows are taken in order of time and id.
+
+A call from Python to the store costs as much as many rows, so the groups are buckets of keys: a bucket's state is read
+once and written once in a micro-batch, if it changed.  A bucket's rows of one micro-batch are held at a time.
 """
 
 from __future__ import annotations
@@ -21,31 +23,48 @@ from ..sources.tables import table
 #: Seconds before the second attempt, attempts in all, and seconds without attempts after a failed connection.
 BASE_DELAY, ATTEMPTS, COOL_DOWN = 2, 3, 30
 
+#: Groups of keys; fixed, as a checkpoint's state stands under them.
+BUCKETS = 2048
+
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A micro-batch writes what it changed; whole copies of the state are made beside it.
+_CHANGES = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+
+
+def _in_order(rows: Iterator[Row]) -> list[Row]:
+    return sorted(rows, key=lambda r: (r["t"], r["event_id"]))
+
+
+def _put(state, before: dict, after: dict) -> None:
+    """Writes a bucket's rows (key, ...), if they changed."""
+    if after and after != before:
+        state.put([(key, *values) for key, values in after.items()])
+    elif before and not after:
+        state.clear()
+
+
+_OUTCOME = Row("key", "event_id", "outcome")
 
 
 class InFlight(StatefulProcessor):
     """Rows (key, t, event_id, kind): a ``start`` is accepted unless its key is in flight; ``done`` releases the key, however the work ended."""
 
     def init(self, handle) -> None:
-        self.busy = handle.getValueState("busy", "event_id long")
+        self.busy = handle.getListState("busy", "key long, event_id long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self.busy.get()[0] if self.busy.exists() else None
-        before = held
-        for row in sorted(rows, key=lambda r: (r["t"], r["event_id"])):
+        before = {key: (event,) for key, event in self.busy.get()}
+        busy = dict(before)
+        for row in _in_order(rows):
+            key, event = row["key"], row["event_id"]
             if row["kind"] == "start":
-                outcome = "refused" if held is not None else "accepted"
-                held = row["event_id"] if held is None else held
+                outcome = "refused" if key in busy else "accepted"
+                busy.setdefault(key, (event,))
             else:
-                outcome = "idle" if held is None else "released"
-                held = None
-            yield Row(key=key[0], event_id=row["event_id"], outcome=outcome)
-        if held is None and before is not None:
-            self.busy.clear()
-        elif held != before:
-            self.busy.update((held,))
+                outcome = "idle" if busy.pop(key, None) is None else "released"
+            yield _OUTCOME(key, event, outcome)
+        _put(self.busy, before, busy)
 
     def close(self) -> None:
         pass
@@ -53,11 +72,14 @@ class InFlight(StatefulProcessor):
 
 IN_FLIGHT = "key long, event_id long, outcome string"
 
+_ATTEMPT = Row("key", "event_id", "attempt", "made_at", "ok")
+
 
 class Retries(StatefulProcessor):
     """Rows (key, ts, event_id, t in ms, failing): each event is tried up to ``attempts`` times, ``base * 2**(n-1)`` after the n-th failure.
 
-    An attempt that is not due yet waits as state under its event and as a timer, which the watermark sets off.
+    Attempts that are not due yet wait as the columns of a list's element, one for each micro-batch that adds some, with
+    a timer for the first of them, which the watermark sets off; it makes all that are due and leaves one element.
     ``succeeds`` is asked with the number of the attempt and the row's ``failing``.
     """
 
@@ -66,31 +88,44 @@ class Retries(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "event_id long", "attempt int, due long, failing int")
+        self.waiting = handle.getListState("waiting", "due array<long>, event_id array<long>, attempt array<int>, failing array<int>, key array<long>")
 
-    def _tried(self, key, event: int, attempt: int, due: int, failing: int, now: int) -> Iterator[Row]:
+    def _tried(self, key: int, event: int, attempt: int, due: int, failing: int, now: int, waits: list) -> Iterator[Row]:
         while True:
             ok = self.succeeds(attempt, failing)
-            yield Row(key=key[0], event_id=event, attempt=attempt, made_at=due, ok=ok)
+            yield _ATTEMPT(key, event, attempt, due, ok)
             if ok or attempt == self.attempts:
                 return
             due, attempt = due + self.base * 2 ** (attempt - 1), attempt + 1
             if due > now:
-                self.waiting.updateValue((event,), (attempt, due, failing))
-                self.handle.registerTimer(due)
+                waits.append((due, event, attempt, failing, key))
                 return
 
+    def _wait(self, waits: list, write: Callable[[list], None]) -> None:
+        columns = tuple(map(list, zip(*waits, strict=True)))
+        write([columns])
+        self.handle.registerTimer(min(columns[0]))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
-        for row in sorted(rows, key=lambda r: (r["t"], r["event_id"])):
-            yield from self._tried(key, row["event_id"], 1, row["t"], row["failing"], now)
+        now, waits = timerValues.getCurrentWatermarkInMs(), []
+        for row in _in_order(rows):
+            yield from self._tried(row["key"], row["event_id"], 1, row["t"], row["failing"], now, waits)
+        if waits:
+            self._wait(waits, self.waiting.appendList)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now, due = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
-        ready = [(event[0], *waits) for event, waits in list(self.waiting.iterator()) if waits[1] <= due]
-        for event, attempt, at, failing in sorted(ready):
-            self.waiting.removeKey((event,))
-            yield from self._tried(key, event, attempt, at, failing, now)
+        now = timerValues.getCurrentWatermarkInMs()
+        held = [wait for columns in self.waiting.get() for wait in zip(*columns, strict=True)]
+        waits = [wait for wait in held if wait[0] > now]
+        if len(waits) == len(held):  # another timer of this micro-batch was first
+            return
+        for due, event, attempt, failing, key in held:
+            if due <= now:
+                yield from self._tried(key, event, attempt, due, failing, now, waits)
+        if waits:
+            self._wait(waits, self.waiting.put)
+        else:
+            self.waiting.clear()
 
     def close(self) -> None:
         pass
@@ -106,21 +141,24 @@ class Cached(StatefulProcessor):
         self.cool_down = cool_down
 
     def init(self, handle) -> None:
-        self.kept = handle.getValueState("kept", "known boolean, failed_at double")
+        self.kept = handle.getListState("kept", "key long, known boolean, failed_at double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known, failed = self.kept.get() if self.kept.exists() else (False, None)
-        for row in sorted(rows, key=lambda r: (r["t"], r["event_id"])):
+        before = {key: (known, failed) for key, known, failed in self.kept.get()}
+        kept = dict(before)
+        for row in _in_order(rows):
+            key, t = row["key"], row["t"]
+            known, failed = kept.get(key, (False, None))
             if known:
                 outcome = "cached"
-            elif failed is not None and row["t"] - failed < self.cool_down:
+            elif failed is not None and t - failed < self.cool_down:
                 outcome = "cooling"
             elif row["ok"]:
-                known, failed, outcome = True, None, "connected"
+                kept[key], outcome = (True, None), "connected"
             else:
-                failed, outcome = row["t"], "failed"
-            yield Row(key=key[0], event_id=row["event_id"], outcome=outcome)
-        self.kept.update((known, failed))
+                kept[key], outcome = (False, t), "failed"
+            yield _OUTCOME(key, row["event_id"], outcome)
+        _put(self.kept, before, kept)
 
     def close(self) -> None:
         pass
@@ -128,6 +166,8 @@ class Cached(StatefulProcessor):
 
 CACHED = IN_FLIGHT
 
+_ALLOWED = Row("key", "event_id", "allowed")
+
 
 class WindowLimit(StatefulProcessor):
     """Rows (key, ts, t in s, event_id): ``most`` hits in windows of ``seconds`` that begin with a key's first hit after the last one.
@@ -140,21 +180,33 @@ class WindowLimit(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.window = handle.getValueState("window", "start double, used long, last double")
+        self.windows = handle.getListState("windows", "key long, start double, used long, last double")
+
+    def _held(self) -> dict:
+        return {key: (start, used, last) for key, start, used, last in self.windows.get()}
+
+    def _until(self, windows: dict) -> None:
+        self.handle.registerTimer(int((min(last for _, _, last in windows.values()) + self.idle) * 1000) + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        start, used, last = self.window.get() if self.window.exists() else (None, 0, None)
-        for row in sorted(rows, key=lambda r: (r["t"], r["event_id"])):
-            if start is None or row["t"] - start >= self.seconds:
-                start, used = row["t"], 0
-            used, last = used + 1, row["t"]
-            yield Row(key=key[0], event_id=row["event_id"], allowed=used <= self.most)
-        self.window.update((start, used, last))
-        self.handle.registerTimer(int((last + self.idle) * 1000) + 1)
+        before = self._held()
+        windows = dict(before)
+        for row in _in_order(rows):
+            key, t = row["key"], row["t"]
+            start, used, _ = windows.get(key, (None, 0, None))
+            if start is None or t - start >= self.seconds:
+                start, used = t, 0
+            windows[key] = (start, used + 1, t)
+            yield _ALLOWED(key, row["event_id"], used < self.most)
+        _put(self.windows, before, windows)
+        self._until(windows)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.window.exists() and self.window.get()[2] + self.idle <= timerValues.getCurrentWatermarkInMs() / 1000:
-            self.window.clear()
+        now, before = timerValues.getCurrentWatermarkInMs() / 1000, self._held()
+        windows = {key: window for key, window in before.items() if window[2] + self.idle > now}
+        _put(self.windows, before, windows)
+        if windows:
+            self._until(windows)
         return iter(())
 
     def close(self) -> None:
@@ -166,17 +218,19 @@ WINDOW_LIMIT = "key long, event_id long, allowed boolean"
 
 @contextlib.contextmanager
 def _rocks(spark: SparkSession):
-    before = spark.conf.get(_PROVIDER)
+    before = {name: spark.conf.get(name, None) for name in (_PROVIDER, _CHANGES)}
     spark.conf.set(_PROVIDER, _ROCKS)
+    spark.conf.set(_CHANGES, "true")
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
 
 
 def folded(stream: DataFrame, processor: StatefulProcessor, schema: str, key: str = "key", time: str = "None") -> DataFrame:
-    """The processor over the stream's groups. ``time`` is "EventTime" for one with timers."""
-    return stream.groupBy(key).transformWithState(processor, schema, "Append", time)
+    """The processor over the stream's buckets of keys. ``time`` is "EventTime" for one with timers."""
+    return stream.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS))).groupBy("bucket").transformWithState(processor, schema, "Append", time)
 
 
 def drained(out: DataFrame, place: str) -> DataFrame:
@@ -195,13 +249,15 @@ def capture(rows: DataFrame, folder: str, slices: int = 4, key: str = "key", tim
     """Writes rows as a source of files that come in order of time, a slice after the other; returns the longest slice's seconds.
 
     A key's rows of a slice are in one file, so that however files fall into micro-batches each key's rows come in order.
+    A slice has a file for each core at most, however large it is.
     """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
     edges = [float(x) for x in rows.agg(F.percentile_approx(F.unix_micros(time).cast("double"), [i / slices for i in range(slices + 1)], 10_000)).first()[0] or []]
     at = F.unix_micros(time).cast("double")
     span = 0.0
     for i in range(len(edges) - 1):
         inside = (at >= edges[i] if i else F.lit(True)) & (at < edges[i + 1] if i < slices - 1 else F.lit(True))
-        rows.where(inside).repartition(key).write.mode("append").parquet(folder)
+        rows.where(inside).repartition(cores, key).write.mode("append").parquet(folder)
         span = max(span, (edges[i + 1] - edges[i]) / 1e6)
     return span
 
@@ -215,11 +271,13 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("user_id").alias("key"), "ts", "event_id", "event_type", "value")
 
 
-def _source(spark: SparkSession, folder: str, schema, files: int) -> DataFrame:
+def _source(spark: SparkSession, folder: str, schema, files: int | None) -> DataFrame:
+    """The files as they come, ``files`` in a micro-batch; without that a slice of ``capture``, so that there are as many micro-batches for any size of slices."""
+    files = files or spark.sparkContext.defaultParallelism
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-def ingestion_queue(spark: SparkSession, sf_dir: str, files: int = 3) -> DataFrame:
+def ingestion_queue(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
     """Events as a queue's: views, clicks and signups ask for work on a user's book, purchases and errors end it."""
     rows = _events(spark, sf_dir).select("key", "ts", F.unix_micros("ts").alias("t"), "event_id", F.when(F.col("event_type").isin("purchase", "error"), "done").otherwise("start").alias("kind"))
     place = _place(spark)
@@ -235,7 +293,7 @@ INGESTION_SQL = """with k as (select user_id, event_id, ts, event_type in ('purc
   select user_id, event_id, case when not done and nth = 1 then 'accepted' when not done then 'refused' when starts > 0 then 'released' else 'idle' end as outcome from q"""
 
 
-def extraction_retries(spark: SparkSession, sf_dir: str, files: int = 3) -> DataFrame:
+def extraction_retries(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
     """Each event as an extraction that fails as often as its value says: attempts and when they were made, in ms."""
     failing = (F.floor("value") % 5).cast("int")
     rows = _events(spark, sf_dir).select("key", "ts", F.unix_millis("ts").alias("t"), "event_id", failing.alias("failing"))
@@ -255,7 +313,7 @@ RETRIES_SQL = f"""with recursive a as (
   select event_id, attempt::int as attempt, made::bigint as made_at, attempt > failing as ok from a"""
 
 
-def tool_cache(spark: SparkSession, sf_dir: str, files: int = 3, cool_down: float = 86_400.0) -> DataFrame:
+def tool_cache(spark: SparkSession, sf_dir: str, files: int | None = None, cool_down: float = 86_400.0) -> DataFrame:
     """Events as requests for a user's tools, which a tenth of connections bring: outcome of each. Events come by the hour, so a failure cools for a day."""
     rows = _events(spark, sf_dir).select("key", "ts", (F.unix_micros("ts") / 1e6).alias("t"), "event_id", (F.floor(F.col("value") * 100) % 10 == 0).alias("ok"))
     place = _place(spark)
@@ -274,7 +332,7 @@ CACHE_SQL = """with recursive h as (select user_id, event_id, epoch(ts) as t, fl
   select user_id, event_id, outcome from r"""
 
 
-def limiter_stream(spark: SparkSession, sf_dir: str, files: int = 3) -> DataFrame:
+def limiter_stream(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
     """event_id, allowed by the chat's limit, as a stream: three an hour from a caller's first hit; callers idle for two hours are forgotten."""
     rows = _events(spark, sf_dir).select("key", "ts", (F.unix_micros("ts").cast("double") / 1e6).alias("t"), "event_id")
     place = _place(spark)

@@ -107,3 +107,70 @@ def test_windows_begin_with_a_hit_and_idle_callers_are_forgotten(spark, tmp_path
     send([(1, 2000.0, 9), (1, 2001.0, 10), (1, 2002.0, 11)])
     out = run()
     assert (out[9], out[10], out[11]) == (True, True, False)
+
+
+class _Counting:
+    """A handle with one list of state, which counts calls to the store."""
+
+    def __init__(self):
+        self.rows, self.calls, self.timers = [], 0, set()
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return iter(list(self.rows))
+
+    def put(self, rows):
+        self.calls, self.rows = self.calls + 1, list(rows)
+
+    def appendList(self, rows):
+        self.calls, self.rows = self.calls + 1, self.rows + rows
+
+    def clear(self):
+        self.calls, self.rows = self.calls + 1, []
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class _Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+@pytest.mark.parametrize("events", [3, 300])
+def test_calls_to_the_store_do_not_grow_with_what_waits(events):
+    store, retries = _Counting(), keyed.Retries(lambda attempt, failing: attempt > failing)
+    retries.init(store)
+    rows = [{"key": i % 7, "t": 1000 + i, "event_id": i, "failing": i % 4} for i in range(events)]
+    made = list(retries.handleInputRows((0,), iter(rows), _Clock(0)))
+    while store.timers:
+        at = min(store.timers)
+        store.timers.remove(at)
+        made += retries.handleExpiredTimer((0,), _Clock(at + 400), None)
+    assert store.calls <= 16 and store.rows == []
+    tried = [(i, n) for i in range(events) for n in range(1, min(i % 4 + 1, 3) + 1)]
+    assert sorted((r["event_id"], r["attempt"]) for r in made) == tried
+    assert all(r["key"] == r["event_id"] % 7 and r["made_at"] == 1000 + r["event_id"] + (0, 2000, 6000)[r["attempt"] - 1] and r["ok"] == (r["attempt"] > r["event_id"] % 4) for r in made)
+
+
+@pytest.mark.parametrize("name", ["ingestion_queue", "tool_cache"])
+def test_micro_batches_do_not_grow_with_the_partitions_of_a_shuffle(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(keyed, "_place", lambda _: f"{tmp_path}/{name}")
+    conf = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = getattr(keyed, name)(spark, SMALL).toPandas()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert as_rows(rows) == as_rows(sql_rows({"ingestion_queue": keyed.INGESTION_SQL, "tool_cache": keyed.CACHE_SQL}[name], SMALL))
+    assert len(list((tmp_path / name / "state" / "offsets").glob("[0-9]*"))) <= 5
