@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import layout as L
 from ..functions.text import tokens
 from .index import kept
-from .mutations import unfinished
+from .mutations import spread, unfinished
 
 #: Layout items between a heading and the table that it still names.
 NAMES_WITHIN = 10
@@ -41,8 +41,10 @@ def confident_contents(headings: DataFrame, text: str) -> DataFrame:
     return headings.withColumn("category", L.heading_category(F.col(text))).where(F.trim(text) != "").where(L.record_type(F.col("category")).isNotNull())
 
 
-def section_groups(blocks: DataFrame, book: str, order: str, title: str, page: str, text: str) -> DataFrame:
-    """Runs of blocks with one title and no page gap over three: book, group, title, first place and page, texts joined by blank lines."""
+def section_groups(blocks: DataFrame, book: str, by: list[str], title: str, page: str, text: str) -> DataFrame:
+    """Runs of blocks, in the order of ``by``, with one title and no page gap over three: book, group, title, first place and page, texts joined by blank lines."""
+    order = "place"
+    blocks = spread(blocks, book).withColumn(order, F.row_number().over(Window.partitionBy(book).orderBy(*by)))
     w = Window.partitionBy(book).orderBy(order)
     run = F.sum(F.when(F.col(title).eqNullSafe(F.lag(title).over(w)), 0).otherwise(1)).over(w)
     named = blocks.withColumn("run", run)

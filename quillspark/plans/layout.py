@@ -92,9 +92,9 @@ def table_names(s, d):
   x as (select *, sum(gap) over (partition by book, run order by place rows unbounded preceding) as part from g)
   select book, any_value(title) as title, min(place) as first_place, min(page) as page, string_agg('p' || page, chr(10) || chr(10) order by place) as text from x group by book, run, part""")
 def section_groups(s, d):
-    place = F.expr("row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)")
-    blocks = table(s, d, "lineitem").select(F.col("l_orderkey").alias("book"), place.alias("place"), F.col("l_returnflag").alias("title"), F.floor("l_quantity").cast("int").alias("page"), F.concat(F.lit("p"), F.floor("l_quantity").cast("string")).alias("body"))
-    return S.section_groups(blocks, "book", "place", "title", "page", "body").drop("group")
+    by = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    blocks = table(s, d, "lineitem").select(F.col("l_orderkey").alias("book"), *by, F.col("l_returnflag").alias("title"), F.floor("l_quantity").cast("int").alias("page"), F.concat(F.lit("p"), F.floor("l_quantity").cast("string")).alias("body"))
+    return S.section_groups(blocks, "book", by, "title", "page", "body").drop("group")
 
 
 @BOOK(f"""with c as (select o_orderkey, o_custkey as book, {_ORDER_HEAD_SQL} as title, case when o_custkey % 4 = 0 then 'Rule' else {_case(_ORDER_HEAD_SQL)} end as c from orders),

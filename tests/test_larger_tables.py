@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import duckdb
 import numpy as np
+import pytest
 from oracle import as_rows, sql_rows
 
 from quillspark import catalog
-from quillspark.operators import index, vectors
+from quillspark.operators import index, mutations, vectors
 from quillspark.sources.tables import table
 
 SMALL = "/root/testdata/sf0.001"
@@ -103,3 +104,12 @@ def test_points_are_not_multiplied_by_the_lengths_of_sections(spark, tmp_path):
     equals_sql(spark, "section_of_page", folder)
     plan = catalog.queries()["section_of_page"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
+
+
+@pytest.mark.parametrize("name", ["section_groups", "type_renames", "fuzzy_name_match", "typed_fuzzy_match"])
+def test_partitions_grow_with_rows_and_exploded_rows_are_not_broadcast(spark, monkeypatch, name):
+    monkeypatch.setattr(mutations, "ROWS_A_TASK", 300)
+    frame = catalog.queries()[name](spark, SMALL)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "BroadcastHashJoin" not in plan
+    assert as_rows(frame.toPandas()) == as_rows(sql_rows(catalog.oracle_sql()[name], SMALL))
