@@ -96,7 +96,7 @@ def type_renames(s, d):
     records = table(s, d, "part").select("p_partkey", (k % 7).alias("book"), old(k).alias("id"), F.concat("p_name", F.lit(" "), k.cast("string")).alias("name"), F.lower("p_brand").alias("source"), F.split_part(old(k), F.lit("."), F.lit(2)).alias("type"), text.alias("record"))
     lookup = records.where("p_partkey % 5 = 0").select(F.lower("name").alias("name_key"), F.upper("source").alias("source_key"), F.lit("Armor").alias("type"))
     changes = renames.corrections(records, lookup)
-    done = renames.renamed(records, changes, "p_partkey").join(changes.select(F.col("old_id").alias("id"), "book", "new_id"), ["book", "id"], "left")
+    done = M.spread(renames.renamed(records, changes, "p_partkey"), "book", "id", rows=records.count()).join(changes.select(F.col("old_id").alias("id"), "book", "new_id").hint("merge"), ["book", "id"], "left")
     return done.select("p_partkey", F.coalesce("new_id", "id").alias("id"), "record", "references")
 
 
