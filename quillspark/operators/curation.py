@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .mutations import spread
+
 CHUNK, OVERLAP, LOOK_BACK = 800, 100, 200
 
 
@@ -92,13 +94,16 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, least: float = 0.9, by: lis
         raise ValueError("candidates are complete from a ratio of 0.9 on")
     by = by or []
     names = right.select(*by, F.col("name").alias("match")).distinct()
-    exact = left.join(names, (F.col("name") == F.col("match")) & _same(left, names, by), "left_semi").select(*by, "id", "name", F.col("name").alias("match"), F.lit(1.0).alias("ratio"))
-    rest = left.select(*by, "id", "name").join(names, (F.col("name") == F.col("match")) & _same(left, names, by), "left_anti")
+    exact = left.join(names.hint("merge"), (F.col("name") == F.col("match")) & _same(left, names, by), "left_semi").select(*by, "id", "name", F.col("name").alias("match"), F.lit(1.0).alias("ratio"))
+    rest = left.select(*by, "id", "name").join(names.hint("merge"), (F.col("name") == F.col("match")) & _same(left, names, by), "left_anti")
     most = lambda c: F.floor((F.length(c) + 2) / 10).cast("int")
     keys = lambda df, c, other: df.withColumn("key", F.explode(F.when(most(F.col(c)) <= 2, _deleted(F.col(c), most(F.col(c)))).otherwise(F.array().cast("array<string>")))).unionByName(df.where(F.length(c) >= 26).withColumn("key", F.explode(F.transform(other(F.col(c), most(F.col(c))), lambda x: F.concat(F.lit("|"), x)))))
     probing = keys(rest, "name", _probes)
     offered = keys(names, "match", lambda c, m: _pieces(c, m))
-    pairs = probing.join(offered, [*by, "key"]).select(*by, "id", "name", "match").distinct()
+    # some 18 keys for a name of up to 17 characters, ten times as many for one of up to 27
+    rows = 18 * left.count() + 180 * right.count()
+    deal = lambda df: spread(df, *by, "key", rows=rows)
+    pairs = deal(probing).join(deal(offered).hint("merge"), [*by, "key"]).select(*by, "id", "name", "match").distinct()
     ratio = 1 - F.levenshtein("name", "match") / F.greatest(F.length("name"), F.length("match"))
     good = pairs.where(F.abs(F.length("name") - F.length("match")) <= 2).withColumn("ratio", F.round(ratio, 6)).where(F.col("ratio") >= least)
     return winners(exact.unionByName(good), ["id"], [F.desc("ratio"), F.col("match")]).select("id", "name", "match", "ratio")
