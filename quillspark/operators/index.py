@@ -1,6 +1,6 @@
 """A stored index of hashed-term weights, built once for a table and read by slot.
 
-Postings are (idx, key, weight), in ranges of ``idx`` and sorted by it, so that a query's few slots prune row groups.
+Postings are (idx, key, weight), in ranges of them and sorted by them, so that a query's few slots prune row groups.
 ``stored_index`` finds the index of a table again by the names, sizes and times of its files.
 """
 
@@ -71,7 +71,7 @@ def build_index(docs: DataFrame, folder: str, key: str = "doc_id") -> None:
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(avgdl))))
     weights = counts.join(idf, "term").select("idx", F.col("key").alias(key), weight.alias("weight"))
     postings = weights.repartitionByRange(entries // RANGE_ENTRIES + 1, "idx", key).groupBy("idx", key).agg(F.sum("weight").alias("weight"))
-    postings.sortWithinPartitions("idx").write.mode("overwrite").parquet(folder)
+    postings.sortWithinPartitions("idx", key).write.mode("overwrite").parquet(folder)
 
 
 def _file_system(spark: SparkSession, folder: str):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import duckdb
 import numpy as np
 import pytest
 from oracle import as_rows, sql_rows
 
 from quillspark import catalog
-from quillspark.operators import index, mutations, vectors
+from quillspark.operators import blockmax, index, mutations, vectors
 from quillspark.sources.tables import table
 
 SMALL = "/root/testdata/sf0.001"
@@ -102,6 +104,27 @@ def test_an_index_shuffles_its_weights_once(spark, tmp_path):
     assert 0 < written() - before < 6 * size
 
 
+def test_blocks_are_read_from_the_index_itself(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    size = lambda rows: sum(Path(f.removeprefix("file:")).stat().st_size for f in rows.inputFiles())
+    whole = index.stored_index(docs)
+    postings, maxima = blockmax.stored_blocks(docs)
+    assert sorted(postings.inputFiles()) == sorted(whole.inputFiles())
+    assert 0 < size(maxima) < size(whole) / 10
+    assert maxima.groupBy("idx").agg({"n": "sum"}).where("`sum(n)` <= 64").count() == 0
+
+
+def test_blocks_lose_no_document_without_key(spark, tmp_path):
+    texts = [(None if i == 7 else i * 3 - 50, "common " * (1 + i % 5) + ("rare" if i in (7, 90) else f"w{i}")) for i in range(300)] + [(None, "rare rare")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = table(spark, str(tmp_path), "documents")
+    for query in ("rare", "common rare", "common", "rare w5 nothing"):
+        whole = index.search_index(index.stored_index(docs), {"q": query}).selectExpr("doc_id", "round(score, 6) as score").orderBy("score", ascending=False).collect()
+        hits = blockmax.Search(*blockmax.stored_blocks(docs), query).hits.collect()
+        assert [r["score"] for r in hits] == [r["score"] for r in whole][:10]
+        assert set(map(tuple, hits)) <= set(map(tuple, whole)) and ("rare" not in query or None in {r["doc_id"] for r in hits})
+
+
 def test_points_are_not_multiplied_by_the_lengths_of_sections(spark, tmp_path):
     # one page asked for by most, in a section that begins far before it
     folder = write(
