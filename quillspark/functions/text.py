@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,15 @@ def slot_of(term: str) -> str:
         cast(2166136261 as bigint), (a, b) -> pmod((a ^ b) * 16777619, 4294967296)), {TERM_SLOTS})"""
 
 
+@lru_cache(maxsize=100_000)
+def slot_number(term: str) -> int:
+    """``slot_of`` a word, in Python."""
+    h = 2166136261
+    for byte in term.encode():
+        h = (h ^ byte) * 16777619 & 0xFFFFFFFF
+    return h % TERM_SLOTS
+
+
 def term_hash(term: str) -> Column:
     """A column's slot; takes its name."""
     return F.expr(slot_of(term))

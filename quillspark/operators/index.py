@@ -1,6 +1,6 @@
 """A stored index of hashed-term weights, built once for a table and read by slot.
 
-Postings are (idx, key, weight), in ranges of them and sorted by them, so that a query's few slots prune row groups.
+Postings are (idx, key, weight), in files by slot and sorted by slot and key, so that a query's few slots prune pages.
 ``stored_index`` finds the index of a table again by the names, sizes and times of its files.
 """
 
@@ -12,16 +12,20 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import slot_of, term_hash, tokens
+from ..functions.text import slot_number, slot_of, term_hash, tokens
 from .retrieval import K1, B, spread
 
 #: Texts counted at a time.
 COUNTED = 64
-#: Postings of a range, about: what one task sums and sorts.
-RANGE_ENTRIES = 1_000_000
+#: Postings of a partition, about: what one task sums and sorts; and those beyond which a slot is dealt in pieces.
+PARTITION_ENTRIES, PIECE_ENTRIES = 1_000_000, 125_000
+#: Parts into which slots are dealt, for each partition: they even out how many a partition gets.
+PARTS = 8
+#: Terms that are sent to all tasks, some 20 MB.
+TERMS_SENT = 200_000
 _KNOWN: dict[tuple, str] = {}
 
 
@@ -45,33 +49,50 @@ def kept(rows: DataFrame) -> DataFrame:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, words) as (key, length, terms, tfs): a text's words counted where it is read."""
+    """(key, words) as (key, length, terms, tfs, slots): a text's words counted where it is read."""
     for batch in (b.slice(at, COUNTED) for b in batches for at in range(0, b.num_rows, COUNTED)):
         counts = [Counter(words) for words in batch.column(1).to_pylist()]
-        rows = [pa.array([c.total() for c in counts], pa.int32()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *rows], ["key", "length", "terms", "tfs"])
+        rows = [pa.array([c.total() for c in counts], pa.int32()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32())), pa.array([list(map(slot_number, c)) for c in counts], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *rows], ["key", "length", "terms", "tfs", "slots"])
 
 
 def build_index(docs: DataFrame, folder: str, key: str = "doc_id") -> None:
     """Writes the weight of each slot of each document to ``folder``; colliding terms add.
 
-    Words are counted within their text and meet their weight by term, so that only a slot's weights are shuffled by the
-    texts, once; the terms themselves are only where they are too many to be sent to all.
+    Words are counted within their text. Up to TERMS_SENT terms are sent to all tasks, and weights are shuffled; beyond
+    that words are dealt by slot, once, to where the slot's terms come too and the postings stay: a slot of many texts in
+    pieces, each with all the slot's terms.
     """
     words = spread(docs.select(F.col(key).alias("key"), "text")).select("key", tokens(F.col("text")).alias("w"))
     # each term's texts, and at the empty term the number of texts and of their words
     seen = words.select(F.size("w").alias("n"), F.explode(F.concat(F.array_distinct(F.coalesce("w", F.array().cast("array<string>"))), F.array(F.lit("")))).alias("term"))
     vocabulary = kept(seen.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("n"))).alias("total")))
     stats = vocabulary.where("term = ''").first()
-    entries = vocabulary.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    entries, different = vocabulary.agg(F.coalesce(F.sum("df"), F.lit(0)), F.count("*")).first()
+    partitions = entries // PARTITION_ENTRIES + 1
     many, avgdl = (stats["df"], (stats["total"] or 0) / stats["df"]) if stats else (0, 1.0)
-    idf = vocabulary.where("term <> ''").select("term", term_hash("term").alias("idx"), (F.log((F.lit(many) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    counted = words.where("w is not null").mapInArrow(_counted, f"key {dict(docs.dtypes)[key]}, length int, terms array<string>, tfs array<int>")
-    counts = counted.select("key", "length", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
+    terms = vocabulary.where("term <> ''").select("term", "df", term_hash("term").alias("idx"), (F.log((F.lit(many) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(avgdl))))
-    weights = counts.join(idf, "term").select("idx", F.col("key").alias(key), weight.alias("weight"))
-    postings = weights.repartitionByRange(entries // RANGE_ENTRIES + 1, "idx", key).groupBy("idx", key).agg(F.sum("weight").alias("weight"))
-    postings.sortWithinPartitions("idx", key).write.mode("overwrite").parquet(folder)
+    counted = words.where("w is not null").mapInArrow(_counted, f"key {dict(docs.dtypes)[key]}, length int, terms array<string>, tfs array<int>, slots array<long>")
+    counts = counted.select("key", "length", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"), F.col("slots").alias("idx"))))
+    if different <= TERMS_SENT:
+        weights = counts.drop("idx").join(F.broadcast(terms.drop("df")), "term").select("idx", "key", weight.alias("weight"))
+        postings = weights.repartitionByRange(partitions, "idx", "key").groupBy("idx", "key").agg(F.sum("weight").alias("weight"))
+    else:
+        postings = _dealt(counts, terms, partitions).groupBy("part", "idx", "key").agg(F.sum(weight).alias("weight")).drop("part")
+    postings.withColumnRenamed("key", key).sortWithinPartitions("idx", key).write.mode("overwrite").parquet(folder)
+
+
+def _dealt(counts: DataFrame, terms: DataFrame, partitions: int) -> DataFrame:
+    """``counts`` with their term's idf, those of a slot and a text in one partition: words and terms are shuffled together."""
+    many = terms.groupBy("idx").agg(F.ceil(F.sum("df") / PIECE_ENTRIES).cast("int").alias("pieces")).where("pieces > 1").collect()  # of 30,000 slots
+    pieces = F.broadcast(terms.sparkSession.createDataFrame(many, "idx long, pieces int"))
+    part, most = F.pmod(F.hash("idx", "piece"), F.lit(PARTS * partitions)).alias("part"), F.coalesce("pieces", F.lit(1))
+    words = counts.join(pieces, "idx", "left").withColumn("piece", F.pmod(F.hash("key"), most)).select(part, "term", "key", "length", "tf")
+    known = terms.join(pieces, "idx", "left").withColumn("piece", F.explode(F.sequence(F.lit(0), most - 1))).select(part, "term", "idx", "idf")
+    term = Window.partitionBy("part", "term")
+    dealt = words.unionByName(known, allowMissingColumns=True).repartition(partitions, "part")
+    return dealt.withColumn("idx", F.max("idx").over(term)).withColumn("idf", F.max("idf").over(term)).where("tf is not null")
 
 
 def _file_system(spark: SparkSession, folder: str):

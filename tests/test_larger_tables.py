@@ -104,6 +104,23 @@ def test_an_index_shuffles_its_weights_once(spark, tmp_path):
     assert 0 < written() - before < 6 * size
 
 
+def test_many_terms_meet_their_words_in_one_shuffle(spark, tmp_path, monkeypatch):
+    rows = [(None if i == 3 else i, None if i == 5 else f"the {'Été naïve ' * (i % 3)}w{i % 90} x{i} 漢字 {'the ' * (i % 4)}ñ{i % 7}") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = table(spark, str(tmp_path), "documents")
+    index.build_index(docs, f"{tmp_path}/sent")
+    for name, value in (("TERMS_SENT", 0), ("PARTITION_ENTRIES", 500), ("PIECE_ENTRIES", 40)):
+        monkeypatch.setattr(index, name, value)
+    plans, made = [], index._dealt
+    monkeypatch.setattr(index, "_dealt", lambda *args: plans.append(made(*args)) or plans[0])
+    index.build_index(docs, f"{tmp_path}/dealt")
+    sent, dealt = ({(r["idx"], r["doc_id"]): r["weight"] for r in spark.read.parquet(f"{tmp_path}/{name}").collect()} for name in ("sent", "dealt"))
+    assert len(sent) > 2000 and sent.keys() == dealt.keys() and dealt == pytest.approx(sent)
+    assert spark.read.parquet(f"{tmp_path}/dealt").count() == len(dealt)
+    plan = plans[0].groupBy("part", "idx", "key").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" in plan and "SortMergeJoin" not in plan
+
+
 def test_blocks_are_read_from_the_index_itself(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     size = lambda rows: sum(Path(f.removeprefix("file:")).stat().st_size for f in rows.inputFiles())
